@@ -235,3 +235,99 @@ def rounded(select_sql: str, doubles: list[str]) -> str:
 
 def with_ctes(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body}"
+
+
+# ---------------------------------------------------------------------------
+# hypothesis-test twins: one row of statistic / dof / effect / n / medians
+# ---------------------------------------------------------------------------
+_TEST_TAIL = "test, status, statistic, degrees_of_freedom, effect_size, n, group_0_median, group_1_median, groups"
+
+
+def _where(col_a: str, col_b: str, where: str | None) -> str:
+    extra = f" AND {where} = 1" if where else ""
+    return f"WHERE {col_a} IS NOT NULL AND {col_b} IS NOT NULL{extra}"
+
+
+def _midrank(v: str) -> str:
+    return f"(rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0)"
+
+
+def chi2_sql(cat: str, out: str, where: str | None = None) -> str:
+    return f"""
+t_sub AS (SELECT {cat} AS cat, {out} AS outc FROM sessions {_where(cat, out, where)}),
+t_cells AS (SELECT cat, outc, count(*) AS o FROM t_sub GROUP BY 1, 2),
+t_rr AS (SELECT cat, sum(o) AS r FROM t_cells GROUP BY 1),
+t_cc AS (SELECT outc, sum(o) AS c FROM t_cells GROUP BY 1),
+t_dims AS (SELECT (SELECT count(*) FROM t_rr) AS nr, (SELECT count(*) FROM t_cc) AS nc, (SELECT sum(o) FROM t_cells) AS n),
+t_grid AS (
+  SELECT COALESCE(t_cells.o, 0) AS o, CAST(t_rr.r AS DOUBLE) * t_cc.c / t_dims.n AS e, t_dims.nr, t_dims.nc, t_dims.n
+  FROM t_rr CROSS JOIN t_cc CROSS JOIN t_dims
+  LEFT JOIN t_cells ON t_cells.cat = t_rr.cat AND t_cells.outc = t_cc.outc),
+t_terms AS (
+  SELECT *, CASE WHEN (nr - 1) * (nc - 1) = 1 THEN o + LEAST(0.5, abs(e - o)) * sign(e - o) ELSE o END AS oa FROM t_grid),
+t_res AS (
+  SELECT max(nr) AS nr, max(nc) AS nc, max(n) AS n, sum(pow(oa - e, 2) / e) AS stat FROM t_terms)
+SELECT 'Chi-square' AS test,
+  CASE WHEN nr >= 2 AND nc >= 2 THEN 'completed' ELSE 'skipped' END AS status,
+  CASE WHEN nr >= 2 AND nc >= 2 THEN stat END AS statistic,
+  CASE WHEN nr >= 2 AND nc >= 2 THEN CAST((nr - 1) * (nc - 1) AS DOUBLE) END AS degrees_of_freedom,
+  CASE WHEN nr >= 2 AND nc >= 2 THEN sqrt(stat / n / GREATEST(LEAST(nr - 1, nc - 1), 1)) END AS effect_size,
+  CASE WHEN nr >= 2 AND nc >= 2 THEN CAST(n AS BIGINT) END AS n,
+  CAST(NULL AS DOUBLE) AS group_0_median, CAST(NULL AS DOUBLE) AS group_1_median, CAST(NULL AS BIGINT) AS groups
+FROM t_res"""
+
+
+def mwu_sql(metric: str, outcome: str, where: str | None = None) -> str:
+    ok = "n0 >= 5 AND n1 >= 5"
+    u0 = "(r0 - CAST(n0 AS DOUBLE) * (n0 + 1) / 2.0)"
+    return f"""
+t_sub AS (SELECT CAST({metric} AS DOUBLE) AS v, {outcome} AS g FROM sessions {_where(metric, outcome, where)} AND {outcome} IN (0, 1)),
+t_rk AS (SELECT v, g, {_midrank('v')} AS rnk FROM t_sub),
+t_res AS (
+  SELECT count(*) FILTER (WHERE g = 0) AS n0, count(*) FILTER (WHERE g = 1) AS n1,
+         sum(rnk) FILTER (WHERE g = 0) AS r0,
+         quantile_cont(v, 0.5) FILTER (WHERE g = 0) AS m0, quantile_cont(v, 0.5) FILTER (WHERE g = 1) AS m1
+  FROM t_rk)
+SELECT 'Mann-Whitney U' AS test, CASE WHEN {ok} THEN 'completed' ELSE 'skipped' END AS status,
+  CASE WHEN {ok} THEN {u0} END AS statistic, CAST(NULL AS DOUBLE) AS degrees_of_freedom,
+  CASE WHEN {ok} THEN 2 * {u0} / (CAST(n0 AS DOUBLE) * n1) - 1 END AS effect_size,
+  CASE WHEN {ok} THEN CAST(n0 + n1 AS BIGINT) END AS n,
+  CASE WHEN {ok} THEN m0 END AS group_0_median, CASE WHEN {ok} THEN m1 END AS group_1_median,
+  CAST(NULL AS BIGINT) AS groups
+FROM t_res"""
+
+
+def kw_sql(cat: str, metric: str, where: str | None = None) -> str:
+    h = "((12.0 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - tie / (n * n * n - n)))"
+    ok = "k >= 2 AND (1 - tie / (n * n * n - n)) > 0"
+    return f"""
+t_sub AS (SELECT {cat} AS cat, CAST({metric} AS DOUBLE) AS v FROM sessions {_where(cat, metric, where)}),
+t_kept AS (SELECT * FROM t_sub WHERE cat IN (SELECT cat FROM t_sub GROUP BY cat HAVING count(*) >= 5)),
+t_rk AS (SELECT cat, v, {_midrank('v')} AS rnk FROM t_kept),
+t_g AS (SELECT cat, sum(rnk) AS r, count(*) AS nc FROM t_rk GROUP BY cat),
+t_tie AS (SELECT COALESCE(sum(pow(c, 3) - c), 0.0) AS tie FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM t_kept GROUP BY v)),
+t_res AS (SELECT sum(r * r / nc) AS s, CAST(sum(nc) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k,
+                 (SELECT tie FROM t_tie) AS tie FROM t_g)
+SELECT 'Kruskal-Wallis' AS test, CASE WHEN {ok} THEN 'completed' ELSE 'skipped' END AS status,
+  CASE WHEN {ok} THEN {h} END AS statistic, CASE WHEN {ok} THEN k - 1 END AS degrees_of_freedom,
+  CASE WHEN {ok} AND n > k THEN ({h} - k + 1) / (n - k) END AS effect_size,
+  CASE WHEN {ok} THEN CAST(n AS BIGINT) END AS n,
+  CAST(NULL AS DOUBLE) AS group_0_median, CAST(NULL AS DOUBLE) AS group_1_median,
+  CASE WHEN {ok} THEN CAST(k AS BIGINT) END AS groups
+FROM t_res"""
+
+
+def spearman_sql(x: str, y: str, where: str | None = None) -> str:
+    return f"""
+t_sub AS (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM sessions {_where(x, y, where)}),
+t_rk AS (SELECT {_midrank('x')} AS rx, {_midrank('y')} AS ry FROM t_sub),
+t_res AS (SELECT count(*) AS n, corr(rx, ry) AS rho FROM t_rk)
+SELECT 'Spearman correlation' AS test, CASE WHEN n >= 10 THEN 'completed' ELSE 'skipped' END AS status,
+  CASE WHEN n >= 10 THEN rho END AS statistic, CAST(NULL AS DOUBLE) AS degrees_of_freedom,
+  CASE WHEN n >= 10 THEN rho END AS effect_size, CASE WHEN n >= 10 THEN CAST(n AS BIGINT) END AS n,
+  CAST(NULL AS DOUBLE) AS group_0_median, CAST(NULL AS DOUBLE) AS group_1_median, CAST(NULL AS BIGINT) AS groups
+FROM t_res"""
+
+
+TEST_SQL = {"chi2": chi2_sql, "mwu": mwu_sql, "kw": kw_sql, "spearman": spearman_sql}
+TEST_COLUMNS = _TEST_TAIL

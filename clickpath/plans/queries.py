@@ -426,3 +426,65 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: q.oracle() for name, q in REGISTRY.items() if q.sql is not None}
+
+
+# ---------------------------------------------------------------------------
+# hypothesis tests (statistic, dof, effect size, n, medians; p-values are
+# excluded from the value hash and checked in tests/)
+# ---------------------------------------------------------------------------
+from clickpath.operators import stats as ST  # noqa: E402
+
+TEST_KEYS = [
+    "chi2_device_purchase", "chi2_medium_purchase", "chi2_landing_purchase", "chi2_landing_cart",
+    "chi2_device_cart", "chi2_device_checkout_purchase",
+    "mwu_engagement_purchase", "mwu_duration_purchase", "mwu_events_cart", "mwu_price_purchase",
+    "kw_device_depth", "kw_medium_depth", "kw_landing_depth", "kw_landing_engagement",
+    "spearman_events_depth", "spearman_products_depth",
+]
+TEST_DOUBLES = ["statistic", "degrees_of_freedom", "effect_size", "group_0_median", "group_1_median"]
+_TEST_OUT = [c.strip() for c in O.TEST_COLUMNS.split(",")]
+
+
+def _register_test(key: str, index: int) -> None:
+    kind, a, b, where, _ = ST.SUITE[index]
+    sql = "WITH " + S.strip() + ",\n" + O.TEST_SQL[kind](a, b, where).strip()
+
+    def build(spark, sf, _i=index):
+        return ST.run_test(pipeline(spark, sf).sessions, _i).select(*_TEST_OUT)
+
+    REGISTRY[key] = Query(build, sql, TEST_DOUBLES)
+
+
+for _i, _key in enumerate(TEST_KEYS):
+    _register_test(_key, _i)
+
+
+@register("chi2_weekend_purchase", "WITH " + S.strip() + ",\n" + O.chi2_sql("is_weekend", "converted_purchase").strip(),
+          TEST_DOUBLES)
+def q_chi2_weekend(spark, sf):
+    """2x2 table: exercises the Yates-corrected branch."""
+    return ST.chi_square(pipeline(spark, sf).sessions, "is_weekend", "converted_purchase",
+                         "Purchase conversion differs on weekends.").select(*_TEST_OUT)
+
+
+@register("chi2_device_purchase_nodevice",
+          "WITH " + S_NODEVICE.strip() + ",\n" + O.chi2_sql("device_category", "converted_purchase").strip(), TEST_DOUBLES)
+def q_chi2_nodevice(spark, sf):
+    """Device unknown everywhere: the skip contract (one category level)."""
+    return ST.run_test(pipeline(spark, sf, "nodevice").sessions, 0).select(*_TEST_OUT)
+
+
+@register("statistical_tests", None)
+def q_statistical_tests(spark, sf):
+    """The full 16-test suite with p-values (rows-only check; values in tests/)."""
+    return ST.hypothesis_suite(pipeline(spark, sf).sessions)
+
+
+@register("significant_tests", None)
+def q_significant_tests(spark, sf):
+    return ST.significant_count(ST.hypothesis_suite(pipeline(spark, sf).sessions))
+
+
+@register("test_table_feed", None)
+def q_test_table_feed(spark, sf):
+    return ST.test_table_feed(ST.hypothesis_suite(pipeline(spark, sf).sessions))
