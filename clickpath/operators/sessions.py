@@ -3,7 +3,7 @@ feature engineering (F1-F10)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from clickpath.functions.columns import (
     MISSING,
@@ -221,21 +221,43 @@ def clean_sessions(df: DataFrame, assume_unique: bool = False, winsorize: bool =
 # ---------------------------------------------------------------------------
 # Engineered features
 # ---------------------------------------------------------------------------
-def limit_cardinality(df: DataFrame, col: str, top_n: int, out_col: str | None = None) -> DataFrame:
-    """Keep the ``top_n`` most frequent cleaned levels of ``col``; others -> ``other``.
+def top_levels(df: DataFrame, cols: list[str], top_n: int) -> dict[str, list[str]]:
+    """The ``top_n`` most frequent cleaned levels of each column, in one job.
 
-    Ties at the cut: count descending, then value ascending. The level counts
-    are a hash aggregate (skew absorbed map-side); the keepers list has at most
-    ``top_n`` rows, a proven bound, so it is broadcast.
+    Ties at the cut: count descending, then value ascending. Level counts are a
+    hash aggregate over (column, level) -- skew is absorbed map-side -- and the
+    per-column ``row_number() <= top_n`` is planned as a per-task top-k
+    (WindowGroupLimit) before its shuffle. At most ``top_n`` levels per column
+    reach the driver, a proven bound.
     """
-    out_col = out_col or col
+    if not cols:
+        return {}
+    melted = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("_col"), clean_category(c).alias("_lvl")) for c in cols
+    ])).alias("_m")).select("_m._col", "_m._lvl")
+    counts = melted.groupBy("_col", "_lvl").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_col").orderBy(F.desc("_n"), F.asc("_lvl"))
+    top = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_n)
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for row in top.select("_col", "_lvl", "_r").collect():
+        out[row["_col"]].append((row["_r"], row["_lvl"]))
+    return {c: [lvl for _, lvl in sorted(v)] for c, v in out.items()}
+
+
+def limited(col: str, levels: list[str]) -> F.Column:
+    """Cleaned value if it is one of ``levels``, else ``other``."""
     cleaned = clean_category(col)
-    counts = df.groupBy(cleaned.alias("_lvl")).agg(F.count(F.lit(1)).alias("_n"))
-    keep = counts.orderBy(F.desc("_n"), F.asc("_lvl")).limit(top_n).select("_lvl", F.lit(True).alias("_keep"))
-    joined = df.withColumn("_clean", cleaned).join(F.broadcast(keep), F.col("_clean") == F.col("_lvl"), "left")
-    return joined.withColumn(
-        out_col, F.when(F.col("_keep"), F.col("_clean")).otherwise(F.lit("other"))
-    ).drop("_clean", "_lvl", "_keep")
+    return F.when(cleaned.isin(levels), cleaned).otherwise(F.lit("other")) if levels else F.lit("other")
+
+
+def limit_cardinality(df: DataFrame, col: str | list[str], top_n: int, out_col: str | None = None) -> DataFrame:
+    """Keep the ``top_n`` most frequent cleaned levels of ``col`` (or of each
+    column of a list); other levels become ``other``."""
+    cols = [col] if isinstance(col, str) else list(col)
+    levels = top_levels(df, cols, top_n)
+    if isinstance(col, str):
+        return df.withColumn(out_col or col, limited(col, levels[col]))
+    return df.withColumns({c: limited(c, levels[c]) for c in cols})
 
 
 def engineer_features(df: DataFrame, landing_top_n: int = 20) -> DataFrame:

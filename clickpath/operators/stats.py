@@ -170,17 +170,19 @@ def kruskal(df: DataFrame, category: str, metric: str, hypothesis: str, min_grou
     sub = df.select(F.col(category).alias("_cat"), F.col(metric).cast("double").alias("_v")).dropna()
     sizes = sub.groupBy("_cat").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_group)
     kept = sub.join(sizes.select("_cat"), "_cat", "left_semi")
-    ranked = rank_histogram(kept, "_v")
-    tie = ranked.agg(F.coalesce(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")), F.lit(0.0))).scalar()
+    ranked = rank_histogram(kept, "_v").select("_v", average_rank("cnt").alias("_rank"), F.col("cnt").alias("_t"))
     per_value_cat = kept.groupBy("_v", "_cat").agg(F.count(F.lit(1)).alias("_c"))
-    rsum = per_value_cat.join(ranked.select("_v", average_rank("cnt").alias("_rank")), "_v").groupBy("_cat").agg(
-        F.sum(F.col("_c") * F.col("_rank")).alias("_R"), F.sum("_c").alias("_nc"))
+    # tie term sum_v (t^3 - t) spread over the (value, group) cells: c * (t^2 - 1)
+    t = F.col("_t").cast("double")
+    rsum = per_value_cat.join(ranked, "_v").groupBy("_cat").agg(
+        F.sum(F.col("_c") * F.col("_rank")).alias("_R"), F.sum("_c").alias("_nc"),
+        F.sum(F.col("_c") * (t * t - 1)).alias("_tie"))
     agg = rsum.agg(F.sum(F.col("_R") * F.col("_R") / F.col("_nc")).alias("s"), F.sum("_nc").alias("n"),
-                   F.count(F.lit(1)).alias("k"))
+                   F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_tie"), F.lit(0.0)).alias("tie"))
     n = F.col("n").cast("double")
     k = F.col("k").cast("double")
     h_raw = 12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
-    corr = F.lit(1.0) - tie / (n * n * n - n)
+    corr = F.lit(1.0) - F.col("tie") / (n * n * n - n)
     h = h_raw / corr
     enough = F.col("k") >= 2
     ok = enough & (corr > 0)
@@ -297,3 +299,74 @@ def test_table_feed(tests: DataFrame, top: int = 8) -> DataFrame:
         "effect_size_name",
         F.format_string("%.3f", F.col("effect_size")).alias("effect_size_display"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Shapiro-Wilk normality checks on a bounded sample per group
+# ---------------------------------------------------------------------------
+NORMALITY_SCHEMA = T.StructType([
+    T.StructField("metric", T.StringType()),
+    T.StructField("group", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("sample_n", T.LongType()),
+    T.StructField("statistic", T.DoubleType()),
+    T.StructField("p_value", T.DoubleType()),
+    T.StructField("interpretation", T.StringType()),
+    T.StructField("label", T.StringType()),
+])
+
+# The three (metric, group, label) checks of the normality suite.
+NORMALITY_SUITE = [
+    ("engagement_seconds_winsorized", "converted_purchase", "Engagement time normality by purchase outcome."),
+    ("session_duration_sec_winsorized", "converted_purchase", "Session duration normality by purchase outcome."),
+    ("event_count_winsorized", "reached_cart", "Event count normality by cart-intent outcome."),
+]
+
+
+def _shapiro_group(pdf):
+    """One group's bounded sample (pandas) -> one result row."""
+    import pandas as pd
+
+    from clickpath.functions.swilk import shapiro
+
+    values = pd.to_numeric(pdf["_v"], errors="coerce").dropna().to_numpy()
+    n = int(pdf["_n"].iloc[0])
+    row = {"metric": pdf["_metric"].iloc[0], "group": str(pdf["_g"].iloc[0]), "n": n, "sample_n": len(values),
+           "label": pdf["_label"].iloc[0]}
+    if n < 3:
+        row.update(status="skipped", reason="Fewer than 3 observations.", statistic=None, p_value=None,
+                   interpretation="Insufficient data.", sample_n=n)
+    else:
+        w, p = shapiro(values)
+        row.update(status="completed", reason="", statistic=w, p_value=p,
+                   interpretation="non-normal" if p < 0.05 else "normal-like")
+    return pd.DataFrame([row], columns=[f.name for f in NORMALITY_SCHEMA.fields])
+
+
+def normality_check(df: DataFrame, metric: str, group: str, label: str, key: str = "session_key",
+                    max_sample: int = 5000, seed: int = 42) -> DataFrame | None:
+    """Shapiro-Wilk per group on at most ``max_sample`` hash-chosen rows.
+
+    Spark groups and samples; each group hands at most ``max_sample`` values to
+    one ``applyInPandas`` call, so no unbounded group reaches a Python worker.
+    """
+    from clickpath.operators.sampling import bounded_sample
+
+    if _missing(df, [metric, group, key]):
+        return None
+    sub = df.select(F.col(key), F.col(metric).cast("double").alias("_v"), F.col(group).alias("_g")).dropna(
+        subset=["_v", "_g"])
+    sample = bounded_sample(sub, "_g", key, max_sample, seed)
+    sample = sample.withColumns({"_metric": F.lit(metric), "_label": F.lit(label)})
+    return sample.groupBy("_g").applyInPandas(_shapiro_group, NORMALITY_SCHEMA)
+
+
+def normality_suite(sessions: DataFrame, max_sample: int = 5000) -> DataFrame:
+    parts = [normality_check(sessions, m, g, lab, max_sample=max_sample) for m, g, lab in NORMALITY_SUITE]
+    parts = [p for p in parts if p is not None]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

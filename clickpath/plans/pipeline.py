@@ -81,6 +81,12 @@ class Pipeline:
     def product(self) -> DataFrame:
         return sc.product_discovery(self.events, self.taxonomy)
 
+    # -- model -------------------------------------------------------------
+    @cached_property
+    def model(self):
+        from clickpath.operators.model import train_purchase_model
+        return train_purchase_model(self.sessions)
+
 
 def pipeline(spark: SparkSession, sf_dir: str, variant: str = "default") -> Pipeline:
     """Shared pipeline per (application, directory, variant).

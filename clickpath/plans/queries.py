@@ -488,3 +488,107 @@ def q_significant_tests(spark, sf):
 @register("test_table_feed", None)
 def q_test_table_feed(spark, sf):
     return ST.test_table_feed(ST.hypothesis_suite(pipeline(spark, sf).sessions))
+
+
+@register("normality_checks", None)
+def q_normality_checks(spark, sf):
+    """Shapiro-Wilk W and p per (metric, group) on <= 5000 hash-sampled rows (rows-only check)."""
+    return ST.normality_suite(pipeline(spark, sf).sessions)
+
+
+_NORM_SQL = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, CAST({g} AS VARCHAR) AS \"group\", count(*) AS n, LEAST(count(*), 5000) AS sample_n "
+    f"FROM sessions WHERE {m} IS NOT NULL AND {g} IS NOT NULL GROUP BY {g}"
+    for m, g, _ in ST.NORMALITY_SUITE
+)
+
+
+@register("normality_sample_sizes", "WITH " + S.strip() + "\n" + _NORM_SQL)
+def q_normality_sample_sizes(spark, sf):
+    """Group sizes and bounded-sample sizes of the normality suite (exact)."""
+    return ST.normality_suite(pipeline(spark, sf).sessions).select("metric", "group", "n", "sample_n")
+
+
+# ---------------------------------------------------------------------------
+# propensity model
+# ---------------------------------------------------------------------------
+from clickpath.operators import model as M  # noqa: E402
+
+
+def _top_sql(c: str, n: int = 25) -> str:
+    cc = O.clean_category_sql(c)
+    return (f"CASE WHEN {cc} IN (SELECT lvl FROM (SELECT {cc} AS lvl, count(*) AS k FROM sessions GROUP BY 1) "
+            f"ORDER BY k DESC, lvl ASC LIMIT {n}) THEN {cc} ELSE 'other' END AS {c}")
+
+
+@register("model_frame",
+          "WITH " + S.strip() + "\nSELECT session_key, " + ", ".join(_top_sql(c) for c in M.CATEGORICAL_FEATURES)
+          + " FROM sessions")
+def q_model_frame(spark, sf):
+    """M2: categorical model features limited to their 25 most frequent levels."""
+    return M.model_frame(pipeline(spark, sf).sessions).select("session_key", *M.CATEGORICAL_FEATURES)
+
+
+@register("train_test_split", None)
+def q_train_test_split(spark, sf):
+    """M3: rows and purchase rate per split (hash split, about 25 % test per class)."""
+    s = pipeline(spark, sf).sessions.withColumn("split", F.when(M.split_flag() == 1, "test").otherwise("train"))
+    return s.groupBy("split", M.TARGET).agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@register("model_performance", None)
+def q_model_performance(spark, sf):
+    return pipeline(spark, sf).model.performance
+
+
+@register("model_feature_importance", None)
+def q_model_feature_importance(spark, sf):
+    return pipeline(spark, sf).model.importance
+
+
+@register("model_coefficient_feed", None)
+def q_model_coefficient_feed(spark, sf):
+    return M.coefficient_feed(pipeline(spark, sf).model.importance)
+
+
+@register("high_intent_segments", None)
+def q_high_intent_segments(spark, sf):
+    return pipeline(spark, sf).model.high_intent
+
+
+_FIXED_SCORE = ("(journey_depth_pre_purchase + engagement_seconds_winsorized / (engagement_seconds_winsorized + 60.0)) "
+                "/ 5.0")
+HIGH_INTENT_DOUBLES = ["avg_predicted_purchase_probability", "cart_rate", "checkout_rate", "avg_engagement_seconds",
+                       "avg_journey_depth"]
+
+
+@register("high_intent_fixed_score", "WITH " + S.strip() + f""",
+scored AS (SELECT *, {_FIXED_SCORE} AS score FROM sessions),
+thr AS (SELECT GREATEST(0.5, quantile_cont(score, 0.9)) AS t FROM scored)
+SELECT ux_intent_segment, device_category, source_medium, landing_path, count(session_key) AS sessions,
+  avg(score) AS avg_predicted_purchase_probability, avg(reached_cart) AS cart_rate, avg(reached_checkout) AS checkout_rate,
+  avg(engagement_seconds_winsorized) AS avg_engagement_seconds, avg(journey_depth_pre_purchase) AS avg_journey_depth
+FROM scored WHERE converted_purchase = 0 AND score >= (SELECT t FROM thr) GROUP BY 1, 2, 3, 4""", HIGH_INTENT_DOUBLES)
+def q_high_intent_fixed(spark, sf):
+    """M14 + M15 fed a fixed rational score, so the threshold and roll-up logic has an exact twin."""
+    s = pipeline(spark, sf).sessions.withColumn("score", F.expr(_FIXED_SCORE))
+    return M.high_intent_segments(s, "score")
+
+
+# ---------------------------------------------------------------------------
+# Structured Streaming (rows-only: append mode emits only windows the
+# watermark has closed, so the last open sessions / day are still in state)
+# ---------------------------------------------------------------------------
+from clickpath.streaming import jobs as SJ  # noqa: E402
+
+
+@register("streaming_sessions", None)
+def q_streaming_sessions(spark, sf):
+    events = SJ.stream_events(spark, f"{sf.rstrip('/')}/events.parquet")
+    return spark.read.parquet(SJ.run_to_table(SJ.session_counts(events), "sessions"))
+
+
+@register("streaming_daily", None)
+def q_streaming_daily(spark, sf):
+    events = SJ.stream_events(spark, f"{sf.rstrip('/')}/events.parquet")
+    return spark.read.parquet(SJ.run_to_table(SJ.daily_counts(events), "daily"))
