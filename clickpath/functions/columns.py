@@ -69,20 +69,29 @@ def safe_divide(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-# Fixed-point type for money and second-resolution measures: inputs carry at most
-# 6 decimals, so the cast is lossless and the sum is exact -- the same number
-# whatever order partitions arrive in (re-executed tasks give identical results).
-EXACT = "decimal(18,6)"
+# Money and second-resolution measures are aggregated in integer micro-units:
+# inputs carry at most 6 decimals, so round(x * 1e6) is exact, the bigint sum
+# is exact and the same whatever order partitions arrive in (a re-executed task
+# gives bit-identical results). Means are rounded half-up to 6 decimals by
+# integer arithmetic. Intended for non-negative measures.
+MICRO = 1_000_000
+
+
+def micros(c: Column | str) -> Column:
+    return F.round(col_of(c).cast("double") * MICRO).cast("bigint")
 
 
 def exact_sum(c: Column | str) -> Column:
-    """Order-independent sum of a 6-decimal measure, returned as double (NULL if no value)."""
-    return F.sum(col_of(c).cast(EXACT)).cast("double")
+    """Order-independent sum of a 6-decimal measure, as double (NULL if no value)."""
+    return F.sum(micros(c)) / F.lit(float(MICRO))
 
 
 def exact_avg(c: Column | str) -> Column:
-    """Mean of a 6-decimal measure from its exact sum and non-null count."""
-    return safe_divide(exact_sum(c), F.count(col_of(c)))
+    """Mean of a 6-decimal measure, rounded half-up to 6 decimals, exactly."""
+    total, n = F.sum(micros(c)), F.count(col_of(c))
+    num, den = 2 * total + n, 2 * n
+    quotient = (num - F.pmod(num, den)) / den  # an exact integer
+    return F.when(n > 0, quotient / F.lit(float(MICRO)))
 
 
 def clean_category(c: Column | str, missing: str = MISSING) -> Column:

@@ -27,7 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clickpath.functions.columns import clean_category
+from clickpath.functions.columns import clean_category, exact_avg
 from clickpath.operators.ranks import average_rank, quantiles, rank_histogram
 from clickpath.operators.sessions import limit_cardinality
 
@@ -228,7 +228,7 @@ def high_intent_segments(scored: DataFrame, score: str = "score") -> DataFrame:
         F.avg(score).alias("avg_predicted_purchase_probability"),
         F.avg("reached_cart").alias("cart_rate"),
         F.avg("reached_checkout").alias("checkout_rate"),
-        F.avg("engagement_seconds_winsorized").alias("avg_engagement_seconds"),
+        exact_avg("engagement_seconds_winsorized").alias("avg_engagement_seconds"),
         F.avg("journey_depth_pre_purchase").alias("avg_journey_depth"),
     ).orderBy(F.desc("sessions"), F.desc("avg_predicted_purchase_probability"))
 

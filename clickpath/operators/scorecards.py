@@ -78,7 +78,7 @@ def behavior_segments(sessions: DataFrame) -> DataFrame:
         F.count("session_key").alias("sessions"),
         users.alias("users"),
         F.avg("event_count").alias("avg_events"),
-        F.avg("engagement_seconds_winsorized").alias("avg_engagement_seconds"),
+        exact_avg("engagement_seconds_winsorized").alias("avg_engagement_seconds"),
         F.avg("reached_product_detail").alias("product_detail_rate"),
         F.avg("reached_cart").alias("cart_rate"),
         F.avg("reached_checkout").alias("checkout_rate"),

@@ -40,14 +40,20 @@ def landing_path_sql(x: str) -> str:
     return f"(CASE WHEN {text} IS NULL OR {text} = '' THEN '(missing)' ELSE substring({chosen}, 1, 140) END)"
 
 
+def _micros(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DOUBLE) * 1000000) AS BIGINT)"
+
+
 def esum(x: str, where: str | None = None) -> str:
-    """Exact fixed-point sum (same rule as ``functions.columns.exact_sum``)."""
+    """Exact micro-unit sum (same rule as ``functions.columns.exact_sum``)."""
     filt = f" FILTER (WHERE {where})" if where else ""
-    return f"CAST(sum(CAST({x} AS DECIMAL(18,6))){filt} AS DOUBLE)"
+    return f"(CAST(sum({_micros(x)}){filt} AS DOUBLE) / 1000000.0)"
 
 
 def eavg(x: str) -> str:
-    return f"({esum(x)} / NULLIF(CAST(count({x}) AS DOUBLE), 0))"
+    """Half-up rounded micro-unit mean (same rule as ``exact_avg``)."""
+    s, n = f"sum({_micros(x)})", f"count({x})"
+    return f"(CAST((2 * {s} + {n}) // NULLIF(2 * {n}, 0) AS DOUBLE) / 1000000.0)"
 
 
 def div(a: str, b: str) -> str:
@@ -229,7 +235,10 @@ def rounded(select_sql: str, doubles: list[str]) -> str:
     """Wrap a query so its floating-point columns are rounded to ``DIGITS``."""
     if not doubles:
         return select_sql
-    repl = ", ".join(f"round({c}, {DIGITS}) AS {c}" for c in doubles)
+    # Spark rounds a double half-up on its shortest decimal text; do the same here
+    repl = ", ".join(
+        f"COALESCE(CAST(round(TRY_CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,12)), {DIGITS}) AS DOUBLE), round({c}, {DIGITS})) AS {c}"
+        for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM ({select_sql}) AS t"
 
 

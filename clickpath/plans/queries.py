@@ -249,7 +249,7 @@ SELECT *, {O.div('revenue_usd', 'sessions')} AS revenue_per_session,
 FROM (
   SELECT ux_intent_segment, device_category, source_medium, count(session_key) AS sessions,
     count(DISTINCT user_pseudo_id) AS users, avg(event_count) AS avg_events,
-    avg(engagement_seconds_winsorized) AS avg_engagement_seconds,
+    {O.eavg('engagement_seconds_winsorized')} AS avg_engagement_seconds,
     quantile_cont(engagement_seconds, 0.5) AS median_engagement_seconds,
     avg(reached_product_detail) AS product_detail_rate, avg(reached_cart) AS cart_rate,
     avg(reached_checkout) AS checkout_rate, avg(converted_purchase) AS purchase_rate,
@@ -567,7 +567,7 @@ scored AS (SELECT *, {_FIXED_SCORE} AS score FROM sessions),
 thr AS (SELECT GREATEST(0.5, quantile_cont(score, 0.9)) AS t FROM scored)
 SELECT ux_intent_segment, device_category, source_medium, landing_path, count(session_key) AS sessions,
   avg(score) AS avg_predicted_purchase_probability, avg(reached_cart) AS cart_rate, avg(reached_checkout) AS checkout_rate,
-  avg(engagement_seconds_winsorized) AS avg_engagement_seconds, avg(journey_depth_pre_purchase) AS avg_journey_depth
+  {O.eavg('engagement_seconds_winsorized')} AS avg_engagement_seconds, avg(journey_depth_pre_purchase) AS avg_journey_depth
 FROM scored WHERE converted_purchase = 0 AND score >= (SELECT t FROM thr) GROUP BY 1, 2, 3, 4""", HIGH_INTENT_DOUBLES)
 def q_high_intent_fixed(spark, sf):
     """M14 + M15 fed a fixed rational score, so the threshold and roll-up logic has an exact twin."""

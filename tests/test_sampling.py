@@ -1,0 +1,19 @@
+"""Bounded per-group sample equals the brute-force k smallest hashes."""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from clickpath.operators.sampling import bounded_sample, hash_unit
+
+
+def test_bounded_sample_is_exact(spark):
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"key": [f"k{i}" for i in range(4000)], "g": rng.choice([0, 1, 2], size=4000, p=[.9, .08, .02])})
+    df = spark.createDataFrame(pdf)
+    k = 50
+    got = bounded_sample(df, "g", "key", k).select("g", "key").toPandas()
+    full = df.withColumn("u", hash_unit(F.col("key"), 42)).toPandas().sort_values(["u", "key"])
+    expected = full.groupby("g").head(k)
+    assert sorted(map(tuple, got.to_numpy())) == sorted(map(tuple, expected[["g", "key"]].to_numpy()))
+    assert got.groupby("g").size().to_dict() == {g: min(k, c) for g, c in pdf.groupby("g").size().items()}
