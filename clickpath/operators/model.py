@@ -27,7 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clickpath.functions.columns import clean_category, exact_avg
+from clickpath.functions.columns import exact_avg
 from clickpath.operators.ranks import average_rank, quantiles, rank_histogram
 from clickpath.operators.sessions import limit_cardinality
 
@@ -146,7 +146,8 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
         F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_pos"),
         *[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(numeric)],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(numeric)],
-        *[F.sort_array(F.collect_set(clean_category(c))).alias(f"l_{j}") for j, c in enumerate(categorical)],
+        # categoricals are already cleaned and limited by model_frame: at most 26 levels each
+        *[F.sort_array(F.collect_set(F.col(c))).alias(f"l_{j}") for j, c in enumerate(categorical)],
     ).first()
     n_train, n_pos = stats["_n"], stats["_pos"] or 0
     if n_train == 0 or n_pos in (0, n_train):
@@ -159,9 +160,8 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
         feats.append(((F.col(c).cast("double") - mean) / (sd if sd > 0 else 1.0)).alias(f"_f{len(feats)}"))
         names.append(f"num__{c}")
     for j, c in enumerate(categorical):
-        cleaned = clean_category(c)
         for level in stats[f"l_{j}"]:
-            feats.append((cleaned == F.lit(level)).cast("double").alias(f"_f{len(feats)}"))
+            feats.append((F.col(c) == F.lit(level)).cast("double").alias(f"_f{len(feats)}"))
             names.append(f"cat__{c}_{level}")
     fcols = [f"_f{i}" for i in range(len(feats))]
     keep = ["session_key", "label", "_test", *SEGMENT_KEYS, "reached_cart", "reached_checkout",

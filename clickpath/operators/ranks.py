@@ -29,19 +29,30 @@ def rank_histogram(
     by: list[str] | tuple = (),
     counts: dict | None = None,
     buckets: int = DEFAULT_BUCKETS,
+    bounds_by: str | None = None,
 ) -> DataFrame:
     """One row per (by..., value) with, for every count column ``c``:
 
     ``c`` (rows with this value), ``before_c`` (rows of the group with a smaller
     value) and ``total_c`` (rows of the group). ``counts`` maps names to
     aggregate expressions; default ``{"cnt": count(*)}``. NULL values are dropped.
+    ``bounds_by`` (a low-cardinality column of ``by``, e.g. a test id) gives each
+    of its values its own bucket cut points.
     """
     by = list(by)
     counts = counts or {"cnt": F.count(F.lit(1))}
     names = list(counts)
     hist = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in counts.items()])
 
-    hist = hist.withColumn("_bk", bucket_of(F.col(value).cast("double"), value_bounds(hist, value, buckets)))
+    v = F.col(value).cast("double")
+    if bounds_by is None:
+        bk = bucket_of(v, value_bounds(hist, value, buckets))
+    else:
+        per_key = value_bounds_by(hist, value, bounds_by, buckets)
+        bk = F.lit(0)
+        for key, bounds in per_key.items():
+            bk = F.when(F.col(bounds_by) == F.lit(key), bucket_of(v, bounds)).otherwise(bk)
+    hist = hist.withColumn("_bk", bk)
 
     per_bucket = hist.groupBy(*by, "_bk").agg(*[F.sum(n).alias(f"_b_{n}") for n in names])
     w_all = Window.partitionBy(*by) if by else Window.partitionBy()
@@ -69,6 +80,16 @@ def value_bounds(hist: DataFrame, value: str, buckets: int) -> list[float]:
     return sorted({float(x) for x in (row["b"] or []) if x is not None})
 
 
+def value_bounds_by(hist: DataFrame, value: str, key: str, buckets: int) -> dict:
+    """Cut points per value of ``key`` (a handful of keys x ``buckets`` numbers)."""
+    if buckets <= 1:
+        return {}
+    probs = [i / buckets for i in range(1, buckets)]
+    rows = hist.groupBy(key).agg(
+        F.percentile_approx(F.col(value).cast("double"), probs, 4 * buckets).alias("b")).collect()
+    return {r[key]: sorted({float(x) for x in (r["b"] or []) if x is not None}) for r in rows}
+
+
 def bucket_of(v: F.Column, bounds: list[float]) -> F.Column:
     """Number of cut points <= v, as a balanced CASE tree (log2 comparisons per row)."""
     def tree(lo: int, hi: int) -> F.Column:

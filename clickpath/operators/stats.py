@@ -37,10 +37,12 @@ def _null(name: str) -> F.Column:
 
 
 def _finish(row: DataFrame, values: dict) -> DataFrame:
-    """Project a one-row aggregate onto the fixed result schema."""
+    """Project aggregate rows onto the fixed result schema (plus the test id)."""
     cols = []
     for f in RESULT_SCHEMA.fields:
         cols.append(values[f.name].cast(f.dataType).alias(f.name) if f.name in values else _null(f.name))
+    if "_t" in values:
+        cols.append(values["_t"].alias("_t"))
     return row.select(*cols)
 
 
@@ -55,51 +57,90 @@ def _missing(df: DataFrame, cols: list[str]) -> bool:
 
 
 # ---------------------------------------------------------------------------
-# Chi-square independence with Cramer's V
+# Batched test families. A "spec" is (column a, column b, filter flag or None,
+# hypothesis). All specs of one family run as ONE job: the session table is
+# melted to (test id, a, b) rows -- one scan, partial aggregation keyed by the
+# test id absorbs the row expansion -- and every aggregate is grouped by the
+# test id, so k tests cost one pass and one set of shuffles.
 # ---------------------------------------------------------------------------
-def chi_square(df: DataFrame, category: str, outcome: str, hypothesis: str) -> DataFrame:
-    """Pearson chi-square on the category x outcome table (Yates-corrected when
-    dof = 1).
-
-    The contingency table is never materialised as a full grid: with
-    observed cells O and expected counts e = r_i c_j / n,
-    ``sum over all cells (o-e)^2/e = sum over observed cells (o-e)^2/e + (n - sum over observed e)``
-    because an empty cell contributes exactly its e. For the 2x2 Yates case the
-    four expected counts follow from the two row and two column totals.
+def _melt(df: DataFrame, specs: list[tuple], a_type: str, b_type: str) -> DataFrame:
+    rows = []
+    for i, (a, b, where, _) in enumerate(specs):
+        keep = (F.col(where) == 1) if where else F.lit(True)
+        rows.append(F.struct(F.lit(i).alias("_t"), F.col(a).cast(a_type).alias("_a"),
+                             F.col(b).cast(b_type).alias("_b"), keep.alias("_keep")))
+    melted = df.select(F.explode(F.array(*rows)).alias("_m")).select("_m.*")
+    return melted.where(F.col("_keep") & F.col("_a").isNotNull() & F.col("_b").isNotNull()).drop("_keep")
+
+
+def _labels(specs: list[tuple], test: str) -> dict:
+    hyp = F.create_map(*[x for i, sp in enumerate(specs) for x in (F.lit(i), F.lit(sp[3]))])
+    return {"test": F.lit(test), "hypothesis": hyp[F.col("_t")]}
+
+
+def _run_family(df: DataFrame, specs: list[tuple], test: str, runner) -> DataFrame:
+    """Skipped rows for specs with missing columns; one batched job for the rest."""
+    spark = df.sparkSession
+    present = [(i, sp) for i, sp in enumerate(specs) if not _missing(df, [sp[0], sp[1]])]
+    parts = []
+    for i, sp in enumerate(specs):
+        if _missing(df, [sp[0], sp[1]]):
+            parts.append(skipped(spark, test, sp[3], f"Missing required columns: {sp[0]}, {sp[1]}.")
+                         .withColumn("_t", F.lit(i)))
+    if present:
+        idx = [i for i, _ in present]
+        out = runner(df, [sp for _, sp in present])
+        remap = F.create_map(*[x for j, i in enumerate(idx) for x in (F.lit(j), F.lit(i))])
+        parts.append(out.withColumn("_t", remap[F.col("_t")]))
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res
+
+
+def _chi2_batch(df: DataFrame, specs: list[tuple]) -> DataFrame:
+    """Pearson chi-square per test (Yates-corrected when dof = 1), with Cramer's V.
+
+    The contingency table is never materialised as a full grid: with expected
+    counts e = r_i c_j / n, the sum over all cells of (o - e)^2 / e equals the sum
+    over observed cells plus (n - sum of observed e), because an empty cell
+    contributes exactly its e. For the 2x2 Yates case the four expected counts
+    follow from the two row and two column totals.
     """
-    test = "Chi-square"
-    if _missing(df, [category, outcome]):
-        return skipped(df.sparkSession, test, hypothesis, f"Missing required columns: {category}, {outcome}.")
-    sub = df.select(F.col(category).alias("_cat"), F.col(outcome).alias("_out")).dropna()
-    cells = sub.groupBy("_cat", "_out").agg(F.count(F.lit(1)).alias("_o"))
-    rows = cells.groupBy("_cat").agg(F.sum("_o").alias("_r"))
-    cols = cells.groupBy("_out").agg(F.sum("_o").alias("_c"))
-    n_all = cells.agg(F.sum("_o")).scalar()
-    j = cells.join(rows, "_cat").join(cols, "_out")
-    e = F.col("_r") * F.col("_c") / n_all
+    sub = _melt(df, specs, "string", "string")
+    cells = sub.groupBy("_t", "_a", "_b").agg(F.count(F.lit(1)).alias("_o"))
+    rows = cells.groupBy("_t", "_a").agg(F.sum("_o").alias("_r"))
+    cols = cells.groupBy("_t", "_b").agg(F.sum("_o").alias("_c"))
+    tot = cells.groupBy("_t").agg(F.sum("_o").alias("_n"))
+    j = cells.join(rows, ["_t", "_a"]).join(cols, ["_t", "_b"]).join(tot, "_t")
+    e = F.col("_r") * F.col("_c") / F.col("_n")
     o = F.col("_o").cast("double")
     diff = e - o
     yates_o = o + F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)
-    g_zero = lambda ex: F.pow(F.greatest(ex - 0.5, F.lit(0.0)), 2) / ex  # noqa: E731  Yates term of an empty cell
-    agg = j.agg(
+
+    def g_zero(ex):  # Yates term of an empty cell
+        return F.pow(F.greatest(ex - 0.5, F.lit(0.0)), 2) / ex
+
+    agg = j.groupBy("_t").agg(
         F.sum("_o").alias("n"),
-        F.count_distinct("_cat").alias("r"),
-        F.count_distinct("_out").alias("k"),
+        F.count_distinct("_a").alias("r"),
+        F.count_distinct("_b").alias("k"),
         F.sum(F.pow(o - e, 2) / e).alias("s_plain"),
         F.sum(e).alias("s_e"),
         F.sum(F.pow(yates_o - e, 2) / e).alias("s_yates"),
         F.sum(g_zero(e)).alias("s_gobs"),
         F.min("_r").alias("r1"), F.max("_r").alias("r2"), F.min("_c").alias("c1"), F.max("_c").alias("c2"),
     )
+    agg = _complete(df, agg, len(specs))
     n = F.col("n").cast("double")
     dof = (F.col("r") - 1) * (F.col("k") - 1)
     grid = [(a, b) for a in ("r1", "r2") for b in ("c1", "c2")]
     g_all = sum(g_zero(F.col(a) * F.col(b) / n) for a, b in grid)
     stat = F.when(dof == 1, F.col("s_yates") + (g_all - F.col("s_gobs"))).otherwise(F.col("s_plain") + (n - F.col("s_e")))
-    ok = (F.col("r") >= 2) & (F.col("k") >= 2)
+    ok = F.coalesce((F.col("r") >= 2) & (F.col("k") >= 2), F.lit(False))
     v = F.sqrt(stat / n / F.greatest(F.least(F.col("r") - 1, F.col("k") - 1), F.lit(1)))
     return _finish(agg, {
-        "test": F.lit(test), "hypothesis": F.lit(hypothesis),
+        **_labels(specs, "Chi-square"), "_t": F.col("_t"),
         "status": F.when(ok, "completed").otherwise("skipped"),
         "reason": F.when(ok, None).otherwise(F.lit("Not enough category/outcome variation.")),
         "statistic": F.when(ok, stat), "p_value": F.when(ok, chi2_sf_udf(stat, dof.cast("double"))),
@@ -108,9 +149,12 @@ def chi_square(df: DataFrame, category: str, outcome: str, hypothesis: str) -> D
     })
 
 
-# ---------------------------------------------------------------------------
-# Mann-Whitney U (two-sided), rank-biserial correlation, group medians
-# ---------------------------------------------------------------------------
+def _complete(df: DataFrame, agg: DataFrame, count: int) -> DataFrame:
+    """One row per test id even when a test kept no rows (an empty test is skipped)."""
+    ids = df.sparkSession.range(count).select(F.col("id").cast("int").alias("_t"))
+    return ids.join(agg, "_t", "left")
+
+
 def _median_pick(count: str, value: str) -> tuple[F.Column, F.Column, F.Column]:
     total = F.col(f"total_{count}").cast("double")
     before, n = F.col(f"before_{count}"), F.col(count)
@@ -127,28 +171,27 @@ def _interp(lo: str, hi: str, pos: str) -> F.Column:
         (F.ceil(p) - p) * F.col(lo) + (p - F.floor(p)) * F.col(hi))
 
 
-def mann_whitney(df: DataFrame, metric: str, outcome: str, hypothesis: str) -> DataFrame:
-    test = "Mann-Whitney U"
-    if _missing(df, [metric, outcome]):
-        return skipped(df.sparkSession, test, hypothesis, f"Missing required columns: {metric}, {outcome}.")
-    sub = df.select(F.col(metric).cast("double").alias("_v"), F.col(outcome).alias("_g")).dropna()
-    sub = sub.where(F.col("_g").isin(0, 1))
-    ranked = rank_histogram(sub, "_v", counts={
-        "cnt": F.count(F.lit(1)), "c0": F.count_if(F.col("_g") == 0), "c1": F.count_if(F.col("_g") == 1),
+def _mwu_batch(df: DataFrame, specs: list[tuple]) -> DataFrame:
+    """Mann-Whitney U of group 0 (two-sided p), rank-biserial correlation and
+    both group medians, all from one rank histogram per test."""
+    sub = _melt(df, specs, "double", "double").where(F.col("_b").isin(0, 1))
+    ranked = rank_histogram(sub, "_a", by=["_t"], bounds_by="_t", counts={
+        "cnt": F.count(F.lit(1)), "c0": F.count_if(F.col("_b") == 0), "c1": F.count_if(F.col("_b") == 1),
     })
-    lo0, hi0, pos0 = _median_pick("c0", "_v")
-    lo1, hi1, pos1 = _median_pick("c1", "_v")
-    agg = ranked.agg(
-        F.coalesce(F.max("total_c0"), F.lit(0)).alias("n0"), F.coalesce(F.max("total_c1"), F.lit(0)).alias("n1"),
+    lo0, hi0, pos0 = _median_pick("c0", "_a")
+    lo1, hi1, pos1 = _median_pick("c1", "_a")
+    agg = ranked.groupBy("_t").agg(
+        F.max("total_c0").alias("n0"), F.max("total_c1").alias("n1"),
         F.sum(F.col("c0") * average_rank("cnt")).alias("r0"),
-        F.coalesce(F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")), F.lit(0.0)).alias("tie"),
+        F.sum(F.pow(F.col("cnt").cast("double"), 3) - F.col("cnt")).alias("tie"),
         lo0.alias("lo0"), hi0.alias("hi0"), pos0.alias("pos0"), lo1.alias("lo1"), hi1.alias("hi1"), pos1.alias("pos1"),
     )
+    agg = _complete(df, agg, len(specs)).fillna(0, subset=["n0", "n1"]).fillna(0.0, subset=["tie"])
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     u0 = F.col("r0") - n0 * (n0 + 1) / 2
     ok = (F.col("n0") >= 5) & (F.col("n1") >= 5)
     return _finish(agg, {
-        "test": F.lit(test), "hypothesis": F.lit(hypothesis),
+        **_labels(specs, "Mann-Whitney U"), "_t": F.col("_t"),
         "status": F.when(ok, "completed").otherwise("skipped"),
         "reason": F.when(ok, None).otherwise(F.lit("Not enough observations in both groups.")),
         "statistic": F.when(ok, u0), "p_value": F.when(ok, mwu_p_udf(u0, n0, n1, F.col("tie"))),
@@ -160,36 +203,34 @@ def mann_whitney(df: DataFrame, metric: str, outcome: str, hypothesis: str) -> D
     })
 
 
-# ---------------------------------------------------------------------------
-# T4: Kruskal-Wallis H with epsilon squared
-# ---------------------------------------------------------------------------
-def kruskal(df: DataFrame, category: str, metric: str, hypothesis: str, min_group: int = 5) -> DataFrame:
-    test = "Kruskal-Wallis"
-    if _missing(df, [category, metric]):
-        return skipped(df.sparkSession, test, hypothesis, f"Missing required columns: {category}, {metric}.")
-    sub = df.select(F.col(category).alias("_cat"), F.col(metric).cast("double").alias("_v")).dropna()
-    sizes = sub.groupBy("_cat").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_group)
-    kept = sub.join(sizes.select("_cat"), "_cat", "left_semi")
-    ranked = rank_histogram(kept, "_v").select("_v", average_rank("cnt").alias("_rank"), F.col("cnt").alias("_t"))
-    per_value_cat = kept.groupBy("_v", "_cat").agg(F.count(F.lit(1)).alias("_c"))
+def _kw_batch(df: DataFrame, specs: list[tuple], min_group: int = 5) -> DataFrame:
+    """Kruskal-Wallis H (tie-corrected) over groups with at least ``min_group`` rows."""
+    sub = _melt(df, specs, "string", "double")
+    sizes = sub.groupBy("_t", "_a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_group)
+    kept = sub.join(sizes.select("_t", "_a"), ["_t", "_a"], "left_semi")
+    ranked = rank_histogram(kept, "_b", by=["_t"], bounds_by="_t").select(
+        "_t", "_b", average_rank("cnt").alias("_rank"), F.col("cnt").alias("_tv"))
+    cells = kept.groupBy("_t", "_b", "_a").agg(F.count(F.lit(1)).alias("_c"))
+    tv = F.col("_tv").cast("double")
     # tie term sum_v (t^3 - t) spread over the (value, group) cells: c * (t^2 - 1)
-    t = F.col("_t").cast("double")
-    rsum = per_value_cat.join(ranked, "_v").groupBy("_cat").agg(
+    rsum = cells.join(ranked, ["_t", "_b"]).groupBy("_t", "_a").agg(
         F.sum(F.col("_c") * F.col("_rank")).alias("_R"), F.sum("_c").alias("_nc"),
-        F.sum(F.col("_c") * (t * t - 1)).alias("_tie"))
-    agg = rsum.agg(F.sum(F.col("_R") * F.col("_R") / F.col("_nc")).alias("s"), F.sum("_nc").alias("n"),
-                   F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_tie"), F.lit(0.0)).alias("tie"))
+        F.sum(F.col("_c") * (tv * tv - 1)).alias("_tie"))
+    agg = rsum.groupBy("_t").agg(F.sum(F.col("_R") * F.col("_R") / F.col("_nc")).alias("s"),
+                                  F.sum("_nc").alias("n"), F.count(F.lit(1)).alias("k"),
+                                  F.sum("_tie").alias("tie"))
+    agg = _complete(df, agg, len(specs)).fillna(0, subset=["k"]).fillna(0.0, subset=["tie"])
     n = F.col("n").cast("double")
     k = F.col("k").cast("double")
-    h_raw = 12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
-    corr = F.lit(1.0) - F.col("tie") / (n * n * n - n)
-    h = h_raw / corr
+    corr = F.lit(1.0) - F.try_divide(F.col("tie"), n * n * n - n)
+    # UDF arguments are evaluated for every row, so no division may fail here
+    h = F.try_divide(F.try_divide(F.lit(12.0), n * (n + 1)) * F.col("s") - 3 * (n + 1), corr)
     enough = F.col("k") >= 2
-    ok = enough & (corr > 0)
+    ok = enough & F.coalesce(corr > 0, F.lit(False))
     reason = F.when(~enough, F.lit("Not enough groups with sufficient observations.")).when(
         ~ok, F.lit("All numbers are identical."))
     return _finish(agg, {
-        "test": F.lit(test), "hypothesis": F.lit(hypothesis),
+        **_labels(specs, "Kruskal-Wallis"), "_t": F.col("_t"),
         "status": F.when(ok, "completed").otherwise("skipped"), "reason": F.when(ok, None).otherwise(reason),
         "statistic": F.when(ok, h), "p_value": F.when(ok, chi2_sf_udf(h, k - 1)),
         "degrees_of_freedom": F.when(ok, k - 1),
@@ -199,25 +240,21 @@ def kruskal(df: DataFrame, category: str, metric: str, hypothesis: str, min_grou
     })
 
 
-# ---------------------------------------------------------------------------
-# T5: Spearman rank correlation
-# ---------------------------------------------------------------------------
-def spearman(df: DataFrame, x: str, y: str, hypothesis: str, min_rows: int = 10) -> DataFrame:
+def _spearman_batch(df: DataFrame, specs: list[tuple], min_rows: int = 10) -> DataFrame:
     """Pearson correlation of mid-ranks, from a joint (x, y) histogram and the
     two marginal rank histograms; sums are centred on the known mean rank."""
-    test = "Spearman correlation"
-    if _missing(df, [x, y]):
-        return skipped(df.sparkSession, test, hypothesis, f"Missing required columns: {x}, {y}.")
-    sub = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
-    joint = sub.groupBy("_x", "_y").agg(F.count(F.lit(1)).alias("_w"))
-    rx = rank_histogram(joint, "_x", counts={"cnt": F.sum("_w")}).select(
-        "_x", average_rank("cnt").alias("_rx"), F.col("total_cnt").alias("_n"))
-    ry = rank_histogram(joint, "_y", counts={"cnt": F.sum("_w")}).select("_y", average_rank("cnt").alias("_ry"))
-    j = joint.join(rx, "_x").join(ry, "_y")
+    sub = _melt(df, specs, "double", "double")
+    joint = sub.groupBy("_t", "_a", "_b").agg(F.count(F.lit(1)).alias("_w"))
+    rx = rank_histogram(joint, "_a", by=["_t"], bounds_by="_t", counts={"cnt": F.sum("_w")}).select(
+        "_t", "_a", average_rank("cnt").alias("_rx"), F.col("total_cnt").alias("_n"))
+    ry = rank_histogram(joint, "_b", by=["_t"], bounds_by="_t", counts={"cnt": F.sum("_w")}).select(
+        "_t", "_b", average_rank("cnt").alias("_ry"))
+    j = joint.join(rx, ["_t", "_a"]).join(ry, ["_t", "_b"])
     mean_rank = (F.col("_n").cast("double") + 1) / 2
     dx, dy, w = F.col("_rx") - mean_rank, F.col("_ry") - mean_rank, F.col("_w").cast("double")
-    agg = j.agg(F.coalesce(F.sum("_w"), F.lit(0)).alias("n"), F.sum(w * dx * dy).alias("sxy"),
-                F.sum(w * dx * dx).alias("sxx"), F.sum(w * dy * dy).alias("syy"))
+    agg = j.groupBy("_t").agg(F.sum("_w").alias("n"), F.sum(w * dx * dy).alias("sxy"),
+                              F.sum(w * dx * dx).alias("sxx"), F.sum(w * dy * dy).alias("syy"))
+    agg = _complete(df, agg, len(specs)).fillna(0, subset=["n"])
     rho = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
     rho = F.when(rho > 1.0, 1.0).when(rho < -1.0, -1.0).otherwise(rho)
     n = F.col("n").cast("double")
@@ -225,7 +262,7 @@ def spearman(df: DataFrame, x: str, y: str, hypothesis: str, min_rows: int = 10)
     t = F.when(F.abs(rho) >= 1.0, F.signum(rho) * float("inf")).otherwise(rho * F.sqrt(dof / ((1 - rho) * (1 + rho))))
     ok = F.col("n") >= min_rows
     return _finish(agg, {
-        "test": F.lit(test), "hypothesis": F.lit(hypothesis),
+        **_labels(specs, "Spearman correlation"), "_t": F.col("_t"),
         "status": F.when(ok, "completed").otherwise("skipped"),
         "reason": F.when(ok, None).otherwise(F.lit("Not enough observations.")),
         "statistic": F.when(ok, rho), "p_value": F.when(ok, t_two_sided_udf(t, dof)),
@@ -234,6 +271,44 @@ def spearman(df: DataFrame, x: str, y: str, hypothesis: str, min_rows: int = 10)
     })
 
 
+_FAMILIES = {
+    "chi2": ("Chi-square", _chi2_batch),
+    "mwu": ("Mann-Whitney U", _mwu_batch),
+    "kw": ("Kruskal-Wallis", _kw_batch),
+    "spearman": ("Spearman correlation", _spearman_batch),
+}
+
+
+def run_family(df: DataFrame, kind: str, specs: list[tuple]) -> DataFrame:
+    """Result rows (with test id ``_t`` = position in ``specs``) for one test family."""
+    test, runner = _FAMILIES[kind]
+    return _run_family(df, specs, test, runner)
+
+
+def _single(df: DataFrame, kind: str, a: str, b: str, hypothesis: str) -> DataFrame:
+    return run_family(df, kind, [(a, b, None, hypothesis)]).drop("_t")
+
+
+def chi_square(df: DataFrame, category: str, outcome: str, hypothesis: str) -> DataFrame:
+    """Chi-square independence test with Cramer's V (one result row)."""
+    return _single(df, "chi2", category, outcome, hypothesis)
+
+
+def mann_whitney(df: DataFrame, metric: str, outcome: str, hypothesis: str) -> DataFrame:
+    """Two-sided Mann-Whitney U of group 0 vs group 1 of ``outcome``."""
+    return _single(df, "mwu", metric, outcome, hypothesis)
+
+
+def kruskal(df: DataFrame, category: str, metric: str, hypothesis: str) -> DataFrame:
+    """T4: Kruskal-Wallis H with epsilon squared."""
+    return _single(df, "kw", category, metric, hypothesis)
+
+
+def spearman(df: DataFrame, x: str, y: str, hypothesis: str) -> DataFrame:
+    """T5: Spearman rank correlation with a t-distribution p-value."""
+    return _single(df, "spearman", x, y, hypothesis)
+
+
 # ---------------------------------------------------------------------------
 # The fixed 16-test suite
 # ---------------------------------------------------------------------------
@@ -267,18 +342,21 @@ SUITE = [
      "Unique product breadth is associated with deeper journey progression."),
 ]
 
-_RUNNERS = {"chi2": chi_square, "mwu": mann_whitney, "kw": kruskal, "spearman": spearman}
-
 
 def run_test(sessions: DataFrame, index: int) -> DataFrame:
+    """One test of the suite (one result row)."""
     kind, a, b, where, text = SUITE[index]
-    df = sessions.where(F.col(where) == 1) if where else sessions
-    return _RUNNERS[kind](df, a, b, text)
+    return run_family(sessions, kind, [(a, b, where, text)]).drop("_t")
 
 
 def hypothesis_suite(sessions: DataFrame) -> DataFrame:
-    """All 16 tests as one table, in suite order (``test_order`` column)."""
-    parts = [run_test(sessions, i).withColumn("test_order", F.lit(i)) for i in range(len(SUITE))]
+    """All 16 tests as one table in suite order (``test_order``): one batched job per family."""
+    parts = []
+    for kind in _FAMILIES:
+        members = [(i, sp) for i, sp in enumerate(SUITE) if sp[0] == kind]
+        res = run_family(sessions, kind, [sp[1:] for _, sp in members])
+        order = F.create_map(*[x for j, (i, _) in enumerate(members) for x in (F.lit(j), F.lit(i))])
+        parts.append(res.withColumn("test_order", order[F.col("_t")]).drop("_t"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,19 +1,21 @@
 """The analysis pipeline over one data directory, built once per Spark application.
 
-Cleaned events and the session table feed almost every query, so they are
-persisted (memory, spilling to disk) and shared; everything downstream is a
-lazy DataFrame over them. A lost executor only costs recomputing its cached
-blocks from lineage.
+The sessionized event log, the session table and the engineered session table
+feed almost every query, so each is written once as parquet into the shared
+checkpoint folder (``spark.checkpoint.dir``) and read back. That cuts the
+lineage: downstream jobs scan a materialised table (column pruning, filter
+pushdown), a lost executor never replays the sessionization shuffles, and
+building further DataFrames does not re-analyse a deep plan.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from clickpath.context import configure
+from clickpath.context import checkpoint_dir, configure
 from clickpath.operators import scorecards as sc
 from clickpath.operators.sessionize import sessionize
 from clickpath.operators.sessions import clean_sessions, engineer_features, session_features
@@ -35,8 +37,13 @@ class Pipeline:
         self.with_device = with_device
         self.persist = persist
 
-    def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` to the shared checkpoint folder and read it back."""
+        if not self.persist:
+            return df
+        path = f"{checkpoint_dir(self.spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
 
     # -- events ------------------------------------------------------------
     @cached_property
@@ -44,7 +51,7 @@ class Pipeline:
         """S1 + P1-P8 + X1: typed, filtered, sessionized event log."""
         raw = fixture_events(self.spark, self.sf_dir, self.taxonomy)
         clean = clean_events(raw, self.taxonomy, required=["event_time", "event_type", "user_id", "product_id"])
-        return self._keep(sessionize(clean, gap_seconds=SESSION_GAP_SECONDS))
+        return self._keep(sessionize(clean, gap_seconds=SESSION_GAP_SECONDS), "events")
 
     @cached_property
     def user_attributes(self) -> DataFrame:
@@ -53,7 +60,7 @@ class Pipeline:
     # -- sessions ----------------------------------------------------------
     @cached_property
     def session_features(self) -> DataFrame:
-        return self._keep(session_features(self.events, self.taxonomy, self.user_attributes))
+        return self._keep(session_features(self.events, self.taxonomy, self.user_attributes), "session_features")
 
     @cached_property
     def sessions_clean(self) -> DataFrame:
@@ -62,7 +69,7 @@ class Pipeline:
     @cached_property
     def sessions(self) -> DataFrame:
         """The engineered session table every analysis reads."""
-        return self._keep(engineer_features(self.sessions_clean))
+        return self._keep(engineer_features(self.sessions_clean), "sessions")
 
     # -- scorecards --------------------------------------------------------
     @cached_property
