@@ -32,7 +32,10 @@ def sessionize(
     gap_seconds: int = 8 * 3600,
     bucket_seconds: int = 3600,
     out_col: str = "user_session",
+    start_col: str = "session_start",
 ) -> DataFrame:
+    """Adds ``out_col`` (session key) and ``start_col`` (1 on the first event of
+    each session, else 0)."""
     gap = gap_seconds * _US
     width = bucket_seconds * _US
     ev = df.withColumns({"_us": epoch_micros(F.col(time_col))}).withColumn("_b", F.floor(F.col("_us") / width))
@@ -40,6 +43,7 @@ def sessionize(
     in_bucket = Window.partitionBy(user_col, "_b").orderBy("_us", order_col)
     prev = F.lag("_us").over(in_bucket)
     ev = ev.withColumn("_brk", F.when(prev.isNotNull() & ((F.col("_us") - prev) > gap), 1).otherwise(0))
+    ev = ev.withColumn("_head", prev.isNull())
     ev = ev.withColumn("_run", F.sum("_brk").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
 
     buckets = ev.groupBy(user_col, "_b").agg(
@@ -56,10 +60,14 @@ def sessionize(
             F.sum(F.col("_inner") + F.col("_edge")).over(across.rowsBetween(Window.unboundedPreceding, -1)),
             F.lit(0),
         ),
-    ).select(user_col, "_b", (F.col("_before") + F.col("_edge")).alias("_start"))
+    ).select(user_col, "_b", (F.col("_before") + F.col("_edge")).alias("_start"),
+             # the bucket's first event opens a session after a gap or when it is the user's first event
+             ((F.col("_edge") == 1) | prev_last.isNull()).alias("_opens"))
 
     out = ev.join(buckets, [user_col, "_b"], "inner")
     n = (F.col("_start") + F.col("_run")).cast("bigint")
-    return out.withColumn(out_col, F.concat(F.col(user_col).cast("string"), F.lit("-"), n.cast("string"))).drop(
-        "_us", "_b", "_brk", "_run", "_start"
-    )
+    starts = (F.col("_brk") == 1) | (F.col("_head") & F.col("_opens"))
+    return out.withColumns({
+        out_col: F.concat(F.col(user_col).cast("string"), F.lit("-"), n.cast("string")),
+        start_col: starts.cast("int"),
+    }).drop("_us", "_b", "_brk", "_run", "_start", "_head", "_opens")

@@ -56,17 +56,14 @@ def session_features(
     distinct count (products) adds one exchange keyed by (session, product).
     """
     t = taxonomy
-    order = F.struct("event_time", "event_id") if "event_id" in events.columns else F.struct("event_time")
     etype = F.col("event_type")
     aggs = [
-        _first("user_id", order).alias("user_pseudo_id"),
         F.min("event_time").alias("session_start_ts"),
         F.max("event_time").alias("session_end_ts"),
         F.count("event_type").alias("event_count"),
         F.count_distinct("product_id").alias("unique_products"),
         F.count("product_id").alias("item_touch_count"),
         exact_avg("price").alias("avg_item_price_usd"),
-        _first("category_code", order).alias("landing_page_title"),
         F.count_if(etype == t.view).alias("view_item_count"),
         F.count_if(etype == t.cart).alias("add_to_cart_count"),
         F.count_if(etype == t.purchase).alias("purchase_count"),
@@ -75,7 +72,20 @@ def session_features(
     ]
     if t.checkout is not None:
         aggs.append(F.count_if(etype == t.checkout).alias("_checkout_count"))
-    s = events.groupBy(F.col(session_col).alias("session_key")).agg(*aggs)
+    if "session_start" in events.columns:
+        # Sessions derived by ``sessionize`` are per user, so the user is part of
+        # the key, and the first event is flagged: every aggregate buffer is
+        # fixed-width (a hash aggregate, no sort of the event log), and the
+        # landing title arrives through a one-row-per-session join.
+        s = events.groupBy(F.col(session_col).alias("session_key"), F.col("user_id").alias("user_pseudo_id")).agg(*aggs)
+        first = events.where(F.col("session_start") == 1).select(
+            F.col(session_col).alias("session_key"), F.col("category_code").alias("landing_page_title"))
+        s = s.join(first, "session_key", "left")
+    else:
+        order = F.struct("event_time", "event_id") if "event_id" in events.columns else F.struct("event_time")
+        s = events.groupBy(F.col(session_col).alias("session_key")).agg(
+            _first("user_id", order).alias("user_pseudo_id"), _first("category_code", order).alias("landing_page_title"),
+            *aggs)
 
     kinds = ["view_item_count", "add_to_cart_count", "purchase_count"] + (
         ["_checkout_count"] if t.checkout is not None else []

@@ -44,3 +44,14 @@ def test_fixture_events(spark):
     pdf = ev.select("event_id", "event_time", "user_id").toPandas()
     assert got == brute(pdf, 8 * 3600)
     assert len(set(got.values())) == 397  # FIXTURES.md: sessions at 8 h, sf0.001
+
+
+def test_session_start_marks_first_event(spark):
+    from clickpath.sources.events import clean_events
+    from clickpath.sources.fixture import fixture_events
+
+    ev = clean_events(fixture_events(spark, "/root/testdata/sf0.001"), required=["event_time", "event_type", "user_id", "product_id"])
+    pdf = sessionize(ev, gap_seconds=8 * 3600, bucket_seconds=1800).select(
+        "event_id", "event_time", "user_session", "session_start").toPandas()
+    first = pdf.sort_values(["event_time", "event_id"]).groupby("user_session").event_id.first()
+    assert set(pdf.loc[pdf.session_start == 1, "event_id"]) == set(first)
