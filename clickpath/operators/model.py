@@ -139,9 +139,31 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     frame = model_frame(sessions).withColumns({
         "label": F.col(TARGET).cast("double"), "_test": split_flag(seed=seed),
     })
+    # the review-queue roll-up reads these; a table without them still trains
+    absent = {c: F.lit("unknown") for c in SEGMENT_KEYS + ["ux_intent_segment"] if c not in frame.columns}
+    absent.update({c: F.lit(None).cast("double") for c in
+                   ["reached_cart", "reached_checkout", "engagement_seconds_winsorized", "journey_depth_pre_purchase"]
+                   if c not in frame.columns})
+    frame = frame.withColumns(absent) if absent else frame
     train = frame.where(F.col("_test") == 0)
 
     # training statistics: one aggregate row + bounded level lists
+    # M4 imputation: training median (numeric) / most frequent level (categorical),
+    # computed only for columns that actually hold missing values
+    nulls = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric + categorical]).first().asDict()
+    fill_num = [c for c in numeric if nulls[c] > 0]
+    fill_cat = [c for c in categorical if nulls[c] > 0]
+    if fill_num or fill_cat:
+        medians = quantiles(train, fill_num, [0.5])
+        modes = {}
+        for c in fill_cat:
+            top = train.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), F.asc(c)).first()
+            modes[c] = top[c] if top else "missing"
+        fills = {c: F.coalesce(F.col(c).cast("double"), F.lit((medians[c] or [0.0])[0])) for c in fill_num}
+        fills.update({c: F.coalesce(F.col(c), F.lit(modes[c])) for c in fill_cat})
+        frame = frame.withColumns(fills)
+        train = frame.where(F.col("_test") == 0)
+
     stats = train.agg(
         F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_pos"),
         *[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(numeric)],
