@@ -163,6 +163,7 @@ def product_discovery(events: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY)
         F.count_if(etype == t.view).alias("product_views"),
         F.count_if(etype == t.cart).alias("add_to_cart_events"),
         F.count_if(etype == t.purchase).alias("purchase_events"),
+        F.count_if(etype == (t.checkout or t.cart)).alias("_checkout_events"),
         exact_avg("price").alias("avg_item_price_usd"),
         F.coalesce(exact_sum(F.when(etype == t.purchase, F.col("price"))), F.lit(0.0)).alias("revenue_usd"),
     )
@@ -176,7 +177,8 @@ def product_discovery(events: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY)
     keys_eq = [base[k].eqNullSafe(sess[k]) for k in PRODUCT_KEYS]
     p = base.join(sess, keys_eq, "left").select(
         *[base[k] for k in PRODUCT_KEYS],
-        *[base[c] for c in ["product_views", "add_to_cart_events", "purchase_events", "avg_item_price_usd", "revenue_usd"]],
+        *[base[c] for c in ["product_views", "add_to_cart_events", "purchase_events", "_checkout_events",
+                            "avg_item_price_usd", "revenue_usd"]],
         *[F.coalesce(sess[c], F.lit(0)).alias(c) for c in ["viewing_sessions", "cart_sessions", "purchase_sessions"]],
     )
     parts = F.split(F.col("category_code"), "[.]")
@@ -190,7 +192,8 @@ def product_discovery(events: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY)
         F.lit(0).cast("bigint").alias("list_impressions"),
         "product_views",
         "add_to_cart_events",
-        F.col("add_to_cart_events").alias("begin_checkout_events"),
+        # without a checkout event type, checkout stands in for cart
+        F.col("_checkout_events").alias("begin_checkout_events"),
         "purchase_events",
         "viewing_sessions",
         "cart_sessions",
@@ -228,9 +231,10 @@ def daily_overview(events: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY) ->
         F.count_if(etype == t.view).alias("page_views"),
         F.count_if(etype == t.cart).alias("add_to_cart_events"),
         F.count_if(etype == t.purchase).alias("purchase_events"),
+        F.count_if(etype == (t.checkout or t.cart)).alias("begin_checkout_events"),
         F.coalesce(exact_sum(F.when(etype == t.purchase, F.col("price"))), F.lit(0.0)).alias("purchase_revenue_usd"),
     )
-    d = d.withColumns({"product_views": F.col("page_views"), "begin_checkout_events": F.col("add_to_cart_events")})
+    d = d.withColumns({"product_views": F.col("page_views")})
     return d.select(*DAILY_COLUMNS).orderBy("event_dt")
 
 
