@@ -592,3 +592,35 @@ def q_streaming_sessions(spark, sf):
 def q_streaming_daily(spark, sf):
     events = SJ.stream_events(spark, f"{sf.rstrip('/')}/events.parquet")
     return spark.read.parquet(SJ.run_to_table(SJ.daily_counts(events), "daily"))
+
+
+# ---------------------------------------------------------------------------
+# checkout taxonomy (signup events become checkout): product and daily tables
+# ---------------------------------------------------------------------------
+_E_CHECKOUT = O.events_ctes(checkout=True)
+
+
+def _checkout_sql(sql: str) -> str:
+    """The default-taxonomy twin with checkout events counted as checkout."""
+    out = sql.replace(E.strip(), _E_CHECKOUT.strip())
+    out = out.replace("add_to_cart_events AS begin_checkout_events",
+                      "checkout_events AS begin_checkout_events")
+    return out.replace("count(*) FILTER (WHERE event_type = 'cart') AS begin_checkout_events",
+                       "count(*) FILTER (WHERE event_type = 'checkout') AS begin_checkout_events")
+
+
+_PRODUCT_CHECKOUT_SQL = _checkout_sql(PRODUCT_SQL).replace(
+    "    count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,\n",
+    "    count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,\n"
+    "    count(*) FILTER (WHERE event_type = 'checkout') AS checkout_events,\n", 1)
+
+
+@register("product_discovery_checkout", _PRODUCT_CHECKOUT_SQL, PRODUCT_DOUBLES)
+def q_product_discovery_checkout(spark, sf):
+    return pipeline(spark, sf, "checkout").product
+
+
+@register("daily_overview_checkout", _checkout_sql(REGISTRY["daily_overview"].sql), ["purchase_revenue_usd"])
+def q_daily_overview_checkout(spark, sf):
+    p = pipeline(spark, sf, "checkout")
+    return sc.daily_overview(p.events, p.taxonomy)
