@@ -154,3 +154,10 @@ def test_shapiro_published_example():
     w, p = shapiro([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
     assert w == pytest.approx(0.78881, abs=5e-5)
     assert p == pytest.approx(0.006704, abs=5e-6)
+
+
+def test_mwu_normal_tail_golden():
+    # FIXTURES.md section 4: tie-free normal p of the published U with the first group pair
+    p, method = tails.mwu_p(5301748831.5, 466054, 24344, 0.0)
+    assert method == "asymptotic"
+    assert p == pytest.approx(1.51655e-66, rel=1e-5)
