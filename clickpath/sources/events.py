@@ -63,3 +63,18 @@ def clean_events(
     ids = {c: F.col(c).cast("string") for c in ("product_id", "user_id", "user_session") if c in out.columns}
     out = out.withColumns({**cats, **ids})
     return out.withColumn("event_date", F.to_date("event_time"))
+
+
+def read_event_log(spark, path: str, fmt: str = "csv") -> DataFrame:
+    """A raw event log (CSV or parquet) read as text with a fixed schema and
+    normalised headers; ``clean_events`` does the typed coercion. A missing path
+    raises Spark's own PATH_NOT_FOUND error."""
+    from clickpath.schema import EVENT_SCHEMA
+    from clickpath.sources.tables import null_tokens_to_null
+
+    if fmt == "csv":
+        df = spark.read.option("header", True).schema(EVENT_SCHEMA).option("mode", "PERMISSIVE").csv(path)
+    else:
+        df = spark.read.parquet(path)
+    df = df.toDF(*[c.strip().lower() for c in df.columns])
+    return null_tokens_to_null(df)
