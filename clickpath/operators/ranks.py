@@ -165,7 +165,12 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
         row = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"p_{i}") for i, c in enumerate(small)]).first()
         for i, c in enumerate(small):
             result[c] = [float(x) for x in row[f"p_{i}"]]
-    for c in large:
-        row = quantile_columns(rank_histogram(df, c), c, probs).first()
-        result[c] = [float(row[f"q{i}"]) for i in range(len(probs))]
+    if large:
+        # all large columns in one pass: melt to (column id, value), rank per column id
+        melted = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(large)
+        ])).alias("_m")).select("_m._c", "_m._v")
+        ranked = rank_histogram(melted, "_v", by=["_c"], bounds_by="_c")
+        for row in quantile_columns(ranked, "_v", probs, by=["_c"]).collect():
+            result[large[row["_c"]]] = [float(row[f"q{i}"]) for i in range(len(probs))]
     return result

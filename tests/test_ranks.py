@@ -53,3 +53,14 @@ def test_empty_and_null(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert quantiles(df, ["v"], [0.5]) == {"v": None}
     assert rank_histogram(df, "v").count() == 0
+
+
+def test_quantiles_many_large_columns(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": np.round(rng.normal(size=2000), 3), "b": rng.integers(0, 50, size=2000).astype(float),
+                        "c": np.where(rng.random(2000) < 0.3, np.nan, rng.random(2000))})
+    df = spark.createDataFrame(pdf).withColumn("c", F.when(F.isnan("c"), None).otherwise(F.col("c")))
+    probs = [0.25, 0.5, 0.75]
+    got = quantiles(df, ["a", "b", "c"], probs, distinct_limit=0)
+    for col in "abc":
+        assert np.allclose(got[col], np.nanquantile(pdf[col].to_numpy(), probs), atol=1e-12)
