@@ -51,3 +51,49 @@ def test_model_on_fixture(spark):
     assert 0.5 < perf.roc_auc <= 1.0
     names = [r.feature for r in res.importance.collect()]
     assert any(n.startswith("num__") for n in names) and any(n.startswith("cat__") for n in names)
+
+
+def newton_logistic(X, y, s, iters=50):
+    """argmin 0.5|w|^2 + sum_i s_i * logloss_i with an unpenalised intercept."""
+    Xb = np.hstack([X, np.ones((len(X), 1))])
+    w = np.zeros(Xb.shape[1])
+    reg = np.eye(Xb.shape[1])
+    reg[-1, -1] = 0.0
+    for _ in range(iters):
+        p = 1 / (1 + np.exp(-Xb @ w))
+        g = reg @ w + Xb.T @ (s * (p - y))
+        H = reg + Xb.T @ (Xb * (s * p * (1 - p))[:, None])
+        w -= np.linalg.solve(H, g)
+    return w
+
+
+def test_coefficients_match_newton_solve(spark):
+    from clickpath.operators.model import split_flag
+
+    rng = np.random.default_rng(11)
+    n = 600
+    x1, x2 = rng.normal(size=n), rng.exponential(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(0.8 * x1 - 0.5 * x2 - 0.7)))).astype(int)
+    pdf = pd.DataFrame({"session_key": [f"k{i}" for i in range(n)], "converted_purchase": y,
+                        "event_count_winsorized": x1, "page_view_count": x2})
+    df = spark.createDataFrame(pdf)
+    res = train_purchase_model(df)
+    coef = {r.feature: r.coefficient for r in res.importance.collect()}
+
+    train = df.withColumn("_t", split_flag()).where("_t = 0").toPandas()
+    X = train[["event_count_winsorized", "page_view_count"]].to_numpy()
+    X = (X - X.mean(0)) / X.std(0)  # population sd, as the model scales
+    yt = train.converted_purchase.to_numpy()
+    s = np.where(yt == 1, len(yt) / (2 * yt.sum()), len(yt) / (2 * (len(yt) - yt.sum())))
+    w = newton_logistic(X, yt, s)
+    assert coef["num__event_count_winsorized"] == pytest.approx(w[0], rel=1e-3)
+    assert coef["num__page_view_count"] == pytest.approx(w[1], rel=1e-3)
+
+
+def test_split_is_about_a_quarter_per_class(spark):
+    from clickpath.operators.model import split_flag
+    from clickpath.plans.pipeline import pipeline
+
+    s = pipeline(spark, "/root/testdata/sf0.01").sessions.withColumn("_t", split_flag())
+    for r in s.groupBy("converted_purchase").agg(F.avg("_t").alias("share")).collect():
+        assert 0.2 < r.share < 0.3
