@@ -79,8 +79,10 @@ def session_features(
         # landing title arrives through a one-row-per-session join.
         s = events.groupBy(F.col(session_col).alias("session_key"), F.col("user_id").alias("user_pseudo_id")).agg(*aggs)
         first = events.where(F.col("session_start") == 1).select(
-            F.col(session_col).alias("session_key"), F.col("category_code").alias("landing_page_title"))
-        s = s.join(first, "session_key", "left")
+            F.col(session_col).alias("session_key"), F.col("user_id").alias("user_pseudo_id"),
+            F.col("category_code").alias("landing_page_title"))
+        # joined on the full grouping key, so the aggregate keeps its partitioning (no re-shuffle)
+        s = s.join(first, ["session_key", "user_pseudo_id"], "left")
     else:
         order = F.struct("event_time", "event_id") if "event_id" in events.columns else F.struct("event_time")
         s = events.groupBy(F.col(session_col).alias("session_key")).agg(
