@@ -4,12 +4,21 @@ A new session starts when an event follows the user's previous event by more
 than ``gap_seconds``; the session key is ``<user>-<n>`` where ``n`` counts the
 gaps seen so far in the user's (time, event id) order.
 
-Skew-safe plan: a plain ``Window.partitionBy(user)`` sorts every event of a
-user in one task, so a single hot user (say a third of all rows) would sit in
-one task. Instead events are windowed per (user, time bucket). The only state
-that crosses buckets -- the previous bucket's last timestamp and the number of
-gaps before the bucket -- is carried by a per-(user, bucket) summary whose size
-is bounded by the user's active time span / bucket width, not by its events.
+Skew-safe plan: a plain ``Window.partitionBy(user).orderBy(time)`` sorts every
+event of a user in one task, so a single hot user (say a third of all rows)
+would sit in one task. Instead time is cut into buckets no wider than the gap.
+Two events of one bucket are less than a gap apart, so a session can only
+break *between* buckets, and the session number of an event depends only on
+its bucket:
+
+1. a hash aggregate gives each (user, bucket) its first and last timestamp
+   (map-side partial aggregation, one row per active bucket);
+2. a window over those bucket rows (bounded by the user's active span / bucket
+   width, not by its event count) marks buckets that open a session and
+   numbers them;
+3. one join back on (user, bucket) -- the only shuffle of the event rows --
+   stamps the number on every event; the first event of each opening bucket
+   (earliest time, then smallest event id) is flagged ``session_start``.
 """
 
 from __future__ import annotations
@@ -36,38 +45,24 @@ def sessionize(
 ) -> DataFrame:
     """Adds ``out_col`` (session key) and ``start_col`` (1 on the first event of
     each session, else 0)."""
-    gap = gap_seconds * _US
-    width = bucket_seconds * _US
-    ev = df.withColumns({"_us": epoch_micros(F.col(time_col))}).withColumn("_b", F.floor(F.col("_us") / width))
-
-    in_bucket = Window.partitionBy(user_col, "_b").orderBy("_us", order_col)
-    prev = F.lag("_us").over(in_bucket)
-    ev = ev.withColumn("_brk", F.when(prev.isNotNull() & ((F.col("_us") - prev) > gap), 1).otherwise(0))
-    ev = ev.withColumn("_head", prev.isNull())
-    ev = ev.withColumn("_run", F.sum("_brk").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
+    gap = int(gap_seconds * _US)
+    width = max(1, min(int(bucket_seconds * _US), gap))  # a bucket never spans a gap
+    ev = df.withColumn("_us", epoch_micros(F.col(time_col))).withColumn("_b", F.floor(F.col("_us") / width))
 
-    buckets = ev.groupBy(user_col, "_b").agg(
-        F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.sum("_brk").alias("_inner")
-    )
+    buckets = ev.groupBy(user_col, "_b").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
     across = Window.partitionBy(user_col).orderBy("_b")
     prev_last = F.lag("_last").over(across)
-    buckets = buckets.withColumn(
-        "_edge", F.when(prev_last.isNotNull() & ((F.col("_first") - prev_last) > gap), 1).otherwise(0)
+    buckets = buckets.withColumn("_opens", (prev_last.isNull() | ((F.col("_first") - prev_last) > gap)).cast("int"))
+    buckets = buckets.select(
+        user_col, "_b", "_first", "_opens",
+        (F.sum("_opens").over(across.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("_n"),
     )
-    buckets = buckets.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum(F.col("_inner") + F.col("_edge")).over(across.rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).select(user_col, "_b", (F.col("_before") + F.col("_edge")).alias("_start"),
-             # the bucket's first event opens a session after a gap or when it is the user's first event
-             ((F.col("_edge") == 1) | prev_last.isNull()).alias("_opens"))
 
     out = ev.join(buckets, [user_col, "_b"], "inner")
-    n = (F.col("_start") + F.col("_run")).cast("bigint")
-    starts = (F.col("_brk") == 1) | (F.col("_head") & F.col("_opens"))
+    at_first = F.col("_us") == F.col("_first")
+    first_id = F.min(F.when(at_first, F.col(order_col))).over(Window.partitionBy(user_col, "_b"))
+    starts = (F.col("_opens") == 1) & at_first & (F.col(order_col) == first_id)
     return out.withColumns({
-        out_col: F.concat(F.col(user_col).cast("string"), F.lit("-"), n.cast("string")),
+        out_col: F.concat(F.col(user_col).cast("string"), F.lit("-"), F.col("_n").cast("bigint").cast("string")),
         start_col: starts.cast("int"),
-    }).drop("_us", "_b", "_brk", "_run", "_start", "_head", "_opens")
+    }).drop("_us", "_b", "_first", "_opens", "_n")

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from clickpath.operators.sessionize import sessionize
@@ -20,7 +21,8 @@ def brute(pdf, gap_s):
     return out
 
 
-def test_hot_user_across_buckets(spark):
+@pytest.mark.parametrize("bucket", [600, 3600, 7200, 86400])
+def test_hot_user_across_buckets(spark, bucket):
     base = dt.datetime(2024, 1, 1)
     rows = []
     # one hot user with gaps just below, at and above the gap, crossing many hour buckets
@@ -31,7 +33,7 @@ def test_hot_user_across_buckets(spark):
     rows += [(100 + i, base + dt.timedelta(minutes=37 * i), f"u{i % 3}") for i in range(40)]
     pdf = pd.DataFrame(rows, columns=["event_id", "event_time", "user_id"])
     df = spark.createDataFrame(pdf).withColumn("event_time", F.col("event_time").cast("timestamp_ntz"))
-    got = {r.event_id: r.user_session for r in sessionize(df, gap_seconds=7200, bucket_seconds=3600).collect()}
+    got = {r.event_id: r.user_session for r in sessionize(df, gap_seconds=7200, bucket_seconds=bucket).collect()}
     assert got == brute(pdf, 7200)
 
 
