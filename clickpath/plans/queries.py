@@ -231,9 +231,12 @@ def q_overall_funnel_checkout(spark, sf):
     return pipeline(spark, sf, "checkout").funnel
 
 
+_STEP_ORDER = "CASE step " + " ".join(f"WHEN '{label}' THEN {o}" for o, label, _, _ in _FUNNEL_ROWS) + " END"
+
+
 @register("worst_funnel_step",
-          f"SELECT arg_max(step, step_dropoff_rate) AS step, max(step_dropoff_rate) AS step_dropoff_rate FROM "
-          f"({FUNNEL_SQL}) WHERE step <> 'Sessions' AND step_dropoff_rate IS NOT NULL AND NOT isnan(step_dropoff_rate)",
+          f"SELECT step, step_dropoff_rate FROM ({FUNNEL_SQL}) WHERE step <> 'Sessions' AND step_dropoff_rate IS NOT NULL "
+          f"AND NOT isnan(step_dropoff_rate) ORDER BY step_dropoff_rate DESC, {_STEP_ORDER} ASC LIMIT 1",
           ["step_dropoff_rate"])
 def q_worst_funnel_step(spark, sf):
     return sc.worst_funnel_step(pipeline(spark, sf).funnel)
