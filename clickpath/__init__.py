@@ -13,6 +13,15 @@ Sub-packages
 ``streaming``  Structured Streaming versions of sessionization and daily counts
 """
 
-from clickpath.context import configure, checkpoint_dir  # noqa: F401
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Python functions that run inside tasks (p-value finishers, the Shapiro-Wilk
+# group function) are pickled by value, so executors need no installed copy of
+# this package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
+from clickpath.context import configure, checkpoint_dir  # noqa: E402,F401
 
 __all__ = ["configure", "checkpoint_dir"]
