@@ -242,6 +242,16 @@ def rounded(select_sql: str, doubles: list[str]) -> str:
     return f"SELECT * REPLACE ({repl}) FROM ({select_sql}) AS t"
 
 
+def as_text(select_sql: str, temporal: dict[str, str]) -> str:
+    """Render the named date (``date``) / timestamp (``ts``) output columns as ISO text,
+    in the same formats as the Spark side."""
+    if not temporal:
+        return select_sql
+    fmt = {"date": "%Y-%m-%d", "ts": "%Y-%m-%d %H:%M:%S.%f"}
+    repl = ", ".join(f"strftime({c}, '{fmt[k]}') AS {c}" for c, k in temporal.items())
+    return f"SELECT * REPLACE ({repl}) FROM ({select_sql}) AS t_txt"
+
+
 def with_ctes(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body}"
 

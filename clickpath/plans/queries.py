@@ -22,28 +22,39 @@ from clickpath.schema import LANDING_MEASURES, WINSORIZED
 from clickpath.sources.tables import read_table
 
 
+# temporal output columns are rendered as ISO text on both sides, so the value
+# hash does not depend on how each engine hands dates / timestamps to pandas
+DATE_FMT, TS_FMT = "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss.SSSSSS"
+EVENT_TIMES = {"event_time": "ts", "event_date": "date"}
+SESSION_TIMES = {"session_date": "date", "session_start_ts": "ts", "session_end_ts": "ts"}
+DAY = {"event_dt": "date"}
+
+
 @dataclass
 class Query:
     build: Callable[[SparkSession, str], DataFrame]
     sql: str | None
     doubles: list[str] = field(default_factory=list)
+    temporal: dict = field(default_factory=dict)
 
     def spark_df(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(spark, sf_dir)
-        if not self.doubles:
-            return df
-        return df.withColumns({c: F.round(F.col(c), O.DIGITS) for c in self.doubles})
+        exprs = {c: F.round(F.col(c), O.DIGITS) for c in self.doubles}
+        exprs.update({c: F.date_format(c, DATE_FMT if kind == "date" else TS_FMT) for c, kind in self.temporal.items()})
+        return df.withColumns(exprs) if exprs else df
 
     def oracle(self) -> str | None:
-        return None if self.sql is None else O.rounded(self.sql, self.doubles)
+        if self.sql is None:
+            return None
+        return O.as_text(O.rounded(self.sql, self.doubles), self.temporal)
 
 
 REGISTRY: dict[str, Query] = {}
 
 
-def register(name: str, sql: str | None, doubles: list[str] | None = None):
+def register(name: str, sql: str | None, doubles: list[str] | None = None, temporal: dict | None = None):
     def deco(fn):
-        REGISTRY[name] = Query(fn, sql, list(doubles or []))
+        REGISTRY[name] = Query(fn, sql, list(doubles or []), dict(temporal or {}))
         return fn
     return deco
 
@@ -64,17 +75,18 @@ EVENT_COLS = ["event_id", "event_time", "event_type", "product_id", "category_co
               "user_session", "event_date"]
 
 
-@register("events_clean", O.with_ctes(E, f"SELECT {', '.join(EVENT_COLS)} FROM clean_events"), ["price"])
+@register("events_clean", O.with_ctes(E, f"SELECT {', '.join(EVENT_COLS)} FROM clean_events"), ["price"], EVENT_TIMES)
 def q_events_clean(spark, sf):
     return pipeline(spark, sf).events.select(*EVENT_COLS)
 
 
-@register("session_features", O.with_ctes(S, "SELECT * FROM session_features"), SESSION_DOUBLES)
+@register("session_features", O.with_ctes(S, "SELECT * FROM session_features"), SESSION_DOUBLES, SESSION_TIMES)
 def q_session_features(spark, sf):
     return pipeline(spark, sf).session_features
 
 
-@register("session_features_checkout", O.with_ctes(S_CHECKOUT, "SELECT * FROM session_features"), SESSION_DOUBLES)
+@register("session_features_checkout", O.with_ctes(S_CHECKOUT, "SELECT * FROM session_features"), SESSION_DOUBLES,
+          SESSION_TIMES)
 def q_session_features_checkout(spark, sf):
     return pipeline(spark, sf, "checkout").session_features
 
@@ -82,13 +94,14 @@ def q_session_features_checkout(spark, sf):
 @register("sessions_dedup",
           O.with_ctes(S, "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_pseudo_id "
                          "ORDER BY session_start_ts, session_key) AS rn FROM session_features) WHERE rn = 1"),
-          SESSION_DOUBLES)
+          SESSION_DOUBLES, SESSION_TIMES)
 def q_sessions_dedup(spark, sf):
     """Keep-first per key on a key with real duplicates: each user's first session."""
     return dedup_keep_first(pipeline(spark, sf).session_features, "user_pseudo_id", ["session_start_ts", "session_key"])
 
 
-@register("sessions_clean", O.with_ctes(S, "SELECT * FROM sessions_clean"), SESSION_DOUBLES + WINSOR_DOUBLES)
+@register("sessions_clean", O.with_ctes(S, "SELECT * FROM sessions_clean"), SESSION_DOUBLES + WINSOR_DOUBLES,
+          SESSION_TIMES)
 def q_sessions_clean(spark, sf):
     return pipeline(spark, sf).sessions_clean
 
@@ -124,7 +137,7 @@ def q_sessions_winsorized(spark, sf):
     return pipeline(spark, sf).sessions_clean.select("session_key", *WINSOR_DOUBLES)
 
 
-@register("session_features_engineered", O.with_ctes(S, "SELECT * FROM sessions"), ENGINEERED_DOUBLES)
+@register("session_features_engineered", O.with_ctes(S, "SELECT * FROM sessions"), ENGINEERED_DOUBLES, SESSION_TIMES)
 def q_sessions_engineered(spark, sf):
     return pipeline(spark, sf).sessions
 
@@ -368,7 +381,7 @@ SELECT event_date AS event_dt, count(event_type) AS total_events, count(DISTINCT
   count(*) FILTER (WHERE event_type = 'cart') AS begin_checkout_events,
   count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,
   COALESCE(""" + O.esum('price', "event_type = 'purchase'") + """, 0.0) AS purchase_revenue_usd
-FROM clean_events GROUP BY 1"""), ["purchase_revenue_usd"])
+FROM clean_events GROUP BY 1"""), ["purchase_revenue_usd"], DAY)
 def q_daily_overview(spark, sf):
     return sc.daily_overview(pipeline(spark, sf).events)
 
@@ -623,7 +636,7 @@ def q_product_discovery_checkout(spark, sf):
     return pipeline(spark, sf, "checkout").product
 
 
-@register("daily_overview_checkout", _checkout_sql(REGISTRY["daily_overview"].sql), ["purchase_revenue_usd"])
+@register("daily_overview_checkout", _checkout_sql(REGISTRY["daily_overview"].sql), ["purchase_revenue_usd"], DAY)
 def q_daily_overview_checkout(spark, sf):
     p = pipeline(spark, sf, "checkout")
     return sc.daily_overview(p.events, p.taxonomy)
