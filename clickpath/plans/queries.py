@@ -18,7 +18,7 @@ from clickpath.operators import scorecards as sc
 from clickpath.operators.sessions import dedup_keep_first
 from clickpath.plans import oracle as O
 from clickpath.plans.pipeline import pipeline
-from clickpath.schema import LANDING_MEASURES, WINSORIZED
+from clickpath.schema import LANDING_MEASURES, PRODUCT_MEASURES, WINSORIZED
 from clickpath.sources.tables import read_table
 
 
@@ -354,10 +354,7 @@ def q_product_discovery(spark, sf):
     return pipeline(spark, sf).product
 
 
-_PSC_NUM = [c for c in ["list_impressions", "product_views", "add_to_cart_events", "begin_checkout_events",
-                        "purchase_events", "viewing_sessions", "cart_sessions", "purchase_sessions",
-                        "avg_item_price_usd", "units_purchased", "revenue_usd", "view_to_cart_rate",
-                        "view_to_purchase_rate"]]
+_PSC_NUM = PRODUCT_MEASURES
 PRODUCT_SCORE_SQL = (
     f"SELECT item_id, {O.clean_category_sql('item_name')} AS item_name, {O.clean_category_sql('item_brand')} AS item_brand, "
     f"{O.clean_category_sql('item_category')} AS item_category, item_category2, item_category3, "

@@ -4,7 +4,7 @@ from urllib.parse import urlparse
 
 import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from clickpath.functions.columns import clean_category, landing_path, to_number
 

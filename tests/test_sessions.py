@@ -1,10 +1,9 @@
 """Session cleaning rules: keep-first, winsorizing, top-N and segments."""
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
-from clickpath.operators.sessions import clean_sessions, dedup_keep_first, engineer_features, limit_cardinality
+from clickpath.operators.sessions import clean_sessions, dedup_keep_first, limit_cardinality
 from clickpath.sources.tables import INGEST_ORDINAL
 
 
