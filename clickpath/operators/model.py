@@ -128,14 +128,21 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     # M1 guards: class counts (at most a handful of rows)
     if TARGET not in sessions.columns:
         return skip("Target has fewer than two classes.")
-    classes = {r[0]: r[1] for r in sessions.groupBy(TARGET).count().collect()}
+    numeric = [c for c in NUMERIC_FEATURES if c in sessions.columns]
+    categorical = [c for c in CATEGORICAL_FEATURES if c in sessions.columns]
+    # one pass: rows per class (a handful) and, per class, the training rows missing each numeric feature
+    is_train = split_flag(seed=seed) == 0
+    per_class = sessions.groupBy(TARGET).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(is_train & F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(numeric)],
+    ).collect()
+    classes = {r[TARGET]: r["_rows"] for r in per_class}
+    missing = {c: sum(r[f"_null_{i}"] for r in per_class) for i, c in enumerate(numeric)}
     if len(classes) < 2:
         return skip("Target has fewer than two classes.")
     if min(classes.values()) < 10:
         return skip("At least one target class has fewer than 10 rows.")
 
-    numeric = [c for c in NUMERIC_FEATURES if c in sessions.columns]
-    categorical = [c for c in CATEGORICAL_FEATURES if c in sessions.columns]
     frame = model_frame(sessions).withColumns({
         "label": F.col(TARGET).cast("double"), "_test": split_flag(seed=seed),
     })
@@ -148,20 +155,13 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     train = frame.where(F.col("_test") == 0)
 
     # training statistics: one aggregate row + bounded level lists
-    # M4 imputation: training median (numeric) / most frequent level (categorical),
-    # computed only for columns that actually hold missing values
-    nulls = train.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in numeric + categorical]).first().asDict()
-    fill_num = [c for c in numeric if nulls[c] > 0]
-    fill_cat = [c for c in categorical if nulls[c] > 0]
-    if fill_num or fill_cat:
+    # M4 imputation: training median for numeric features that hold missing values. Categorical features
+    # need none: limiting to the top levels maps a missing level to "unknown", their most-frequent fill.
+    fill_num = [c for c in numeric if missing[c] > 0]
+    if fill_num:
         medians = quantiles(train, fill_num, [0.5])
-        modes = {}
-        for c in fill_cat:
-            top = train.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), F.asc(c)).first()
-            modes[c] = top[c] if top else "missing"
-        fills = {c: F.coalesce(F.col(c).cast("double"), F.lit((medians[c] or [0.0])[0])) for c in fill_num}
-        fills.update({c: F.coalesce(F.col(c), F.lit(modes[c])) for c in fill_cat})
-        frame = frame.withColumns(fills)
+        frame = frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit((medians[c] or [0.0])[0]))
+                                   for c in fill_num})
         train = frame.where(F.col("_test") == 0)
 
     stats = train.agg(
