@@ -97,3 +97,21 @@ def test_split_is_about_a_quarter_per_class(spark):
     s = pipeline(spark, "/root/testdata/sf0.01").sessions.withColumn("_t", split_flag())
     for r in s.groupBy("converted_purchase").agg(F.avg("_t").alias("share")).collect():
         assert 0.2 < r.share < 0.3
+
+
+def test_unseen_level_gets_no_column(spark):
+    from clickpath.operators.model import split_flag
+
+    rng = np.random.default_rng(3)
+    n = 400
+    pdf = pd.DataFrame({"session_key": [f"u{i}" for i in range(n)], "converted_purchase": rng.integers(0, 2, size=n),
+                        "event_count_winsorized": rng.random(n)})
+    df = spark.createDataFrame(pdf).withColumn("_t", split_flag())
+    # 'tablet' appears on test rows only; 'desktop' / 'mobile' on training rows
+    df = df.withColumn("device_category", F.when(F.col("_t") == 1, F.lit("tablet"))
+                       .otherwise(F.when(F.col("event_count_winsorized") > 0.5, "desktop").otherwise("mobile"))).drop("_t")
+    res = train_purchase_model(df)
+    names = {r.feature for r in res.importance.collect()}
+    assert {"cat__device_category_desktop", "cat__device_category_mobile"} <= names
+    assert "cat__device_category_tablet" not in names
+    assert res.performance.first().test_rows > 0  # unseen rows are scored (all-zero one-hot)
