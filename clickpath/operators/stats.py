@@ -440,10 +440,23 @@ def normality_check(df: DataFrame, metric: str, group: str, label: str, key: str
     return sample.groupBy("_g").applyInPandas(_shapiro_group, NORMALITY_SCHEMA)
 
 
-def normality_suite(sessions: DataFrame, max_sample: int = 5000) -> DataFrame:
-    parts = [normality_check(sessions, m, g, lab, max_sample=max_sample) for m, g, lab in NORMALITY_SUITE]
-    parts = [p for p in parts if p is not None]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def normality_suite(sessions: DataFrame, max_sample: int = 5000, key: str = "session_key", seed: int = 42) -> DataFrame:
+    """All checks of the suite in one pass: the session table is melted to
+    (check, value, group) rows, one bounded hash sample is drawn per
+    (check, group), and each sample (at most ``max_sample`` rows) goes to one
+    ``applyInPandas`` call."""
+    from clickpath.operators.sampling import bounded_sample
+
+    checks = [(i, m, g, lab) for i, (m, g, lab) in enumerate(NORMALITY_SUITE) if not _missing(sessions, [m, g, key])]
+    rows = [F.struct(F.lit(i).alias("_t"), F.col(m).cast("double").alias("_v"), F.col(g).cast("string").alias("_g"))
+            for i, m, g, _ in checks]
+    melted = sessions.select(F.col(key), F.explode(F.array(*rows)).alias("_m")).select(key, "_m.*")
+    melted = melted.where(F.col("_v").isNotNull() & F.col("_g").isNotNull()).withColumn(
+        "_tg", F.concat_ws("|", F.col("_t").cast("string"), F.col("_g")))
+    sample = bounded_sample(melted, "_tg", key, max_sample, seed)
+    metric = F.create_map(*[x for i, m, _, _ in checks for x in (F.lit(i), F.lit(m))])
+    label = F.create_map(*[x for i, _, _, lab in checks for x in (F.lit(i), F.lit(lab))])
+    sample = sample.withColumns({"_metric": metric[F.col("_t")], "_label": label[F.col("_t")]})
+    out = sample.groupBy("_t", "_g").applyInPandas(_shapiro_group, NORMALITY_SCHEMA)
+    order = F.array_position(F.array(*[F.lit(m) for _, m, _, _ in checks]), F.col("metric"))
+    return out.orderBy(order, "group")
