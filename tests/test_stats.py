@@ -161,3 +161,23 @@ def test_mwu_normal_tail_golden():
     p, method = tails.mwu_p(5301748831.5, 466054, 24344, 0.0)
     assert method == "asymptotic"
     assert p == pytest.approx(1.51655e-66, rel=1e-5)
+
+
+def test_normality_suite_matches_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from clickpath.operators.sampling import hash_unit
+    from clickpath.plans.pipeline import pipeline
+
+    sessions = pipeline(spark, "/root/testdata/sf0.001").sessions
+    got = ST.normality_suite(sessions, max_sample=50).collect()
+    assert len(got) == 2 * len(ST.NORMALITY_SUITE)
+    pdf = sessions.withColumn("_u", hash_unit(F.col("session_key"), 42)).toPandas()
+    for row in got:
+        metric = row.metric
+        group_col = next(g for m, g, _ in ST.NORMALITY_SUITE if m == metric)
+        part = pdf[(pdf[group_col].astype(str) == row.group) & pdf[metric].notna()]
+        sample = part.sort_values(["_u", "session_key"]).head(50)
+        assert row.n == len(part) and row.sample_n == len(sample)
+        w, p = shapiro(sample[metric].to_numpy())
+        assert row.statistic == pytest.approx(w, rel=1e-12) and row.p_value == pytest.approx(p, rel=1e-9)
