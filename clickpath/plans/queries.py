@@ -326,12 +326,16 @@ def q_landing_passthrough(spark, sf):
 
 
 PRODUCT_DOUBLES = ["avg_item_price_usd", "revenue_usd", "view_to_cart_rate", "view_to_purchase_rate"]
-PRODUCT_SQL = O.with_ctes(E, f"""
-, base AS (
+def product_sql(checkout: bool = False) -> str:
+    """Product discovery twin; with ``checkout`` the signup events count as checkout."""
+    begin = "checkout_events" if checkout else "add_to_cart_events"
+    return "WITH " + O.events_ctes(checkout).strip() + f""",
+base AS (
   SELECT product_id, brand, category_code,
     count(*) FILTER (WHERE event_type = 'view') AS product_views,
     count(*) FILTER (WHERE event_type = 'cart') AS add_to_cart_events,
     count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,
+    count(*) FILTER (WHERE event_type = 'checkout') AS checkout_events,
     {O.eavg('price')} AS avg_item_price_usd,
     COALESCE({O.esum('price', "event_type = 'purchase'")}, 0.0) AS revenue_usd,
     count(DISTINCT user_session) FILTER (WHERE event_type = 'view') AS viewing_sessions,
@@ -341,12 +345,15 @@ PRODUCT_SQL = O.with_ctes(E, f"""
 SELECT product_id AS item_id, 'product_' || product_id AS item_name, brand AS item_brand, category_code AS item_category,
   COALESCE(split_part(category_code, '.', 1), 'unknown') AS item_category2,
   COALESCE(CASE WHEN strpos(category_code, '.') > 0 THEN split_part(category_code, '.', 2) END, 'unknown') AS item_category3,
-  CAST(0 AS BIGINT) AS list_impressions, product_views, add_to_cart_events, add_to_cart_events AS begin_checkout_events,
+  CAST(0 AS BIGINT) AS list_impressions, product_views, add_to_cart_events, {begin} AS begin_checkout_events,
   purchase_events, viewing_sessions, cart_sessions, purchase_sessions, avg_item_price_usd,
   purchase_events AS units_purchased, revenue_usd,
   {O.div('add_to_cart_events', 'product_views')} AS view_to_cart_rate,
   {O.div('purchase_events', 'product_views')} AS view_to_purchase_rate
-FROM base""".replace("\n, base", ", base", 1))
+FROM base"""
+
+
+PRODUCT_SQL = product_sql()
 
 
 @register("product_discovery", PRODUCT_SQL, PRODUCT_DOUBLES)
@@ -370,15 +377,21 @@ def q_product_scorecard(spark, sf):
     return sc.product_scorecard(pipeline(spark, sf).product)
 
 
-@register("daily_overview", O.with_ctes(E, """
+def daily_sql(checkout: bool = False) -> str:
+    """Daily overview twin; with ``checkout`` the signup events count as checkout."""
+    begin = "checkout" if checkout else "cart"
+    return "WITH " + O.events_ctes(checkout).strip() + f"""
 SELECT event_date AS event_dt, count(event_type) AS total_events, count(DISTINCT user_id) AS users,
   count(DISTINCT user_session) AS sessions, count(*) FILTER (WHERE event_type = 'view') AS page_views,
   count(*) FILTER (WHERE event_type = 'view') AS product_views,
   count(*) FILTER (WHERE event_type = 'cart') AS add_to_cart_events,
-  count(*) FILTER (WHERE event_type = 'cart') AS begin_checkout_events,
+  count(*) FILTER (WHERE event_type = '{begin}') AS begin_checkout_events,
   count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,
-  COALESCE(""" + O.esum('price', "event_type = 'purchase'") + """, 0.0) AS purchase_revenue_usd
-FROM clean_events GROUP BY 1"""), ["purchase_revenue_usd"], DAY)
+  COALESCE({O.esum('price', "event_type = 'purchase'")}, 0.0) AS purchase_revenue_usd
+FROM clean_events GROUP BY 1"""
+
+
+@register("daily_overview", daily_sql(), ["purchase_revenue_usd"], DAY)
 def q_daily_overview(spark, sf):
     return sc.daily_overview(pipeline(spark, sf).events)
 
@@ -610,30 +623,12 @@ def q_streaming_daily(spark, sf):
 # ---------------------------------------------------------------------------
 # checkout taxonomy (signup events become checkout): product and daily tables
 # ---------------------------------------------------------------------------
-_E_CHECKOUT = O.events_ctes(checkout=True)
-
-
-def _checkout_sql(sql: str) -> str:
-    """The default-taxonomy twin with checkout events counted as checkout."""
-    out = sql.replace(E.strip(), _E_CHECKOUT.strip())
-    out = out.replace("add_to_cart_events AS begin_checkout_events",
-                      "checkout_events AS begin_checkout_events")
-    return out.replace("count(*) FILTER (WHERE event_type = 'cart') AS begin_checkout_events",
-                       "count(*) FILTER (WHERE event_type = 'checkout') AS begin_checkout_events")
-
-
-_PRODUCT_CHECKOUT_SQL = _checkout_sql(PRODUCT_SQL).replace(
-    "    count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,\n",
-    "    count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,\n"
-    "    count(*) FILTER (WHERE event_type = 'checkout') AS checkout_events,\n", 1)
-
-
-@register("product_discovery_checkout", _PRODUCT_CHECKOUT_SQL, PRODUCT_DOUBLES)
+@register("product_discovery_checkout", product_sql(checkout=True), PRODUCT_DOUBLES)
 def q_product_discovery_checkout(spark, sf):
     return pipeline(spark, sf, "checkout").product
 
 
-@register("daily_overview_checkout", _checkout_sql(REGISTRY["daily_overview"].sql), ["purchase_revenue_usd"], DAY)
+@register("daily_overview_checkout", daily_sql(checkout=True), ["purchase_revenue_usd"], DAY)
 def q_daily_overview_checkout(spark, sf):
     p = pipeline(spark, sf, "checkout")
     return sc.daily_overview(p.events, p.taxonomy)
