@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickpath.context import checkpoint_dir, configure
+from clickpath.functions.columns import exact_sum
 from clickpath.schema import DEFAULT_TAXONOMY, Taxonomy
 
 RAW_EVENT_SCHEMA = T.StructType([
@@ -60,7 +61,7 @@ def session_counts(events: DataFrame, gap: str = "8 hours", taxonomy: Taxonomy =
             F.count_if(etype == t.view).alias("view_item_count"),
             F.count_if(etype == t.cart).alias("add_to_cart_count"),
             F.count_if(etype == t.purchase).alias("purchase_count"),
-            F.sum(F.when(etype == t.purchase, F.col("price"))).alias("purchase_revenue_usd"),
+            exact_sum(F.when(etype == t.purchase, F.col("price"))).alias("purchase_revenue_usd"),
         )
         .select("user_id", F.col("session.start").alias("session_start"), F.col("session.end").alias("session_end"),
                 "event_count", "view_item_count", "add_to_cart_count", "purchase_count",
@@ -85,7 +86,7 @@ def daily_counts(events: DataFrame, delay: str = "1 hour", taxonomy: Taxonomy =
             F.count_if(etype == t.view).alias("page_views"),
             F.count_if(etype == t.cart).alias("add_to_cart_events"),
             F.count_if(etype == t.purchase).alias("purchase_events"),
-            F.sum(F.when(etype == t.purchase, F.col("price"))).alias("purchase_revenue_usd"),
+            exact_sum(F.when(etype == t.purchase, F.col("price"))).alias("purchase_revenue_usd"),
         )
         .select(F.to_date(F.col("day.start")).alias("event_dt"), "total_events", "users_approx", "page_views",
                 "add_to_cart_events", "purchase_events",

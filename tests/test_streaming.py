@@ -34,5 +34,5 @@ def test_stream_daily_counts_match_batch_days(spark):
     assert rows
     for r in rows:  # closed days carry exactly the batch counts
         b = batch[r.event_dt]
-        assert (r.total_events, r.page_views, r.add_to_cart_events, r.purchase_events) == (
-            b.total_events, b.page_views, b.add_to_cart_events, b.purchase_events)
+        assert (r.total_events, r.page_views, r.add_to_cart_events, r.purchase_events, r.purchase_revenue_usd) == (
+            b.total_events, b.page_views, b.add_to_cart_events, b.purchase_events, b.purchase_revenue_usd)
