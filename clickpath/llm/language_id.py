@@ -144,28 +144,36 @@ class Trees:
         np.add.at(total, context_of, count)
         np.add.at(kinds, context_of, count > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            #: bits of a byte in its context, infinite where it was never met
-            self.hit = np.append(np.log2((total + kinds)[context_of] / count), np.full((1, len(place)), np.inf), axis=0)
+            hit = np.log2((total + kinds)[context_of] / count)
             #: bits of an escape; a context never met passes on for nothing
             escape = np.where(kinds > 0, np.log2((total + kinds) / kinds), 0.0)
         self.escape = np.append(escape, np.zeros((1, len(place))), axis=0)
         self.grams = IntTable(grams, np.arange(len(grams)))
         self.contexts = IntTable(contexts, np.arange(len(contexts)))
+        #: bits of a gram's last byte in its context, all escapes below included, in each language
+        self.bits = np.empty((len(grams) + 1, len(place)))
+        self.bits[-1] = 8.0  # below order 0 all bytes are alike
+        for k in range(1, ORDER + 2):
+            own = np.flatnonzero(size == k)
+            shorter = (inner[own] & ((1 << (8 * (k - 1))) - 1)) + ((k - 1) << (8 * (k - 1)))
+            below = self.grams.get(shorter) if k > 1 else np.full(len(own), -1)
+            self.bits[own] = np.where(count[own] > 0, hit[own], escape[context_of[own]] + self.bits[below])
 
     def costs(self, words: list[bytes]) -> np.ndarray:
         """A row a word: bits in each language, then the number of bytes coded."""
         data, at, owner, reach = coded_bytes(words)
+        gram = np.full(len(at), -1, np.int64)
         bits = np.zeros((len(at), len(self.langs)))
-        open_ = np.ones(bits.shape, bool)
-        for order in range(ORDER, -1, -1):
-            rows = np.flatnonzero((reach >= order) & open_.any(axis=1))
-            here = at[rows]
-            hit = self.hit[self.grams.get(gram_keys(data, here + 1, order + 1))]
-            escape = self.escape[self.contexts.get(gram_keys(data, here, order))]
-            known = np.isfinite(hit)
-            bits[rows] += np.where(open_[rows], np.where(known, hit, escape), 0.0)
-            open_[rows] &= ~known
-        bits += 8.0 * open_
+        rows = np.arange(len(at))
+        for order in range(ORDER, -1, -1):  # the longest context that has met the byte in some language
+            some = reach[rows] >= order
+            here = rows[some]
+            found = self.grams.get(gram_keys(data, at[here] + 1, order + 1))
+            gram[here] = found
+            miss = here[found < 0]
+            bits[miss] += self.escape[self.contexts.get(gram_keys(data, at[miss], order))]
+            rows = np.append(rows[~some], miss)
+        bits += self.bits[gram]
         out = np.empty((len(words), len(self.langs) + 1))
         for k in range(len(self.langs)):
             out[:, k] = np.bincount(owner, weights=bits[:, k], minlength=len(words))
