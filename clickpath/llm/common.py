@@ -11,8 +11,7 @@ import sys
 import types
 import uuid
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clickpath.context import checkpoint_dir
@@ -40,18 +39,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_kept(df: DataFrame) -> None:
-    """Delete the files of a table made by ``keep`` that nothing reads any more."""
-    spark = df.sparkSession
-    folder = checkpoint_dir(spark).rstrip("/") + "/llm/"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder_of_table in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder_of_table)
-        if "/llm/" in folder_of_table and folder_of_table.split("/llm/")[0].endswith(
-                folder.split("/llm/")[0].split(":", 1)[-1].lstrip("/")):
-            path.getFileSystem(conf).delete(path, True)
-
-
 def worker_state(key: tuple, make):
     """A value that lives as long as the Python worker: built on first use, then shared
     by all tasks this worker runs."""
@@ -67,5 +54,19 @@ def text_of(column: str | None):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def string_array(values) -> pa.Array:
-    return pa.array(values, type=pa.string())
+def in_order(df: DataFrame, *order) -> DataFrame:
+    """``df`` in range partitions of a total order, kept, with the partition's number as ``_part``.
+    No task holds more than a range of the rows."""
+    return keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id().cast("long")), "ordered")
+
+
+def global_rank(df: DataFrame, name: str, *order) -> DataFrame:
+    """``df`` with each row's number, from 1, in a total order: numbers inside range partitions plus the
+    sizes of the partitions before. Only one row a partition meets in one task."""
+    parts = in_order(df, *order)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = (parts.groupBy("_part").agg(F.count("*").alias("_n"))
+              .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (parts.withColumn("_inside", inside).join(offset, "_part")
+            .withColumn(name, F.col("_inside") + F.col("_offset")).drop("_part", "_inside", "_offset"))
