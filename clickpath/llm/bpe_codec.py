@@ -148,9 +148,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
                                             StructField("text", StringType())]))
 
 
-def digest(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digest columns of encoded and decoded texts."""
-    return decoded.select(
-        F.col(id_col), F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(F.col("text"), 256).alias("decoded_sha256"))
+def digests(ids, text) -> list:
+    """SHA-256 of the decimal ids joined by commas, and of the text."""
+    return [F.sha2(F.concat_ws(",", ids.cast("array<string>")), 256).alias("ids_sha256"),
+            F.sha2(text, 256).alias("decoded_sha256")]

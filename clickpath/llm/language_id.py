@@ -244,30 +244,30 @@ def judge(langs: list[str], total: np.ndarray):
             np.where(some, score, 0.0), np.where(some, least, 0.0))
 
 
-def identify(docs: DataFrame, trees: DataFrame, id_col: str | list[str] = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """(ids, lang_pred, score, bits_per_byte) of every row. ``id_col`` may list columns to pass through."""
+def identify(docs: DataFrame, trees: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             carry: bool = False) -> DataFrame:
+    """(id, lang_pred, score, bits_per_byte) of every row, and with ``carry`` the whole input row as a
+    struct ``row``."""
     spark = docs.sparkSession
     arrow_batches(spark)
     rows = trees.toArrow()  # at most TREE_NODES a language
     lang, gram, n = (rows.column(c).to_numpy() for c in ("lang", "gram", "n"))
     order = np.lexsort((gram, lang.astype(str)))
     model = spark.sparkContext.broadcast((uuid.uuid4().hex, lang[order].astype(str), gram[order], n[order]))
-    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    names = ["id", "lang_pred", "score", "bits_per_byte", *(["row"] if carry else [])]
 
     def run(batches):
         key, *learned = model.value
         splitter = worker_state(("splitter",), Splitter)
         costs = worker_state(("ppm", key), lambda: WordCosts(Trees(*learned)))
         for batch in batches:
-            lang, score, rate = judge(costs.trees.langs, text_costs(splitter, costs, batch.column(len(ids)).to_pylist()))
+            lang, score, rate = judge(costs.trees.langs, text_costs(splitter, costs, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(ids)], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                 pa.array(rate, pa.float64())], names=[*(f"_{k}" for k in range(len(ids))), "lang_pred", "score", "bits_per_byte"])
-
-    schema = StructType([*(StructField(f"_{k}", docs.schema[c].dataType) for k, c in enumerate(ids)),
-                         StructField("lang_pred", StringType()), StructField("score", DoubleType()),
-                         StructField("bits_per_byte", DoubleType())])
-    out = docs.select(*(F.col(c).alias(f"_{k}") for k, c in enumerate(ids)), text_of(text_col).alias("_text"))
-    return out.mapInArrow(run, schema).select(
-        *(F.col(f"_{k}").alias(c) for k, c in enumerate(ids)), "lang_pred", "score", "bits_per_byte")
+                [batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64()),
+                 *batch.columns[2:]], names=names)
+
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    asked = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *([row.alias("row")] if carry else []))
+    schema = StructType([asked.schema["id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()),
+                         StructField("bits_per_byte", DoubleType()), *asked.schema.fields[2:]])
+    return asked.mapInArrow(run, schema).withColumnRenamed("id", id_col)

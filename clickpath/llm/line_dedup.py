@@ -42,11 +42,12 @@ def lines_of(text: Column) -> Column:
                     lambda x: x != "")
 
 
-def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, text: Column, carry: tuple[str, ...] = (),
+def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, text: Column, carry: bool = False,
                      ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(id, carried columns, host, text, n_lines, n_dropped) of every row; text: the lines that stay."""
+    """(id, host, text, n_lines, n_dropped) of every row; text: the lines that stay. With ``carry`` also the
+    whole input row as a struct ``row``."""
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), lines_of(text).alias("lines"),
-                        *(F.col(c).alias(f"c_{c}") for c in carry))
+                        *([F.struct(*(F.col(c) for c in pages.columns)).alias("row")] if carry else []))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("key", F.xxhash64("id", "host", "hashes"))
     thin = keep(rows.select("host", "key", F.array_distinct("hashes").alias("hashes")), "lines")
     found = thin.select("host", "key", F.explode("hashes").alias("line"))
@@ -60,6 +61,6 @@ def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, text: Column,
     out = rows.join(drops, F.col("key") == F.col("_key"), "left")
     drop = F.coalesce("drops", F.array().cast("array<long>"))
     out = out.withColumn("stay", F.filter("lines", lambda x: ~F.array_contains(drop, F.xxhash64(x))))
-    return out.select(F.col("id").alias(id_col), *(F.col(f"c_{c}").alias(c) for c in carry if c != id_col), "host",
-                      F.array_join("stay", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"),
-                      (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"))
+    return out.select(F.col("id").alias(id_col), "host", F.array_join("stay", "\n").alias("text"),
+                      F.size("lines").cast("long").alias("n_lines"),
+                      (F.size("lines") - F.size("stay")).cast("long").alias("n_dropped"), *(["row"] if carry else []))

@@ -90,10 +90,11 @@ def apportion(items: DataFrame, group: list[str], item: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-        carry: tuple[str, ...] = (), seed: int = SEED) -> DataFrame:
-    """(id, carried columns, source, size, source_size, target, taken) of every row."""
+        carry: bool = False, seed: int = SEED) -> DataFrame:
+    """(id, source, size, source_size, target, taken) of every row, and with ``carry`` the whole input row
+    as a struct ``row``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                       words_in(F.col(text_col)).alias("size"), *(F.col(c).alias(f"c_{c}") for c in carry))
+                       words_in(F.col(text_col)).alias("size"), *([F.struct(*(F.col(c) for c in docs.columns)).alias("row")] if carry else []))
     thin = keep(rows.select("id", "source", "size"), "sizes")
     rows = rows if carry else thin
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS), F.ceil(F.col("docs") / SHARD_DOCS)).cast("long")
@@ -129,6 +130,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     blocks = F.col("blocks")
     taken = (F.col("_passes") * F.col("size") + over(place(F.col("_first")), place(F.least("_last", blocks)))
              + F.when(F.col("_last") > blocks, over(F.lit(0), place(F.col("_last") - blocks))).otherwise(0))
-    return placed.select(F.col("id").alias(id_col), *(F.col(f"c_{c}").alias(c) for c in carry if c != id_col),
-                         *([] if source_col in carry else [F.col("source").alias(source_col)]), "size", "source_size", "target",
-                         F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target",
+                         F.coalesce(taken, F.lit(0)).cast("long").alias("taken"), *(["row"] if carry else []))
