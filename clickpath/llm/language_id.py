@@ -43,6 +43,8 @@ from clickpath.llm.pretokens import LETTER, PieceTable, Splitter, blocks
 ORDER = 4
 #: Labelled rows a language that the trees are fitted on, at most.
 TRAIN_DOCS = 2000
+#: Languages that can be learned; their counts, cuts and trees are broadcast.
+MAX_LANGUAGES = 256
 #: Largest number of contexts a language's tree keeps (most frequent first).
 TREE_NODES = 200_000
 SHARPNESS = 4.0
@@ -96,12 +98,14 @@ def training_rows(docs: DataFrame, text_col: str, lang_col: str, most: int) -> D
     # two passes: exact rank among the hashes only, then the texts at or below the cut
     span = float(1 << 63)
     counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    if counts.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.least(F.lit(1.0), (F.lit(2.0) * most + 1000) / F.col("_n"))
-    near = (rows.select("lang", "_h").join(counts, "lang")
+    near = (rows.select("lang", "_h").join(F.broadcast(counts), "lang")
             .where(F.col("_h") <= F.lit(-span) + share * (2 * span)))
     cut = (near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
            .where(F.col("_r") <= most).groupBy("lang").agg(F.max("_h").alias("_cut")))
-    return rows.join(cut, "lang").where(F.col("_h") <= F.col("_cut")).select("lang", "text")
+    return rows.join(F.broadcast(cut), "lang").where(F.col("_h") <= F.col("_cut")).select("lang", "text")
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> DataFrame:
