@@ -6,7 +6,7 @@ power of two:
 
 * one lane that counts paragraphs, modulo 2^32,
 * 4 lanes of 32-bit hashes modulo 2^32: with the rest they tell multisets apart,
-* 128 lanes of one hash bit modulo 2^15, four to a long: read as +1 / -1 they are a random
+* 128 lanes of one hash bit modulo 2^14, four to a long: read as +1 / -1 they are a random
   projection of the multiset, from which the likeness of two multisets is estimated.
 
 Sums don't depend on the order of paragraphs, and ``insert`` and ``delete`` change a
@@ -29,7 +29,7 @@ WORD_LANES = 4
 BIT_HASHES = 2
 _WORD = 0xFFFFFFFF
 _ONES = 0x0001000100010001
-_LANES = 0x7FFF7FFF7FFF7FFF
+_LANES = 0x3FFF3FFF3FFF3FFF
 BIT_LONGS = 16 * BIT_HASHES
 #: Lanes in the order of the fingerprint: count, words, bits.
 MASKS = [_WORD] * (1 + WORD_LANES) + [_LANES] * BIT_LONGS
@@ -83,8 +83,8 @@ def as_text(fingerprint: Column) -> Column:
 def _signs(fingerprint: Column) -> Column:
     """The bit lanes read as sums of +1 and -1, centred in their modulus."""
     count = F.element_at(fingerprint, 1)
-    half = 1 << 15
-    lane = lambda x, s: F.pmod(F.lit(2) * F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x7FFF)) - count + half, F.lit(2 * half)) - half
+    half = 1 << 14
+    lane = lambda x, s: F.pmod(F.lit(2) * F.shiftrightunsigned(x, s).bitwiseAND(F.lit(0x3FFF)) - count + half, F.lit(2 * half)) - half
     return F.flatten(F.transform(F.slice(fingerprint, 2 + WORD_LANES, BIT_LONGS),
                                  lambda x: F.array(*(lane(x, s) for s in (0, 16, 32, 48)))))
 
