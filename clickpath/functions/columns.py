@@ -47,9 +47,13 @@ def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters that count as white space at the ends of a text (Unicode, not only ASCII).
+WHITE_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing whitespace (tabs and newlines too, unlike ``trim``)."""
-    return F.regexp_replace(col_of(c), r"^\s+|\s+$", "")
+    """Remove leading and trailing white space (tabs, newlines and Unicode blanks too, unlike ``trim``)."""
+    return F.regexp_replace(col_of(c), f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
 
 
 def nan_to_null(c: Column | str) -> Column:
@@ -69,29 +73,21 @@ def safe_divide(num: Column, den: Column) -> Column:
     return F.try_divide(num.cast("double"), den.cast("double"))
 
 
-# Money and second-resolution measures are aggregated in integer micro-units:
-# inputs carry at most 6 decimals, so round(x * 1e6) is exact, the bigint sum
-# is exact and the same whatever order partitions arrive in (a re-executed task
-# gives bit-identical results). Means are rounded half-up to 6 decimals by
-# integer arithmetic. Intended for non-negative measures.
-MICRO = 1_000_000
-
-
-def micros(c: Column | str) -> Column:
-    return F.round(col_of(c).cast("double") * MICRO).cast("bigint")
+# Money and durations are summed as decimals, so a sum is exact and the same in whatever
+# order partitions arrive (a re-executed task gives identical results), up to 1e29.
+# Values that no decimal can hold (infinite ones) count as missing.
+EXACT = "decimal(38,9)"
 
 
 def exact_sum(c: Column | str) -> Column:
-    """Order-independent sum of a 6-decimal measure, as double (NULL if no value)."""
-    return F.sum(micros(c)) / F.lit(float(MICRO))
+    """Order-independent sum of a measure with up to 9 decimals, as double (NULL if no value)."""
+    return F.sum(col_of(c).cast("double").try_cast(EXACT)).cast("double")
 
 
 def exact_avg(c: Column | str) -> Column:
-    """Mean of a 6-decimal measure, rounded half-up to 6 decimals, exactly."""
-    total, n = F.sum(micros(c)), F.count(col_of(c))
-    num, den = 2 * total + n, 2 * n
-    quotient = (num - F.pmod(num, den)) / den  # an exact integer
-    return F.when(n > 0, quotient / F.lit(float(MICRO)))
+    """Mean of a measure: its exact sum over the number of values."""
+    value = col_of(c).cast("double").try_cast(EXACT)
+    return F.try_divide(F.sum(value).cast("double"), F.count(value).cast("double"))
 
 
 def clean_category(c: Column | str, missing: str = MISSING) -> Column:

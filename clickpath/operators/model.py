@@ -21,12 +21,14 @@ Only bounded results reach the driver: class counts, the scaling row, at most
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from clickpath.context import checkpoint_dir
 from clickpath.functions.columns import exact_avg
 from clickpath.operators.ranks import average_rank, quantiles, rank_histogram
 from clickpath.operators.sessions import limit_cardinality
@@ -54,6 +56,7 @@ PERFORMANCE_SCHEMA = T.StructType([
     T.StructField("recall", T.DoubleType()), T.StructField("f1", T.DoubleType()),
     T.StructField("roc_auc", T.DoubleType()), T.StructField("average_precision", T.DoubleType()),
     T.StructField("classification_report", T.StringType()), T.StructField("confusion_matrix", T.StringType()),
+    T.StructField("iterations", T.LongType()),
 ])
 IMPORTANCE_SCHEMA = T.StructType([
     T.StructField("feature", T.StringType()), T.StructField("coefficient", T.DoubleType()),
@@ -67,9 +70,23 @@ def model_frame(sessions: DataFrame, top_n: int = 25) -> DataFrame:
     return limit_cardinality(sessions, cols, top_n)
 
 
-def split_flag(key: str = "session_key", seed: int = SEED, test_fraction: float = 0.25) -> F.Column:
-    """M3: 1 for test rows, by a hash of the key (deterministic, recomputable)."""
-    return (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(10000)) < int(test_fraction * 10000)).cast("int")
+def with_split(sessions: DataFrame, key: str = "session_key", seed: int = SEED, test_fraction: float = 0.25,
+               name: str = "_test") -> DataFrame:
+    """M3: ``name`` = 1 on the test rows, the same share of each class.
+
+    In each class the rows with the smallest hashes of their key (the first 13 hexadecimal digits of an
+    MD5) are the test rows; the hash at the cut comes from the rank histogram, one number a class.
+    """
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 13)
+    hashed = F.conv(digits, 16, 10).cast("bigint")
+    ranked = rank_histogram(sessions.select(F.col(TARGET), hashed.alias("_u")), "_u", by=[TARGET])
+    wanted = F.round(F.col("total_cnt") * test_fraction)
+    cuts = ranked.groupBy(TARGET).agg(F.max(F.when(F.col("before_cnt") < wanted, F.col("_u"))).alias("cut")).collect()
+    flag = F.lit(0)
+    for r in cuts:  # one row a class
+        if r["cut"] is not None:
+            flag = F.when(F.col(TARGET).eqNullSafe(F.lit(r[TARGET])), (hashed <= F.lit(r["cut"])).cast("int")).otherwise(flag)
+    return sessions.withColumn(name, flag)
 
 
 def _safe(a: float, b: float) -> float:
@@ -131,7 +148,8 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     numeric = [c for c in NUMERIC_FEATURES if c in sessions.columns]
     categorical = [c for c in CATEGORICAL_FEATURES if c in sessions.columns]
     # one pass: rows per class (a handful) and, per class, the training rows missing each numeric feature
-    is_train = split_flag(seed=seed) == 0
+    sessions = with_split(sessions, seed=seed)
+    is_train = F.col("_test") == 0
     per_class = sessions.groupBy(TARGET).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(is_train & F.col(c).isNull()).alias(f"_null_{i}") for i, c in enumerate(numeric)],
@@ -143,9 +161,7 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     if min(classes.values()) < 10:
         return skip("At least one target class has fewer than 10 rows.")
 
-    frame = model_frame(sessions).withColumns({
-        "label": F.col(TARGET).cast("double"), "_test": split_flag(seed=seed),
-    })
+    frame = model_frame(sessions).withColumn("label", F.col(TARGET).cast("double"))
     # the review-queue roll-up reads these; a table without them still trains
     absent = {c: F.lit("unknown") for c in SEGMENT_KEYS + ["ux_intent_segment"] if c not in frame.columns}
     absent.update({c: F.lit(None).cast("double") for c in
@@ -201,9 +217,11 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     iterations = model.summary.totalIterations
     training.unpersist()
 
-    # scores are read by several bounded aggregates below: materialise them once
-    scored = model.transform(design).withColumn("score", vector_to_array("probability")[1]).drop(
-        "features", "rawPrediction", "probability").persist()
+    # scores are read by several bounded aggregates below: written once to the shared folder
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/scored-{uuid.uuid4().hex[:12]}"
+    model.transform(design).withColumn("score", vector_to_array("probability")[1]).drop(
+        "features", "rawPrediction", "probability").write.parquet(path)
+    scored = spark.read.parquet(path)
     test = scored.where(F.col("_test") == 1)
     cm = {(int(r[0]), int(r[1])): r[2] for r in test.groupBy("label", "prediction").count().collect()}
     tn, fp, fn, tp = cm.get((0, 0), 0), cm.get((0, 1), 0), cm.get((1, 0), 0), cm.get((1, 1), 0)
@@ -216,9 +234,9 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
         "accuracy": _safe(tn + tp, n_test), "precision": precision, "recall": recall,
         "f1": _safe(2 * precision * recall, precision + recall), **ranks,
         "classification_report": _report(tn, fp, fn, tp), "confusion_matrix": json.dumps([[tn, fp], [fn, tp]]),
+        "iterations": int(iterations),
     }
     perf = spark.createDataFrame([perf_row], PERFORMANCE_SCHEMA)
-    perf = perf.withColumn("iterations", F.lit(int(iterations)))
     coef = [float(x) for x in model.coefficients.toArray()]
     importance = spark.createDataFrame(
         [(n, c, abs(c)) for n, c in zip(names, coef)], IMPORTANCE_SCHEMA).orderBy(F.desc("abs_coefficient"), "feature")

@@ -19,8 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 DEFAULT_BUCKETS = 128
-# distinct values up to which Spark's exact ``percentile`` buffer is used directly
-PERCENTILE_DISTINCT_LIMIT = 1_000_000
 
 
 def rank_histogram(
@@ -142,35 +140,20 @@ def grouped_quantiles(df: DataFrame, value: str, probs: list[float], by: list[st
     return quantile_columns(rank_histogram(df, value, by), value, probs, by, prefix=prefix)
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float],
-              distinct_limit: int = PERCENTILE_DISTINCT_LIMIT) -> dict[str, list[float] | None]:
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float] | None]:
     """Exact global quantiles (numpy 'linear' rule) of several columns.
 
-    One aggregate job measures each column's non-null count and approximate
-    distinct count. Columns with a small value domain use Spark's exact
-    ``percentile`` (its buffer holds one entry per distinct value); larger
-    domains use the rank histogram. Only the resulting numbers are collected.
-    ``None`` marks a column with no non-null value.
+    All columns are melted to (column id, value) rows and ranked in one pass over the rank
+    histogram, whatever the size of their domains; no task buffers a column. Only the
+    resulting numbers are collected. ``None`` marks a column with no non-null value.
     """
-    if not cols:
-        return {}
-    stats = df.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)],
-        *[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(cols)],
-    ).first()
-    small = [c for i, c in enumerate(cols) if stats[f"n_{i}"] > 0 and stats[f"d_{i}"] <= distinct_limit]
-    large = [c for i, c in enumerate(cols) if stats[f"n_{i}"] > 0 and stats[f"d_{i}"] > distinct_limit]
     result: dict[str, list[float] | None] = {c: None for c in cols}
-    if small:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"p_{i}") for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            result[c] = [float(x) for x in row[f"p_{i}"]]
-    if large:
-        # all large columns in one pass: melt to (column id, value), rank per column id
-        melted = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(large)
-        ])).alias("_m")).select("_m._c", "_m._v")
-        ranked = rank_histogram(melted, "_v", by=["_c"], bounds_by="_c")
-        for row in quantile_columns(ranked, "_v", probs, by=["_c"]).collect():
-            result[large[row["_c"]]] = [float(row[f"q{i}"]) for i in range(len(probs))]
+    if not cols:
+        return result
+    melted = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)
+    ])).alias("_m")).select("_m._c", "_m._v")
+    ranked = rank_histogram(melted, "_v", by=["_c"], bounds_by="_c")
+    for row in quantile_columns(ranked, "_v", probs, by=["_c"]).collect():
+        result[cols[row["_c"]]] = [float(row[f"q{i}"]) for i in range(len(probs))]
     return result

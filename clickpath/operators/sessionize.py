@@ -11,14 +11,18 @@ Two events of one bucket are less than a gap apart, so a session can only
 break *between* buckets, and the session number of an event depends only on
 its bucket:
 
-1. a hash aggregate gives each (user, bucket) its first and last timestamp
+1. an aggregate gives each (user, bucket) its first (time, event id) and last time
    (map-side partial aggregation, one row per active bucket);
 2. a window over those bucket rows (bounded by the user's active span / bucket
    width, not by its event count) marks buckets that open a session and
    numbers them;
-3. one join back on (user, bucket) -- the only shuffle of the event rows --
+3. one join back on (user, bucket) -- the only shuffle of the event rows, and one
+   that adaptive execution may split, as no window needs its rows together --
    stamps the number on every event; the first event of each opening bucket
    (earliest time, then smallest event id) is flagged ``session_start``.
+
+A log without event ids is ordered by a hash of its rows where times are equal. An event
+that is delivered twice is flagged twice; ``session_features`` takes one of them.
 """
 
 from __future__ import annotations
@@ -47,22 +51,22 @@ def sessionize(
     each session, else 0)."""
     gap = int(gap_seconds * _US)
     width = max(1, min(int(bucket_seconds * _US), gap))  # a bucket never spans a gap
-    ev = df.withColumn("_us", epoch_micros(F.col(time_col))).withColumn("_b", F.floor(F.col("_us") / width))
+    tie = F.col(order_col) if order_col in df.columns else F.xxhash64(*df.columns)
+    ev = df.withColumn("_us", epoch_micros(F.col(time_col))).withColumn("_b", F.floor(F.col("_us") / width)).withColumn("_id", tie)
 
-    buckets = ev.groupBy(user_col, "_b").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"))
+    buckets = ev.groupBy(user_col, "_b").agg(F.min(F.struct("_us", "_id")).alias("_head"), F.max("_us").alias("_last"))
+    buckets = buckets.withColumn("_first", F.col("_head._us"))
     across = Window.partitionBy(user_col).orderBy("_b")
     prev_last = F.lag("_last").over(across)
     buckets = buckets.withColumn("_opens", (prev_last.isNull() | ((F.col("_first") - prev_last) > gap)).cast("int"))
     buckets = buckets.select(
-        user_col, "_b", "_first", "_opens",
+        user_col, "_b", "_head", "_opens",
         (F.sum("_opens").over(across.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("_n"),
     )
 
     out = ev.join(buckets, [user_col, "_b"], "inner")
-    at_first = F.col("_us") == F.col("_first")
-    first_id = F.min(F.when(at_first, F.col(order_col))).over(Window.partitionBy(user_col, "_b"))
-    starts = (F.col("_opens") == 1) & at_first & (F.col(order_col) == first_id)
+    starts = (F.col("_opens") == 1) & (F.struct("_us", "_id") == F.col("_head"))
     return out.withColumns({
         out_col: F.concat(F.col(user_col).cast("string"), F.lit("-"), F.col("_n").cast("bigint").cast("string")),
         start_col: starts.cast("int"),
-    }).drop("_us", "_b", "_first", "_opens", "_n")
+    }).drop("_us", "_b", "_id", "_head", "_opens", "_n")

@@ -81,10 +81,14 @@ def session_features(
         first = events.where(F.col("session_start") == 1).select(
             F.col(session_col).alias("session_key"), F.col("user_id").alias("user_pseudo_id"),
             F.col("category_code").alias("landing_page_title"))
+        # an event delivered twice is flagged twice: one title a session
+        first = first.groupBy("session_key", "user_pseudo_id").agg(F.min("landing_page_title").alias("landing_page_title"))
         # joined on the full grouping key, so the aggregate keeps its partitioning (no re-shuffle)
         s = s.join(first, ["session_key", "user_pseudo_id"], "left")
     else:
-        order = F.struct("event_time", "event_id") if "event_id" in events.columns else F.struct("event_time")
+        # ties in time: the event id, else the row's place in the log, else a hash of the row
+        tie = next((F.col(c) for c in ("event_id", INGEST_ORDINAL) if c in events.columns), F.xxhash64(*events.columns))
+        order = F.struct(F.col("event_time"), tie.alias("tie"))
         s = events.groupBy(F.col(session_col).alias("session_key")).agg(
             _first("user_id", order).alias("user_pseudo_id"), _first("category_code", order).alias("landing_page_title"),
             *aggs)
@@ -165,9 +169,8 @@ def _measure(df: DataFrame, name: str) -> F.Column:
 def winsor_bounds(df: DataFrame, cols: list[str] = WINSORIZED) -> dict[str, dict]:
     """Exact Q1 / median / Q3 per column -> clip fences (lower floored at 0).
 
-    One pass decides per column whether the exact ``percentile`` buffer is small
-    enough (distinct values under a limit); larger domains use the distributed
-    rank histogram. Only the 3 numbers per column reach the driver.
+    All columns go through one distributed rank histogram; only the 3 numbers per column
+    reach the driver.
     """
     present = [c for c in cols if c in df.columns]
     qs = quantiles(df, present, [0.25, 0.5, 0.75])
@@ -181,7 +184,7 @@ def winsor_bounds(df: DataFrame, cols: list[str] = WINSORIZED) -> dict[str, dict
         iqr = q3 - q1
         bounds[c] = {
             "empty": False,
-            "median": med,
+            "q1": q1, "median": med, "q3": q3,
             "clip": iqr != 0,
             "lower": max(q1 - 1.5 * iqr, 0.0),
             "upper": q3 + 1.5 * iqr,

@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clickpath.functions.swilk import shapiro
-from clickpath.functions.tails import chi2_sf_udf, mwu_p_udf, t_two_sided_udf
+from clickpath.functions.tails import chi2_sf_udf, francia_p_udf, mwu_p_udf, normal_quantile_sql, t_two_sided_udf
 from clickpath.operators.ranks import average_rank, rank_histogram
 
 RESULT_SCHEMA = T.StructType([
@@ -114,7 +113,7 @@ def _chi2_batch(df: DataFrame, specs: list[tuple]) -> DataFrame:
     cols = cells.groupBy("_t", "_b").agg(F.sum("_o").alias("_c"))
     tot = cells.groupBy("_t").agg(F.sum("_o").alias("_n"))
     j = cells.join(rows, ["_t", "_a"]).join(cols, ["_t", "_b"]).join(tot, "_t")
-    e = F.col("_r") * F.col("_c") / F.col("_n")
+    e = F.col("_r").cast("double") * F.col("_c").cast("double") / F.col("_n").cast("double")
     o = F.col("_o").cast("double")
     diff = e - o
     yates_o = o + F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)
@@ -136,7 +135,7 @@ def _chi2_batch(df: DataFrame, specs: list[tuple]) -> DataFrame:
     n = F.col("n").cast("double")
     dof = (F.col("r") - 1) * (F.col("k") - 1)
     grid = [(a, b) for a in ("r1", "r2") for b in ("c1", "c2")]
-    g_all = sum(g_zero(F.col(a) * F.col(b) / n) for a, b in grid)
+    g_all = sum(g_zero(F.col(a).cast("double") * F.col(b).cast("double") / n) for a, b in grid)
     stat = F.when(dof == 1, F.col("s_yates") + (g_all - F.col("s_gobs"))).otherwise(F.col("s_plain") + (n - F.col("s_e")))
     ok = F.coalesce((F.col("r") >= 2) & (F.col("k") >= 2), F.lit(False))
     v = F.sqrt(stat / n / F.greatest(F.least(F.col("r") - 1, F.col("k") - 1), F.lit(1)))
@@ -207,11 +206,12 @@ def _mwu_batch(df: DataFrame, specs: list[tuple]) -> DataFrame:
 def _kw_batch(df: DataFrame, specs: list[tuple], min_group: int = 5) -> DataFrame:
     """Kruskal-Wallis H (tie-corrected) over groups with at least ``min_group`` rows."""
     sub = _melt(df, specs, "string", "double")
-    sizes = sub.groupBy("_t", "_a").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_group)
-    kept = sub.join(sizes.select("_t", "_a"), ["_t", "_a"], "left_semi")
-    ranked = rank_histogram(kept, "_b", by=["_t"], bounds_by="_t").select(
+    # everything below reads (value, group) cells, never the melted rows
+    cells = sub.groupBy("_t", "_b", "_a").agg(F.count(F.lit(1)).alias("_c"))
+    sizes = cells.groupBy("_t", "_a").agg(F.sum("_c").alias("_n")).where(F.col("_n") >= min_group)
+    cells = cells.join(sizes.select("_t", "_a"), ["_t", "_a"], "left_semi")
+    ranked = rank_histogram(cells, "_b", by=["_t"], bounds_by="_t", counts={"cnt": F.sum("_c")}).select(
         "_t", "_b", average_rank("cnt").alias("_rank"), F.col("cnt").alias("_tv"))
-    cells = kept.groupBy("_t", "_b", "_a").agg(F.count(F.lit(1)).alias("_c"))
     tv = F.col("_tv").cast("double")
     # tie term sum_v (t^3 - t) spread over the (value, group) cells: c * (t^2 - 1)
     rsum = cells.join(ranked, ["_t", "_b"]).groupBy("_t", "_a").agg(
@@ -280,6 +280,15 @@ _FAMILIES = {
 }
 
 
+# Per family, the reason of a test with too little variation and the name of its effect size.
+TWIN_LABELS = {
+    "chi2": ("Not enough category/outcome variation.", "Cramer''s V"),
+    "mwu": ("Not enough observations in both groups.", "Rank-biserial correlation"),
+    "kw": ("Not enough groups with sufficient observations.", "Epsilon squared"),
+    "spearman": ("Not enough observations.", "Spearman rho"),
+}
+
+
 def run_family(df: DataFrame, kind: str, specs: list[tuple]) -> DataFrame:
     """Result rows (with test id ``_t`` = position in ``specs``) for one test family."""
     test, runner = _FAMILIES[kind]
@@ -381,7 +390,7 @@ def test_table_feed(tests: DataFrame, top: int = 8) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Shapiro-Wilk normality checks on a bounded sample per group
+# Normality of every group, on all of its rows
 # ---------------------------------------------------------------------------
 NORMALITY_SCHEMA = T.StructType([
     T.StructField("metric", T.StringType()),
@@ -389,9 +398,10 @@ NORMALITY_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("reason", T.StringType()),
     T.StructField("n", T.LongType()),
-    T.StructField("sample_n", T.LongType()),
     T.StructField("statistic", T.DoubleType()),
     T.StructField("p_value", T.DoubleType()),
+    T.StructField("skewness", T.DoubleType()),
+    T.StructField("kurtosis", T.DoubleType()),
     T.StructField("interpretation", T.StringType()),
     T.StructField("label", T.StringType()),
 ])
@@ -404,59 +414,44 @@ NORMALITY_SUITE = [
 ]
 
 
-def _shapiro_group(pdf):
-    """One group's bounded sample (pandas) -> one result row."""
-    import pandas as pd
-
-    values = pd.to_numeric(pdf["_v"], errors="coerce").dropna().to_numpy()
-    n = int(pdf["_n"].iloc[0])
-    row = {"metric": pdf["_metric"].iloc[0], "group": str(pdf["_g"].iloc[0]), "n": n, "sample_n": len(values),
-           "label": pdf["_label"].iloc[0]}
-    if n < 3:
-        row.update(status="skipped", reason="Fewer than 3 observations.", statistic=None, p_value=None,
-                   interpretation="Insufficient data.", sample_n=n)
-    else:
-        w, p = shapiro(values)
-        row.update(status="completed", reason="", statistic=w, p_value=p,
-                   interpretation="non-normal" if p < 0.05 else "normal-like")
-    return pd.DataFrame([row], columns=[f.name for f in NORMALITY_SCHEMA.fields])
-
+def normality_suite(sessions: DataFrame, checks: list[tuple] = NORMALITY_SUITE) -> DataFrame:
+    """The Shapiro-Francia statistic of every (metric, group): the squared correlation of the
+    values with the normal scores of their mid-ranks, (rank - 3/8) / (n + 1/4), with skewness and excess kurtosis.
 
-def normality_check(df: DataFrame, metric: str, group: str, label: str, key: str = "session_key",
-                    max_sample: int = 5000, seed: int = 42) -> DataFrame | None:
-    """Shapiro-Wilk per group on at most ``max_sample`` hash-chosen rows.
-
-    Spark groups and samples; each group hands at most ``max_sample`` values to
-    one ``applyInPandas`` call, so no unbounded group reaches a Python worker.
+    All rows count. The session table is melted once, the rank histogram gives each distinct value its
+    mid-rank without sorting a group in one task, and everything else is sums over that histogram. The
+    p-value formula is published for up to 5,000 rows; larger groups carry it on.
     """
-    from clickpath.operators.sampling import bounded_sample
-
-    if _missing(df, [metric, group, key]):
-        return None
-    sub = df.select(F.col(key), F.col(metric).cast("double").alias("_v"), F.col(group).alias("_g")).dropna(
-        subset=["_v", "_g"])
-    sample = bounded_sample(sub, "_g", key, max_sample, seed)
-    sample = sample.withColumns({"_metric": F.lit(metric), "_label": F.lit(label)})
-    return sample.groupBy("_g").applyInPandas(_shapiro_group, NORMALITY_SCHEMA)
-
-
-def normality_suite(sessions: DataFrame, max_sample: int = 5000, key: str = "session_key", seed: int = 42) -> DataFrame:
-    """All checks of the suite in one pass: the session table is melted to
-    (check, value, group) rows, one bounded hash sample is drawn per
-    (check, group), and each sample (at most ``max_sample`` rows) goes to one
-    ``applyInPandas`` call."""
-    from clickpath.operators.sampling import bounded_sample
-
-    checks = [(i, m, g, lab) for i, (m, g, lab) in enumerate(NORMALITY_SUITE) if not _missing(sessions, [m, g, key])]
+    present = [(i, m, g, label) for i, (m, g, label) in enumerate(checks) if not _missing(sessions, [m, g])]
+    if not present:
+        return sessions.sparkSession.createDataFrame([], NORMALITY_SCHEMA)
     rows = [F.struct(F.lit(i).alias("_t"), F.col(m).cast("double").alias("_v"), F.col(g).cast("string").alias("_g"))
-            for i, m, g, _ in checks]
-    melted = sessions.select(F.col(key), F.explode(F.array(*rows)).alias("_m")).select(key, "_m.*")
-    melted = melted.where(F.col("_v").isNotNull() & F.col("_g").isNotNull()).withColumn(
-        "_tg", F.concat_ws("|", F.col("_t").cast("string"), F.col("_g")))
-    sample = bounded_sample(melted, "_tg", key, max_sample, seed)
-    metric = F.create_map(*[x for i, m, _, _ in checks for x in (F.lit(i), F.lit(m))])
-    label = F.create_map(*[x for i, _, _, lab in checks for x in (F.lit(i), F.lit(lab))])
-    sample = sample.withColumns({"_metric": metric[F.col("_t")], "_label": label[F.col("_t")]})
-    out = sample.groupBy("_t", "_g").applyInPandas(_shapiro_group, NORMALITY_SCHEMA)
-    order = F.array_position(F.array(*[F.lit(m) for _, m, _, _ in checks]), F.col("metric"))
-    return out.orderBy(order, "group")
+            for i, m, g, _ in present]
+    melted = sessions.select(F.explode(F.array(*rows)).alias("_m")).select("_m.*")
+    melted = melted.where(F.col("_v").isNotNull() & F.col("_g").isNotNull())
+    ranked = rank_histogram(melted, "_v", by=["_t", "_g"], bounds_by="_t").select(
+        "_t", "_g", "_v", "cnt", ((average_rank("cnt") - 0.375) / (F.col("total_cnt") + 0.25)).alias("_p"))
+    ranked = ranked.withColumn("_z", F.expr(normal_quantile_sql("_p")))
+    # moments about the mean: the means are one row a group
+    means = ranked.groupBy("_t", "_g").agg((F.sum(F.col("cnt") * F.col("_v")) / F.sum("cnt")).alias("_mv"),
+                                           (F.sum(F.col("cnt") * F.col("_z")) / F.sum("cnt")).alias("_mz"))
+    both = ranked.join(means, ["_t", "_g"])
+    c, dv, dz = F.col("cnt").cast("double"), F.col("_v") - F.col("_mv"), F.col("_z") - F.col("_mz")
+    sums = both.groupBy("_t", "_g").agg(
+        F.sum("cnt").alias("n"), F.sum(c * dv * dv).alias("v2"), F.sum(c * dz * dz).alias("z2"), F.sum(c * dv * dz).alias("vz"),
+        F.sum(c * dv * dv * dv).alias("v3"), F.sum(c * dv * dv * dv * dv).alias("v4"))
+    n, v2 = F.col("n").cast("double"), F.col("v2")
+    w = F.col("vz") * F.col("vz") / (v2 * F.col("z2"))
+    few, flat = F.col("n") < 3, v2 <= 0
+    ok = ~few & ~flat
+    lookup = lambda k: F.create_map(*[x for spec in present for x in (F.lit(spec[0]), F.lit(spec[k]))])[F.col("_t")]
+    out = sums.select(
+        F.col("_t"), lookup(1).alias("metric"), F.col("_g").alias("group"), F.when(ok, "completed").otherwise("skipped").alias("status"),
+        F.when(few, "Fewer than 3 observations.").when(flat, "All values are identical.").otherwise("").alias("reason"), "n",
+        F.when(ok, w).alias("statistic"),
+        F.when(ok, F.sqrt(n) * F.col("v3") / F.pow(v2, 1.5)).alias("skewness"),
+        F.when(ok, n * F.col("v4") / (v2 * v2) - 3).alias("kurtosis"), lookup(3).alias("label"))
+    out = out.withColumn("p_value", francia_p_udf(F.col("statistic"), F.col("n").cast("double")))
+    out = out.withColumn("interpretation", F.when(F.col("p_value") < 0.05, "non-normal").when(F.col("p_value").isNotNull(), "normal-like")
+                         .otherwise("Insufficient data."))
+    return out.orderBy("_t", "group").select(*[f.name for f in NORMALITY_SCHEMA.fields])

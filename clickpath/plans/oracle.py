@@ -9,12 +9,14 @@ sides so that summation order does not change the value hash.
 
 from __future__ import annotations
 
+from clickpath.functions.columns import WHITE_SPACE
+
 DIGITS = 6
 GAP_US = 8 * 3600 * 1_000_000
 
 
 def _strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WHITE_SPACE}+|{WHITE_SPACE}+$', '', 'g')"
 
 
 def clean_category_sql(x: str) -> str:
@@ -40,20 +42,15 @@ def landing_path_sql(x: str) -> str:
     return f"(CASE WHEN {text} IS NULL OR {text} = '' THEN '(missing)' ELSE substring({chosen}, 1, 140) END)"
 
 
-def _micros(x: str) -> str:
-    return f"CAST(round(CAST({x} AS DOUBLE) * 1000000) AS BIGINT)"
-
-
 def esum(x: str, where: str | None = None) -> str:
-    """Exact micro-unit sum (same rule as ``functions.columns.exact_sum``)."""
+    """Plain decimal sum, as the nearest double (by way of its digits)."""
     filt = f" FILTER (WHERE {where})" if where else ""
-    return f"(CAST(sum({_micros(x)}){filt} AS DOUBLE) / 1000000.0)"
+    return f"CAST(CAST(sum(CAST({x} AS DECIMAL(38,9))){filt} AS VARCHAR) AS DOUBLE)"
 
 
 def eavg(x: str) -> str:
-    """Half-up rounded micro-unit mean (same rule as ``exact_avg``)."""
-    s, n = f"sum({_micros(x)})", f"count({x})"
-    return f"(CAST((2 * {s} + {n}) // NULLIF(2 * {n}, 0) AS DOUBLE) / 1000000.0)"
+    """Plain mean: decimal sum over count."""
+    return f"({esum(x)} / NULLIF(count({x}), 0))"
 
 
 def div(a: str, b: str) -> str:
@@ -237,7 +234,7 @@ def rounded(select_sql: str, doubles: list[str]) -> str:
         return select_sql
     # Spark rounds a double half-up on its shortest decimal text; do the same here
     repl = ", ".join(
-        f"COALESCE(CAST(round(TRY_CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,12)), {DIGITS}) AS DOUBLE), round({c}, {DIGITS})) AS {c}"
+        f"COALESCE(CAST(round(TRY_CAST(CAST({c} AS VARCHAR) AS DECIMAL(38,18)), {DIGITS}) AS DOUBLE), round({c}, {DIGITS})) AS {c}"
         for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM ({select_sql}) AS t"
 

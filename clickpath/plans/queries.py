@@ -8,6 +8,7 @@ possible); ``doubles`` lists the floating-point columns rounded to
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickpath.functions.columns import clean_category, landing_path, to_number
 from clickpath.operators import scorecards as sc
-from clickpath.operators.sessions import dedup_keep_first
+from clickpath.operators.sessions import dedup_keep_first, winsor_bounds
 from clickpath.plans import oracle as O
 from clickpath.plans.pipeline import pipeline
 from clickpath.schema import LANDING_MEASURES, PRODUCT_MEASURES, WINSORIZED
@@ -118,17 +119,12 @@ _IQR_SQL = " UNION ALL ".join(
                          f"q3 + 1.5 * (q3 - q1) AS upper_fence, CAST(q3 - q1 <> 0 AS INTEGER) AS clipped FROM ({_IQR_SQL})"),
           ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"])
 def q_iqr_bounds(spark, sf):
-    """Exact quartiles and clip fences of the five winsorized measures (one aggregate row, stacked)."""
-    s = pipeline(spark, sf).sessions_clean
-    row = s.agg(*[F.percentile(F.col(c).cast("double"), [0.25, 0.5, 0.75]).alias(c) for c in WINSORIZED])
-    args = [x for c in WINSORIZED for x in (F.lit(c), F.col(c))]
-    long = row.select(F.stack(F.lit(len(WINSORIZED)), *args).alias("measure", "q"))
-    q1, med, q3 = F.col("q")[0], F.col("q")[1], F.col("q")[2]
-    return long.select(
-        "measure", q1.alias("q1"), med.alias("median"), q3.alias("q3"), (q3 - q1).alias("iqr"),
-        F.greatest(q1 - 1.5 * (q3 - q1), F.lit(0.0)).alias("lower_fence"), (q3 + 1.5 * (q3 - q1)).alias("upper_fence"),
-        ((q3 - q1) != 0).cast("int").alias("clipped"),
-    )
+    """Quartiles and clip fences of the five winsorized measures, as the winsorizing step computes them."""
+    bounds = winsor_bounds(pipeline(spark, sf).sessions_clean, list(WINSORIZED))
+    rows = [(c, b["q1"], b["median"], b["q3"], b["q3"] - b["q1"], b["lower"], b["upper"], int(b["clip"]))
+            for c, b in bounds.items() if not b["empty"]]
+    return spark.createDataFrame(rows, "measure string, q1 double, median double, q3 double, iqr double, "
+                                       "lower_fence double, upper_fence double, clipped int")
 
 
 @register("sessions_winsorized",
@@ -500,10 +496,21 @@ def q_chi2_nodevice(spark, sf):
     return ST.run_test(pipeline(spark, sf, "nodevice").sessions, 0).select(*_TEST_OUT)
 
 
-@register("statistical_tests", None)
+def _suite_sql() -> str:
+    """The twins of the 16 tests as one table, in suite order."""
+    parts = []
+    for i, (kind, a, b, where, text) in enumerate(ST.SUITE):
+        reason, effect = ST.TWIN_LABELS[kind]
+        parts.append(f"SELECT {i} AS test_order, '{text}' AS hypothesis, CASE WHEN status = 'skipped' THEN '{reason}' END AS reason, "
+                     f"CASE WHEN status = 'completed' THEN '{effect}' END AS effect_size_name, * "
+                     f"FROM (WITH {O.TEST_SQL[kind](a, b, where).strip()})")
+    return "WITH " + S.strip() + "\n" + "\nUNION ALL ".join(parts)
+
+
+@register("statistical_tests", _suite_sql(), TEST_DOUBLES)
 def q_statistical_tests(spark, sf):
-    """The full 16-test suite with p-values (rows-only check; values in tests/)."""
-    return ST.hypothesis_suite(pipeline(spark, sf).sessions)
+    """The full 16-test suite; p-values (checked in tests/) are left out of the comparison."""
+    return ST.hypothesis_suite(pipeline(spark, sf).sessions).drop("p_value")
 
 
 @register("significant_tests", None)
@@ -516,14 +523,30 @@ def q_test_table_feed(spark, sf):
     return ST.test_table_feed(ST.hypothesis_suite(pipeline(spark, sf).sessions))
 
 
-@register("normality_checks", None)
+_NORMALITY_SQL = "WITH " + S.strip() + ",\nmelted AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS t, '{m}' AS metric, CAST({g} AS VARCHAR) AS g, '{label}' AS label, CAST({m} AS DOUBLE) AS v FROM sessions "
+    f"WHERE {m} IS NOT NULL AND {g} IS NOT NULL" for i, (m, g, label) in enumerate(ST.NORMALITY_SUITE)) + f"""),
+ranked AS (SELECT *, (rank() OVER (PARTITION BY t, g ORDER BY v) + (count(*) OVER (PARTITION BY t, g, v) - 1) / 2.0 - 0.375)
+                     / (count(*) OVER (PARTITION BY t, g) + 0.25) AS p FROM melted),
+scored AS (SELECT *, {ST.normal_quantile_sql('p')} AS z FROM ranked),
+sums AS (SELECT t, metric, g, label, count(*) AS n, power(corr(v, z), 2) AS w, avg(v) AS mean, var_pop(v) AS var FROM scored GROUP BY 1, 2, 3, 4),
+moments AS (SELECT s.t, s.g, avg(power(x.v - s.mean, 3)) AS m3, avg(power(x.v - s.mean, 4)) AS m4
+            FROM scored x JOIN sums s ON x.t = s.t AND x.g = s.g GROUP BY 1, 2)
+SELECT metric, g AS "group", CASE WHEN n >= 3 AND var > 0 THEN 'completed' ELSE 'skipped' END AS status,
+  CASE WHEN n < 3 THEN 'Fewer than 3 observations.' WHEN var <= 0 THEN 'All values are identical.' ELSE '' END AS reason, n,
+  CASE WHEN n >= 3 AND var > 0 THEN w END AS statistic, CASE WHEN n >= 3 AND var > 0 THEN m3 / power(var, 1.5) END AS skewness,
+  CASE WHEN n >= 3 AND var > 0 THEN m4 / (var * var) - 3 END AS kurtosis, label
+FROM sums JOIN moments USING (t, g)"""
+
+
+@register("normality_checks", _NORMALITY_SQL, ["statistic", "skewness", "kurtosis"])
 def q_normality_checks(spark, sf):
-    """Shapiro-Wilk W and p per (metric, group) on <= 5000 hash-sampled rows (rows-only check)."""
-    return ST.normality_suite(pipeline(spark, sf).sessions)
+    """Shapiro-Francia statistic and moments per (metric, group) on all rows; p-values are checked in tests/."""
+    return ST.normality_suite(pipeline(spark, sf).sessions).drop("p_value", "interpretation")
 
 
 _NORM_SQL = " UNION ALL ".join(
-    f"SELECT '{m}' AS metric, CAST({g} AS VARCHAR) AS \"group\", count(*) AS n, LEAST(count(*), 5000) AS sample_n "
+    f"SELECT '{m}' AS metric, CAST({g} AS VARCHAR) AS \"group\", count(*) AS n "
     f"FROM sessions WHERE {m} IS NOT NULL AND {g} IS NOT NULL GROUP BY {g}"
     for m, g, _ in ST.NORMALITY_SUITE
 )
@@ -531,8 +554,8 @@ _NORM_SQL = " UNION ALL ".join(
 
 @register("normality_sample_sizes", "WITH " + S.strip() + "\n" + _NORM_SQL)
 def q_normality_sample_sizes(spark, sf):
-    """Group sizes and bounded-sample sizes of the normality suite (exact)."""
-    return ST.normality_suite(pipeline(spark, sf).sessions).select("metric", "group", "n", "sample_n")
+    """Rows behind each statistic of the normality suite: all of the group."""
+    return ST.normality_suite(pipeline(spark, sf).sessions).select("metric", "group", "n")
 
 
 # ---------------------------------------------------------------------------
@@ -555,11 +578,31 @@ def q_model_frame(spark, sf):
     return M.model_frame(pipeline(spark, sf).sessions).select("session_key", *M.CATEGORICAL_FEATURES)
 
 
-@register("train_test_split", None)
+@register("train_test_split", "WITH " + S.strip() + f""",
+ranked AS (
+  SELECT session_key, converted_purchase, count(*) OVER (PARTITION BY converted_purchase) AS n,
+    row_number() OVER (PARTITION BY converted_purchase ORDER BY substr(md5('{M.SEED}:' || session_key), 1, 13)) AS r
+  FROM sessions)
+SELECT session_key, converted_purchase, CASE WHEN r <= round(n * 0.25) THEN 'test' ELSE 'train' END AS split FROM ranked""")
 def q_train_test_split(spark, sf):
-    """M3: rows and purchase rate per split (hash split, about 25 % test per class)."""
-    s = pipeline(spark, sf).sessions.withColumn("split", F.when(M.split_flag() == 1, "test").otherwise("train"))
-    return s.groupBy("split", M.TARGET).agg(F.count(F.lit(1)).alias("sessions"))
+    """M3: the split of every session, a quarter of each class for testing."""
+    s = M.with_split(pipeline(spark, sf).sessions)
+    return s.select("session_key", M.TARGET, F.when(F.col("_test") == 1, "test").otherwise("train").alias("split"))
+
+
+@register("model_frame_statistics", "WITH " + S.strip() + f""",
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY converted_purchase ORDER BY substr(md5('{M.SEED}:' || session_key), 1, 13))
+    > round(count(*) OVER (PARTITION BY converted_purchase) * 0.25) AS train
+  FROM sessions)
+""" + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CAST({c} AS DOUBLE)) AS mean, stddev_pop(CAST({c} AS DOUBLE)) AS sd FROM ranked WHERE train"
+                         for c in M.NUMERIC_FEATURES), ["mean", "sd"])
+def q_model_frame_statistics(spark, sf):
+    """M5: mean and population deviation of each numeric feature over the training rows."""
+    train = M.with_split(pipeline(spark, sf).sessions).where("_test = 0")
+    row = train.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).cast("double")).alias("mean"),
+                               F.stddev_pop(F.col(c).cast("double")).alias("sd")).alias(f"s{i}") for i, c in enumerate(M.NUMERIC_FEATURES)])
+    return row.select(F.explode(F.array(*row.columns)).alias("s")).select("s.*")
 
 
 @register("model_performance", None)
@@ -577,6 +620,38 @@ def q_model_coefficient_feed(spark, sf):
     return M.coefficient_feed(pipeline(spark, sf).model.importance)
 
 
+@register("high_intent_segments_checkout", None)
+def q_high_intent_segments_checkout(spark, sf):
+    """M15 on the checkout taxonomy, in which fewer sessions buy and the queue is not empty."""
+    return pipeline(spark, sf, "checkout").model.high_intent
+
+
+@register("model_metrics_fixed_score", "WITH " + S.strip() + f""",
+scored AS (SELECT converted_purchase AS y, ({"(journey_depth_pre_purchase + engagement_seconds_winsorized / (engagement_seconds_winsorized + 60.0)) / 5.0"}) AS s FROM sessions),
+c AS (SELECT count(*) FILTER (WHERE y = 0 AND s < 0.5) AS tn, count(*) FILTER (WHERE y = 0 AND s >= 0.5) AS fp,
+             count(*) FILTER (WHERE y = 1 AND s < 0.5) AS fn, count(*) FILTER (WHERE y = 1 AND s >= 0.5) AS tp FROM scored),
+r AS (SELECT y, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk,
+             sum(y) OVER (ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above_pos,
+             count(*) OVER (ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS above FROM scored),
+m AS (SELECT sum(rk) FILTER (WHERE y = 1) AS rp, CAST(sum(y) AS DOUBLE) AS p, CAST(count(*) - sum(y) AS DOUBLE) AS q,
+             sum(CAST(above_pos AS DOUBLE) / above) FILTER (WHERE y = 1) AS ap FROM r)
+SELECT tn, fp, fn, tp, CAST(tp AS DOUBLE) / (tp + fp) AS precision, CAST(tp AS DOUBLE) / (tp + fn) AS recall,
+  CAST(tn + tp AS DOUBLE) / (tn + fp + fn + tp) AS accuracy,
+  (rp - p * (p + 1) / 2) / (p * q) AS roc_auc, ap / p AS average_precision FROM c, m""",
+          ["precision", "recall", "accuracy", "roc_auc", "average_precision"])
+def q_model_metrics_fixed_score(spark, sf):
+    """M9-M11 fed a fixed score: confusion counts, threshold metrics, ROC AUC and average precision."""
+    s = pipeline(spark, sf).sessions.select(F.col(M.TARGET).alias("label"), F.expr(_FIXED_SCORE).alias("score"))
+    hit, yes = F.col("score") >= 0.5, F.col("label") == 1
+    row = s.agg(F.count_if(~yes & ~hit).alias("tn"), F.count_if(~yes & hit).alias("fp"),
+                F.count_if(yes & ~hit).alias("fn"), F.count_if(yes & hit).alias("tp"))
+    ranks = M.rank_metrics(s)
+    return row.select("*", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"),
+                      F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"),
+                      F.try_divide(F.col("tn") + F.col("tp"), F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("accuracy"),
+                      F.lit(ranks["roc_auc"]).alias("roc_auc"), F.lit(ranks["average_precision"]).alias("average_precision"))
+
+
 @register("high_intent_segments", None)
 def q_high_intent_segments(spark, sf):
     return pipeline(spark, sf).model.high_intent
@@ -602,22 +677,43 @@ def q_high_intent_fixed(spark, sf):
 
 
 # ---------------------------------------------------------------------------
-# Structured Streaming (rows-only: append mode emits only windows the
-# watermark has closed, so the last open sessions / day are still in state)
+# Structured Streaming: append mode emits the windows that the watermark (latest event less the
+# delay) has closed; sessions and days still open at the end of the log stay in state
 # ---------------------------------------------------------------------------
 from clickpath.streaming import jobs as SJ  # noqa: E402
 
 
-@register("streaming_sessions", None)
-def q_streaming_sessions(spark, sf):
+def stream_table(spark, sf, name, aggregate):
+    """Result of one streaming aggregate over a folder's event log, run once an application and folder."""
     events = SJ.stream_events(spark, f"{sf.rstrip('/')}/events.parquet")
-    return spark.read.parquet(SJ.run_to_table(SJ.session_counts(events), "sessions"))
+    place = hashlib.sha256(sf.rstrip("/").encode()).hexdigest()[:16]
+    return spark.read.parquet(SJ.run_to_table(aggregate(events), f"{name}-{place}"))
 
 
-@register("streaming_daily", None)
+@register("streaming_sessions", "WITH " + O.events_ctes().strip() + f""",
+late AS (SELECT max(event_time) - INTERVAL 8 HOUR AS mark FROM typed_events)
+SELECT user_id, min(event_time) AS session_start, max(event_time) + INTERVAL 8 HOUR AS session_end, count(*) AS event_count,
+  count(*) FILTER (WHERE event_type = 'view') AS view_item_count, count(*) FILTER (WHERE event_type = 'cart') AS add_to_cart_count,
+  count(*) FILTER (WHERE event_type = 'purchase') AS purchase_count,
+  COALESCE({O.esum('price', "event_type = 'purchase'")}, 0.0) AS purchase_revenue_usd
+FROM clean_events GROUP BY user_id, user_session HAVING max(event_time) + INTERVAL 8 HOUR <= (SELECT mark FROM late)""",
+          ["purchase_revenue_usd"], {"session_start": "ts", "session_end": "ts"})
+def q_streaming_sessions(spark, sf):
+    """The sessions that the stream has closed."""
+    return stream_table(spark, sf, "sessions", SJ.session_counts)
+
+
+@register("streaming_daily", "WITH " + O.events_ctes().strip() + f""",
+late AS (SELECT max(event_time) - INTERVAL 1 HOUR AS mark FROM typed_events)
+SELECT event_date AS event_dt, count(*) AS total_events, count(DISTINCT user_id) AS users,
+  count(*) FILTER (WHERE event_type = 'view') AS page_views, count(*) FILTER (WHERE event_type = 'cart') AS add_to_cart_events,
+  count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,
+  COALESCE({O.esum('price', "event_type = 'purchase'")}, 0.0) AS purchase_revenue_usd
+FROM typed_events GROUP BY event_date HAVING event_date + INTERVAL 1 DAY <= (SELECT mark FROM late)""",
+          ["purchase_revenue_usd"], {"event_dt": "date"})
 def q_streaming_daily(spark, sf):
-    events = SJ.stream_events(spark, f"{sf.rstrip('/')}/events.parquet")
-    return spark.read.parquet(SJ.run_to_table(SJ.daily_counts(events), "daily"))
+    """The days that the stream has closed."""
+    return stream_table(spark, sf, "daily", SJ.daily_counts)
 
 
 # ---------------------------------------------------------------------------

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import types as T
 
-from clickpath.functions.columns import clean_category, landing_path, to_number
+from clickpath.functions.columns import clean_category, exact_avg, exact_sum, landing_path, strip, to_number
 
 
 def spec_path(value):
@@ -67,3 +67,21 @@ def test_clean_category(spark):
 ])
 def test_to_number(spark, raw, expected):
     assert _apply(spark, [raw], to_number) == [expected]
+
+
+def test_exact_sums_of_large_and_small_values(spark):
+    df = spark.createDataFrame([(3e12, 1e-7), (3e12, 2e-7), (4e12, None)], "big double, small double")
+    row = df.agg(exact_sum("big").alias("b"), exact_avg("big").alias("m"), exact_avg("small").alias("s"),
+                 exact_sum("small").alias("t")).first()
+    assert row.b == 1e13 and row.m == 1e13 / 3
+    assert row.s == pytest.approx(1.5e-7, rel=1e-12) and row.t == pytest.approx(3e-7, rel=1e-12)
+    means = spark.createDataFrame([(1.0,), (1.0,), (2.0,)], "x double").agg(exact_avg("x").alias("m")).first()
+    assert means.m == 4 / 3
+    none = spark.createDataFrame([(None,), (float("inf"),)], "x double").agg(exact_sum("x").alias("a"), exact_avg("x").alias("b")).first()
+    assert none.a is None and none.b is None
+
+
+def test_strip_takes_unicode_blanks(spark):
+    rows = [("\u00a0x\u3000",), (" \t a b\r\n\x1c",), ("\u2003",), (None,)]
+    got = [r.s for r in spark.createDataFrame(rows, "t string").select(strip("t").alias("s")).collect()]
+    assert got == [None if t is None else t.strip() for (t,) in rows]

@@ -68,7 +68,7 @@ def newton_logistic(X, y, s, iters=50):
 
 
 def test_coefficients_match_newton_solve(spark):
-    from clickpath.operators.model import split_flag
+    from clickpath.operators.model import with_split
 
     rng = np.random.default_rng(11)
     n = 600
@@ -80,7 +80,7 @@ def test_coefficients_match_newton_solve(spark):
     res = train_purchase_model(df)
     coef = {r.feature: r.coefficient for r in res.importance.collect()}
 
-    train = df.withColumn("_t", split_flag()).where("_t = 0").toPandas()
+    train = with_split(df, name="_t").where("_t = 0").toPandas()
     X = train[["event_count_winsorized", "page_view_count"]].to_numpy()
     X = (X - X.mean(0)) / X.std(0)  # population sd, as the model scales
     yt = train.converted_purchase.to_numpy()
@@ -91,22 +91,22 @@ def test_coefficients_match_newton_solve(spark):
 
 
 def test_split_is_about_a_quarter_per_class(spark):
-    from clickpath.operators.model import split_flag
+    from clickpath.operators.model import with_split
     from clickpath.plans.pipeline import pipeline
 
-    s = pipeline(spark, "/root/testdata/sf0.01").sessions.withColumn("_t", split_flag())
+    s = with_split(pipeline(spark, "/root/testdata/sf0.01").sessions, name="_t")
     for r in s.groupBy("converted_purchase").agg(F.avg("_t").alias("share")).collect():
         assert 0.2 < r.share < 0.3
 
 
 def test_unseen_level_gets_no_column(spark):
-    from clickpath.operators.model import split_flag
+    from clickpath.operators.model import with_split
 
     rng = np.random.default_rng(3)
     n = 400
     pdf = pd.DataFrame({"session_key": [f"u{i}" for i in range(n)], "converted_purchase": rng.integers(0, 2, size=n),
                         "event_count_winsorized": rng.random(n)})
-    df = spark.createDataFrame(pdf).withColumn("_t", split_flag())
+    df = with_split(spark.createDataFrame(pdf), name="_t")
     # 'tablet' appears on test rows only; 'desktop' / 'mobile' on training rows
     df = df.withColumn("device_category", F.when(F.col("_t") == 1, F.lit("tablet"))
                        .otherwise(F.when(F.col("event_count_winsorized") > 0.5, "desktop").otherwise("mobile"))).drop("_t")

@@ -13,8 +13,8 @@ sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 import __spark_entry__ as e
-rows = e.queries()["statistical_tests"](spark, "/root/testdata/sf0.001").select("p_value").collect()
-assert any(r.p_value is not None for r in rows)
+rows = e.queries()["test_table_feed"](spark, "/root/testdata/sf0.001").select("p_value_display").collect()
+assert any(r.p_value_display is not None for r in rows)
 print("OK")
 """
 

@@ -37,7 +37,7 @@ def test_quantiles_both_paths(spark):
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
     exact = np.quantile(pdf.v.to_numpy(), probs)
     small = quantiles(df, ["v"], probs)["v"]
-    large = quantiles(df, ["v"], probs, distinct_limit=0)["v"]  # force the rank-histogram path
+    large = quantiles(df, ["v"], probs)["v"]
     assert np.allclose(small, exact, rtol=0, atol=1e-9)
     assert np.allclose(large, exact, rtol=0, atol=1e-9)
 
@@ -61,6 +61,6 @@ def test_quantiles_many_large_columns(spark):
                         "c": np.where(rng.random(2000) < 0.3, np.nan, rng.random(2000))})
     df = spark.createDataFrame(pdf).withColumn("c", F.when(F.isnan("c"), None).otherwise(F.col("c")))
     probs = [0.25, 0.5, 0.75]
-    got = quantiles(df, ["a", "b", "c"], probs, distinct_limit=0)
+    got = quantiles(df, ["a", "b", "c"], probs)
     for col in "abc":
         assert np.allclose(got[col], np.nanquantile(pdf[col].to_numpy(), probs), atol=1e-12)

@@ -57,3 +57,25 @@ def test_session_start_marks_first_event(spark):
         "event_id", "event_time", "user_session", "session_start").toPandas()
     first = pdf.sort_values(["event_time", "event_id"]).groupby("user_session").event_id.first()
     assert set(pdf.loc[pdf.session_start == 1, "event_id"]) == set(first)
+
+
+def test_log_without_event_ids_and_with_repeats(spark):
+    """The same sessions with or without ids, however the rows are dealt; a repeated event makes no second session."""
+    from pyspark.sql import functions as F
+
+    from clickpath.operators.sessions import session_features
+    rows = [("u", "2024-01-01 10:00:00", "view", "p1", "b"), ("u", "2024-01-01 10:00:00", "view", "p2", "a"),
+            ("u", "2024-01-01 11:00:00", "cart", "p1", "b"), ("u", "2024-01-02 10:00:00", "view", "p1", "c"),
+            ("v", "2024-01-01 10:00:00", "purchase", "p1", "b")]
+    df = spark.createDataFrame(rows, "user_id string, t string, event_type string, product_id string, category_code string")
+    df = df.select("*", F.col("t").cast("timestamp").alias("event_time"), F.lit(1.5).alias("price")).drop("t")
+    results = set()
+    for parts in (1, 5):
+        out = sessionize(df.repartition(parts))
+        assert {(r.user_session, r.n) for r in out.groupBy("user_session").agg(F.count("*").alias("n")).collect()} == {("u-0", 3), ("u-1", 1), ("v-0", 1)}
+        results.add(tuple(sorted((r.session_key, r.landing_page_title) for r in session_features(out).collect())))
+    assert len(results) == 1
+    ided = df.withColumn("event_id", F.monotonically_increasing_id())
+    twice = sessionize(ided.union(ided))
+    got = {r.session_key: r.event_count for r in session_features(twice).collect()}
+    assert got == {"u-0": 6, "u-1": 2, "v-0": 2}
