@@ -122,10 +122,12 @@ def with_next_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of a thin table; the texts are shuffled once, and of each next text only as many
     characters as are wanted.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    thin = with_fingerprint(rows, "text", "fp").select("id", "h", F.char_length("text").cast("long").alias("n"), "fp")
-    order = (F.desc_nulls_last("id"), F.asc("h"))
+    zero = F.lit("0").cast(docs.schema[id_col].dataType)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).select(
+        "text", F.xxhash64("text").alias("h"), F.col("id").isNull().alias("none"), F.coalesce("id", zero).alias("key"))
+    thin = with_fingerprint(rows, "text", "fp").select(F.when(~F.col("none"), F.col("key")).alias("id"), "h", F.char_length("text").cast("long").alias("n"), "fp")
     thin = keep(thin, "fingerprints").dropDuplicates(["id", "h"])
+    order = (F.desc_nulls_last("id"), F.asc("h"))
     parts = in_order(thin, *order)
     inside = Window.partitionBy("_part").orderBy(*order)
     mark = F.struct("id", "h", "fp", "n")
@@ -139,18 +141,22 @@ def with_next_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.coalesce(F.lag("_last").over(across), F.last("_last").over(whole)).alias("_before"))
     joined = seen.join(ends, "_part").select(
         "id", "h", "n", "fp", F.coalesce("_next", "_after").alias("nx"), F.coalesce("_prev", "_before").alias("pv"))
-    plan = joined.select(F.col("id").alias("pid"), F.col("h").alias("ph"), "n", "fp", F.col("nx.fp").alias("next_fp"),
-                         F.col("pv.id").alias("to_id"), F.col("pv.h").alias("to_h"),
-                         F.floor(F.col("pv.n") / 2).cast("int").alias("want"))
-    whole_rows = rows.join(plan, F.col("id").eqNullSafe(F.col("pid")) & (F.col("h") == F.col("ph"))).drop("pid", "ph")
-    heads = (whole_rows.select("to_id", "to_h", F.expr("substring(text, 1, want)").alias("head"))
-             .dropDuplicates(["to_id", "to_h"]))
-    out = whole_rows.drop("to_id", "to_h", "want").join(
-        heads, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+    named = lambda c: [F.col(f"{c}.id").isNull().alias("to_none"), F.coalesce(F.col(f"{c}.id"), zero).alias("to_key"), F.col(f"{c}.h").alias("to_h")]
+    plan = joined.select(F.col("id").isNull().alias("none"), F.coalesce("id", zero).alias("key"), "h", "n", "fp",
+                         F.col("nx.fp").alias("next_fp"), *named("pv"), F.floor(F.col("pv.n") / 2).cast("int").alias("want"))
+    own = ["none", "key", "h"]
+    plan = keep(plan, "neighbours")
+    whole_rows = rows.join(plan, own)
+    # of equal rows one passes its beginning on; they already stand together
+    first = F.row_number().over(Window.partitionBy(*own).orderBy(*own))
+    heads = (whole_rows.withColumn("_first", first).where("_first = 1")
+             .select(F.col("to_none").alias("none"), F.col("to_key").alias("key"), F.col("to_h").alias("h"),
+                     F.expr("substring(text, 1, want)").alias("head")))
+    out = whole_rows.drop("to_none", "to_key", "to_h", "want").join(heads, own)
     keep_n = (F.col("n") - F.floor(F.col("n") / 2)).cast("int")
     out = out.withColumn("edited", F.concat(F.substring("text", F.lit(1), keep_n), F.col("head")))
     return with_fingerprint(out, "edited", "edited_fp").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_chars"), "edited", "fp", "edited_fp", "next_fp")
+        F.when(~F.col("none"), F.col("key")).alias(id_col), F.col("n").alias("n_chars"), "edited", "fp", "edited_fp", "next_fp")
 
 
 def _down(column: str) -> Column:
