@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from clickpath.llm.bpe_model import BpeModel
+from clickpath.llm.bpe_model import BpeModel, token_bytes
 from clickpath.llm.common import arrow_batches, text_of, worker_state
 from clickpath.llm.pretokens import PieceTable, Splitter, blocks, slices
 
@@ -49,7 +49,7 @@ def load_vocabulary(path: str) -> str:
 
 def worker_model(spec: str) -> tuple[BpeModel, Splitter, PieceTable]:
     """The worker's model, splitter and table of known pre-tokens."""
-    return worker_state(("bpe", spec), lambda: (BpeModel(spec), Splitter(), PieceTable(CACHE_PIECES)))
+    return worker_state("bpe", "model", spec, lambda: (BpeModel(spec), Splitter(), PieceTable(CACHE_PIECES)))
 
 
 def encode_texts(model: BpeModel, splitter: Splitter, table: PieceTable, texts: list[str | bytes]):
@@ -104,8 +104,8 @@ def encode_singly(model: BpeModel, text: str) -> np.ndarray:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-           vocabulary: str | None = None) -> DataFrame:
-    """(id, ids) of every whole text."""
+           vocabulary: str | None = None, decoded: bool = False) -> DataFrame:
+    """(id, ids) of every whole text, and with ``decoded`` the text that the ids decode to."""
     spark = docs.sparkSession
     arrow_batches(spark)
     spec = spark.sparkContext.broadcast(load_vocabulary(vocabulary or default_vocabulary()))
@@ -116,11 +116,28 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids, sizes = encode_texts(model, splitter, table, batch.column(1).cast(pa.binary()).to_pylist())
             if len(ids) >= 1 << 31:
                 raise ValueError("a batch of texts has over 2^31 tokens")
-            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[id_col, "ids"])
+            ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
+            out = [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
+            if decoded:
+                out.append(decode_lists(model.bytes_of, ids, ends))
+            yield pa.RecordBatch.from_arrays(out, names=[id_col, "ids", "text"][:len(out)])
 
     rows = docs.select(F.col(id_col), text_of(text_col).alias(text_col))
-    return rows.mapInArrow(run, StructType([docs.schema[id_col], StructField("ids", ArrayType(IntegerType()))]))
+    fields = [docs.schema[id_col], StructField("ids", ArrayType(IntegerType()))]
+    return rows.mapInArrow(run, StructType(fields + [StructField("text", StringType())] * decoded))
+
+
+def decode_lists(tokens: list[bytes], ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The text of each slice of ids."""
+    if len(ids) and ids.min() < 0:
+        raise ValueError("a negative token id")
+    return pa.array([b"".join(map(tokens.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace")
+                     for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(id, ids, text) of every whole text: ``encode`` and ``decode`` of its ids, in one map."""
+    return encode(docs, id_col, text_col, vocabulary, decoded=True)
 
 
 def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
@@ -131,17 +148,11 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids",
     spec = spark.sparkContext.broadcast(load_vocabulary(vocabulary or default_vocabulary()))
 
     def run(batches):
-        model = worker_model(spec.value)[0]
+        tokens = worker_state("bpe", "tokens", spec.value, lambda: token_bytes(spec.value))
         for batch in batches:
             lists = batch.column(1)
-            ids, ends = lists.values.to_numpy().tolist(), lists.offsets.to_pylist()
-            texts = []
-            for a, b in zip(ends, ends[1:]):
-                if a < b and min(ids[a:b]) < 0:
-                    raise ValueError("a negative token id")
-                texts.append(b"".join(map(model.bytes_of.__getitem__, ids[a:b])).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(texts, pa.string())],
-                                             names=[id_col, "ids", "text"])
+            texts = decode_lists(tokens, lists.values.to_numpy(), lists.offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts], names=[id_col, "ids", "text"])
 
     rows = tokens.select(F.col(id_col), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
     return rows.mapInArrow(run, StructType([tokens.schema[id_col], StructField("ids", ArrayType(IntegerType())),

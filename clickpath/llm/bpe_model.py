@@ -33,6 +33,20 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_bytes(tokenizer_json: str) -> list[bytes]:
+    """The bytes of every id; a special token's are its string's."""
+    spec = json.loads(tokenizer_json)
+    alphabet = byte_alphabet()
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    out = [b""] * (1 + max([*spec["model"]["vocab"].values(), *special.values()]))
+    for s, i in spec["model"]["vocab"].items():
+        if s not in special:
+            out[i] = bytes(alphabet[c] for c in s)
+    for s, i in special.items():
+        out[i] = s.encode()
+    return out
+
+
 class IntTable:
     """Lookup of many non-negative integer keys at once: open addressing in two arrays."""
 
@@ -86,22 +100,18 @@ class BpeModel:
         self.special = {t["content"]: t["id"] for t in specials}
         self.special_split = re.compile("(" + "|".join(
             re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.id_of = {to_bytes(s): i for s, i in model["vocab"].items() if s not in self.special}
-        self.size = 1 + max([*self.id_of.values(), *self.special.values()])
-        self.bytes_of = [b""] * self.size
-        for b, i in self.id_of.items():
-            self.bytes_of[i] = b
-        for s, i in self.special.items():
-            self.bytes_of[i] = s.encode()
-        self.byte_id = [self.id_of[bytes([b])] for b in range(256)]
-        self._merges(model["merges"], to_bytes)
+        self.bytes_of = token_bytes(tokenizer_json)
+        self.size = len(self.bytes_of)
+        id_of = {to_bytes(s): i for s, i in model["vocab"].items() if s not in self.special}
+        self.byte_id = [id_of[bytes([b])] for b in range(256)]
+        self._merges(model["merges"], to_bytes, id_of)
         self._library = None
 
-    def _merges(self, merges, to_bytes) -> None:
+    def _merges(self, merges, to_bytes, id_of) -> None:
         pairs = [m if isinstance(m, (list, tuple)) else m.split(" ", 1) for m in merges]
-        left = np.array([self.id_of[to_bytes(a)] for a, _ in pairs], np.int64)
-        right = np.array([self.id_of[to_bytes(b)] for _, b in pairs], np.int64)
-        made = np.array([self.id_of[to_bytes(a) + to_bytes(b)] for a, b in pairs], np.int64)
+        left = np.array([id_of[to_bytes(a)] for a, _ in pairs], np.int64)
+        right = np.array([id_of[to_bytes(b)] for _, b in pairs], np.int64)
+        made = np.array([id_of[to_bytes(a) + to_bytes(b)] for a, b in pairs], np.int64)
         rank = np.arange(len(pairs), dtype=np.int64)
         # the first merge that makes a token gives its parts; bytes have rank -1
         self.rank = np.full(self.size, -1, np.int64)
@@ -110,8 +120,7 @@ class BpeModel:
             target[made[::-1]] = source[::-1]
         self.made = made
         self.pairs = IntTable(left * self.size + right, rank)
-        self.merge_of = {(a, b): (r, m) for a, b, r, m in
-                         zip(left.tolist(), right.tolist(), rank.tolist(), made.tolist())}
+        self.merges = left, right
         # a token may be proposed only if it is its own encoding
         self.sound = np.zeros(self.size, bool)
         self.sound[self.byte_id] = True
@@ -136,7 +145,8 @@ class BpeModel:
             ends[node] = token
         self.step = IntTable(np.fromiter(step.keys(), np.int64, len(step)),
                              np.fromiter(step.values(), np.int64, len(step)))
-        self.step_of, self.ends = step, np.array(ends, np.int64)
+        self.ends = np.array(ends, np.int64)
+        self._step_of = self._merge_of = None
 
     def _rank_of_pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         r = self.pairs.get(a * self.size + b)
@@ -225,7 +235,10 @@ class BpeModel:
     def propose_one(self, piece: bytes) -> list[int]:
         """Greedy longest match of one long pre-token."""
         out, at, n = [], 0, len(piece)
-        step, ends = self.step_of, self.ends
+        if self._step_of is None:  # only texts with long pre-tokens need it
+            held = np.flatnonzero(self.step.keys >= 0)
+            self._step_of = dict(zip(self.step.keys[held].tolist(), self.step.values[held].tolist()))
+        step, ends = self._step_of, self.ends
         while at < n:
             node, i, token, stop = 0, at, 0, at
             while i < n:
@@ -244,7 +257,10 @@ class BpeModel:
         ids = [self.byte_id[b] for b in piece]
         n = len(ids)
         after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
-        merge_of = self.merge_of
+        if self._merge_of is None:
+            left, right = self.merges
+            self._merge_of = {(a, b): (r, m) for r, (a, b, m) in enumerate(zip(left.tolist(), right.tolist(), self.made.tolist()))}
+        merge_of = self._merge_of
         heap = [(*merge_of[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in merge_of]
         heap = [(r, i, made, ids[i], ids[i + 1]) for r, made, i in heap]
         heapq.heapify(heap)

@@ -39,14 +39,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_state(key: tuple, make):
-    """A value that lives as long as the Python worker: built on first use, then shared
-    by all tasks this worker runs."""
+def worker_state(owner: str, name: str, key, make):
+    """A value that lives as long as the Python worker: built on first use, then shared by all tasks of
+    ``owner`` that this worker runs. There is one value a name, replaced when its key changes, and
+    another owner's values are dropped, so a worker that serves many jobs holds the state of one."""
     home = sys.modules.setdefault("_clickpath_worker_state", types.ModuleType("_clickpath_worker_state"))
-    held = home.__dict__.setdefault("held", {})
-    if key not in held:
-        held[key] = make()
-    return held[key]
+    if home.__dict__.get("owner") != owner:
+        home.owner, home.held = owner, {}
+    if name not in home.held or home.held[name][0] != key:
+        home.held.pop(name, None)
+        home.held[name] = (key, make())
+    return home.held[name][1]
 
 
 def text_of(column: str | None):

@@ -262,8 +262,8 @@ def identify(docs: DataFrame, trees: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches):
         key, *learned = model.value
-        splitter = worker_state(("splitter",), Splitter)
-        costs = worker_state(("ppm", key), lambda: WordCosts(Trees(*learned)))
+        splitter = worker_state("language id", "splitter", 0, Splitter)
+        costs = worker_state("language id", "costs", key, lambda: WordCosts(Trees(*learned)))
         for batch in batches:
             lang, score, rate = judge(costs.trees.langs, text_costs(splitter, costs, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays(

@@ -116,7 +116,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
     known = templates or TEMPLATES
 
     def run(batches):
-        scanner = worker_state(("licences", least, str(known)), lambda: Scanner(known, least))
+        scanner = worker_state("licences", "scanner", (least, str(known)), lambda: Scanner(known, least))
         for batch in batches:
             grams = scanner.bigrams(batch.column(1).cast(pa.binary()).to_pylist())
             found = [scanner.matches(g) for g in grams]

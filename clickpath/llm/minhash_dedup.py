@@ -64,7 +64,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
         return low
 
     def run(batches):
-        shingler = worker_state(("shingler", words), lambda: Shingler(words))
+        shingler = worker_state("shingles", "shingler", words, lambda: Shingler(words))
         for batch in batches:
             sets = shingler.sets(batch.column(1).cast(pa.binary()).to_pylist())
             n = np.array([len(s) for s in sets], np.int64)
@@ -109,7 +109,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, likeness: int) ->
     kind = pairs.schema["a"].dataType
 
     def run(batches):
-        shingler = worker_state(("shingler", words), lambda: Shingler(words))
+        shingler = worker_state("shingles", "shingler", words, lambda: Shingler(words))
         last, kept = None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -135,7 +135,7 @@ def lonely(texts: DataFrame, words: int, likeness: int) -> DataFrame:
     """(rep) of the documents of which so many shingles occur in no other one that no likeness is reached."""
 
     def run(batches):
-        shingler = worker_state(("shingler", words), lambda: Shingler(words))
+        shingler = worker_state("shingles", "shingler", words, lambda: Shingler(words))
         for batch in batches:
             sets = shingler.sets(batch.column(1).cast(pa.binary()).to_pylist())
             ends = np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32)

@@ -55,7 +55,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents")))
+    decoded = bpe_codec.round_trip(table(spark, sf_dir, "documents"))
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *bpe_codec.digests(F.col("ids"), F.col("text")))
 
 

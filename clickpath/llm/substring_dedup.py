@@ -84,7 +84,7 @@ def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     weight = rng.integers(0, 1 << 63, PARAGRAPH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
     def run(batches):
-        shingler = worker_state(("shingler", WORDS), lambda: Shingler(WORDS))
+        shingler = worker_state("shingles", "shingler", WORDS, lambda: Shingler(WORDS))
         for batch in batches:
             docs_, cols = batch.column(0).to_pylist(), [[] for _ in range(5)]
             for doc, words in zip(docs_, shingler.word_hashes(batch.column(1).cast(pa.binary()).to_pylist())):
@@ -122,7 +122,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
               .groupBy("doc").agg(F.collect_list(F.struct("start", "n", "whole")).alias("at")))
 
     def sets(batches):
-        shingler = worker_state(("shingler", WORDS), lambda: Shingler(WORDS))
+        shingler = worker_state("shingles", "shingler", WORDS, lambda: Shingler(WORDS))
         for batch in batches:
             whole, found = [], []
             for words, at in zip(shingler.word_hashes(batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_pylist()):

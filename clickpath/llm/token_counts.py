@@ -64,7 +64,7 @@ def frequent_pretokens(docs: DataFrame, text_col: str = "text", most: int = FREQ
     arrow_batches(docs.sparkSession)
 
     def run(batches):
-        splitter, summary = worker_state(("splitter",), Splitter), Summary(TASK_SUMMARY)
+        splitter, summary = worker_state("token counts", "splitter", 0, Splitter), Summary(TASK_SUMMARY)
         for batch in batches:
             for _, parts in blocks([t for t in batch.column(0).cast(pa.binary()).to_pylist() if t]):
                 sizes, data = np.array([len(p) for p in parts], np.int64), b"".join(parts)
@@ -130,9 +130,9 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tier_one = spark.sparkContext.broadcast(length_table(text, frequent))
 
     def run(batches):
-        model = worker_state(("bpe model", spec.value), lambda: BpeModel(spec.value))
-        splitter = worker_state(("splitter",), Splitter)
-        cache = worker_state(("bpe lengths", spec.value), lambda: PieceTable(CACHE_PIECES))
+        model = worker_state("token counts", "model", spec.value, lambda: BpeModel(spec.value))
+        splitter = worker_state("token counts", "splitter", 0, Splitter)
+        cache = worker_state("token counts", "lengths", spec.value, lambda: PieceTable(CACHE_PIECES))
         special = [s.encode() for s in model.special]
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()

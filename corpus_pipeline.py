@@ -73,7 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row."""
-    decoded = bpe_codec.decode(bpe_codec.encode(docs))
+    decoded = bpe_codec.round_trip(docs)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
                           *bpe_codec.digests(F.col("ids"), F.col("text")))
 
