@@ -245,18 +245,19 @@ def event_type_tally(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("events")).orderBy(F.desc("events"), "event_type")
 
 
-def headline_summary(sessions: DataFrame) -> DataFrame:
+def headline_summary(sessions: DataFrame, model_performance: DataFrame | None = None) -> DataFrame:
+    """Headline totals; with the model's performance row also its status and reason."""
     users = F.count_distinct("user_pseudo_id") if "user_pseudo_id" in sessions.columns else F.lit(None).cast("bigint")
-    return sessions.agg(
+    totals = sessions.agg(
         F.count(F.lit(1)).alias("sessions"),
         users.alias("users"),
         F.avg("converted_purchase").alias("purchase_rate"),
         F.coalesce(exact_sum("purchase_revenue_usd"), F.lit(0.0)).alias("revenue_usd"),
     )
-
-
-def significant_tests(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    return tests.agg(F.count_if((F.col("status") == "completed") & (F.col("p_value") < alpha)).alias("significant_tests"))
+    if model_performance is None:
+        return totals
+    status = model_performance.select("status", "reason").first()  # one row
+    return totals.withColumns({"model_status": F.lit(status["status"]), "model_reason": F.lit(status["reason"]).cast("string")})
 
 
 # ---------------------------------------------------------------------------
@@ -292,6 +293,8 @@ def _bubble(df: DataFrame, col: str, scale: float) -> DataFrame:
 
 
 def landing_matrix(landing: DataFrame, min_sessions: int = 25, top: int = 30) -> DataFrame:
+    if not {"sessions", "landing_path"} <= set(landing.columns):
+        return landing.limit(0)  # nothing to place: the columns are not there
     top_rows = landing.where(F.coalesce(F.col("sessions"), F.lit(0)) >= min_sessions).orderBy(
         F.desc("sessions"), F.asc("landing_path")
     ).limit(top)
@@ -299,6 +302,8 @@ def landing_matrix(landing: DataFrame, min_sessions: int = 25, top: int = 30) ->
 
 
 def product_friction_matrix(product: DataFrame, min_views: int = 10, top: int = 50) -> DataFrame:
+    if not {"product_views", "item_id"} <= set(product.columns):
+        return product.limit(0)
     top_rows = product.where(F.coalesce(F.col("product_views"), F.lit(0)) >= min_views).orderBy(
         F.desc("product_views"), F.asc("item_id")
     ).limit(top)

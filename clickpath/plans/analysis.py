@@ -60,6 +60,7 @@ def run_analysis(sessions: DataFrame, out_dir: str, landing: DataFrame | None =
     model = train_purchase_model(clean)
     tables = {
         "overall_funnel": sc.overall_funnel(clean),
+        "headline_summary": sc.headline_summary(clean, model.performance),
         "landing_page_scorecard": sc.landing_passthrough(landing) if landing is not None else sc.landing_scorecard(clean),
         "ux_behavior_segments": sc.behavior_segments(clean),
         "statistical_tests": st.hypothesis_suite(clean),

@@ -57,7 +57,16 @@ def div(a: str, b: str) -> str:
     return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
 
 
-def events_ctes(checkout: bool = False) -> str:
+def events_ctes(checkout: bool = False, given: bool = False) -> str:
+    """``given``: one session a user and day instead of sessions by gap."""
+    if given:
+        gap = events_ctes(checkout)
+        head = gap[:gap.index("gap_events AS (")]
+        return head + """clean_events AS (
+  SELECT event_id, event_time, event_type, product_id, category_code, brand, price, user_id,
+         user_id || '-' || strftime(event_time, '%Y%m%d') AS user_session, event_date
+  FROM typed_events
+)"""
     mapping = "WHEN 'click' THEN 'cart'" + (" WHEN 'signup' THEN 'checkout'" if checkout else "")
     kinds = "'view', 'cart', 'purchase'" + (", 'checkout'" if checkout else "")
     return f"""
@@ -92,7 +101,7 @@ clean_events AS (
 )"""
 
 
-def sessions_ctes(checkout: bool = False, device: bool = True) -> str:
+def sessions_ctes(checkout: bool = False, device: bool = True, given: bool = False) -> str:
     checkout_count = "count(*) FILTER (WHERE event_type = 'checkout')" if checkout else "count(*) FILTER (WHERE event_type = 'cart')"
     unique_types = (
         "CAST(view_item_count > 0 AS BIGINT) + CAST(add_to_cart_count > 0 AS BIGINT) + CAST(purchase_count > 0 AS BIGINT)"
@@ -134,7 +143,7 @@ def sessions_ctes(checkout: bool = False, device: bool = True) -> str:
         )
     wsel = ",\n    ".join(wcols)
     title = clean_category_sql("landing_page_title")
-    return f"""{events_ctes(checkout)},
+    return f"""{events_ctes(checkout, given)},
 session_base AS (
   SELECT user_session AS session_key,
     first(user_id ORDER BY event_time, event_id) AS user_pseudo_id,

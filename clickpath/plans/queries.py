@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickpath.functions.columns import clean_category, landing_path, to_number
 from clickpath.operators import scorecards as sc
-from clickpath.operators.sessions import dedup_keep_first, winsor_bounds
+from clickpath.operators.sessions import dedup_keep_first, session_features, winsor_bounds
 from clickpath.plans import oracle as O
 from clickpath.plans.pipeline import pipeline
 from clickpath.schema import LANDING_MEASURES, PRODUCT_MEASURES, WINSORIZED
-from clickpath.sources.tables import read_table
+from clickpath.sources.events import clean_events
+from clickpath.sources.fixture import fixture_events
+from clickpath.sources.tables import INGEST_ORDINAL, read_table
 
 
 # temporal output columns are rendered as ISO text on both sides, so the value
@@ -92,6 +94,28 @@ def q_session_features_checkout(spark, sf):
     return pipeline(spark, sf, "checkout").session_features
 
 
+@register("session_features_given", O.with_ctes(O.sessions_ctes(given=True), "SELECT * FROM session_features"), SESSION_DOUBLES,
+          SESSION_TIMES)
+def q_session_features_given(spark, sf):
+    """Sessions that the log names itself (user and day), from a log of text columns with four spellings of
+    time and no event ids: its order is its place in the log."""
+    return session_features(given_events(spark, sf), attributes=pipeline(spark, sf).user_attributes)
+
+
+def given_events(spark, sf):
+    """The event log as such a file has it, read through the cleaning step."""
+    raw = fixture_events(spark, sf)
+    text = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    spelled = (F.when(F.col("event_id") % 4 == 0, F.concat(text, F.lit(" UTC")))
+               .when(F.col("event_id") % 4 == 1, F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z")))
+               .when(F.col("event_id") % 4 == 2, F.concat(text, F.lit("+00:00"))).otherwise(text))
+    log = raw.select(
+        F.col("event_id").alias(INGEST_ORDINAL), spelled.alias("event_time"), "event_type", F.col("product_id").cast("string").alias("product_id"),
+        "category_code", "brand", F.col("price").cast("string").alias("price"), F.col("user_id").cast("string").alias("user_id"),
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("event_time", "yyyyMMdd")).alias("user_session"))
+    return clean_events(log)
+
+
 @register("sessions_dedup",
           O.with_ctes(S, "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY user_pseudo_id "
                          "ORDER BY session_start_ts, session_key) AS rn FROM session_features) WHERE rn = 1"),

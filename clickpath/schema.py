@@ -1,10 +1,10 @@
-"""Table layouts, the event taxonomy and the session-table conformer."""
+"""Table layouts, the event taxonomy and header rules."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
 # ---------------------------------------------------------------------------
 # Column names and orders of the tables the reference reads and
@@ -139,10 +139,3 @@ def normalize_header(name: str) -> str:
 
 def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[normalize_header(c) for c in df.columns])
-
-
-def conform(df: DataFrame, columns: list[str], defaults: dict) -> DataFrame:
-    """Add every missing column of ``columns`` with its default literal."""
-    present = set(df.columns)
-    missing = {c: F.lit(defaults[c]) for c in columns if c not in present and c in defaults}
-    return df.withColumns(missing) if missing else df

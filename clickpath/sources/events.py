@@ -22,7 +22,9 @@ def _as_timestamp(df: DataFrame, name: str, fmt: str) -> F.Column:
         return c.cast("timestamp_ntz")
     if isinstance(dtype, T.DateType):
         return c.cast("timestamp_ntz")
-    parsed = F.try_to_timestamp(c.cast("string"), F.lit(fmt))
+    text = c.cast("string")
+    # the named format, then any ISO spelling: T or blank, fraction, Z, offset, zone name or none (UTC)
+    parsed = F.coalesce(F.try_to_timestamp(text, F.lit(fmt)), F.try_to_timestamp(text))
     return parsed.cast("timestamp_ntz")
 
 
@@ -41,7 +43,7 @@ def clean_events(
 ) -> DataFrame:
     """Typed, filtered event log.
 
-    * event_time -> UTC timestamp, price -> double (bad values -> NULL)
+    * event_time -> UTC timestamp (``time_format`` or any ISO spelling), price -> double (bad values -> NULL)
     * rows lacking any required key are dropped
     * only the taxonomy's event types are kept
     * negative prices are dropped; a NULL price is kept and stays NULL
@@ -67,14 +69,15 @@ def clean_events(
 
 def read_event_log(spark, path: str, fmt: str = "csv") -> DataFrame:
     """A raw event log (CSV or parquet) read as text with a fixed schema and
-    normalised headers; ``clean_events`` does the typed coercion. A missing path
-    raises Spark's own PATH_NOT_FOUND error."""
+    normalised headers; ``clean_events`` does the typed coercion. A CSV log gets an ingest
+    ordinal (file split, row offset), so that of events at one time the first in the log is
+    first. A missing path raises Spark's own PATH_NOT_FOUND error."""
     from clickpath.schema import EVENT_SCHEMA
-    from clickpath.sources.tables import null_tokens_to_null
+    from clickpath.sources.tables import INGEST_ORDINAL, null_tokens_to_null
 
     if fmt == "csv":
         df = spark.read.option("header", True).schema(EVENT_SCHEMA).option("mode", "PERMISSIVE").csv(path)
     else:
         df = spark.read.parquet(path)
-    df = df.toDF(*[c.strip().lower() for c in df.columns])
-    return null_tokens_to_null(df)
+    df = null_tokens_to_null(df.toDF(*[c.strip().lower() for c in df.columns]))
+    return df.withColumn(INGEST_ORDINAL, F.monotonically_increasing_id()) if fmt == "csv" else df

@@ -41,3 +41,33 @@ def test_raw_event_log_to_sessions(spark):
     assert {r.ux_intent_segment for r in eng} == {"Purchasers", "Product detail browsers"}
     assert product_discovery(events).count() == 3
     assert [r.total_events for r in daily_overview(events).collect()] == [4, 1]
+
+
+def test_time_spellings(spark):
+    from pyspark.sql import functions as F
+
+    from clickpath.sources.events import clean_events
+    spelled = ["2020-09-24 11:57:06 UTC", "2020-09-24T11:57:06Z", "2020-09-24 11:57:06", "2020-09-24 11:57:06+00:00",
+               "2020-09-24T13:57:06.000+02:00", "not a time", None]
+    df = spark.createDataFrame([(t, "view", "p", "u", "s", "1.5") for t in spelled],
+                               "event_time string, event_type string, product_id string, user_id string, user_session string, price string")
+    got = [str(r.event_time) for r in clean_events(df).select(F.col("event_time")).collect()]
+    assert got == ["2020-09-24 11:57:06"] * 5
+
+
+def test_first_of_equal_times_is_the_first_in_the_log(spark, tmp_path):
+    from clickpath.operators.sessions import session_features
+    from clickpath.schema import EVENT_SCHEMA
+    from clickpath.sources.events import clean_events, read_event_log
+    path = tmp_path / "log.csv"
+    value = {"event_time": "2020-09-24 11:57:06 UTC", "event_type": "view", "brand": "b", "price": "1.0", "user_id": "u"}
+    names = EVENT_SCHEMA.fieldNames()
+    lines = [",".join(names)]
+    for k, c in enumerate(["zzz", "yyy", "aaa", "bbb"]):
+        row = value | {"product_id": str(k), "category_code": c, "user_session": f"s{k % 2}"}
+        lines.append(",".join(row.get(n, "1") for n in names))
+    path.write_text("\n".join(lines) + "\n")
+    events = clean_events(read_event_log(spark, str(path)))
+    for parts in (1, 4):
+        rows = {r.session_key: r.landing_page_title for r in session_features(events.repartition(parts)).collect()}
+        assert rows == {"s0": "zzz", "s1": "yyy"}
