@@ -153,8 +153,9 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc, start, n, cluster, kept) of every paragraph whose cluster occurs in several documents."""
     posted = (banded(docs, id_col, text_col).select("doc", "start", "n", "whole", F.explode("bands").alias("band")))
     place = F.struct("whole", "doc", "start", "n")
-    shared = (posted.groupBy("band").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
-              .where(F.col("_lo") < F.col("_hi")).select("band", "lo", "hi"))
+    # written, so that the join below shuffles both sides and a hot band's rows can be split
+    shared = keep(posted.groupBy("band").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
+                  .where(F.col("_lo") < F.col("_hi")).select("band", "lo", "hi"), "bands")
     members = keep(posted.join(shared, "band"), "paragraphs")
     # different paragraphs of a band: each with the smallest and the largest
     mixed = members.where(F.col("lo") < F.col("hi"))
