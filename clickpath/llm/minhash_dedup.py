@@ -86,7 +86,8 @@ def postings(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, n, tokens): the tokens that some other class also has; (rep, token): those of the prefix."""
     tokens = (classes.select("rep", "n", F.posexplode("sig").alias("at", "low"))
               .select("rep", "n", F.xxhash64("at", "low").alias("token")))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1)
+    # written, so that the join below shuffles both sides and a hot token's rows can be split
+    shared = keep(tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > 1), "shared")
     ranked = (tokens.join(shared, "token").groupBy("rep")
               .agg(F.min("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_t")))
     posted = F.greatest(F.lit(0), F.size("_t") - F.lit(COORDINATES - PREFIX))
