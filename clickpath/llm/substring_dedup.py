@@ -14,8 +14,8 @@ two paragraphs or more with 0.98 and more; exact repeats are always hit. Paragra
 meet its smallest and its largest member, not each other; equal paragraphs meet as one class.
 
 Linked paragraphs form clusters (connected components). A cluster that occurs in at least
-two documents is a repeat: its first occurrence (smallest id, then place) is kept and the
-others are removals. Neighbouring paragraphs of a document with the same decision are reported as
+two documents is a repeat: its first occurrence (smallest id, then place) is kept, with paragraphs
+of the cluster that overlap it, and the others are removals. Neighbouring paragraphs of a document with the same decision are reported as
 one span of words.
 
 Defined cases: null and empty texts have no paragraph; texts under ``LEAST_WORDS`` words neither
@@ -168,10 +168,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     places = (members.select("doc", "start", "n", "whole").distinct()
               .join(linked.select(F.col("node").alias("whole"), "component"), "whole", "left")
               .select("doc", "start", "n", F.coalesce("component", "whole").alias("cluster")))
-    clusters = (places.groupBy("cluster").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min(F.struct("doc", "start")).alias("_first"))
+    clusters = (places.groupBy("cluster").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min(F.struct("doc", "start", "n")).alias("_first"))
                 .where(F.col("_lo") < F.col("_hi")).select("cluster", "_first"))
     return places.join(clusters, "cluster").select(
-        "doc", "start", "n", "cluster", (F.struct("doc", "start") == F.col("_first")).alias("kept"))
+        "doc", "start", "n", "cluster",
+        ((F.col("doc") == F.col("_first.doc")) & (F.col("start") < F.col("_first.start") + F.col("_first.n"))).alias("kept"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
