@@ -205,14 +205,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = keep(pairs, "pairs")
         if not pairs.count():
             break
-        links = keep(confirmed(keep(agreeing(pairs, active, likeness), "candidates"), texts, words, likeness), "links")
+        links = keep(confirmed(agreeing(pairs, active, likeness), texts, words, likeness), "links")
+        seen = pairs if seen is None else seen.union(pairs)
+        if links.isEmpty():
+            continue  # the components stay as they are; the next round has other members
         own = comp.select(F.col("rep"), "comp")
         joined = (links.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b")
                   .where(F.col("ca") != F.col("cb")).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         found = components(joined)
         comp = keep(comp.join(found, F.col("comp") == F.col("node"), "left")
                     .select("rep", F.coalesce("component", "comp").alias("comp")).distinct(), "components")
-        seen = pairs if seen is None else seen.union(pairs)
     label = (classes.select("fp1", "fp2", "n", "rep").join(comp, "rep", "left")
              .select("fp1", "fp2", "n", F.coalesce("comp", "rep").alias("comp")))
     named = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
