@@ -18,8 +18,8 @@ of different components that has not been compared. No list is capped.
 
 Before any pair is made, posted documents are held against all the others' full sets at once: one in
 which more than a fifth of the shingles occur in no other posted document can't reach the
-likeness with any of them, and is taken out of the lists. This is exact, and it removes the documents that
-are half alike to many.
+likeness with any of them, and is taken out of the lists; and two documents are only compared if what
+neither has for its own is enough for the likeness. Both are exact.
 
 At a likeness of 0.8, the chance that fewer than MATCHES = 32 of 64 coordinates agree is
 below 1e-6 a pair.
@@ -132,8 +132,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, likeness: int) ->
             .mapInArrow(run, schema).where("same").select("a", "b"))
 
 
-def lonely(texts: DataFrame, words: int, likeness: int) -> DataFrame:
-    """(rep) of the documents of which so many shingles occur in no other one that no likeness is reached."""
+def own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, own, n) of the documents with shingles that occur in no other one: how many, and the set size."""
 
     def run(batches):
         shingler = worker_state("shingles", "shingler", words, lambda: Shingler(words))
@@ -147,8 +147,13 @@ def lonely(texts: DataFrame, words: int, likeness: int) -> DataFrame:
     schema = StructType([texts.schema["rep"], StructField("shingles", ArrayType(LongType()))])
     rows = texts.select("rep", "text").mapInArrow(run, schema).select("rep", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     alone = rows.groupBy("s").agg(F.count("*").alias("df"), F.min("rep").alias("rep"), F.min("n").alias("n")).where("df = 1")
-    return (alone.groupBy("rep").agg(F.count("*").alias("own"), F.min("n").alias("n"))
-            .where(100 * (F.col("n") - F.col("own")) < likeness * F.col("n")).select("rep"))
+    return alone.groupBy("rep").agg(F.count("*").alias("own"), F.min("n").alias("n"))
+
+
+def possible(n: str, own: str, n2: str, own2: str, likeness: int):
+    """Whether two sets can have the likeness: they share at most what neither has for its own."""
+    shared = F.least(F.col(n) - F.col(own), F.col(n2) - F.col(own2))
+    return 100 * shared >= likeness * (F.col(n) + F.col(n2) - shared)
 
 
 def _pair(x, y) -> list:
@@ -170,18 +175,18 @@ def star_pairs(labelled: DataFrame, round_no: int) -> DataFrame:
     return out.distinct()
 
 
-def open_pairs(labelled: DataFrame, active: DataFrame, likeness: int) -> DataFrame:
-    """In each list with several components: every pair of members of different ones whose sizes allow
-    the likeness. Members outside the list's largest component meet all others."""
+def open_pairs(labelled: DataFrame, sizes_of: DataFrame, likeness: int) -> DataFrame:
+    """In each list with several components: every pair of members of different ones whose sizes and own
+    shingles (rep, n, own) allow the likeness. Members outside the list's largest component meet all others."""
     sizes = labelled.groupBy("token", "comp").agg(F.count("*").alias("m"))
     main = (sizes.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
             .where(F.col("parts") > 1).select("token", "main"))
-    members = labelled.join(main, "token").join(active.select("rep", "n"), "rep")
-    x = members.where(F.col("comp") != F.col("main")).select("token", "rep", "comp", "n")
-    y = members.select("token", F.col("rep").alias("r2"), F.col("comp").alias("c2"), F.col("n").alias("n2"), "main")
+    members = labelled.join(main, "token").join(sizes_of, "rep")
+    x = members.where(F.col("comp") != F.col("main")).select("token", "rep", "comp", "n", "own")
+    y = members.select("token", F.col("rep").alias("r2"), F.col("comp").alias("c2"), F.col("n").alias("n2"), F.col("own").alias("own2"), "main")
     return (x.join(y, "token")
             .where((F.col("comp") != F.col("c2")) & ((F.col("c2") == F.col("main")) | (F.col("rep") < F.col("r2")))
-                   & (100 * F.least("n", "n2") >= likeness * F.greatest("n", "n2")))
+                   & possible("n", "own", "n2", "own2", likeness))
             .select(*_pair(F.col("rep"), F.col("r2"))).distinct())
 
 
@@ -194,12 +199,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     active, posted = postings(classes)
     texts = keep(docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
                  .join(active.select("rep").distinct(), "rep"), "texts")
-    posted = keep(posted.join(keep(lonely(texts, words, likeness), "lonely"), "rep", "left_anti"), "postings")
+    own = keep(own_shingles(texts, words), "own")
+    lonely = own.where(100 * (F.col("n") - F.col("own")) < likeness * F.col("n")).select("rep")
+    posted = keep(posted.join(lonely, "rep", "left_anti"), "postings")
+    sizes_of = keep(active.select("rep", "n").join(own.select("rep", "own"), "rep", "left")
+                    .select("rep", "n", F.coalesce("own", F.lit(0)).alias("own")), "sizes")
     comp = active.select("rep", F.col("rep").alias("comp")).distinct()
     seen = None
     for round_no in range(STAR_ROUNDS + 1):
         labelled = posted.join(comp, "rep")
-        pairs = star_pairs(labelled, round_no) if round_no < STAR_ROUNDS else open_pairs(labelled, active, likeness)
+        pairs = star_pairs(labelled, round_no) if round_no < STAR_ROUNDS else open_pairs(labelled, sizes_of, likeness)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
@@ -209,8 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         seen = pairs if seen is None else seen.union(pairs)
         if links.isEmpty():
             continue  # the components stay as they are; the next round has other members
-        own = comp.select(F.col("rep"), "comp")
-        joined = (links.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b")
+        joined = (links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
                   .where(F.col("ca") != F.col("cb")).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         found = components(joined)
         comp = keep(comp.join(found, F.col("comp") == F.col("node"), "left")
