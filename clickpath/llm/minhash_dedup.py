@@ -12,8 +12,8 @@ documents share is only posted by documents that consist mostly of shared text.
 
 Skip: what is wanted are the groups, so no list is expanded into all its pairs. In each
 round a posting list whose members are all in one component is skipped; in any other, each
-member meets one or two members of other components (``STAR_ROUNDS`` times, with other
-members each time). What is then still open is compared in full: every pair of members
+member meets one or two members of other components (at most ``STAR_ROUNDS`` times, and no more
+once a round has no new pair). What is then still open is compared in full: every pair of members
 of different components that has not been compared. No list is capped.
 
 Before any pair is made, posted documents are held against all the others' full sets at once: one in
@@ -205,19 +205,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes_of = keep(active.select("rep", "n").join(own.select("rep", "own"), "rep", "left")
                     .select("rep", "n", F.coalesce("own", F.lit(0)).alias("own")), "sizes")
     comp = active.select("rep", F.col("rep").alias("comp")).distinct()
-    seen = None
-    for round_no in range(STAR_ROUNDS + 1):
+    seen, round_no = None, 0
+    while round_no <= STAR_ROUNDS:
         labelled = posted.join(comp, "rep")
         pairs = star_pairs(labelled, round_no) if round_no < STAR_ROUNDS else open_pairs(labelled, sizes_of, likeness)
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
-        if not pairs.count():
-            break
+        last = round_no == STAR_ROUNDS
+        if pairs.isEmpty():
+            # the first and last members of the lists have all met: what lies between them is left to the last round
+            round_no = STAR_ROUNDS + last
+            continue
+        round_no += 1
         links = keep(confirmed(agreeing(pairs, active, likeness), texts, words, likeness), "links")
         seen = pairs if seen is None else seen.union(pairs)
         if links.isEmpty():
-            continue  # the components stay as they are; the next round has other members
+            continue  # the components stay as they are
         joined = (links.join(comp.toDF("a", "ca"), "a").join(comp.toDF("b", "cb"), "b")
                   .where(F.col("ca") != F.col("cb")).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         found = components(joined)

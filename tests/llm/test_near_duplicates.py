@@ -1,6 +1,7 @@
 """Operators 4 and 5 against brute force; components against union-find."""
 
 import random
+from itertools import combinations
 
 import duckdb
 import pytest
@@ -80,6 +81,21 @@ def test_chains_copies_and_shared_passages(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_a_link_in_the_middle_of_lists_without_others(spark):
+    """Two alike documents that are neither the first nor the last of any list they share."""
+    rng = random.Random(11)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    middle, parts = fill(100), [fill(20) for _ in range(8)]
+    rows = [(50, " ".join(middle)), (51, " ".join([*middle[:-1], *fill(1)]))]
+    # 0.7 alike to the two, before and after them; what else they hold is frequent, so that they are in the two's lists
+    rows += [(k if k % 2 else 100 + k, " ".join([*middle, *x, *y])) for k, (x, y) in enumerate(combinations(parts, 2))]
+    rows += [(1000 + k, " ".join([*parts[k % 8], *fill(5)])) for k in range(320)]
+    want = brute_force(rows, 5)
+    assert want[51][1] == 50 and len({c for _, c in want.values()}) == len(rows) - 1
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_edge_rows(edge, empty):
     got = minhash_dedup.near_duplicates(edge, words=4).collect()
     by = {r.doc_id: r for r in got}
