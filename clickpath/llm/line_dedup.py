@@ -10,7 +10,8 @@ key and the hashes of its lines); each page then gets the short list of hashes t
 Defined cases: lines are compared without white space at their ends; blank lines are
 neither counted nor kept; null texts and hosts: a null text has no lines, a null host is a
 host of its own; a page counts once for a line that it repeats; repeated rows are pages of
-their own; a page whose lines are all dropped stays with an empty text.
+their own, unless ``once`` is set: then pages of a host with the same set of lines count as one,
+in the line's count and in the host's; a page whose lines are all dropped stays with an empty text.
 """
 
 from __future__ import annotations
@@ -43,16 +44,17 @@ def lines_of(text: Column) -> Column:
 
 
 def drop_boilerplate(pages: DataFrame, id_col: str, host: Column, text: Column, carry: bool = False,
-                     ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+                     ratio: float = RATIO, least_pages: int = LEAST_PAGES, once: bool = False) -> DataFrame:
     """(id, host, text, n_lines, n_dropped) of every row; text: the lines that stay. With ``carry`` also the
-    whole input row as a struct ``row``."""
+    whole input row as a struct ``row``. With ``once`` copies count as one page."""
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), lines_of(text).alias("lines"),
                         *([F.struct(*(F.col(c) for c in pages.columns)).alias("row")] if carry else []))
     rows = rows.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).withColumn("key", F.xxhash64("id", "host", "hashes"))
     thin = keep(rows.select("host", "key", F.array_distinct("hashes").alias("hashes")), "lines")
     found = thin.select("host", "key", F.explode("hashes").alias("line"))
-    pages_of = thin.groupBy("host").agg(F.count("*").alias("pages")).select(F.col("host").alias("_h"), "pages")
-    common = (found.groupBy("host", "line").agg(F.count("*").alias("with_line")).where(F.col("with_line") >= least_pages)
+    counted = thin.groupBy("host", F.array_sort("hashes").alias("hashes")).agg(F.lit(1).alias("_one")) if once else thin
+    pages_of = counted.groupBy("host").agg(F.count("*").alias("pages")).select(F.col("host").alias("_h"), "pages")
+    common = (counted.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count("*").alias("with_line")).where(F.col("with_line") >= least_pages)
               .join(pages_of, F.col("host").eqNullSafe(F.col("_h")))
               .where(F.col("with_line") > F.lit(ratio) * F.col("pages"))
               .select(F.col("host").alias("_h"), F.col("line").alias("_line")))

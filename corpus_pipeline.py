@@ -32,9 +32,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the boilerplate lines of each source; documents without one stay as they are.
 
+    Copies of a document count as one page of their source, so that their lines don't become boilerplate
+    and the next stage finds one to keep.
     A document that loses all its lines stays, with an empty text; ``n_chars`` follows the text.
     """
-    found = line_dedup.drop_boilerplate(docs, "doc_id", F.col("source"), F.col("text"), carry=True)
+    found = line_dedup.drop_boilerplate(docs, "doc_id", F.col("source"), F.col("text"), carry=True, once=True)
     changed = F.col("n_dropped") > 0
     new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:

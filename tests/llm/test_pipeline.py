@@ -67,6 +67,22 @@ def test_whole_run_matches_its_stages_and_the_codec(spark):
     assert sorted((r.doc_id, r.ids_sha256) for r in rows) == sorted((r.doc_id, r.ids_sha256) for r in again)
 
 
+def test_one_of_a_large_group_of_copies_comes_out(spark, tmp_path):
+    """Copies that are a third of a source, and three of them among twelve: one document of each group stays."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").dropDuplicates(["text"]).orderBy("doc_id")
+    texts = [r.text for r in docs.collect() if len(r.text) > 400 and r.text.count("\n") > 3][:34]
+    rows = [(k, texts[0] if k < 12 else texts[k - 10], "large") for k in range(34)]
+    rows += [(100 + k, texts[1] if k < 3 else texts[22 + k], "small") for k in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    lines = P.drop_shared_lines(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in lines if r.doc_id < 12 or 100 <= r.doc_id < 103} == {i: t for i, t, _ in rows if i < 12 or 100 <= i < 103}
+    near = [r.doc_id for r in P.drop_near_duplicates(spark, spark.createDataFrame(lines, docs.schema), str(tmp_path)).collect()]
+    assert [i for i in near if i < 12] == [0] and [i for i in near if 100 <= i < 103] == [100]
+    out = Counter(r.doc_id for r in P.run(spark, str(tmp_path)).collect())
+    assert out[0] >= 1 and not any(out[i] for i in (*range(1, 12), 101, 102))
+
+
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "minhash_dedup", "source_mix", "bpe_codec"]
