@@ -14,9 +14,9 @@ workers keep those vectors, and a text's code length is their sum over its whole
 The language with the shortest code wins; the score is its share of
 2^(-bits a byte * SHARPNESS) over all languages.
 
-Training: the trees are fitted on at most ``TRAIN_DOCS`` labelled rows a language (those
-with the smallest hash of the text, so the choice doesn't depend on the order or the
-partitioning); prediction reads every row.
+Training: the trees are fitted on at most ``TRAIN_DOCS`` different labelled texts a language (those
+with the smallest hash, so the choice doesn't depend on the order, the partitioning or the
+number of copies); prediction reads every row.
 
 Defined cases: null texts and texts without a letter give ``und`` and score 0; rows
 whose language is null don't train; equal code lengths go to the smaller language name;
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from clickpath.llm.bpe_model import IntTable
-from clickpath.llm.common import arrow_batches, text_of, worker_state
+from clickpath.llm.common import arrow_batches, keep, text_of, worker_state
 from clickpath.llm.pretokens import LETTER, PieceTable, Splitter, blocks
 
 #: Bytes of context.
 ORDER = 4
-#: Labelled rows a language that the trees are fitted on, at most.
+#: Different labelled texts a language that the trees are fitted on, at most.
 TRAIN_DOCS = 2000
 #: Languages that can be learned; their counts, cuts and trees are broadcast.
 MAX_LANGUAGES = 256
@@ -90,22 +90,24 @@ def grams_of(words: Counter) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
-    """At most ``most`` labelled rows of each language, by the hash of their text. A first cut at a
-    hash threshold, from the counts, leaves a bounded number of candidates to rank."""
+    """At most ``most`` different labelled texts of each language, one row each, by the hash of the text. A first
+    cut at a hash threshold, from the counts of different texts, leaves a bounded number of candidates to rank."""
     rows = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
             .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
                     F.xxhash64(text_col).alias("_h")))
-    # two passes: exact rank among the hashes only, then the texts at or below the cut
+    # two passes: exact rank among the different hashes only, then the texts at or below the cut
     span = float(1 << 63)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    kinds = keep(rows.groupBy("lang", "_h").agg(F.lit(1).alias("_one")).select("lang", "_h"), "training_texts")
+    counts = kinds.groupBy("lang").agg(F.count("*").alias("_n"))
     if counts.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     share = F.least(F.lit(1.0), (F.lit(2.0) * most + 1000) / F.col("_n"))
-    near = (rows.select("lang", "_h").join(F.broadcast(counts), "lang")
+    near = (kinds.join(F.broadcast(counts), "lang")
             .where(F.col("_h") <= F.lit(-span) + share * (2 * span)))
     cut = (near.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h")))
            .where(F.col("_r") <= most).groupBy("lang").agg(F.max("_h").alias("_cut")))
-    return rows.join(F.broadcast(cut), "lang").where(F.col("_h") <= F.col("_cut")).select("lang", "text")
+    return (rows.join(F.broadcast(cut), "lang").where(F.col("_h") <= F.col("_cut"))
+            .groupBy("lang", "_h").agg(F.min("text").alias("text")).select("lang", "text"))
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCS) -> DataFrame:

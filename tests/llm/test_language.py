@@ -66,6 +66,14 @@ def test_training_rows_are_bounded_and_labelled(docs):
     assert max(Counter(r.lang for r in rows).values()) == 10
 
 
+def test_copies_take_no_training_places(spark):
+    """One text copied very often beside a few others, and alone: each different text trains once."""
+    for copied in ("most of these are copies", "a text", "another one", "the last of them"):
+        rows = [(copied, "en")] * 20000 + [(f"text number {k}", "en") for k in range(60)] + [(copied, "fr")] * 20000
+        got = Counter(tuple(r) for r in L.training_rows(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", 40).collect())
+        assert max(got.values()) == 1 and Counter(lang for lang, _ in got) == {"en": 40, "fr": 1}
+
+
 def test_edge_rows(edge, empty):
     trees = L.train(edge)
     rows = L.identify(edge, trees).collect()
