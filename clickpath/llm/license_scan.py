@@ -4,7 +4,9 @@ A text is normalised to lower-case words of letters and digits and hashed to wor
 as one array. For each licence template, the window of the text that shares most of its
 bigrams is sought and compared with it by the Dice coefficient of the two bigram sets,
 2 * shared / (size of the window's set + size of the template's); the whole text is such
-a window if it is no longer than the size bounds allow.
+a window if it is no longer than the size bounds allow. A window also holds the bigrams
+of what the template must have (``MUST``: a grant's licence name, what tells notices of a family
+apart), so that the words of a grant alone match nothing and no other licence's name stands in.
 
 Size bounds prune before any comparison: sets of sizes a and b reach a coefficient t only
 if min(a, b) >= t / (2 - t) * max(a, b), so a text with fewer bigrams than that of a
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from clickpath.llm.common import arrow_batches, text_of, worker_state
-from clickpath.llm.license_templates import TEMPLATES
+from clickpath.llm.license_templates import MUST, TEMPLATES
 from clickpath.llm.pretokens import SpanHasher, blocks, mix
 
 #: Least Dice coefficient of a match.
@@ -40,11 +42,13 @@ class Scanner:
     def __init__(self, templates: dict[str, list[str]], least: float):
         self.least = least
         self.hasher = SpanHasher(17)
-        self.names, self.sets = [], []
+        self.names, self.sets, self.musts = [], [], []
         for name, texts in templates.items():
             for text in texts:
                 self.names.append(name)
                 self.sets.append(np.unique(self.bigrams([text.encode()])[0]))
+                must = self.bigrams([m.encode() for m in MUST.get(text, [])])
+                self.musts.append(np.unique(np.concatenate(must)) if must else self.sets[-1][:0])
         all_, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), [len(s) for s in self.sets])
         order = np.argsort(all_, kind="stable")
         self.known, self.owner = all_[order], owner[order]
@@ -87,7 +91,8 @@ class Scanner:
         for t in np.unique(template).tolist():
             size = len(self.sets[t])
             places = np.sort(place[template == t])
-            if len(grams) < ratio * size or len(np.unique(grams[places])) < ratio * size:
+            must = self.musts[t]
+            if len(grams) < ratio * size or len(np.unique(grams[places])) < ratio * size or not np.isin(must, grams[places]).all():
                 continue
             longest = int(size / ratio)
             end = np.searchsorted(places, places + longest)
@@ -99,7 +104,7 @@ class Scanner:
                     window = np.unique(grams[places[i]:last + 1])
                     shared = len(np.unique(grams[inside[inside <= last]]))
                     dice = 2 * shared / (len(window) + size)
-                    if dice >= self.least:
+                    if dice >= self.least and np.isin(must, window).all():
                         found.append((-round(dice, 9), -size, self.names[t], int(places[i]), int(last) + 2))
         out, taken = [], []
         for dice, _, name, a, b in sorted(set(found)):

@@ -201,6 +201,22 @@ def test_licences_against_all_windows(spark):
     assert [got[i].license for i in (9001, 9002, 9003, 9004, 9005, 9006, 9007)] == ["MIT", "MIT", "GPL-3.0", None, None, None, None]
 
 
+def test_licence_names_and_long_licences(spark):
+    """The words of a grant alone are no licence; notices of a family and passages of long licences are told apart."""
+    notice = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public " \
+             "License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    texts = [("It was published under the title of the day.", None), ("Now available under the counter.", None),
+             ("This work is licensed under the Foo Licence.", None), ("This file is licensed under the terms below.", None),
+             ("Published under the GPLv2.", "GPL-2.0"), ("Licensed under MIT", "MIT"),
+             (notice.format("program", ";", "", ";", "2"), "GPL-2.0"), (notice.format("program", ":", "", ",", "3"), "GPL-3.0"),
+             (notice.format("library", ";", "Lesser ", ";", "2.1"), "LGPL-2.1"), (notice.format("library", ":", "Lesser ", ",", "3"), "LGPL-3.0"),
+             (notice.format("program", ":", "Affero ", ",", "3"), "AGPL-3.0"), (notice.format("program", ":", "", ",", "4"), None)]
+    texts += [(f"Other words before it. {t} And others.", name) for name in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0",
+              "EPL-2.0", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-ND-4.0") for t in TEMPLATES[name][-2:]]
+    found = license_scan.scan(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {texts[r.doc_id][0]: r.license for r in found} == dict(texts)
+
+
 def test_licences_of_edge_rows(edge, empty):
     got = license_scan.scan(edge).collect()
     assert len(got) == len(EDGE) and [r.license for r in got if r.doc_id == 11] == ["Apache-2.0"] * 2
