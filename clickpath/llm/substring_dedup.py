@@ -6,12 +6,12 @@ its hash is the least of any ``WINDOW`` positions in a row. A passage of
 PARAGRAPH + WINDOW - 1 = 50 words, wherever it stands, holds a whole paragraph, and the
 same one in each text. Shorter texts are one paragraph.
 
-Each paragraph's word shingles get ``BANDS`` bands of ``ROWS`` minima. Paragraphs of different
-documents that share a band are compared: equal word sequences are equal, others are
-confirmed by the exact Jaccard coefficient of their shingle sets, at least 0.8. At that
-likeness one band pair is hit with probability 1 - (1 - 0.8^2)^2 = 0.87 and a repeated passage of
-two paragraphs or more with 0.98 and more; exact repeats are always hit. Paragraphs of a band
-meet its smallest and its largest member, not each other; equal paragraphs meet as one class.
+Each paragraph's word shingles get ``BANDS`` bands of ``ROWS`` minima. Paragraphs that share a band
+with one of another document are candidates; at a likeness of 0.8 two share one with probability
+1 - (1 - 0.8^2)^4 = 0.98, and exact repeats always do. Equal word sequences are one class. The
+different ones among the candidates are compared by the exact Jaccard coefficient of their shingle
+sets, at least 0.8: each set is posted under so many of its rarest shingles that any two with that
+likeness meet, and no list is capped.
 
 Linked paragraphs form clusters (connected components). A cluster that occurs in at least
 two documents is a repeat: its first occurrence (smallest id, then place) is kept, with paragraphs
@@ -28,19 +28,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from clickpath.llm.common import arrow_batches, keep, text_of, worker_state
 from clickpath.llm.components import components
+from clickpath.llm.minhash_dedup import possible
 from clickpath.llm.pretokens import mix
-from clickpath.llm.shingles import Shingler, overlap
+from clickpath.llm.shingles import Shingler
 
 PARAGRAPH = 24
 WINDOW = 27
 LEAST_WORDS = 12
 WORDS = 5
 LIKENESS = 80
-BANDS = 2
+BANDS = 4
 ROWS = 2
 
 
@@ -116,56 +117,85 @@ def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (wa, wb) of different paragraphs, with a place of each, whose shingle sets have the likeness."""
-    places = (pairs.select(F.col("a.*")).union(pairs.select(F.col("b.*"))).distinct()
-              .groupBy("doc").agg(F.collect_list(F.struct("start", "n", "whole")).alias("at")))
+def shingle_sets(variants: DataFrame, docs: DataFrame) -> DataFrame:
+    """(whole, times, found) of paragraphs (whole, times, at); found: their shingle sets, read from the place ``at``."""
+    places = (variants.select("at.*", "whole", "times").groupBy("doc")
+              .agg(F.collect_list(F.struct("start", "n", "whole", "times")).alias("at")))
 
     def sets(batches):
         shingler = worker_state("shingles", "shingler", WORDS, lambda: Shingler(WORDS))
         for batch in batches:
-            whole, found = [], []
+            whole, times, found = [], [], []
             for words, at in zip(shingler.word_hashes(batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_pylist()):
                 for p in at:
                     whole.append(p["whole"])
-                    found.append(np.unique(shingler.shingles(words[p["start"]:p["start"] + p["n"]])).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(found, pa.binary())], names=["whole", "found"])
-
-    def alike(batches):
-        for batch in batches:
-            same = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                shared = overlap(a, b)
-                same.append(100 * shared >= LIKENESS * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], names=["a", "b", "same"])
-
-    known = keep(docs.join(places, "doc").select("text", "at").mapInArrow(sets, "whole long, found binary")
-                 .dropDuplicates(["whole"]), "sets")
-    side = lambda c: known.select(F.col("whole").alias(c), F.col("found").alias(f"set_{c}"))
-    schema = StructType([StructField("a", LongType()), StructField("b", LongType()), StructField("same", BooleanType())])
-    return (pairs.select(F.least("a.whole", "b.whole").alias("a"), F.greatest("a.whole", "b.whole").alias("b")).distinct()
-            .join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b")
-            .mapInArrow(alike, schema).where("same").select("a", "b"))
+                    times.append(p["times"])
+                    found.append(np.unique(shingler.shingles(words[p["start"]:p["start"] + p["n"]])).view(np.int64))
+            ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(times, pa.int64()),
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["whole", "times", "found"])
+
+    return (docs.join(places, "doc").select("text", "at").mapInArrow(sets, "whole long, times long, found array<long>")
+            .dropDuplicates(["whole"]))  # rows that repeat an id may have it twice
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(s, whole, times, k, own) of the shingles that each set is posted under; k: its size, own: shingles of no other set.
+
+    Two sets with the likeness share LIKENESS percent of either, so one of the rarest shingles that are left without those
+    (but for one) is common: a set is posted under these only, and its own ones can't match."""
+    rows = sets.select("whole", "times", F.size("found").alias("k"), F.explode("found").alias("s"))
+    known = keep(rows.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > 1), "shingles")
+    ranked = (rows.join(known, "s").groupBy("whole")
+              .agg(F.min("times").alias("times"), F.min("k").alias("k"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("_t")))
+    need = F.floor((F.col("k") * LIKENESS + 99) / 100).cast("int")
+    return ranked.select("whole", "times", "k", (F.col("k") - F.size("_t")).alias("own"),
+                         F.explode(F.slice("_t.s", F.lit(1), F.greatest(F.lit(0), F.size("_t") - need + 1))).alias("s"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different paragraphs whose shingle sets have the likeness."""
+    side = lambda c: sets.select(F.col("whole").alias(c), F.col("found").alias(f"set_{c}"))
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    return (pairs.join(side("a"), "a").join(side("b"), "b")
+            .where(100 * shared >= LIKENESS * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"))
+
+
+def alike(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join all paragraphs of the likeness: in each posting list the others meet the most frequent
+    one; then all pairs of a list that are still in different components meet, none is left out."""
+    posted = keep(prefixes(sets), "prefixes")
+    pair = [F.least("whole", "w2").alias("a"), F.greatest("whole", "w2").alias("b")]
+    can = possible("k", "own", "k2", "own2", LIKENESS)
+    top = posted.groupBy("s").agg(F.max(F.struct("times", "whole", "k", "own")).alias("_top"), F.count("*").alias("_m")).where("_m > 1")
+    top = top.select("s", F.col("_top.whole").alias("w2"), F.col("_top.k").alias("k2"), F.col("_top.own").alias("own2"))
+    met = keep(posted.join(top, "s").where((F.col("whole") != F.col("w2")) & can).select(*pair).distinct(), "paragraph_pairs")
+    links = keep(confirmed(met, sets), "paragraph_links")
+    comp = components(links).select(F.col("node").alias("_node"), "component")
+    labelled = keep(posted.join(comp, F.col("whole") == F.col("_node"), "left")
+                    .select("s", "whole", "k", "own", F.coalesce("component", "whole").alias("comp")), "labelled")
+    still = labelled.groupBy("s").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("s")
+    still = keep(labelled.join(still, "s", "left_semi"), "open")
+    other = still.select("s", F.col("whole").alias("w2"), F.col("k").alias("k2"), F.col("own").alias("own2"), F.col("comp").alias("c2"))
+    rest = (still.join(other, "s").where((F.col("whole") < F.col("w2")) & (F.col("comp") != F.col("c2")) & can)
+            .select(*pair).distinct().join(met, ["a", "b"], "left_anti"))
+    return links.union(keep(confirmed(keep(rest, "open_pairs"), sets), "open_links"))
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, start, n, cluster, kept) of every paragraph whose cluster occurs in several documents."""
     posted = (banded(docs, id_col, text_col).select("doc", "start", "n", "whole", F.explode("bands").alias("band")))
-    place = F.struct("whole", "doc", "start", "n")
     # written, so that the join below shuffles both sides and a hot band's rows can be split
     shared = keep(posted.groupBy("band").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
-                  .where(F.col("_lo") < F.col("_hi")).select("band", "lo", "hi"), "bands")
-    members = keep(posted.join(shared, "band"), "paragraphs")
-    # different paragraphs of a band: each with the smallest and the largest
-    mixed = members.where(F.col("lo") < F.col("hi"))
-    ends = mixed.where((F.col("whole") == F.col("lo")) | (F.col("whole") == F.col("hi"))).groupBy("whole").agg(F.min(place).alias("b"))
-    others = mixed.groupBy("whole", "lo", "hi").agg(F.min(place).alias("a"))
-    pairs = (others.select("a", F.explode(F.array("lo", "hi")).alias("_end"), "whole").where(F.col("whole") != F.col("_end"))
-             .join(ends.withColumnRenamed("whole", "_end"), "_end").select("a", "b"))
+                  .where(F.col("_lo") < F.col("_hi")).select("band", (F.col("lo") < F.col("hi")).alias("mixed")), "bands")
+    members = keep(posted.join(shared, "band").groupBy("doc", "start", "n", "whole").agg(F.max("mixed").alias("mixed")), "paragraphs")
+    # different paragraphs that share a band with another one
+    variants = (members.where("mixed").groupBy("whole")
+                .agg(F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("at")))
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    linked = components(confirmed(keep(pairs, "paragraph_pairs"), texts))
-    places = (members.select("doc", "start", "n", "whole").distinct()
+    linked = components(alike(keep(shingle_sets(variants, texts), "sets")))
+    places = (members.select("doc", "start", "n", "whole")
               .join(linked.select(F.col("node").alias("whole"), "component"), "whole", "left")
               .select("doc", "start", "n", F.coalesce("component", "whole").alias("cluster")))
     clusters = (places.groupBy("cluster").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min(F.struct("doc", "start", "n")).alias("_first"))

@@ -133,3 +133,17 @@ def test_repeated_passages(spark):
 def test_repeated_passages_of_edge_rows(edge, empty):
     assert {r.doc_id for r in substring_dedup.removals(edge).collect()} == set()
     assert substring_dedup.removals(empty).count() == 0
+
+
+def test_edited_passages_that_share_a_stock_phrase(spark):
+    """Pairs of one paragraph each, alike but for their last two words, all with the same phrase of 14 words."""
+    rng = random.Random(8)
+    fill = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(n)]
+    phrase, rows = fill(14), []
+    for k in range(300):
+        own = fill(9)
+        rows += [(2 * k + j, " ".join([*own[:5], *phrase, *own[5:], *fill(1)])) for j in range(2)]
+    found = substring_dedup.repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    cluster = {r.doc: r.cluster for r in found}
+    pairs = [cluster.get(2 * k) for k in range(300) if cluster.get(2 * k, 0) == cluster.get(2 * k + 1, 1)]
+    assert len(pairs) == len(set(pairs)) >= 294
