@@ -15,8 +15,10 @@ likeness meet, and no list is capped.
 
 Linked paragraphs form clusters (connected components). A cluster that occurs in at least
 two documents is a repeat: its first occurrence (smallest id, then place) is kept, with paragraphs
-of the cluster that overlap it, and the others are removals. Neighbouring paragraphs of a document with the same decision are reported as
-one span of words.
+of the cluster that overlap it, and the others are removals. Each removal reaches word by word to both sides for
+as long as its words equal those beside the kept occurrence, at most ``WINDOW`` words, which is more than an exact
+repeat has before its first or after its last paragraph; the kept one reaches as far as any of them. What overlaps or touches, with the
+same decision, is reported as one span of words; words that are not seen to repeat are never in between.
 
 Defined cases: null and empty texts have no paragraph; texts under ``LEAST_WORDS`` words neither
 match nor are removed; rows without an id take no part; rows that repeat an id are one document.
@@ -184,7 +186,8 @@ def alike(sets: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, n, cluster, kept) of every paragraph whose cluster occurs in several documents."""
+    """(doc, start, n, cluster, first, kept) of every paragraph whose cluster occurs in several documents; first: it is
+    the cluster's first occurrence."""
     posted = (banded(docs, id_col, text_col).select("doc", "start", "n", "whole", F.explode("bands").alias("band")))
     # written, so that the join below shuffles both sides and a hot band's rows can be split
     shared = keep(posted.groupBy("band").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
@@ -201,16 +204,64 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     clusters = (places.groupBy("cluster").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min(F.struct("doc", "start", "n")).alias("_first"))
                 .where(F.col("_lo") < F.col("_hi")).select("cluster", "_first"))
     return places.join(clusters, "cluster").select(
-        "doc", "start", "n", "cluster",
+        "doc", "start", "n", "cluster", (F.struct("doc", "start", "n") == F.col("_first")).alias("first"),
         ((F.col("doc") == F.col("_first.doc")) & (F.col("start") < F.col("_first.start") + F.col("_first.n"))).alias("kept"))
 
 
+def extended(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Repeated paragraphs (doc, start, n, cluster, kept) with the words at their sides for as long as these equal the
+    ones beside the cluster's first occurrence; that one reaches as far as any of the others."""
+    places = rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "cluster", "first", "kept")).alias("at"))
+
+    def sides(batches):
+        shingler = worker_state("shingles", "shingler", WORDS, lambda: Shingler(WORDS))
+        for batch in batches:
+            cols = [[] for _ in range(8)]
+            for doc, words, at in zip(batch.column(0).to_pylist(), shingler.word_hashes(batch.column(1).cast(pa.binary()).to_pylist()),
+                                      batch.column(2).to_pylist()):
+                for p in at:
+                    start, end = p["start"], p["start"] + p["n"]
+                    left, right = words[max(0, start - WINDOW):start][::-1], words[end:end + WINDOW]
+                    for c, v in zip(cols, (doc, start, p["n"], p["cluster"], p["first"], p["kept"], left.tobytes(), right.tobytes())):
+                        c.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                             names=["doc", "start", "n", "cluster", "first", "kept", "left", "right"])
+
+    def same(a: bytes, b: bytes) -> int:
+        size = min(len(a), len(b)) // 8
+        differ = np.flatnonzero(np.frombuffer(a, np.uint64, size) != np.frombuffer(b, np.uint64, size))
+        return int(differ[0]) if len(differ) else size
+
+    def reach(batches):
+        for batch in batches:
+            left, right, left0, right0 = (batch.column(k).to_pylist() for k in range(4, 8))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([same(a, b) for a, b in zip(left, left0)], pa.int32()),
+                                              pa.array([same(a, b) for a, b in zip(right, right0)], pa.int32())],
+                                             names=["doc", "start", "n", "cluster", "before", "after"])
+
+    beside = keep(docs.join(places, "doc").select("doc", "text", "at").mapInArrow(
+        sides, "doc long, start int, n int, cluster long, first boolean, kept boolean, left binary, right binary"), "sides")
+    first = beside.where("first").groupBy("cluster").agg(F.min("left").alias("left0"), F.min("right").alias("right0"))
+    others = keep(beside.where(~F.col("kept")).select("doc", "start", "n", "cluster", "left", "right").join(first, "cluster")
+                  .select("doc", "start", "n", "cluster", "left", "right", "left0", "right0")
+                  .mapInArrow(reach, "doc long, start int, n int, cluster long, before int, after int"), "reach")
+    most = others.groupBy("cluster").agg(F.max("before").alias("before"), F.max("after").alias("after"))
+    own = (rows.where("kept").join(most, "cluster", "left")
+           .select("doc", "start", "n", "cluster", F.lit(True).alias("kept"),
+                   *(F.when(F.col("first"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("before", "after"))))
+    both = own.union(others.select("doc", "start", "n", "cluster", F.lit(False), "before", "after"))
+    return both.select("doc", (F.col("start") - F.col("before")).alias("start"),
+                       (F.col("before") + F.col("n") + F.col("after")).alias("n"), "cluster", "kept").distinct()
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_word, n_words, paragraphs, kept, clusters) of every span of neighbouring repeated paragraphs."""
-    rows = repeated_paragraphs(docs, id_col, text_col)
-    order = Window.partitionBy("doc", "kept").orderBy("start")
+    """(id, start_word, n_words, paragraphs, kept, clusters) of every span of repeated words; paragraphs: those in it."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
+    rows = extended(keep(repeated_paragraphs(docs, id_col, text_col), "repeats"), texts)
+    order = Window.partitionBy("doc", "kept").orderBy("start", "n", "cluster")
     before = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col("start") > before + WINDOW), 1).otherwise(0)
+    opens = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
     spans = (rows.withColumn("_opens", opens)
              .withColumn("_span", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
     return (spans.groupBy("doc", "kept", "_span")

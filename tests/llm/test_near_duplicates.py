@@ -147,3 +147,23 @@ def test_edited_passages_that_share_a_stock_phrase(spark):
     cluster = {r.doc: r.cluster for r in found}
     pairs = [cluster.get(2 * k) for k in range(300) if cluster.get(2 * k, 0) == cluster.get(2 * k + 1, 1)]
     assert len(pairs) == len(set(pairs)) >= 294
+
+
+def test_whole_passages_and_nothing_between(spark):
+    """All words of repeats of 51 words and more are reported, and not what stands between two of them."""
+    rng = random.Random(12)
+    fill = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in range(n)]
+    one, two, rows = [fill(51) for _ in range(12)], fill(70), []
+    for k, passage in enumerate(one):
+        rows += [(10 * k + j, [*fill(rng.randint(0, 60)), *passage, *fill(7), *two, *fill(rng.randint(0, 60))]) for j in range(3)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    spans = {}
+    for r in substring_dedup.removals(docs).collect():
+        spans.setdefault(r.doc_id, []).append((r.start_word, r.start_word + r.n_words, r.kept))
+    for i, words in rows:
+        at = [words.index(one[i // 10][0]), words.index(two[0])]
+        want = [(at[0], at[0] + 51, i % 10 == 0), (at[1], at[1] + 70, i == 0)]
+        # a paragraph at an edge may reach two words beyond, and such paragraphs may be a cluster of their own
+        near = lambda span, w: w[0] - 3 <= span[0] and span[1] <= w[1] + 3
+        assert all(any(s[2] == w[2] and s[0] <= w[0] and w[1] <= s[1] and near(s, w) for s in spans[i]) for w in want), (i, spans[i], want)
+        assert all(any(near(s, w) for w in want) for s in spans[i]), (i, spans[i], want)
