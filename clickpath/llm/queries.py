@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickpath.llm import (bpe_codec, fingerprints, language_id, license_scan, line_dedup, minhash_dedup, source_mix,
-                           substring_dedup, token_counts, topk_search)
+from clickpath.context import checkpoint_dir
+from clickpath.llm import (bpe_codec, fingerprints, hard_negatives, importance_resampling, language_id, license_scan, line_dedup,
+                           minhash_dedup, source_mix, substring_dedup, token_counts, topk_search, warc)
 from clickpath.llm.common import table
 from clickpath.llm.sql import ORACLE_SQL  # noqa: F401
 
@@ -63,8 +66,21 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_license_scan, op3_fingerprints, op4_near_duplicates, op5_substring_dedup, op6_topk_search,
-    op7_language_id, op8_line_dedup, op9_bpe_codec, op10_source_mix)}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/warc-{uuid.uuid4().hex[:12]}"
+    warc.archive(table(spark, sf_dir, "pages"), path, "page_id", F.col("url"), F.col("html"))
+    return warc.read_pages(spark, path, "page_id")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_license_scan, op3_fingerprints, op4_near_duplicates, op5_substring_dedup, op6_topk_search,
+    op7_language_id, op8_line_dedup, op9_bpe_codec, op10_source_mix, op11_warc, op12_importance_resampling, op13_hard_negatives)}
