@@ -1,7 +1,9 @@
 """Operator 11: WARC archives as a PySpark Python data source, ``spark.read.format("warc")`` and ``df.write.format("warc")``.
 
-Reading. The planner lists the files and deals them, whole, to partitions of about ``partitionBytes``. Filters on the columns of
-``HEADER_COLUMNS`` (equality, IN, comparisons, prefixes, null tests and their negations) are pushed down. A task parses a record's
+Reading. The planner lists the files and deals them, whole, to partitions of about ``partitionBytes``. With the option ``pushdown``
+filters on the columns of ``HEADER_COLUMNS`` (equality, IN, comparisons, prefixes, null tests and their negations) are pushed down.
+It is an option, because Spark 4.1 keeps what was pushed on the loaded DataFrame: such a DataFrame may be scanned once in a plan only
+(``read_records`` loads one for its condition), whereas one without the option may be used freely. A task parses a record's
 headers first; where a pushed filter rejects the record, or the schema that was asked for has no ``payload``, the block is passed over
 (a seek in a plain file, inflated but neither held nor decoded in a compressed one). Payloads are read record by record into bounded Arrow batches.
 
@@ -206,13 +208,6 @@ class WarcReader(ds.DataSourceReader):
         self.least_parts = int(options.get("minpartitions", 1))
         self.filters: list = []
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if as_test(f):
-                self.filters.append(f)
-            else:
-                yield f
-
     def partitions(self):
         """Whole files, dealt in order to partitions of about equal bytes."""
         files = archive_files(self.path)
@@ -254,6 +249,17 @@ class WarcReader(ds.DataSourceReader):
             yield batch()
 
 
+class PushedWarcReader(WarcReader):
+    """The reader with filters pushed down."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if as_test(f):
+                self.filters.append(f)
+            else:
+                yield f
+
+
 class _Raw(io.RawIOBase):
     """A pyarrow file as Python's raw stream."""
 
@@ -381,27 +387,32 @@ class WarcDataSource(ds.DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(schema, {k.lower(): v for k, v in self.options.items()})
+        options = {k.lower(): v for k, v in self.options.items()}
+        return (PushedWarcReader if options.get("pushdown") == "true" else WarcReader)(schema, options)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
         return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, with filters pushed down."""
+    """Make the format known to a session, and allow its filters to be pushed down."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
 
 
-def read_warc(spark: SparkSession, path: str, columns: str | None = None, partition_bytes: int | None = None) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, columns: str | None = None, **options) -> DataFrame:
     """The records of an archive; ``columns`` (a schema) leaves out what is not wanted."""
     register(spark)
-    reader = spark.read.format("warc").option("minPartitions", str(spark.sparkContext.defaultParallelism))
-    if partition_bytes:
-        reader = reader.option("partitionBytes", str(partition_bytes))
+    reader = spark.read.format("warc").option("minPartitions", str(spark.sparkContext.defaultParallelism)).options(**options)
     return (reader.schema(columns) if columns else reader).load(path)
 
 
+def read_records(spark: SparkSession, path: str, condition: Column | str, columns: str | None = None, **options) -> DataFrame:
+    """The records that a condition on ``HEADER_COLUMNS`` holds for, pushed down to the readers. The result is for one use in a
+    plan: for other conditions call this again."""
+    return read_warc(spark, path, columns, pushdown="true", **options).where(condition)
+
+
 def revisits(pages: DataFrame, id_col: str, uri: Column, payload: Column, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """(id, target_uri, payload, payload_length, payload_sha1, record_type, first) of every row; first: the id of the response
     that a revisit refers to."""
@@ -436,8 +447,8 @@ def page_of(record: Column) -> Column:
 def read_pages(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) of every page of an archive: size and digest of a response from
     the payload itself, of a revisit from its headers."""
-    rows = read_warc(spark, path, "record_type string, record_id string, refers_to string, payload_sha1 string, payload_length long, payload binary")
-    rows = rows.where(F.col("record_type").isin("response", "revisit"))
+    rows = read_records(spark, path, F.col("record_type").isin("response", "revisit"),
+                        "record_type string, record_id string, refers_to string, payload_sha1 string, payload_length long, payload binary")
     stored = F.col("record_type") == "response"
     return rows.select(page_of(F.col("record_id")).alias(id_col),
                        F.when(stored, F.octet_length("payload")).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
