@@ -2,7 +2,7 @@
 
 * features: 13 numeric + 7 categorical columns; categoricals are limited to
   their 25 most frequent levels over the whole table (before the split)
-* split: deterministic 75/25 by ``xxhash64(session_key, seed)``
+* split: the quarter of each class with the smallest MD5 of seed and key is the test part
 * numeric scaling: mean / population standard deviation of the training rows
   (one aggregate row); zero variance -> divide by 1
 * one-hot: one column per training level (sorted); unseen levels -> all zeros
@@ -23,15 +23,16 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from clickpath.context import checkpoint_dir
-from clickpath.functions.columns import exact_avg
+from clickpath.functions.columns import clean_category, exact_avg, nan_to_null
 from clickpath.operators.ranks import average_rank, quantiles, rank_histogram
-from clickpath.operators.sessions import limit_cardinality
+from clickpath.operators.sessions import limit_cardinality, limited, top_levels
 
 TARGET = "converted_purchase"
 SEED = 42
@@ -64,7 +65,11 @@ IMPORTANCE_SCHEMA = T.StructType([
 ])
 
 
-def model_frame(sessions: DataFrame, top_n: int = 25) -> DataFrame:
+#: Levels kept of each category.
+TOP_LEVELS = 25
+
+
+def model_frame(sessions: DataFrame, top_n: int = TOP_LEVELS) -> DataFrame:
     """M2: the session table with every categorical feature limited to its top levels."""
     cols = [c for c in CATEGORICAL_FEATURES if c in sessions.columns]
     return limit_cardinality(sessions, cols, top_n)
@@ -127,11 +132,65 @@ def _report(tn: int, fp: int, fn: int, tp: int) -> str:
 
 
 class PropensityResult:
-    def __init__(self, performance: DataFrame, importance: DataFrame, high_intent: DataFrame, scored: DataFrame | None):
+    def __init__(self, performance: DataFrame, importance: DataFrame, high_intent: DataFrame, scored: DataFrame | None,
+                 model: "PurchaseModel | None" = None):
         self.performance = performance
         self.importance = importance
         self.high_intent = high_intent
         self.scored = scored
+        self.model = model
+
+
+def _text(value: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _number(value: float) -> str:
+    return f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
+class PurchaseModel:
+    """M4-M8 fitted: imputation, scaling, one-hot levels and coefficients as one ``PipelineModel``, for tables that it was not
+    trained on. Missing numbers get the training median, unseen levels count as ``other`` (no column, if training had no such
+    row), missing categories as ``unknown``; a feature whose column the table lacks is missing in every row."""
+
+    def __init__(self, stages: PipelineModel, columns: dict[str, str]):
+        self.stages = stages
+        self.columns = columns  # feature column -> kind
+
+    @classmethod
+    def fitted(cls, model, numeric: dict[str, tuple[float, float, float]], categorical: dict[str, tuple[list[str], list[str]]]) -> "PurchaseModel":
+        """``numeric``: column -> (fill, mean, scale); ``categorical``: column -> (levels kept, levels with a coefficient)."""
+        parts = [f"(coalesce(`_num_{c}`, {_number(fill)}) - {_number(mean)}) / {_number(scale)}" for c, (fill, mean, scale) in numeric.items()]
+        for c, (kept, coded) in categorical.items():
+            level = f"CASE WHEN `_cat_{c}` IN ({', '.join(map(_text, kept))}) THEN `_cat_{c}` ELSE 'other' END" if kept else "'other'"
+            parts += [f"CAST({level} = {_text(x)} AS DOUBLE)" for x in coded]
+        names = [f"_f{k}" for k in range(len(parts))]
+        features = SQLTransformer(statement="SELECT *, " + ", ".join(f"{e} AS {n}" for e, n in zip(parts, names)) + " FROM __THIS__")
+        stages = PipelineModel([features, VectorAssembler(inputCols=names, outputCol="features"), model])
+        return cls(stages, {**dict.fromkeys(numeric, "numeric"), **dict.fromkeys(categorical, "categorical")})
+
+    def save(self, path: str) -> None:
+        """Write the model to a shared folder; an earlier one there is replaced."""
+        self.stages.write().overwrite().save(f"{path}/stages")
+        spark = SparkSession.active()
+        spark.createDataFrame(list(self.columns.items()), "name string, kind string").write.mode("overwrite").parquet(f"{path}/columns")
+
+    @classmethod
+    def load(cls, path: str) -> "PurchaseModel":
+        rows = SparkSession.active().read.parquet(f"{path}/columns").collect()
+        return cls(PipelineModel.load(f"{path}/stages"), {r["name"]: r["kind"] for r in rows})
+
+    def score(self, sessions: DataFrame) -> DataFrame:
+        """``sessions`` with ``score``, the predicted probability of a purchase."""
+        there = lambda c, kind: F.col(c) if c in sessions.columns else F.lit(None).cast(kind)
+        ready = sessions.withColumns({
+            f"_num_{c}" if kind == "numeric" else f"_cat_{c}":
+                nan_to_null(there(c, "double").cast("double")) if kind == "numeric" else clean_category(there(c, "string"))
+            for c, kind in self.columns.items()})
+        scored = self.stages.transform(ready)
+        return scored.select(*[scored[f"`{c}`"] for c in sessions.columns], vector_to_array("probability")[1].alias("score"))
 
 
 def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int = 1500) -> PropensityResult:
@@ -161,7 +220,9 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     if min(classes.values()) < 10:
         return skip("At least one target class has fewer than 10 rows.")
 
-    frame = model_frame(sessions).withColumn("label", F.col(TARGET).cast("double"))
+    # M2: the levels kept of each category, for the frame and for the saved model alike
+    levels = top_levels(sessions, categorical, TOP_LEVELS)
+    frame = sessions.withColumns({**{c: limited(c, levels[c]) for c in categorical}, "label": F.col(TARGET).cast("double")})
     # the review-queue roll-up reads these; a table without them still trains
     absent = {c: F.lit("unknown") for c in SEGMENT_KEYS + ["ux_intent_segment"] if c not in frame.columns}
     absent.update({c: F.lit(None).cast("double") for c in
@@ -171,11 +232,11 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     train = frame.where(F.col("_test") == 0)
 
     # training statistics: one aggregate row + bounded level lists
-    # M4 imputation: training median for numeric features that hold missing values. Categorical features
+    # M4 imputation: training median for numeric features that hold missing values (the saved model fills any). Categorical features
     # need none: limiting to the top levels maps a missing level to "unknown", their most-frequent fill.
     fill_num = [c for c in numeric if missing[c] > 0]
+    medians = quantiles(train, numeric, [0.5])
     if fill_num:
-        medians = quantiles(train, fill_num, [0.5])
         frame = frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit((medians[c] or [0.0])[0]))
                                    for c in fill_num})
         train = frame.where(F.col("_test") == 0)
@@ -192,9 +253,10 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
         return skip("Training split has fewer than two classes.")
     w_pos, w_neg = n_train / (2.0 * n_pos), n_train / (2.0 * (n_train - n_pos))
 
-    feats, names = [], []
+    feats, names, scales = [], [], {}
     for i, c in enumerate(numeric):
         mean, sd = stats[f"m_{i}"] or 0.0, stats[f"s_{i}"] or 0.0
+        scales[c] = ((medians.get(c) or [mean])[0], mean, sd if sd > 0 else 1.0)
         feats.append(((F.col(c).cast("double") - mean) / (sd if sd > 0 else 1.0)).alias(f"_f{len(feats)}"))
         names.append(f"num__{c}")
     for j, c in enumerate(categorical):
@@ -241,7 +303,8 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     importance = spark.createDataFrame(
         [(n, c, abs(c)) for n, c in zip(names, coef)], IMPORTANCE_SCHEMA).orderBy(F.desc("abs_coefficient"), "feature")
     high = high_intent_segments(scored.withColumn(TARGET, F.col("label").cast("int")), "score")
-    return PropensityResult(perf, importance, high, scored)
+    fitted = PurchaseModel.fitted(model, scales, {c: (levels[c], stats[f"l_{j}"]) for j, c in enumerate(categorical)})
+    return PropensityResult(perf, importance, high, scored, fitted)
 
 
 def high_intent_schema() -> T.StructType:

@@ -1,4 +1,4 @@
-"""Distributed ranking of a value column, and exact quantiles built on it.
+"""Distributed ranking of a value column, and exact selection of a few ranks.
 
 ``rank_histogram`` collapses the input to one row per distinct value (per
 group), then assigns each value the number of rows below it without a global
@@ -11,14 +11,26 @@ sort into one partition:
 
 Work therefore spreads over groups x buckets even when one group holds most of
 the rows. Rank-based statistics (Mann-Whitney, Kruskal-Wallis, Spearman, AUC,
-average precision) and exact quantiles all read this table.
+average precision) and quantiles of many groups read this table.
+
+A quantile of a whole column needs two ranks only, and those are selected by counting: a
+sketch with a proven rank error bounds each wanted rank from both sides, one pass
+counts the rows below and inside each interval, an interval with many rows is
+narrowed by a sketch of what is in it, and only the distinct values inside
+the last intervals are listed. Nothing is sorted and the column is never shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 DEFAULT_BUCKETS = 128
+#: Accuracy of the sketches that bound a rank: the rank error is at most rows / ACCURACY.
+ACCURACY = 10_000
+#: Rows of an interval whose distinct values are listed on the driver; larger ones are narrowed first.
+LISTED_ROWS = 50_000
 
 
 def rank_histogram(
@@ -104,6 +116,110 @@ def average_rank(count: str = "cnt") -> F.Column:
     return F.col(f"before_{count}").cast("double") + (F.col(count).cast("double") + 1.0) / 2.0
 
 
+def _margins(p: float) -> list[float]:
+    """Sketch positions that are below and above the ranks next to ``p``, whatever the sketch's error."""
+    return [max(0.0, p - 3 / ACCURACY), min(1.0, p + 3 / ACCURACY)]
+
+
+def _finite(c: F.Column) -> F.Column:
+    return F.when(~F.isnan(c), c)
+
+
+def _middle(low: float, high: float) -> float:
+    """A number from ``low`` to below ``high``."""
+    if math.isinf(low):
+        return low
+    return math.nextafter(math.inf, 0) if math.isinf(high) else min(low / 2 + high / 2, math.nextafter(high, low)) if low / 2 + high / 2 >= low else low
+
+
+def select_ranks(df: DataFrame, wanted: dict[str, list[float]]) -> dict[str, list[tuple[float, float, float]] | None]:
+    """The two values next to each wanted position of several columns, exactly.
+
+    For ``p`` of a column with n values the position is h = (n - 1) * p; the result is
+    (value at floor(h), value at ceil(h), h). Ranks start at 0; NaN is larger than any number and
+    null is no value. ``None`` marks a column without a value.
+
+    Each round is one aggregate of ``df`` with a fixed-width buffer a number (counts) or a sketch; the
+    driver sees those numbers and at the end the distinct values of the last intervals, at
+    most ``LISTED_ROWS`` each.
+    """
+    cols = list(wanted)
+    if not cols:
+        return {}
+    # the numbers of each column, computed once a row however often the aggregates below read them
+    df = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(cols)])
+    df = df.select("*", *[_finite(F.col(f"_v{i}")).alias(f"_x{i}") for i in range(len(cols))])
+    x = {c: F.col(f"_x{i}") for i, c in enumerate(cols)}
+    first = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(f"_v{i}").alias(f"n{i}"), F.count(x[c]).alias(f"m{i}"), F.min(x[c]).alias(f"lo{i}"), F.max(x[c]).alias(f"hi{i}"),
+        F.percentile_approx(x[c], [q for p in wanted[c] for q in _margins(p)], ACCURACY).alias(f"q{i}"))]).first()
+
+    spans: dict[tuple, list] = {}  # (column, rank) -> interval that holds it
+    ends: dict[str, tuple] = {}
+    places: dict[str, list] = {}
+    for i, c in enumerate(cols):
+        n, m = first[f"n{i}"], first[f"m{i}"]
+        ends[c] = (first[f"lo{i}"], first[f"hi{i}"])
+        places[c] = [(math.floor((n - 1) * p), math.ceil((n - 1) * p), (n - 1) * p) for p in wanted[c]] if n else []
+        for k, (lo, hi, _) in enumerate(places[c]):
+            known = first[f"q{i}"][2 * k:2 * k + 2] if m > ACCURACY else ends[c]
+            spans.update({(c, rank): list(known) for rank in (lo, hi) if rank < m})
+    found: dict[tuple, float] = {}
+    while spans:
+        keys = list(spans)
+        counts = df.agg(*[e for k, (c, _) in enumerate(keys) for e in (
+            F.count_if(x[c] < F.lit(spans[keys[k]][0])).alias(f"b{k}"), F.count_if(x[c] <= F.lit(spans[keys[k]][1])).alias(f"u{k}"))]).first()
+        listed, narrowed = [], []
+        for k, key in enumerate(keys):
+            below, inside = counts[f"b{k}"], counts[f"u{k}"] - counts[f"b{k}"]
+            if not below <= key[1] < below + inside:
+                spans[key] = list(ends[key[0]])  # cannot happen within the sketch's error; start from the whole column
+            elif spans[key][0] == spans[key][1]:
+                found[key] = spans.pop(key)[0]
+            else:
+                (listed if inside <= LISTED_ROWS else narrowed).append((k, key, below, inside))
+        if narrowed:
+            # by a sketch of what is inside, and in the middle, where ties at both ends leave the sketch no choice
+            middle = {k: _middle(*spans[key]) for k, key, _, _ in narrowed}
+            row = df.agg(*[e for k, key, below, inside in narrowed for e in (
+                F.percentile_approx(F.when(x[key[0]].between(F.lit(spans[key][0]), F.lit(spans[key][1])), x[key[0]]),
+                                    _margins((key[1] - below + 0.5) / inside), ACCURACY).alias(f"q{k}"),
+                F.count_if(x[key[0]] <= F.lit(middle[k])).alias(f"h{k}"))]).first()
+            for k, key, _, _ in narrowed:
+                half = (spans[key][0], middle[k]) if key[1] < row[f"h{k}"] else (math.nextafter(middle[k], math.inf), spans[key][1])
+                spans[key] = [max(half[0], row[f"q{k}"][0]), min(half[1], row[f"q{k}"][1])]
+        if listed:
+            # of each row only the values inside an interval are passed on, and counted before the shuffle
+            inside = F.array(*[F.when(x[key[0]].between(F.lit(spans[key][0]), F.lit(spans[key][1])),
+                                      F.struct(F.lit(k).alias("k"), x[key[0]].alias("v"))) for k, key, _, _ in listed])
+            rows = (df.select(F.explode(F.filter(inside, lambda e: e.isNotNull())).alias("e")).groupBy("e.k", "e.v")
+                    .agg(F.count(F.lit(1)).alias("n")).collect())
+            values: dict[int, list] = {}
+            for r in rows:
+                values.setdefault(r["k"], []).append((r["v"], r["n"]))
+            for k, key, below, _ in listed:
+                at = below
+                for v, n in sorted(values[k]):
+                    if at <= key[1] < at + n:
+                        found[key] = v
+                    at += n
+                spans.pop(key)
+    nan = float("nan")
+    return {c: [(found.get((c, lo), nan), found.get((c, hi), nan), h) for lo, hi, h in places[c]] or None for c in cols}
+
+
+def between_ranks(low: float, high: float, h: float) -> float:
+    """Linear interpolation at position ``h`` between the values of its two ranks."""
+    lo, hi = math.floor(h), math.ceil(h)
+    return low if lo == hi else (hi - h) * low + (h - lo) * high
+
+
+def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float] | None]:
+    """Exact global quantiles (numpy 'linear' rule) of several columns by selection. ``None`` marks
+    a column with no non-null value."""
+    return {c: v and [between_ranks(*t) for t in v] for c, v in select_ranks(df, {c: list(probs) for c in cols}).items()}
+
+
 def quantile_columns(ranked: DataFrame, value: str, probs: list[float], by: list[str] | tuple = (), count: str = "cnt",
                      prefix: str = "q") -> DataFrame:
     """Exact linear-interpolation quantiles per group from a rank histogram.
@@ -138,22 +254,3 @@ def quantile_columns(ranked: DataFrame, value: str, probs: list[float], by: list
 def grouped_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str], prefix: str = "q") -> DataFrame:
     """Exact per-group quantiles without buffering a group's values in one task."""
     return quantile_columns(rank_histogram(df, value, by), value, probs, by, prefix=prefix)
-
-
-def quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict[str, list[float] | None]:
-    """Exact global quantiles (numpy 'linear' rule) of several columns.
-
-    All columns are melted to (column id, value) rows and ranked in one pass over the rank
-    histogram, whatever the size of their domains; no task buffers a column. Only the
-    resulting numbers are collected. ``None`` marks a column with no non-null value.
-    """
-    result: dict[str, list[float] | None] = {c: None for c in cols}
-    if not cols:
-        return result
-    melted = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)
-    ])).alias("_m")).select("_m._c", "_m._v")
-    ranked = rank_histogram(melted, "_v", by=["_c"], bounds_by="_c")
-    for row in quantile_columns(ranked, "_v", probs, by=["_c"]).collect():
-        result[cols[row["_c"]]] = [float(row[f"q{i}"]) for i in range(len(probs))]
-    return result

@@ -18,7 +18,7 @@ from clickpath.functions.columns import (
     to_number,
     weekday_name,
 )
-from clickpath.operators.ranks import quantiles
+from clickpath.operators.ranks import between_ranks, select_ranks
 from clickpath.schema import (
     DEFAULT_TAXONOMY,
     SESSION_ATTRIBUTE_DEFAULTS,
@@ -169,22 +169,21 @@ def _measure(df: DataFrame, name: str) -> F.Column:
 def winsor_bounds(df: DataFrame, cols: list[str] = WINSORIZED) -> dict[str, dict]:
     """Exact Q1 / median / Q3 per column -> clip fences (lower floored at 0).
 
-    All columns go through one distributed rank histogram; only the 3 numbers per column
-    reach the driver.
+    All columns go through one selection of ranks. ``middle`` keeps the two values next to the
+    median, from which the median of a scaled column follows without another pass.
     """
     present = [c for c in cols if c in df.columns]
-    qs = quantiles(df, present, [0.25, 0.5, 0.75])
+    ranks = select_ranks(df, {c: [0.25, 0.5, 0.75] for c in present})
     bounds = {}
     for c in present:
-        q = qs[c]
-        if q is None:
+        if ranks[c] is None:
             bounds[c] = {"empty": True}
             continue
-        q1, med, q3 = q
+        q1, med, q3 = (between_ranks(*r) for r in ranks[c])
         iqr = q3 - q1
         bounds[c] = {
             "empty": False,
-            "q1": q1, "median": med, "q3": q3,
+            "q1": q1, "median": med, "q3": q3, "middle": ranks[c][1],
             "clip": iqr != 0,
             "lower": max(q1 - 1.5 * iqr, 0.0),
             "upper": q3 + 1.5 * iqr,
@@ -203,8 +202,8 @@ def winsorize_column(name: str, b: dict) -> F.Column:
     return F.coalesce(clipped, med)
 
 
-def clean_sessions(df: DataFrame, assume_unique: bool = False, winsorize: bool = True) -> DataFrame:
-    """Session table -> clean session table (+5 ``*_winsorized`` columns).
+def typed_sessions(df: DataFrame, assume_unique: bool = False) -> DataFrame:
+    """Session table -> one typed row per ``session_key``: measures, flags, categories and date coerced.
 
     ``assume_unique=True`` skips the keep-first pass for tables that are unique
     per ``session_key`` by construction (the output of ``session_features``).
@@ -226,37 +225,66 @@ def clean_sessions(df: DataFrame, assume_unique: bool = False, winsorize: bool =
         exprs["session_date"] = F.col("session_date").cast("string").try_cast("date") if not isinstance(
             df.schema["session_date"].dataType, T.DateType
         ) else F.col("session_date")
-    df = df.withColumns(exprs)
-    if winsorize:
-        bounds = winsor_bounds(df)
-        df = df.withColumns({f"{c}_winsorized": winsorize_column(c, b) for c, b in bounds.items()})
-    return df
+    return df.withColumns(exprs)
+
+
+def winsorized(df: DataFrame, bounds: dict[str, dict]) -> DataFrame:
+    """Typed sessions with a ``*_winsorized`` column for each measure of ``winsor_bounds``."""
+    return df.withColumns({f"{c}_winsorized": winsorize_column(c, b) for c, b in bounds.items()})
+
+
+def clean_sessions(df: DataFrame, assume_unique: bool = False, winsorize: bool = True) -> DataFrame:
+    """Session table -> clean session table (+5 ``*_winsorized`` columns)."""
+    df = typed_sessions(df, assume_unique)
+    return winsorized(df, winsor_bounds(df)) if winsorize else df
 
 
 # ---------------------------------------------------------------------------
 # Engineered features
 # ---------------------------------------------------------------------------
+#: Levels that the first pass over a column tracks in each task, and candidates that it names beyond the wanted ones.
+TRACKED_LEVELS = 8192
+SPARE_LEVELS = 200
+
+
+def counted_levels(df: DataFrame, levels: dict[str, list[str] | None], top_n: int) -> dict[str, list[tuple[int, str]]]:
+    """(count, level) of the ``top_n`` most frequent cleaned levels of each column, among those listed for it (``None``: all)."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("_col"), (clean_category(c) if known is None else
+                                                        F.when(clean_category(c).isin(known), clean_category(c))).alias("_lvl"))
+                      for c, known in levels.items()])
+    counts = (df.select(F.explode(F.filter(pairs, lambda x: x["_lvl"].isNotNull())).alias("_m")).select("_m._col", "_m._lvl")
+              .groupBy("_col", "_lvl").agg(F.count(F.lit(1)).alias("_n")))
+    w = Window.partitionBy("_col").orderBy(F.desc("_n"), F.asc("_lvl"))
+    top = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_n)
+    out: dict[str, list[tuple[int, str]]] = {c: [] for c in levels}
+    for row in top.select("_col", "_lvl", "_n").collect():
+        out[row["_col"]].append((row["_n"], row["_lvl"]))
+    return {c: sorted(v, key=lambda x: (-x[0], x[1])) for c, v in out.items()}
+
+
 def top_levels(df: DataFrame, cols: list[str], top_n: int) -> dict[str, list[str]]:
-    """The ``top_n`` most frequent cleaned levels of each column, in one job.
+    """The ``top_n`` most frequent cleaned levels of each column.
 
-    Ties at the cut: count descending, then value ascending. Level counts are a
-    hash aggregate over (column, level) -- skew is absorbed map-side -- and the
-    per-column ``row_number() <= top_n`` is planned as a per-task top-k
-    (WindowGroupLimit) before its shuffle. At most ``top_n`` levels per column
-    reach the driver, a proven bound.
+    Ties at the cut: count descending, then value ascending. Two passes, neither of which shuffles all levels: a
+    frequent-items sketch a column (``TRACKED_LEVELS`` counters a task) names candidates, and only those are counted. A level
+    that it has not named occurs at most as often as the last one named, or 3.5 / TRACKED_LEVELS of all rows, the sketch's
+    proven error, if that is more. If the last wanted level is not above that bound, the column's levels are counted in full.
+    At most ``top_n`` levels a column and the candidates reach the driver.
     """
     if not cols:
         return {}
-    melted = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("_col"), clean_category(c).alias("_lvl")) for c in cols
-    ])).alias("_m")).select("_m._col", "_m._lvl")
-    counts = melted.groupBy("_col", "_lvl").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_col").orderBy(F.desc("_n"), F.asc("_lvl"))
-    top = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top_n)
-    out: dict[str, list[str]] = {c: [] for c in cols}
-    for row in top.select("_col", "_lvl", "_r").collect():
-        out[row["_col"]].append((row["_r"], row["_lvl"]))
-    return {c: [lvl for _, lvl in sorted(v)] for c, v in out.items()}
+    most = top_n + SPARE_LEVELS
+    sketch = df.agg(F.count(F.lit(1)).alias("n"), *[
+        F.call_function("approx_top_k", clean_category(c), F.lit(most), F.lit(TRACKED_LEVELS)).alias(f"s{i}") for i, c in enumerate(cols)]).first()
+    named = {c: [(x["item"], x["count"]) for x in sketch[f"s{i}"] or []] for i, c in enumerate(cols)}
+    found = counted_levels(df, {c: [level for level, _ in named[c]] for c in cols}, top_n)
+    # a sketch whose counts add up to all rows has named all levels
+    bound = {c: 0 if sum(n for _, n in named[c]) == sketch["n"] and len(named[c]) < most else
+             max(named[c][-1][1] if len(named[c]) >= most else 0, 3.5 / TRACKED_LEVELS * sketch["n"]) for c in cols}
+    unsure = [c for c in cols if bound[c] and (len(found[c]) < top_n or top_n and found[c][-1][0] <= bound[c])]
+    if unsure:
+        found.update(counted_levels(df, dict.fromkeys(unsure), top_n))
+    return {c: [level for _, level in found[c]] for c in cols}
 
 
 def limited(col: str, levels: list[str]) -> F.Column:
@@ -275,7 +303,10 @@ def limit_cardinality(df: DataFrame, col: str | list[str], top_n: int, out_col:
     return df.withColumns({c: limited(c, levels[c]) for c in cols})
 
 
-def engineer_features(df: DataFrame, landing_top_n: int = 20) -> DataFrame:
+def engineer_features(df: DataFrame, landing_top_n: int = 20, bounds: dict[str, dict] | None = None) -> DataFrame:
+    """Clean sessions with the journey features. ``bounds`` (of ``winsor_bounds`` on the same rows) spares the pass for the
+    median of ``engagement_seconds``: it is that of ``engagement_time_msec``, divided by 1000 rank by rank."""
+
     def get(c: str, default=0):
         return F.col(c) if c in df.columns else F.lit(default)
 
@@ -309,8 +340,12 @@ def engineer_features(df: DataFrame, landing_top_n: int = 20) -> DataFrame:
         "cart_without_checkout": flag((F.col("reached_cart") == 1) & (F.col("reached_checkout") == 0)),
         "checkout_without_purchase": flag((F.col("reached_checkout") == 1) & (F.col("converted_purchase") == 0)),
     })
-    med = quantiles(out, ["engagement_seconds"], [0.5])["engagement_seconds"]
-    engaged = F.col("engagement_seconds") >= F.lit(med[0]) if med is not None else F.lit(False)
+    known = (bounds or {}).get("engagement_time_msec")
+    if known is None:
+        middle = (select_ranks(out, {"engagement_seconds": [0.5]})["engagement_seconds"] or [None])[0]
+    else:
+        middle = None if known["empty"] else (known["middle"][0] / 1000, known["middle"][1] / 1000, known["middle"][2])
+    engaged = F.col("engagement_seconds") >= F.lit(between_ranks(*middle)) if middle else F.lit(False)
     out = out.withColumn(
         "high_engagement_no_purchase",
         flag((F.col("converted_purchase") == 0) & (F.col("journey_depth_pre_purchase") >= 3) & engaged),
@@ -320,4 +355,6 @@ def engineer_features(df: DataFrame, landing_top_n: int = 20) -> DataFrame:
 
 def build_sessions(events: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY, attributes: DataFrame | None = None) -> DataFrame:
     """Cleaned events -> engineered session table (unique per key by construction)."""
-    return engineer_features(clean_sessions(session_features(events, taxonomy, attributes), assume_unique=True))
+    typed = typed_sessions(session_features(events, taxonomy, attributes), assume_unique=True)
+    bounds = winsor_bounds(typed)
+    return engineer_features(winsorized(typed, bounds), bounds=bounds)

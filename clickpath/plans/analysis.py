@@ -17,7 +17,7 @@ from clickpath.operators import scorecards as sc
 from clickpath.operators import stats as st
 from clickpath.operators.model import train_purchase_model
 from clickpath.operators.sessionize import sessionize
-from clickpath.operators.sessions import clean_sessions, engineer_features, session_features
+from clickpath.operators.sessions import engineer_features, session_features, typed_sessions, winsor_bounds, winsorized
 from clickpath.schema import DEFAULT_TAXONOMY, Taxonomy
 from clickpath.sources.events import clean_events
 from clickpath.sources.tables import write_table
@@ -53,7 +53,9 @@ def run_analysis(sessions: DataFrame, out_dir: str, landing: DataFrame | None =
     """
     spark = sessions.sparkSession
     engineered_path = f"{out_dir}/session_features_clean"
-    write_table(engineer_features(clean_sessions(sessions)), engineered_path, fmt, partition_by=["session_date"])
+    typed = typed_sessions(sessions)
+    bounds = winsor_bounds(typed)
+    write_table(engineer_features(winsorized(typed, bounds), bounds=bounds), engineered_path, fmt, partition_by=["session_date"])
     clean = spark.read.format(fmt).option("header", True).load(engineered_path) if fmt == "csv" else \
         spark.read.parquet(engineered_path)
 

@@ -57,10 +57,10 @@ def div(a: str, b: str) -> str:
     return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
 
 
-def events_ctes(checkout: bool = False, given: bool = False) -> str:
-    """``given``: one session a user and day instead of sessions by gap."""
+def events_ctes(checkout: bool = False, given: bool = False, time: str = "e.ts") -> str:
+    """``given``: one session a user and day instead of sessions by gap; ``time``: the time of an event."""
     if given:
-        gap = events_ctes(checkout)
+        gap = events_ctes(checkout, time=time)
         head = gap[:gap.index("gap_events AS (")]
         return head + """clean_events AS (
   SELECT event_id, event_time, event_type, product_id, category_code, brand, price, user_id,
@@ -71,7 +71,7 @@ def events_ctes(checkout: bool = False, given: bool = False) -> str:
     kinds = "'view', 'cart', 'purchase'" + (", 'checkout'" if checkout else "")
     return f"""
 raw_events AS (
-  SELECT e.event_id, e.ts AS event_time,
+  SELECT e.event_id, {time} AS event_time,
          CASE e.event_type {mapping} ELSE e.event_type END AS event_type,
          TRY_CAST(json_extract_string(e.props, '$.k') AS BIGINT) AS k,
          CASE WHEN isnan(e.value) THEN NULL ELSE e.value END AS price,
@@ -101,7 +101,7 @@ clean_events AS (
 )"""
 
 
-def sessions_ctes(checkout: bool = False, device: bool = True, given: bool = False) -> str:
+def sessions_ctes(checkout: bool = False, device: bool = True, given: bool = False, time: str = "e.ts") -> str:
     checkout_count = "count(*) FILTER (WHERE event_type = 'checkout')" if checkout else "count(*) FILTER (WHERE event_type = 'cart')"
     unique_types = (
         "CAST(view_item_count > 0 AS BIGINT) + CAST(add_to_cart_count > 0 AS BIGINT) + CAST(purchase_count > 0 AS BIGINT)"
@@ -143,7 +143,7 @@ def sessions_ctes(checkout: bool = False, device: bool = True, given: bool = Fal
         )
     wsel = ",\n    ".join(wcols)
     title = clean_category_sql("landing_page_title")
-    return f"""{events_ctes(checkout, given)},
+    return f"""{events_ctes(checkout, given, time)},
 session_base AS (
   SELECT user_session AS session_key,
     first(user_id ORDER BY event_time, event_id) AS user_pseudo_id,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from clickpath.context import checkpoint_dir, configure
 from clickpath.operators import scorecards as sc
 from clickpath.operators.sessionize import sessionize
-from clickpath.operators.sessions import clean_sessions, engineer_features, session_features
+from clickpath.operators.sessions import engineer_features, session_features, typed_sessions, winsor_bounds, winsorized
 from clickpath.schema import CHECKOUT_TAXONOMY, DEFAULT_TAXONOMY, Taxonomy
 from clickpath.sources.events import clean_events
 from clickpath.sources.fixture import fixture_events, fixture_user_attributes
@@ -62,14 +62,23 @@ class Pipeline:
     def session_features(self) -> DataFrame:
         return self._keep(session_features(self.events, self.taxonomy, self.user_attributes), "session_features")
 
+    @cached_property
+    def sessions_typed(self) -> DataFrame:
+        return typed_sessions(self.session_features, assume_unique=True)
+
+    @cached_property
+    def bounds(self) -> dict[str, dict]:
+        """Quartiles and fences of the winsorized measures."""
+        return winsor_bounds(self.sessions_typed)
+
     @cached_property
     def sessions_clean(self) -> DataFrame:
-        return clean_sessions(self.session_features, assume_unique=True)
+        return winsorized(self.sessions_typed, self.bounds)
 
     @cached_property
     def sessions(self) -> DataFrame:
         """The engineered session table every analysis reads."""
-        return self._keep(engineer_features(self.sessions_clean), "sessions")
+        return self._keep(engineer_features(self.sessions_clean, bounds=self.bounds), "sessions")
 
     # -- scorecards --------------------------------------------------------
     @cached_property

@@ -14,15 +14,17 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from clickpath.context import checkpoint_dir
 from clickpath.functions.columns import clean_category, landing_path, to_number
 from clickpath.operators import scorecards as sc
-from clickpath.operators.sessions import dedup_keep_first, session_features, winsor_bounds
+from clickpath.operators.sessions import clean_sessions, dedup_keep_first, session_features
 from clickpath.plans import oracle as O
 from clickpath.plans.pipeline import pipeline
-from clickpath.schema import LANDING_MEASURES, PRODUCT_MEASURES, WINSORIZED
-from clickpath.sources.events import clean_events
+from clickpath.schema import (EVENT_SCHEMA, LANDING_MEASURES, PRODUCT_MEASURES, SESSION_CATEGORIES, SESSION_COLUMNS, SESSION_FLAGS,
+                              SESSION_MEASURES, WINSORIZED)
+from clickpath.sources.events import clean_events, clean_events_counted, read_event_log
 from clickpath.sources.fixture import fixture_events
-from clickpath.sources.tables import INGEST_ORDINAL, read_table
+from clickpath.sources.tables import INGEST_ORDINAL, read_csv_table, read_table, write_bucketed, write_table
 
 
 # temporal output columns are rendered as ISO text on both sides, so the value
@@ -102,18 +104,142 @@ def q_session_features_given(spark, sf):
     return session_features(given_events(spark, sf), attributes=pipeline(spark, sf).user_attributes)
 
 
-def given_events(spark, sf):
-    """The event log as such a file has it, read through the cleaning step."""
+def given_log(spark, sf, event_time="event_time"):
+    """The event log as such a file has it, with the event id (its order) as the place in the log."""
     raw = fixture_events(spark, sf)
+    raw = raw.withColumn("event_time", raw[event_time] if isinstance(event_time, str) else event_time)
     text = F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     spelled = (F.when(F.col("event_id") % 4 == 0, F.concat(text, F.lit(" UTC")))
                .when(F.col("event_id") % 4 == 1, F.concat(F.replace(text, F.lit(" "), F.lit("T")), F.lit("Z")))
                .when(F.col("event_id") % 4 == 2, F.concat(text, F.lit("+00:00"))).otherwise(text))
-    log = raw.select(
+    return raw.select(
         F.col("event_id").alias(INGEST_ORDINAL), spelled.alias("event_time"), "event_type", F.col("product_id").cast("string").alias("product_id"),
         "category_code", "brand", F.col("price").cast("string").alias("price"), F.col("user_id").cast("string").alias("user_id"),
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("event_time", "yyyyMMdd")).alias("user_session"))
-    return clean_events(log)
+
+
+def given_events(spark, sf):
+    return clean_events(given_log(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# readers and sinks: files that Spark derives from the given tables, written once an application and folder
+# ---------------------------------------------------------------------------
+_DERIVED: dict[tuple, str] = {}
+
+
+def derived(spark, sf, name, write):
+    """Folder that ``write(path)`` has filled."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
+    if key not in _DERIVED:
+        place = hashlib.sha256(sf.rstrip("/").encode()).hexdigest()[:16]
+        path = f"{checkpoint_dir(spark).rstrip('/')}/derived/{spark.sparkContext.applicationId}/{name}-{place}"
+        write(path)
+        _DERIVED[key] = path
+    return _DERIVED[key]
+
+
+def csv_log(spark, sf):
+    """The event log as six CSV files in the order of its rows, times cut to the hour, so that most sessions begin with several
+    events of one time and only the order of the log tells the first."""
+    def write(path):
+        log = given_log(spark, sf, F.date_trunc("hour", "event_time").cast("timestamp_ntz"))
+        (log.repartitionByRange(6, INGEST_ORDINAL).sortWithinPartitions(INGEST_ORDINAL).select(*EVENT_SCHEMA.fieldNames())
+         .write.option("header", True).option("nullValue", "NA").csv(path))
+    return derived(spark, sf, "log", write)
+
+
+HOURLY = "date_trunc('hour', e.ts)"
+LOG_COLS = ["event_time", "event_type", "product_id", "category_code", "brand", "price", "user_id", "user_session", "event_date"]
+
+
+@register("events_from_csv", O.with_ctes(O.events_ctes(given=True, time=HOURLY), f"SELECT {', '.join(LOG_COLS)} FROM clean_events"), ["price"],
+          EVENT_TIMES)
+def q_events_from_csv(spark, sf):
+    """A log of several CSV files with missing-value tokens and four spellings of time."""
+    return clean_events(read_event_log(spark, csv_log(spark, sf))).select(*LOG_COLS)
+
+
+@register("session_features_from_csv", O.with_ctes(O.sessions_ctes(given=True, time=HOURLY), "SELECT * FROM session_features"), SESSION_DOUBLES,
+          SESSION_TIMES)
+def q_session_features_from_csv(spark, sf):
+    """G1 by the order of the log: first user and title of sessions whose first events have one time."""
+    return session_features(clean_events(read_event_log(spark, csv_log(spark, sf))), attributes=pipeline(spark, sf).user_attributes)
+
+
+def csv_sessions(spark, sf):
+    """The session table as CSV files with headers in capitals and blanks and ``NA`` for missing values; each session
+    is repeated, with other counts, in a second set of files."""
+    def write(path):
+        rows = pipeline(spark, sf).session_features.select(*[F.col(c).cast("string").alias(c.replace("_", " ").upper()) for c in SESSION_COLUMNS])
+        out = lambda df, name: df.write.option("header", True).option("nullValue", "NA").csv(f"{path}/{name}")
+        out(rows.repartition(4), "a")
+        out(rows.withColumn("EVENT COUNT", F.lit("99")).repartition(3), "b")
+    return derived(spark, sf, "sessions", write)
+
+
+_READ_INTS = [c for c in SESSION_MEASURES if c not in SESSION_DOUBLES]
+_READ_COLS = ["session_key", "user_pseudo_id", "session_date", *SESSION_MEASURES, *[c for c in SESSION_FLAGS if c not in SESSION_MEASURES],
+              *SESSION_CATEGORIES, *WINSOR_DOUBLES]
+
+
+@register("sessions_from_csv", O.with_ctes(S, f"SELECT {', '.join(_READ_COLS)} FROM sessions_clean"), SESSION_DOUBLES + WINSOR_DOUBLES,
+          {"session_date": "date"})
+def q_sessions_from_csv(spark, sf):
+    """Session files read as text; of repeated sessions the first in the files is kept."""
+    clean = clean_sessions(read_csv_table(spark, f"{csv_sessions(spark, sf)}/*"))
+    return clean.withColumns({c: F.col(c).cast("bigint") for c in _READ_INTS}).select(*_READ_COLS)
+
+
+@register("sink_round_trip", O.with_ctes(S, "SELECT * FROM session_features"), SESSION_DOUBLES, SESSION_TIMES)
+def q_sink_round_trip(spark, sf):
+    """The session table written by date, its last day written again twice, first with other counts."""
+    def write(path):
+        rows = pipeline(spark, sf).session_features
+        write_table(rows, path, partition_by=["session_date"])
+        last = rows.where(F.col("session_date") == rows.agg(F.max("session_date")).first()[0])
+        for again in (last.withColumn("event_count", F.col("event_count") + 100), last):
+            write_table(again, path, partition_by=["session_date"], only_partitions=True)
+    return spark.read.parquet(derived(spark, sf, "sink", write)).select(*SESSION_COLUMNS)
+
+
+@register("bucketed_join", O.with_ctes(S, "SELECT session_key, event_count, ux_intent_segment, journey_depth FROM sessions"))
+def q_bucketed_join(spark, sf):
+    """Two session tables bucketed by their key and joined without a shuffle."""
+    p = pipeline(spark, sf)
+    place = hashlib.sha256(sf.rstrip("/").encode()).hexdigest()[:16]
+
+    def write(path):
+        write_bucketed(p.session_features.select("session_key", "event_count"), f"features_{place}", f"{path}/features", "session_key", 8)
+        write_bucketed(p.sessions.select("session_key", "ux_intent_segment", "journey_depth"), f"engineered_{place}", f"{path}/engineered",
+                       "session_key", 8)
+    derived(spark, sf, "bucketed", write)
+    return spark.table(f"features_{place}").join(spark.table(f"engineered_{place}"), "session_key")
+
+
+_RULES_SQL = f"""
+SELECT CASE WHEN event_time IS NULL THEN 'missing_event_time' WHEN event_type IS NULL THEN 'missing_event_type'
+  WHEN user_id IS NULL THEN 'missing_user_id' WHEN k IS NULL THEN 'missing_product_id'
+  WHEN event_type NOT IN ('view', 'cart', 'purchase') THEN 'other_event_type' WHEN price < 0 THEN 'negative_price' ELSE 'kept' END AS rule
+FROM raw_events"""
+
+
+@register("cleaning_account", O.with_ctes(E, f"""
+SELECT r.rule, count(x.rule) AS events, count(x.rule) AS rows FROM (VALUES ('missing_event_time'), ('missing_event_type'), ('missing_user_id'),
+  ('missing_product_id'), ('other_event_type'), ('negative_price'), ('kept')) r(rule) LEFT JOIN ({_RULES_SQL}) x USING (rule) GROUP BY r.rule"""))
+def q_cleaning_account(spark, sf):
+    """Rows that each rule of the cleaning step rejects, counted while the log is written (``events``) and again from the
+    tables of kept and rejected rows (``rows``)."""
+    def write(path):
+        ev = read_table(spark, sf, "events")
+        log = ev.select("event_id", F.col("ts").alias("event_time"), F.when(F.col("event_type") == "click", "cart").otherwise(F.col("event_type"))
+                        .alias("event_type"), F.get_json_object("props", "$.k").try_cast("bigint").alias("product_id"), F.col("value").alias("price"), "user_id")
+        *_, found = clean_events_counted(log, f"{path}/events", required=["event_time", "event_type", "user_id", "product_id"])
+        spark.createDataFrame(list(found.items()), "rule string, events long").write.parquet(f"{path}/counts")
+    path = derived(spark, sf, "cleaning", write)
+    rows = spark.read.parquet(f"{path}/events").groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+    return (spark.read.parquet(f"{path}/counts").join(rows, "rule", "left")
+            .select("rule", "events", F.coalesce("rows", F.lit(0)).alias("rows")))
 
 
 @register("sessions_dedup",
@@ -144,7 +270,7 @@ _IQR_SQL = " UNION ALL ".join(
           ["q1", "median", "q3", "iqr", "lower_fence", "upper_fence"])
 def q_iqr_bounds(spark, sf):
     """Quartiles and clip fences of the five winsorized measures, as the winsorizing step computes them."""
-    bounds = winsor_bounds(pipeline(spark, sf).sessions_clean, list(WINSORIZED))
+    bounds = pipeline(spark, sf).bounds
     rows = [(c, b["q1"], b["median"], b["q3"], b["q3"] - b["q1"], b["lower"], b["upper"], int(b["clip"]))
             for c, b in bounds.items() if not b["empty"]]
     return spark.createDataFrame(rows, "measure string, q1 double, median double, q3 double, iqr double, "
@@ -634,6 +760,16 @@ def q_model_performance(spark, sf):
     return pipeline(spark, sf).model.performance
 
 
+@register("model_saved_scores", O.with_ctes(S, "SELECT count(*) AS sessions, count(*) AS equal_scores FROM sessions"))
+def q_model_saved_scores(spark, sf):
+    """M4-M8: the fitted model written to a folder, read back and applied to the session table; ``equal_scores``: rows
+    whose score is that of the training run."""
+    p = pipeline(spark, sf)
+    saved = M.PurchaseModel.load(derived(spark, sf, "model", p.model.model.save)).score(p.sessions).select("session_key", F.col("score").alias("_again"))
+    both = p.model.scored.select("session_key", "score").join(saved, "session_key", "full")
+    return both.agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.abs(F.col("score") - F.col("_again")) < 1e-12).alias("equal_scores"))
+
+
 @register("model_feature_importance", None)
 def q_model_feature_importance(spark, sf):
     return pipeline(spark, sf).model.importance
@@ -740,6 +876,77 @@ def q_streaming_daily(spark, sf):
     return stream_table(spark, sf, "daily", SJ.daily_counts)
 
 
+from clickpath.streaming import stateful as SF  # noqa: E402
+
+
+def delivered(spark, sf, name, parts, run):
+    """Result of ``run(stream of typed events, root)`` after several deliveries of a folder's events into one log folder:
+    ``parts`` (of the events table) yields what each delivery adds. The stream is run again after every one."""
+    def write(path):
+        events = read_table(spark, sf, "events")
+        for df in parts(events):
+            df.write.mode("append").parquet(f"{path}/log")
+            run(SJ.stream_events(spark, f"{path}/log"), path)
+    return derived(spark, sf, name, write)
+
+
+def in_time_order_twice(events):
+    """Three deliveries by time, each of which brings the one before again."""
+    cuts = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [1 / 3, 2 / 3], 100).alias("c")).first()["c"]
+    place = sum((F.unix_micros(F.col("ts").cast("timestamp")) > c).cast("int") for c in cuts)
+    return [events.where(place == 0), *(events.where(place.isin(k - 1, k)) for k in (1, 2))]
+
+
+def in_no_order(events):
+    """Three deliveries by the id, the last of which brings the first again."""
+    place = F.col("event_id") % 3
+    return [events.where(place == 0), events.where(place == 1), events.where(place.isin(2, 0))]
+
+
+@register("streaming_sessions_exact", "WITH " + O.events_ctes().strip() + f""",
+late AS (SELECT max(event_time) - INTERVAL 8 HOUR AS mark FROM typed_events)
+SELECT user_session, user_id, min(event_time) AS session_start, max(event_time) AS session_end, count(*) AS event_count,
+  count(*) FILTER (WHERE event_type = 'view') AS view_item_count, count(*) FILTER (WHERE event_type = 'cart') AS add_to_cart_count,
+  count(*) FILTER (WHERE event_type = 'purchase') AS purchase_count,
+  COALESCE({O.esum('price', "event_type = 'purchase'")}, 0.0) AS purchase_revenue_usd
+FROM clean_events GROUP BY user_id, user_session HAVING max(event_time) + INTERVAL 8 HOUR <= (SELECT mark FROM late)""",
+          ["purchase_revenue_usd"], {"session_start": "ts", "session_end": "ts"})
+def q_streaming_sessions_exact(spark, sf):
+    """X2 by the rule and with the keys of X1, from a log that is delivered twice."""
+    run = lambda stream, root: SJ.run_to_table(SF.timed_sessions(stream, 8 * 3600, "8 hours"), "sessions", root)
+    return spark.read.parquet(f"{delivered(spark, sf, 'timed', in_time_order_twice, run)}/sessions/data")
+
+
+_DAILY_TOTALS_SQL = f"""
+SELECT event_date AS event_dt, count(*) AS total_events, count(DISTINCT user_id) AS users,
+  count(*) FILTER (WHERE event_type = 'view') AS page_views, count(*) FILTER (WHERE event_type = 'cart') AS add_to_cart_events,
+  count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,
+  COALESCE({O.esum('price', "event_type = 'purchase'")}, 0.0) AS purchase_revenue_usd FROM typed_events GROUP BY event_date"""
+
+
+def _corrected(spark, sf):
+    run = lambda stream, root: SF.run_daily(stream, "daily", 3600, root)
+    return f"{delivered(spark, sf, 'corrected', in_no_order, run)}/daily"
+
+
+@register("streaming_daily_corrected", "WITH " + O.events_ctes().strip() + _DAILY_TOTALS_SQL, ["purchase_revenue_usd"], {"event_dt": "date"})
+def q_streaming_daily_corrected(spark, sf):
+    """X3 with late and repeated rows: every day as the batch job has it."""
+    columns = ["event_dt", "total_events", "users", "page_views", "add_to_cart_events", "purchase_events", "purchase_revenue_usd"]
+    return spark.read.parquet(f"{_corrected(spark, sf)}/days").select(*columns)
+
+
+@register("streaming_late_rows", "WITH " + O.events_ctes().strip() + """,
+d AS (SELECT event_id % 3 AS place, event_id, user_id, event_type, price, event_time FROM typed_events),
+m AS (SELECT max(event_time) FILTER (WHERE place = 0) AS first, max(event_time) FILTER (WHERE place < 2) AS second FROM d)
+SELECT CAST(1 AS BIGINT) AS batch, event_id, user_id, event_type, price FROM d, m WHERE place = 1 AND event_time < first - INTERVAL 1 HOUR
+UNION ALL SELECT 2, event_id, user_id, event_type, price FROM d, m WHERE place <> 1 AND event_time < second - INTERVAL 1 HOUR""", ["price"])
+def q_streaming_late_rows(spark, sf):
+    """Rows that came more than an hour behind the latest event of the deliveries before, with their delivery."""
+    late = spark.read.parquet(f"{_corrected(spark, sf)}/late")
+    return late.select(F.col("batch").cast("long").alias("batch"), "event_id", "user_id", "event_type", "price")
+
+
 # ---------------------------------------------------------------------------
 # checkout taxonomy (signup events become checkout): product and daily tables
 # ---------------------------------------------------------------------------

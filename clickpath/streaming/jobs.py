@@ -4,7 +4,8 @@ Events arrive as files (parquet here; any file or Kafka source works the same);
 watermarks bound the state, and closed windows are appended to a parquet sink.
 A query's sink and checkpoint have fixed places under its root, so a query that is
 started again with the same name and root resumes where it stopped and
-appends only what is new.
+appends only what is new. These two are plain window aggregates: rows behind the watermark are dropped and a redelivered event
+counts again; ``streaming.stateful`` has the jobs that account for such rows.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ def stream_events(spark: SparkSession, path: str, taxonomy: Taxonomy = DEFAULT_T
     if taxonomy.checkout is not None:
         mapping = mapping.when(F.col("event_type") == "signup", F.lit(taxonomy.checkout))
     typed = ev.select(
+        "event_id",
         F.col("ts").cast("timestamp").alias("event_time"),
         mapping.otherwise(F.col("event_type")).alias("event_type"),
         F.col("user_id").cast("string").alias("user_id"),

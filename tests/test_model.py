@@ -115,3 +115,37 @@ def test_unseen_level_gets_no_column(spark):
     assert {"cat__device_category_desktop", "cat__device_category_mobile"} <= names
     assert "cat__device_category_tablet" not in names
     assert res.performance.first().test_rows > 0  # unseen rows are scored (all-zero one-hot)
+
+
+def test_saved_model_scores_new_tables(spark, tmp_path):
+    """A model read back scores as the one that was saved; unseen levels, nulls and absent columns have defined scores."""
+    from clickpath.operators.model import PurchaseModel
+
+    rng = np.random.default_rng(8)
+    n = 600
+    y = rng.integers(0, 2, size=n)
+    pdf = pd.DataFrame({
+        "session_key": [f"s{i}" for i in range(n)], "converted_purchase": y,
+        "event_count_winsorized": rng.random(n) * 4 + y, "page_view_count": rng.integers(0, 9, size=n),
+        "device_category": rng.choice(["desk'top", "mobile\\x", "tablet"], size=n), "country": rng.choice([f"c{k:02d}" for k in range(40)], size=n),
+    })
+    df = spark.createDataFrame(pdf)
+    res = train_purchase_model(df)
+    path = str(tmp_path / "model")
+    res.model.save(path)
+    res.model.save(path)  # again
+    loaded = PurchaseModel.load(path)
+    want = {r.session_key: r.score for r in res.scored.select("session_key", "score").collect()}
+    got = loaded.score(df).toPandas()
+    assert list(got.columns) == [*df.columns, "score"] and len(got) == n
+    assert max(abs(want[k] - s) for k, s in zip(got.session_key, got.score)) < 1e-12
+
+    one = lambda **row: loaded.score(spark.createDataFrame([row], ", ".join(
+        f"{k} {'double' if k in ('event_count_winsorized', 'page_view_count') else 'string'}" for k in row))).first().score
+    base = {"session_key": "x", "event_count_winsorized": 2.0, "page_view_count": 3.0, "device_category": "tablet", "country": "c01"}
+    median = float(np.median(pdf.event_count_winsorized[pdf.session_key.isin(
+        [r.session_key for r in res.scored.where("_test = 0").select("session_key").collect()])]))
+    assert one(**{**base, "event_count_winsorized": None}) == pytest.approx(one(**{**base, "event_count_winsorized": median}), abs=1e-12)
+    assert one(**{**base, "country": "nowhere"}) == one(**{**base, "country": "other"})
+    assert one(**{**base, "device_category": None}) == one(**{k: v for k, v in base.items() if k != "device_category"})
+    assert 0 <= one(session_key="x", event_count_winsorized=float("nan")) <= 1
