@@ -24,7 +24,7 @@ import json
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -278,6 +278,11 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     model = lr.fit(training)
     iterations = model.summary.totalIterations
     training.unpersist()
+    # read back from the shared folder: a fitted model's training summary holds the session, which can't be sent to tasks
+    # once the session has observed a query
+    place = f"{checkpoint_dir(spark).rstrip('/')}/tables/model-{uuid.uuid4().hex[:12]}"
+    model.save(place)
+    model = LogisticRegressionModel.load(place)
 
     # scores are read by several bounded aggregates below: written once to the shared folder
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/scored-{uuid.uuid4().hex[:12]}"
