@@ -18,6 +18,8 @@ from clickpath.context import checkpoint_dir
 
 #: Rows per Arrow batch sent to Python: bounds a worker's memory, changes no result.
 ARROW_ROWS = 512
+#: Spark deletes the shuffle files of an SQL execution at its end.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +34,15 @@ def arrow_batches(spark: SparkSession) -> None:
 
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage
-    with files that survive lost executors."""
+    with files that survive lost executors. The shuffle files of the job that writes it are deleted when it ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
