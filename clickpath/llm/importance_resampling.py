@@ -1,8 +1,8 @@
 """Operator 12: importance resampling towards a target distribution of hashed n-grams.
 
 Texts are read as bytes: A-Z in lower case, separators (ASCII other than letters and digits) collapsed to single
-spaces. An overlapped regex scan with boundary lookarounds emits the spans of all runs of 1 to ``NGRAMS`` words; a feature's
-bucket is the CRC-32 of its bytes modulo ``BUCKETS``. Buckets are counted over all documents and over all target texts, each task
+spaces. One overlapped regex scan with boundary lookarounds stops at every word and emits the spans of all runs of 1 to ``NGRAMS``
+words that begin there; a feature's bucket is the CRC-32 of its bytes modulo ``BUCKETS``. Buckets are counted over all documents and over all target texts, each task
 adding up a dense array of its own, so that at most BUCKETS rows a task are shuffled however frequent a word is.
 
 A bucket's gain is floor(1000 * ln of (its smoothed share in the target / its smoothed share in the documents)); a document's
@@ -21,7 +21,8 @@ not read, unless ``carry`` passes them on.
 from __future__ import annotations
 
 import zlib
-from operator import itemgetter
+from itertools import chain
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -38,41 +39,35 @@ LEAST_WORDS = 20
 #: Documents drawn, in hundredths of those with LEAST_WORDS words.
 SHARE = 25
 SEED = 7
-#: Different n-grams whose bucket a worker remembers.
-CACHE_NGRAMS = 200_000
-_SEPARATORS = regex.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-
-
-class Buckets(dict):
-    """Bucket of an n-gram's bytes; what was asked for is remembered, and the table starts anew when it is full."""
-
-    def __init__(self, buckets: int):
-        super().__init__()
-        self.buckets = buckets
-
-    def __missing__(self, ngram: bytes) -> int:
-        if len(self) >= CACHE_NGRAMS:
-            self.clear()
-        self[ngram] = bucket = zlib.crc32(ngram) % self.buckets
-        return bucket
+#: A-Z in lower case, separators as spaces.
+_PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
 class Scanner:
     """Buckets of all n-grams of a text."""
 
     def __init__(self, ngrams: int, buckets: int):
-        self.patterns = [regex.compile(rb"(?<![^ ])[^ ]+" + rb" [^ ]+" * more + rb"(?![^ ])") for more in range(ngrams)]
-        self.bucket = Buckets(buckets).__getitem__
+        self.ngrams, self.buckets = ngrams, buckets
+        # the last group is the first word after a space, the one around it the first two and so on; near the end they stay short
+        groups = rb"([^ ]++)"
+        for _ in range(ngrams - 1):
+            groups = rb"(" + groups + rb"(?: [^ ]++)?+)"
+        self.pattern = regex.compile(rb" " + groups + rb"(?= |$)")
+        self.spans = methodcaller("group", *range(ngrams, 0, -1))
 
     def words(self, text: bytes) -> bytes:
-        """The words in lower case, one space between any two."""
-        return _SEPARATORS.sub(b" ", text.lower()).strip()
+        """The words in lower case, each after one space."""
+        words = text.translate(_PLAIN).split()
+        return b" " + b" ".join(words) if words else b""
 
     def scan(self, text: bytes) -> list[np.ndarray]:
         """The buckets of the runs of 1, 2, ... words."""
-        words = self.words(text)
-        spans = lambda pattern: pattern.finditer(words, overlapped=True)
-        return [np.fromiter(map(self.bucket, map(itemgetter(0), spans(p))), np.int32) for p in self.patterns]
+        found = map(self.spans, self.pattern.finditer(self.words(text), overlapped=True))
+        if self.ngrams > 1:
+            found = chain.from_iterable(found)
+        crc = np.fromiter(map(zlib.crc32, found), np.uint32).reshape(-1, self.ngrams)
+        # the last word begins no run of two, the last two none of three
+        return [(crc[:max(0, len(crc) - k), k] % np.uint32(self.buckets)).astype(np.int32) for k in range(self.ngrams)]
 
 
 def _scanner(ngrams: int, buckets: int) -> Scanner:

@@ -76,11 +76,3 @@ def test_the_scan_gives_all_runs(text):
     words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
     assert [f.tolist() for f in found] == [
         [zlib.crc32(" ".join(words[i:i + n]).encode()) % 10_000 for i in range(len(words) - n + 1)] for n in (1, 2, 3)]
-
-
-def test_a_full_worker_table_changes_nothing(monkeypatch):
-    monkeypatch.setattr(ir, "CACHE_NGRAMS", 3)
-    text = b"a b c d e f a b c d e f"
-    small = ir.Scanner(2, 100).scan(text)
-    monkeypatch.setattr(ir, "CACHE_NGRAMS", 1000)
-    assert [f.tolist() for f in small] == [f.tolist() for f in ir.Scanner(2, 100).scan(text)]
