@@ -17,8 +17,8 @@ import sys as _sys
 
 from pyspark import cloudpickle as _cloudpickle
 
-# Python functions that run inside tasks (p-value finishers, the Shapiro-Wilk
-# group function) are pickled by value, so executors need no installed copy of
+# Python functions that run inside tasks (p-value finishers, stateful streams, corpus
+# operators) are pickled by value, so executors need no installed copy of
 # this package.
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 

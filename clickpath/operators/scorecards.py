@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from clickpath.functions.columns import clean_category, exact_avg, exact_sum, landing_path, safe_divide, to_number
+from clickpath.functions.columns import EXACT, clean_category, exact_avg, exact_sum, landing_path, safe_divide, to_number
 from clickpath.operators.ranks import grouped_quantiles
 from clickpath.schema import (
     DAILY_COLUMNS,
@@ -150,36 +150,27 @@ PRODUCT_KEYS = ["product_id", "brand", "category_code"]
 
 
 def product_discovery(events: DataFrame, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
-    """One row per (product, brand, category).
+    """One row per (product, brand, category), from one scan of the events.
 
-    Distinct sessions per event type: events are first reduced to one row per
-    (product key, type, session) -- a hash aggregate that absorbs hot products
-    map-side -- and then counted per product, instead of three distinct
-    aggregates that would each expand every event row.
+    Events are first reduced to one row per (product key, session), a hash aggregate that absorbs hot products map-side
+    and spreads what is left of them over their sessions; those rows give the totals and, counted, the
+    distinct sessions of each event type.
     """
     t = taxonomy
     etype = F.col("event_type")
-    base = events.groupBy(*PRODUCT_KEYS).agg(
-        F.count_if(etype == t.view).alias("product_views"),
-        F.count_if(etype == t.cart).alias("add_to_cart_events"),
-        F.count_if(etype == t.purchase).alias("purchase_events"),
-        F.count_if(etype == (t.checkout or t.cart)).alias("_checkout_events"),
-        exact_avg("price").alias("avg_item_price_usd"),
-        F.coalesce(exact_sum(F.when(etype == t.purchase, F.col("price"))), F.lit(0.0)).alias("revenue_usd"),
-    )
-    kinds = [t.view, t.cart, t.purchase]
-    pairs = events.where(etype.isin(kinds)).select(*PRODUCT_KEYS, "event_type", "user_session").distinct()
-    sess = pairs.groupBy(*PRODUCT_KEYS).agg(
-        F.count_if(etype == t.view).alias("viewing_sessions"),
-        F.count_if(etype == t.cart).alias("cart_sessions"),
-        F.count_if(etype == t.purchase).alias("purchase_sessions"),
-    )
-    keys_eq = [base[k].eqNullSafe(sess[k]) for k in PRODUCT_KEYS]
-    p = base.join(sess, keys_eq, "left").select(
-        *[base[k] for k in PRODUCT_KEYS],
-        *[base[c] for c in ["product_views", "add_to_cart_events", "purchase_events", "_checkout_events",
-                            "avg_item_price_usd", "revenue_usd"]],
-        *[F.coalesce(sess[c], F.lit(0)).alias(c) for c in ["viewing_sessions", "cart_sessions", "purchase_sessions"]],
+    value = F.col("price").cast("double").try_cast(EXACT)
+    per_session = events.groupBy(*PRODUCT_KEYS, "user_session").agg(
+        F.count_if(etype == t.view).alias("product_views"), F.count_if(etype == t.cart).alias("add_to_cart_events"),
+        F.count_if(etype == t.purchase).alias("purchase_events"), F.count_if(etype == (t.checkout or t.cart)).alias("_checkout_events"),
+        F.sum(value).alias("_price"), F.count(value).alias("_priced"), F.sum(F.when(etype == t.purchase, value)).alias("_revenue"))
+    known = F.col("user_session").isNotNull()
+    p = per_session.groupBy(*PRODUCT_KEYS).agg(
+        *[F.sum(c).alias(c) for c in ("product_views", "add_to_cart_events", "purchase_events", "_checkout_events")],
+        F.try_divide(F.sum("_price").cast("double"), F.sum("_priced").cast("double")).alias("avg_item_price_usd"),
+        F.coalesce(F.sum("_revenue").cast("double"), F.lit(0.0)).alias("revenue_usd"),
+        F.count_if(known & (F.col("product_views") > 0)).alias("viewing_sessions"),
+        F.count_if(known & (F.col("add_to_cart_events") > 0)).alias("cart_sessions"),
+        F.count_if(known & (F.col("purchase_events") > 0)).alias("purchase_sessions"),
     )
     parts = F.split(F.col("category_code"), "[.]")
     p = p.select(

@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clickpath.context import checkpoint_dir, configure
 from clickpath.operators import scorecards as sc
@@ -95,7 +95,8 @@ class Pipeline:
 
     @cached_property
     def product(self) -> DataFrame:
-        return sc.product_discovery(self.events, self.taxonomy)
+        """Written once: the scorecard reads it twice (its rows and their best rate)."""
+        return self._keep(sc.product_discovery(self.events, self.taxonomy), "product").orderBy(F.desc("product_views"))
 
     # -- model -------------------------------------------------------------
     @cached_property
