@@ -836,6 +836,33 @@ def q_high_intent_fixed(spark, sf):
     return M.high_intent_segments(s, "score")
 
 
+# ---------------------------------------------------------------------------
+# G11 over ranges of days: united sketches
+# ---------------------------------------------------------------------------
+from clickpath.operators import sketches as SK  # noqa: E402
+
+#: Most that an estimate may be off the exact count, as a share of it: over 4 standard errors.
+SKETCH_ERROR = 0.03
+
+
+@register("weekly_totals", "WITH " + O.events_ctes().strip() + f"""
+SELECT strftime(date_trunc('week', event_date), '%Y-%m-%d') AS label, count(*) AS total_events,
+  count(*) FILTER (WHERE event_type = 'purchase') AS purchase_events,
+  COALESCE({O.esum('price', "event_type = 'purchase'")}, 0.0) AS purchase_revenue_usd,
+  count(DISTINCT user_id) AS exact_users, count(DISTINCT user_session) AS exact_sessions, TRUE AS users_near, TRUE AS sessions_near
+FROM clean_events GROUP BY 1""", ["purchase_revenue_usd"])
+def q_weekly_totals(spark, sf):
+    """Totals of each week from the rows of its days; ``*_near``: the united sketch is within SKETCH_ERROR of the exact count."""
+    week = lambda c: F.date_format(F.date_trunc("week", c), DATE_FMT)
+    events = pipeline(spark, sf).events
+    days = spark.read.parquet(derived(spark, sf, "sketches", lambda path: write_table(SK.daily_sketches(events), path)))
+    exact = events.groupBy(week("event_date").alias("label")).agg(F.count_distinct("user_id").alias("exact_users"),
+                                                                  F.count_distinct("user_session").alias("exact_sessions"))
+    near = lambda c: (F.abs(F.col(c) - F.col(f"exact_{c}")) <= SKETCH_ERROR * F.col(f"exact_{c}")).alias(f"{c}_near")
+    return (SK.range_totals(days, week("event_dt")).join(exact, "label")
+            .select("label", "total_events", "purchase_events", "purchase_revenue_usd", "exact_users", "exact_sessions", near("users"), near("sessions")))
+
+
 # ---------------------------------------------------------------------------
 # Structured Streaming: append mode emits the windows that the watermark (latest event less the
 # delay) has closed; sessions and days still open at the end of the log stay in state

@@ -37,7 +37,7 @@ def con():
     "mwu_engagement_purchase", "kw_landing_engagement", "spearman_events_depth", "chi2_weekend_purchase",
     "high_intent_fixed_score", "landing_path", "model_frame", "session_features_given", "streaming_sessions", "iqr_bounds",
     "events_from_csv", "session_features_from_csv", "sessions_from_csv", "sink_round_trip", "bucketed_join", "cleaning_account",
-    "streaming_sessions_exact", "streaming_daily_corrected", "streaming_late_rows", "limit_cardinality", "product_discovery",
+    "streaming_sessions_exact", "streaming_daily_corrected", "streaming_late_rows", "limit_cardinality", "product_discovery", "weekly_totals",
     "streaming_daily", "normality_checks", "train_test_split", "model_metrics_fixed_score",
 ])
 def test_spark_matches_duckdb(spark, con, name):
