@@ -43,7 +43,17 @@ def keep(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def forget(*kept: DataFrame) -> None:
+    """Delete the files of tables that ``keep`` has written, once nothing is read from them any more."""
+    for df in kept:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def worker_state(owner: str, name: str, key, make):

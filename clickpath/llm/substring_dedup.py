@@ -21,7 +21,9 @@ repeat has before its first or after its last paragraph; the kept one reaches as
 same decision, is reported as one span of words; words that are not seen to repeat are never in between.
 
 Defined cases: null and empty texts have no paragraph; texts under ``LEAST_WORDS`` words neither
-match nor are removed; rows without an id take no part; rows that repeat an id are one document.
+match nor are removed; very long texts are read whole, as one row; rows without an id take no part; rows that repeat an id are one
+document (what only they share is no repeat), but each has its paragraphs, places and spans by its own text (``row``: hash of id and
+text), and rows that repeat both are one; an empty table gives an empty result; other columns are not read. Ids are integers.
 """
 
 from __future__ import annotations
@@ -30,9 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from clickpath.llm.common import arrow_batches, keep, text_of, worker_state
+from clickpath.llm.common import arrow_batches, forget, keep, text_of, worker_state
 from clickpath.llm.components import components
 from clickpath.llm.minhash_dedup import possible
 from clickpath.llm.pretokens import mix
@@ -45,6 +46,13 @@ WORDS = 5
 LIKENESS = 80
 BANDS = 4
 ROWS = 2
+#: Word sequences whose bands a task remembers having given; it changes no result.
+KNOWN_PARAGRAPHS = 400_000
+#: Different paragraphs of a band that are paired with each other; those of larger bands meet in the prefix join.
+SMALL = 8
+#: One-bit minima of a paragraph, and in how many of them two alike ones may differ.
+SKETCH = 64
+SKETCH_DIFFERS = 18
 
 
 def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -78,68 +86,113 @@ def paragraphs(words: np.ndarray, shingler: Shingler) -> tuple[np.ndarray, np.nd
     return start, np.full(len(start), PARAGRAPH)
 
 
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, row, text) of the rows with an id; row: hash of the id and the text."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
+    return rows.withColumn("row", F.xxhash64("doc", "text"))
+
+
+class Bander:
+    """Hashes of the word sequences and bands of many paragraphs of one length at once."""
+
+    def __init__(self):
+        rng = np.random.default_rng(23)
+        self.flip = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+        self.factor = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+        self.weight = rng.integers(0, 1 << 63, PARAGRAPH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+        self.marks = rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
+        self.spread = rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+    def sketch(self, shingles: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        """SKETCH bits, one of each of as many minima."""
+        own = shingles[start[:, None] + np.arange(n - WORDS + 1)]
+        out = np.zeros(len(start), np.uint64)
+        for k, (mark, factor) in enumerate(zip(self.marks, self.spread)):
+            low = ((own ^ mark) * factor).min(axis=1)
+            out |= (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)) << np.uint64(k)
+        return out
+
+    def whole(self, words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        return mix((words[start[:, None] + np.arange(n)] * self.weight[:n]).sum(axis=1, dtype=np.uint64) + np.uint64(n))
+
+    def bands(self, shingles: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+        own = shingles[start[:, None] + np.arange(n - WORDS + 1)]
+        key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(start), 1))
+        for r in range(ROWS):
+            low = np.stack([((own ^ self.flip[k]) * self.factor[k]).min(axis=1) for k in range(r, BANDS * ROWS, ROWS)], axis=1)
+            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
+        return key
+
+
 def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, start, n, whole, bands) of every paragraph; whole: hash of its word sequence."""
+    """(doc, row, start, n, whole, bands, sketch) of every paragraph; whole: hash of its word sequence; bands: null where the same
+    task has given those of this word sequence before."""
     arrow_batches(docs.sparkSession)
-    rng = np.random.default_rng(23)
-    flip = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-    factor = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-    weight = rng.integers(0, 1 << 63, PARAGRAPH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
     def run(batches):
         shingler = worker_state("shingles", "shingler", WORDS, lambda: Shingler(WORDS))
+        bander, known = Bander(), set()
         for batch in batches:
-            docs_, cols = batch.column(0).to_pylist(), [[] for _ in range(5)]
-            for doc, words in zip(docs_, shingler.word_hashes(batch.column(1).cast(pa.binary()).to_pylist())):
-                start, size = paragraphs(words, shingler)
-                if not len(start):
-                    continue
-                n = int(size[0])
-                at = start[:, None] + np.arange(n)[None, :]
-                whole = mix((words[at] * weight[None, :n]).sum(axis=1, dtype=np.uint64) + np.uint64(n))
-                own = shingler.shingles(words)[start[:, None] + np.arange(n - WORDS + 1)[None, :]]
-                low = np.stack([((own ^ f) * m).min(axis=1) for f, m in zip(flip, factor)], axis=1).reshape(len(start), BANDS, ROWS)
-                key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(start), 1))
-                for r in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
-                for c, v in zip(cols, (np.full(len(start), doc), start, size, whole.view(np.int64), key.view(np.int64).ravel())):
-                    c.append(v)
-            if not cols[0]:
+            ids, rows = (batch.column(k).to_numpy() for k in (0, 1))
+            hashes = shingler.word_hashes(batch.column(2).cast(pa.binary()).to_pylist())
+            found = [paragraphs(words, shingler) for words in hashes]
+            many = np.array([len(start) for start, _ in found], np.int64)
+            if not many.sum():
                 continue
-            doc, start, size, whole, key = (np.concatenate(c) for c in cols)
-            ends = pa.array(np.arange(len(doc) + 1, dtype=np.int32) * BANDS)
+            # all texts in a row: no paragraph reaches beyond its own
+            size = np.array([len(words) for words in hashes], np.int64)
+            owner = np.repeat(np.arange(len(hashes)), many)
+            start, n = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            at = start + (np.cumsum(size) - size)[owner]
+            words = np.concatenate(hashes)
+            shingles = shingler.shingles(words)
+            whole, key, sketch = np.empty(len(at), np.uint64), np.empty((len(at), BANDS), np.uint64), np.empty(len(at), np.uint64)
+            for length in np.unique(n).tolist():
+                same = np.flatnonzero(n == length)
+                for k in range(0, len(same), 8192):
+                    some = same[k:k + 8192]
+                    whole[some], key[some] = bander.whole(words, at[some], length), bander.bands(shingles, at[some], length)
+                    sketch[some] = bander.sketch(shingles, at[some], length)
+            whole = whole.view(np.int64)
+            kinds, one = np.unique(whole, return_index=True)
+            fresh = np.zeros(len(at), bool)
+            fresh[[i for i, w in zip(one.tolist(), kinds.tolist()) if w not in known]] = True
+            if len(known) > KNOWN_PARAGRAPHS:
+                known.clear()
+            known.update(whole[fresh].tolist())
+            ends = pa.array(np.append(0, np.cumsum(np.where(fresh, BANDS, 0))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(size, pa.int32()), pa.array(whole),
-                 pa.ListArray.from_arrays(ends, pa.array(key))], names=["doc", "start", "n", "whole", "bands"])
+                [pa.array(ids[owner]), pa.array(rows[owner]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole),
+                 pa.ListArray.from_arrays(ends, pa.array(key[fresh].view(np.int64).ravel()), mask=pa.array(~fresh)),
+                 pa.array(sketch.view(np.int64))], names=["doc", "row", "start", "n", "whole", "bands", "sketch"])
 
-    schema = StructType([StructField("doc", LongType()), StructField("start", IntegerType()), StructField("n", IntegerType()),
-                         StructField("whole", LongType()),
-                         StructField("bands", ArrayType(LongType()))])
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return (rows_of(docs, id_col, text_col).select("doc", "row", "text")
+            .mapInArrow(run, "doc long, row long, start int, n int, whole long, bands array<long>, sketch long"))
 
 
 def shingle_sets(variants: DataFrame, docs: DataFrame) -> DataFrame:
-    """(whole, times, found) of paragraphs (whole, times, at); found: their shingle sets, read from the place ``at``."""
-    places = (variants.select("at.*", "whole", "times").groupBy("doc")
-              .agg(F.collect_list(F.struct("start", "n", "whole", "times")).alias("at")))
+    """(whole, times, kind, found) of paragraphs (whole, times, kind, at); found: their shingle sets, read from the place ``at``."""
+    places = (variants.select("at.*", "whole", "times", "kind").groupBy("row")
+              .agg(F.collect_list(F.struct("start", "n", "whole", "times", "kind")).alias("at")))
 
     def sets(batches):
         shingler = worker_state("shingles", "shingler", WORDS, lambda: Shingler(WORDS))
         for batch in batches:
-            whole, times, found = [], [], []
+            whole, times, kind, found = [], [], [], []
             for words, at in zip(shingler.word_hashes(batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_pylist()):
+                shingles = shingler.shingles(words)
                 for p in at:
                     whole.append(p["whole"])
                     times.append(p["times"])
-                    found.append(np.unique(shingler.shingles(words[p["start"]:p["start"] + p["n"]])).view(np.int64))
+                    kind.append(p["kind"])
+                    found.append(np.unique(shingles[p["start"]:p["start"] + p["n"] - WORDS + 1]).view(np.int64))
             ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(times, pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["whole", "times", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(times, pa.int64()), pa.array(kind, pa.int32()),
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["whole", "times", "kind", "found"])
 
-    return (docs.join(places, "doc").select("text", "at").mapInArrow(sets, "whole long, times long, found array<long>")
-            .dropDuplicates(["whole"]))  # rows that repeat an id may have it twice
+    return (docs.select("row", "text").join(places, "row").select("text", "at").mapInArrow(sets, "whole long, times long, kind int, found array<long>")
+            .dropDuplicates(["whole"]))  # rows that repeat id and text have it twice
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -164,10 +217,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .where(100 * shared >= LIKENESS * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"))
 
 
-def alike(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that join all paragraphs of the likeness: in each posting list the others meet the most frequent
-    one; then all pairs of a list that are still in different components meet, none is left out."""
-    posted = keep(prefixes(sets), "prefixes")
+def joined_lists(posted: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join all sets of the likeness among the posted ones, in two tables: in each posting list the others meet the
+    most frequent one; then all pairs of a list that are still in different components meet, none is left out."""
     pair = [F.least("whole", "w2").alias("a"), F.greatest("whole", "w2").alias("b")]
     can = possible("k", "own", "k2", "own2", LIKENESS)
     top = posted.groupBy("s").agg(F.max(F.struct("times", "whole", "k", "own")).alias("_top"), F.count("*").alias("_m")).where("_m > 1")
@@ -180,92 +232,130 @@ def alike(sets: DataFrame) -> DataFrame:
     still = labelled.groupBy("s").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("s")
     still = keep(labelled.join(still, "s", "left_semi"), "open")
     other = still.select("s", F.col("whole").alias("w2"), F.col("k").alias("k2"), F.col("own").alias("own2"), F.col("comp").alias("c2"))
-    rest = (still.join(other, "s").where((F.col("whole") < F.col("w2")) & (F.col("comp") != F.col("c2")) & can)
-            .select(*pair).distinct().join(met, ["a", "b"], "left_anti"))
-    return links.union(keep(confirmed(keep(rest, "open_pairs"), sets), "open_links"))
+    rest = keep(still.join(other, "s").where((F.col("whole") < F.col("w2")) & (F.col("comp") != F.col("c2")) & can)
+                .select(*pair).distinct().join(met, ["a", "b"], "left_anti"), "open_pairs")
+    more = keep(confirmed(rest, sets), "open_links")
+    forget(met, labelled, still, rest)
+    return links, more
+
+
+def band_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) of each two different paragraphs of a small band (band, whole, sketch) whose sketches allow the likeness."""
+    lists = members.groupBy("band").agg(F.collect_set(F.struct("whole", "sketch")).alias("m"))  # at most SMALL members
+    one = lists.select("m", F.explode("m").alias("x"))
+    fits = lambda y: (y["whole"] > F.col("x.whole")) & (F.bit_count(y["sketch"].bitwiseXOR(F.col("x.sketch"))) <= SKETCH_DIFFERS)
+    return (one.select(F.col("x.whole").alias("a"), F.explode(F.filter("m", fits)).alias("y"))
+            .select("a", F.col("y.whole").alias("b")).distinct())
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, n, cluster, first, kept) of every paragraph whose cluster occurs in several documents; first: it is
+    """(doc, row, start, n, cluster, first, kept) of every paragraph whose cluster occurs in several documents; first: it is
     the cluster's first occurrence."""
-    posted = (banded(docs, id_col, text_col).select("doc", "start", "n", "whole", F.explode("bands").alias("band")))
-    # written, so that the join below shuffles both sides and a hot band's rows can be split
-    shared = keep(posted.groupBy("band").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
-                  .where(F.col("_lo") < F.col("_hi")).select("band", (F.col("lo") < F.col("hi")).alias("mixed")), "bands")
-    members = keep(posted.join(shared, "band").groupBy("doc", "start", "n", "whole").agg(F.max("mixed").alias("mixed")), "paragraphs")
-    # different paragraphs that share a band with another one
-    variants = (members.where("mixed").groupBy("whole")
-                .agg(F.count("*").alias("times"), F.min(F.struct("doc", "start", "n")).alias("at")))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    linked = components(alike(keep(shingle_sets(variants, texts), "sets")))
-    places = (members.select("doc", "start", "n", "whole")
-              .join(linked.select(F.col("node").alias("whole"), "component"), "whole", "left")
-              .select("doc", "start", "n", F.coalesce("component", "whole").alias("cluster")))
-    clusters = (places.groupBy("cluster").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min(F.struct("doc", "start", "n")).alias("_first"))
-                .where(F.col("_lo") < F.col("_hi")).select("cluster", "_first"))
+    texts = rows_of(docs, id_col, text_col)
+    found = keep(banded(docs, id_col, text_col), "banded")
+    posted = found.where(F.col("bands").isNotNull()).select("whole", "sketch", F.explode("bands").alias("band"))
+    # what is joined back is written first, so that both sides of the join are shuffled and a hot key's rows can be split
+    mixed = keep(posted.groupBy("band").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.count("*").alias("m"))
+                 .where(F.col("lo") < F.col("hi")).select("band", (F.col("m") <= SMALL).alias("small")), "bands")
+    banding = keep(posted.join(mixed, "band").select("band", "whole", "sketch", "small"), "band_members")
+    pairs = keep(band_pairs(banding.where("small")), "band_pairs")
+    # paragraphs to compare with others, and those that several documents have
+    frequent = banding.where(~F.col("small")).select("whole").distinct()
+    variants = (pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).select("whole", F.lit(1).alias("kind"))
+                .union(frequent.select("whole", F.lit(2).alias("kind"))))
+    repeats = (found.groupBy("whole").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where(F.col("lo") < F.col("hi"))
+               .select("whole", F.lit(0).alias("kind")))
+    kinds = keep(variants.union(repeats).groupBy("whole").agg(F.max("kind").alias("kind")), "kinds")
+    members = keep(found.select("doc", "row", "start", "n", "whole").join(kinds, "whole"), "paragraphs")
+    forget(found, mixed, banding, kinds)
+    place = F.struct("doc", "row", "start", "n")
+    compared = (members.where("kind > 0").groupBy("whole").agg(F.count("*").alias("times"), F.min(place).alias("at"), F.max("kind").alias("kind")))
+    sets = keep(shingle_sets(compared, texts), "sets")
+    near = keep(confirmed(pairs, sets), "band_links")
+    posted = keep(prefixes(sets.where("kind = 2")), "prefixes")
+    links, more = joined_lists(posted, sets)
+    linked = keep(components(near.union(links).union(more)), "linked")
+    forget(pairs, sets, near, posted, links, more)
+    places = keep(members.select("doc", "row", "start", "n", "whole")
+                  .join(linked.select(F.col("node").alias("whole"), "component"), "whole", "left")
+                  .select("doc", "row", "start", "n", F.coalesce("component", "whole").alias("cluster")), "places")
+    forget(members, linked)
+    clusters = keep(places.groupBy("cluster").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min(place).alias("_first"))
+                    .where(F.col("_lo") < F.col("_hi")).select("cluster", "_first"), "clusters")
+    own = (F.col("row") == F.col("_first.row")) & (F.col("start") < F.col("_first.start") + F.col("_first.n"))
     return places.join(clusters, "cluster").select(
-        "doc", "start", "n", "cluster", (F.struct("doc", "start", "n") == F.col("_first")).alias("first"),
-        ((F.col("doc") == F.col("_first.doc")) & (F.col("start") < F.col("_first.start") + F.col("_first.n"))).alias("kept"))
+        "doc", "row", "start", "n", "cluster", (place == F.col("_first")).alias("first"), own.alias("kept"))
+
+
+def beside(words: np.ndarray, start: np.ndarray, end: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each paragraph the WINDOW words before it (the nearest first) and after it, 32 bits of each; beyond the text's ends
+    stand values that no other row has."""
+    wall = mix(np.array([row], np.int64).view(np.uint64) + np.arange(1, 3, dtype=np.uint64))
+    padded = np.concatenate([np.full(WINDOW, wall[0]), words, np.full(WINDOW, wall[1])]).astype(np.uint32)
+    reach = np.arange(WINDOW)
+    return padded[(start + WINDOW - 1)[:, None] - reach], padded[(end + WINDOW)[:, None] + reach]
 
 
 def extended(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """Repeated paragraphs (doc, start, n, cluster, kept) with the words at their sides for as long as these equal the
+    """Repeated paragraphs (doc, row, start, n, cluster, first, kept) with the words at their sides for as long as these equal the
     ones beside the cluster's first occurrence; that one reaches as far as any of the others."""
-    places = rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "cluster", "first", "kept")).alias("at"))
+    asked = rows.where(F.col("first") | ~F.col("kept"))
+    places = asked.groupBy("row").agg(F.collect_set(F.struct("start", "n", "cluster", "first", "doc")).alias("at"))
+    side = pa.binary(4 * WINDOW)
 
     def sides(batches):
         shingler = worker_state("shingles", "shingler", WORDS, lambda: Shingler(WORDS))
         for batch in batches:
-            cols = [[] for _ in range(8)]
-            for doc, words, at in zip(batch.column(0).to_pylist(), shingler.word_hashes(batch.column(1).cast(pa.binary()).to_pylist()),
-                                      batch.column(2).to_pylist()):
-                for p in at:
-                    start, end = p["start"], p["start"] + p["n"]
-                    left, right = words[max(0, start - WINDOW):start][::-1], words[end:end + WINDOW]
-                    for c, v in zip(cols, (doc, start, p["n"], p["cluster"], p["first"], p["kept"], left.tobytes(), right.tobytes())):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             names=["doc", "start", "n", "cluster", "first", "kept", "left", "right"])
-
-    def same(a: bytes, b: bytes) -> int:
-        size = min(len(a), len(b)) // 8
-        differ = np.flatnonzero(np.frombuffer(a, np.uint64, size) != np.frombuffer(b, np.uint64, size))
-        return int(differ[0]) if len(differ) else size
+            lists = batch.column(2)
+            at, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            start, n = (at.field(k).to_numpy() for k in ("start", "n"))
+            rows_ = batch.column(0).to_numpy()
+            left, right = np.empty((len(at), WINDOW), np.uint32), np.empty((len(at), WINDOW), np.uint32)
+            for k, words in enumerate(shingler.word_hashes(batch.column(1).cast(pa.binary()).to_pylist())):
+                own = slice(ends[k], ends[k + 1])
+                left[own], right[own] = beside(words, start[own].astype(np.int64), start[own].astype(np.int64) + n[own], int(rows_[k]))
+            blob = lambda m: pa.FixedSizeBinaryArray.from_buffers(side, len(m), [None, pa.py_buffer(np.ascontiguousarray(m))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [at.field("doc"), pa.array(np.repeat(rows_, np.diff(ends))), at.field("start"), at.field("n"), at.field("cluster"),
+                 at.field("first"), blob(left), blob(right)], names=["doc", "row", "start", "n", "cluster", "first", "left", "right"])
+
+    def same(a: pa.Array, b: pa.Array) -> pa.Array:
+        words = lambda x: np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(-1, WINDOW)
+        differ = np.column_stack([words(a) != words(b), np.ones(len(a), bool)])
+        return pa.array(differ.argmax(axis=1).astype(np.int32))
 
     def reach(batches):
         for batch in batches:
-            left, right, left0, right0 = (batch.column(k).to_pylist() for k in range(4, 8))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([same(a, b) for a, b in zip(left, left0)], pa.int32()),
-                                              pa.array([same(a, b) for a, b in zip(right, right0)], pa.int32())],
-                                             names=["doc", "start", "n", "cluster", "before", "after"])
-
-    beside = keep(docs.join(places, "doc").select("doc", "text", "at").mapInArrow(
-        sides, "doc long, start int, n int, cluster long, first boolean, kept boolean, left binary, right binary"), "sides")
-    first = beside.where("first").groupBy("cluster").agg(F.min("left").alias("left0"), F.min("right").alias("right0"))
-    others = keep(beside.where(~F.col("kept")).select("doc", "start", "n", "cluster", "left", "right").join(first, "cluster")
-                  .select("doc", "start", "n", "cluster", "left", "right", "left0", "right0")
-                  .mapInArrow(reach, "doc long, start int, n int, cluster long, before int, after int"), "reach")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], same(batch.column(5), batch.column(7)), same(batch.column(6), batch.column(8))],
+                                             names=["doc", "row", "start", "n", "cluster", "before", "after"])
+
+    texts = docs.select("row", "text").join(places, "row").groupBy("row").agg(F.first("text").alias("text"), F.first("at").alias("at"))
+    found = keep(texts.mapInArrow(
+        sides, "doc long, row long, start int, n int, cluster long, first boolean, left binary, right binary"), "sides")
+    first = keep(found.where("first").select("cluster", F.col("left").alias("left0"), F.col("right").alias("right0")), "first_sides")
+    others = keep(found.where(~F.col("first")).join(first, "cluster")
+                  .select("doc", "row", "start", "n", "cluster", "left", "right", "left0", "right0")
+                  .mapInArrow(reach, "doc long, row long, start int, n int, cluster long, before int, after int"), "reach")
     most = others.groupBy("cluster").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    own = (rows.where("kept").join(most, "cluster", "left")
-           .select("doc", "start", "n", "cluster", F.lit(True).alias("kept"),
+    own = (rows.where("kept").join(keep(most, "most"), "cluster", "left")
+           .select("doc", "row", "start", "n", "cluster", F.lit(True).alias("kept"),
                    *(F.when(F.col("first"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("before", "after"))))
-    both = own.union(others.select("doc", "start", "n", "cluster", F.lit(False), "before", "after"))
-    return both.select("doc", (F.col("start") - F.col("before")).alias("start"),
-                       (F.col("before") + F.col("n") + F.col("after")).alias("n"), "cluster", "kept").distinct()
+    both = own.union(others.select("doc", "row", "start", "n", "cluster", F.lit(False), "before", "after"))
+    return both.select("doc", "row", (F.col("start") - F.col("before")).alias("start"),
+                       (F.col("before") + F.col("n") + F.col("after")).alias("n"), "cluster", "kept")
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start_word, n_words, paragraphs, kept, clusters) of every span of repeated words; paragraphs: those in it."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), text_of(text_col).alias("text"))
-    rows = extended(keep(repeated_paragraphs(docs, id_col, text_col), "repeats"), texts)
-    order = Window.partitionBy("doc", "kept").orderBy("start", "n", "cluster")
+    """(id, row, start_word, n_words, paragraphs, kept, clusters) of every span of repeated words; paragraphs: those in it."""
+    rows = extended(keep(repeated_paragraphs(docs, id_col, text_col), "repeats"), rows_of(docs, id_col, text_col))
+    rows = rows.repartition("row", "kept").distinct()
+    order = Window.partitionBy("row", "kept").orderBy("start", "n", "cluster")
     before = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
     spans = (rows.withColumn("_opens", opens)
              .withColumn("_span", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))))
-    return (spans.groupBy("doc", "kept", "_span")
-            .agg(F.min("start").alias("start_word"), F.max(F.col("start") + F.col("n")).alias("_end"),
+    return (spans.groupBy("row", "kept", "_span")
+            .agg(F.min("doc").alias("doc"), F.min("start").alias("start_word"), F.max(F.col("start") + F.col("n")).alias("_end"),
                  F.count("*").alias("paragraphs"), F.sort_array(F.collect_set("cluster")).alias("clusters"))
-            .select(F.col("doc").alias(id_col), "start_word", (F.col("_end") - F.col("start_word")).alias("n_words"),
+            .select(F.col("doc").alias(id_col), "row", "start_word", (F.col("_end") - F.col("start_word")).alias("n_words"),
                     "paragraphs", "kept", "clusters"))
