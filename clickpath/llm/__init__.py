@@ -1 +1 @@
-"""Training-data operators: the ten corpus operators and their registered queries."""
+"""Training-data operators: the corpus operators and their registered queries."""

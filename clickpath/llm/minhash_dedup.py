@@ -313,7 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = keep(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         found = agreeing(pairs, active, likeness)
         if round_no == STAR_ROUNDS:  # pairs of the lists agree already
-            found = found.union(list_pairs(posted, active, sizes, comp, texts, words, likeness).join(seen, ["a", "b"], "left_anti")).distinct()
+            listed = list_pairs(posted, active, sizes, comp, texts, words, likeness)
+            found = found.union(listed if seen is None else listed.join(seen, ["a", "b"], "left_anti")).distinct()
         links = keep(confirmed(found, texts, words, likeness), "links")
         seen = pairs if seen is None else seen.union(pairs)
         if not links.isEmpty():
