@@ -2,12 +2,13 @@
 
 Texts are read as bytes: A-Z in lower case, separators (ASCII other than letters and digits) collapsed to single
 spaces. One overlapped regex scan with boundary lookarounds stops at every word and emits the spans of all runs of 1 to ``NGRAMS``
-words that begin there; a feature's bucket is the CRC-32 of its bytes modulo ``BUCKETS``. Buckets are counted over all documents and over all target texts, each task
+words that begin there; a feature's bucket is the CRC-32 of its bytes modulo ``BUCKETS``. Texts are scanned once: their buckets are written to the shared folder, two bytes
+a feature, about as much as the texts, and read for what follows. They are counted over all documents and over all target texts, each task
 adding up a dense array of its own, so that at most BUCKETS rows a task are shuffled however frequent a word is.
 
 A bucket's gain is floor(1000 * ln of (its smoothed share in the target / its smoothed share in the documents)); a document's
-weight is the floored mean of the gains of its features. The BUCKETS gains are broadcast, a fixed size, and a second scan
-of the texts adds them up. Gumbel noise, hashed from the seed and the id, is added to the weight, and the documents with the
+weight is the floored mean of the gains of its features. The BUCKETS gains are broadcast, a fixed size, and added up over
+a document's buckets. Gumbel noise, hashed from the seed and the id, is added to the weight, and the documents with the
 highest sums are drawn: a sample without replacement by the weights' exponentials. Ranks come from range partitions,
 so no task meets all documents.
 
@@ -29,9 +30,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from clickpath.llm.common import arrow_batches, global_rank, keep, text_of, worker_state
+from clickpath.llm.common import arrow_batches, forget, global_rank, keep, text_of, worker_state
 
 NGRAMS = 2
 BUCKETS = 10_000
@@ -74,21 +75,48 @@ def _scanner(ngrams: int, buckets: int) -> Scanner:
     return worker_state("importance", "scanner", (ngrams, buckets), lambda: Scanner(ngrams, buckets))
 
 
-def bucket_counts(docs: DataFrame, text_col: str, ngrams: int = NGRAMS, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, n): how many features of all the texts fall into each bucket; buckets without one have no row."""
+def features(docs: DataFrame, id_col: str | None, text_col: str, ngrams: int = NGRAMS, buckets: int = BUCKETS, carry: bool = False) -> DataFrame:
+    """(id, n_words, buckets) of every row, without ``id_col`` with a null id; buckets: those of all its n-grams as unsigned 16-bit
+    numbers (32-bit ones if there are more buckets). With ``carry`` also the whole input row as a struct ``row``."""
     arrow_batches(docs.sparkSession)
+    kind = bucket_kind(buckets)
 
     def run(batches):
-        scanner, total = _scanner(ngrams, buckets), np.zeros(buckets, np.int64)
+        scanner = _scanner(ngrams, buckets)
         for batch in batches:
-            for text in batch.column(0).cast(pa.binary()):
-                for found in scanner.scan(text.as_py()):
-                    total += np.bincount(found, minlength=buckets)
+            words, found = [], []
+            for text in batch.column(1).cast(pa.binary()):
+                lists = scanner.scan(text.as_py())
+                words.append(len(lists[0]))
+                found.append(np.concatenate(lists).astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(found, pa.binary()), *batch.columns[2:]],
+                                             names=["id", "n_words", "buckets", *(["row"] if carry else [])])
+
+    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
+    own = F.col(id_col) if id_col else F.lit(None).cast("long")
+    asked = docs.select(own.alias("id"), text_of(text_col).alias("text"), *([row] if carry else []))
+    schema = StructType([asked.schema["id"], StructField("n_words", LongType()), StructField("buckets", BinaryType()), *asked.schema.fields[2:]])
+    return asked.mapInArrow(run, schema)
+
+
+def bucket_kind(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
+def bucket_counts(found: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, n): how many features of all the rows fall into each bucket; buckets without one have no row."""
+    arrow_batches(found.sparkSession)
+    kind = bucket_kind(buckets)
+
+    def run(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for own in batch.column(0):
+                total += np.bincount(np.frombuffer(own.as_py(), kind), minlength=buckets)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
-    return (docs.select(text_of(text_col).alias("text")).where("text <> ''").mapInArrow(run, "bucket long, n long")
-            .groupBy("bucket").agg(F.sum("n").alias("n")))
+    return found.select("buckets").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -103,32 +131,30 @@ def gains(source: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataF
     return rows.join(F.broadcast(totals)).select("bucket", gain.alias("gain"))
 
 
-def weights(docs: DataFrame, gain: DataFrame, id_col: str, text_col: str, ngrams: int = NGRAMS, buckets: int = BUCKETS,
-            carry: bool = False) -> DataFrame:
-    """(id, n_words, n_features, weight) of every row, and with ``carry`` the whole input row as a struct ``row``."""
-    spark = docs.sparkSession
+def weights(found: DataFrame, gain: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Rows of ``features`` with n_features and weight instead of their buckets."""
+    spark = found.sparkSession
     arrow_batches(spark)
+    kind = bucket_kind(buckets)
     table = np.zeros(buckets, np.int64)
     for bucket, value in gain.select("bucket", "gain").toArrow().to_pandas().itertuples(index=False):  # BUCKETS rows
         table[bucket] = value
     shared = spark.sparkContext.broadcast(table)
+    rest = [c for c in found.columns if c not in ("id", "n_words", "buckets")]
 
     def run(batches):
-        scanner, gain = _scanner(ngrams, buckets), shared.value
+        gain = shared.value
         for batch in batches:
-            out = np.zeros((batch.num_rows, 3), np.int64)
-            for k, text in enumerate(batch.column(1).cast(pa.binary())):
-                found = scanner.scan(text.as_py())
-                n = sum(map(len, found))
-                total = sum(int(gain[f].sum()) for f in found)
-                out[k] = len(found[0]), n, total // n if n else 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[:, c].copy()) for c in range(3)), *batch.columns[2:]],
-                                             names=["id", "n_words", "n_features", "weight", *(["row"] if carry else [])])
+            out = np.zeros((batch.num_rows, 2), np.int64)
+            for k, own in enumerate(batch.column(2)):
+                at = np.frombuffer(own.as_py(), kind)
+                out[k] = len(at), int(gain[at].sum()) // len(at) if len(at) else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(out[:, c].copy()) for c in range(2)), *batch.columns[3:]],
+                                             names=["id", "n_words", "n_features", "weight", *rest])
 
-    row = F.struct(*(F.col(c) for c in docs.columns)).alias("row")
-    asked = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *([row] if carry else []))
-    schema = StructType([asked.schema["id"], *(StructField(c, LongType()) for c in ("n_words", "n_features", "weight")), *asked.schema.fields[2:]])
-    return asked.mapInArrow(run, schema)
+    own = found.select("id", "n_words", "buckets", *rest)
+    schema = StructType([*own.schema.fields[:2], StructField("n_features", LongType()), StructField("weight", LongType()), *own.schema.fields[3:]])
+    return own.mapInArrow(run, schema)
 
 
 def gumbel(seed: int, key: Column) -> Column:
@@ -143,9 +169,11 @@ def resample(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_co
              carry: bool = False) -> DataFrame:
     """(id, n_features, weight, score, rank) of every row, and with ``carry`` the whole input row as a struct ``row``; rank:
     the place among the drawn, null for the others."""
-    counted = [keep(bucket_counts(df, col, ngrams, buckets), "buckets") for df, col in ((docs, text_col), (target, target_col))]
-    found = weights(docs, keep(gains(*counted, buckets), "gains"), id_col, text_col, ngrams, buckets, carry)
-    rows = keep(found.withColumn("score", F.col("weight") + gumbel(seed, F.col("id"))), "weights")
+    found = keep(features(docs, id_col, text_col, ngrams, buckets, carry), "features")
+    counted = [keep(bucket_counts(f, buckets), "buckets") for f in (found, features(target, None, target_col, ngrams, buckets))]
+    scored = weights(found, keep(gains(*counted, buckets), "gains"), buckets)
+    rows = keep(scored.withColumn("score", F.col("weight") + gumbel(seed, F.col("id"))), "weights")
+    forget(found)
     able = rows.where(F.col("n_words") >= least_words)
     drawn = share * able.count() // 100
     ranked = global_rank(able, "_rank", F.desc("score"), F.asc_nulls_last("id"))
