@@ -1,6 +1,7 @@
 """Streams that account for every row: sessions by the batch rule, and days corrected by late rows.
 
-``timed_sessions`` keeps a user's open sessions as state (start, end and counts of each, no events) and closes one when the
+``timed_sessions`` keeps users' open sessions as state (start, end and counts of each, no events), those of the users of one
+hash together, so that a call of Python serves many users, and closes one when the
 watermark has passed its end by the gap: no event that is not late could still reach it. A break is more than the gap, as in
 ``operators.sessionize``, and closed sessions are numbered on in time order, so keys equal those of the batch job.
 Redelivered events are dropped by their id while the watermark may still let them in, which bounds that state, too.
@@ -29,21 +30,29 @@ from clickpath.schema import DEFAULT_TAXONOMY, Taxonomy
 SUMS = ["event_count", "view_item_count", "add_to_cart_count", "purchase_count", "revenue_nano"]
 _SESSION = ["start_us", "end_us", *SUMS]
 _OUT = "user_id string, session long, " + ", ".join(f"{c} long" for c in _SESSION)
-_STATE = "closed long, " + ", ".join(f"{c} array<long>" for c in _SESSION)
+_STATE = "users array<string>, closed array<long>, owner array<long>, " + ", ".join(f"{c} array<long>" for c in _SESSION)
+#: Groups of users that share a state; a stream keeps the number that it began with.
+USER_GROUPS = 2048
 
 
 def folded(rows: np.ndarray, gap: int) -> np.ndarray:
     """Sessions of rows (start, end, sums...) in any order: sorted, and joined where one starts at most ``gap`` after the
     end of all before it."""
+    return folded_by(np.zeros(len(rows), np.int64), rows, gap)[1]
+
+
+def folded_by(owner: np.ndarray, rows: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """``folded`` for the rows of each owner; returns owners and rows, sorted by owner and start."""
     if not len(rows):
-        return rows
-    rows = rows[np.argsort(rows[:, 0], kind="stable")]
-    ends = np.maximum.accumulate(rows[:, 1])
-    opens = np.append(0, np.flatnonzero(rows[1:, 0] - ends[:-1] > gap) + 1)
-    return np.column_stack([rows[opens, 0], np.maximum.reduceat(rows[:, 1], opens), np.add.reduceat(rows[:, 2:], opens, axis=0)])
+        return owner, rows
+    order = np.lexsort((rows[:, 0], owner))
+    owner, rows = owner[order], rows[order]
+    ends = pd.Series(rows[:, 1]).groupby(owner).cummax().to_numpy()
+    opens = np.append(0, np.flatnonzero((owner[1:] != owner[:-1]) | (rows[1:, 0] - ends[:-1] > gap)) + 1)
+    return owner[opens], np.column_stack([rows[opens, 0], np.maximum.reduceat(rows[:, 1], opens), np.add.reduceat(rows[:, 2:], opens, axis=0)])
 
 
-def timed_sessions(events: DataFrame, gap_seconds: int, delay: str, taxonomy: Taxonomy = DEFAULT_TAXONOMY) -> DataFrame:
+def timed_sessions(events: DataFrame, gap_seconds: int, delay: str, taxonomy: Taxonomy = DEFAULT_TAXONOMY, groups: int = USER_GROUPS) -> DataFrame:
     """X2 by the rule of X1: one row per closed session of a stream of typed events with an ``event_id``.
 
     Revenue is summed in whole 1e-9 units, exact up to 9.2e9 a session.
@@ -56,26 +65,34 @@ def timed_sessions(events: DataFrame, gap_seconds: int, delay: str, taxonomy: Ta
                     kind(t.purchase).alias("purchase"), F.coalesce((nano * 1_000_000_000).cast("long"), F.lit(0)).alias("nano")))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed, *held = state.get if state.exists else (0, *([] for _ in _SESSION))
+        users, closed, owner, *held = state.get if state.exists else ([] for _ in range(3 + len(_SESSION)))
+        users, closed, owner = np.array(users, object), np.array(closed, np.int64), np.array(owner, np.int64)
         sessions = np.array(held, np.int64).T.reshape(-1, len(_SESSION))
         if not state.hasTimedOut:
             for pdf in frames:  # a hot user's events come in bounded pieces
                 new = np.column_stack([pdf["us"], pdf["us"], np.ones(len(pdf), np.int64), pdf["view"], pdf["cart"], pdf["purchase"], pdf["nano"]])
-                sessions = folded(np.concatenate([sessions, new.astype(np.int64)]), gap)
+                codes, users = pd.factorize(np.append(users, pdf["user_id"].to_numpy(object)), use_na_sentinel=False)
+                owner = np.append(owner, codes[len(closed):])  # those known before have the first codes, in their order
+                closed = np.append(closed, np.zeros(len(users) - len(closed), np.int64))
+                owner, sessions = folded_by(owner, np.concatenate([sessions, new.astype(np.int64)]), gap)
         passed = state.getCurrentWatermarkMs()
         done = sessions[:, 1] + gap <= passed * 1000  # an event that is not late is after the watermark
-        out, sessions = sessions[done], sessions[~done]
-        closed = int(closed)
-        if len(sessions) or len(out) or closed:
-            state.update((closed + len(out), *(sessions[:, c].tolist() for c in range(len(_SESSION)))))
-        if len(sessions):
-            state.setTimeoutTimestamp(max(passed + 1, math.floor((int(sessions[0, 1]) + gap) / 1000)))
+        out, of = sessions[done], owner[done]
+        sessions, owner = sessions[~done], owner[~done]
+        users = np.array([None if pd.isna(u) else u for u in users], object)
         frame = pd.DataFrame(out, columns=_SESSION)
-        frame.insert(0, "session", closed + np.arange(len(out), dtype=np.int64))
-        frame.insert(0, "user_id", key[0])
-        yield frame
+        frame.insert(0, "session", closed[of] + np.arange(len(of)) - np.searchsorted(of, of))
+        frame.insert(0, "user_id", users[of])
+        if len(users):
+            closed = closed + np.bincount(of, minlength=len(users))
+            state.update((users.tolist(), closed.tolist(), owner.tolist(), *(sessions[:, c].tolist() for c in range(len(_SESSION)))))
+        if len(sessions):
+            state.setTimeoutTimestamp(max(passed + 1, math.floor((int(sessions[:, 1].min()) + gap) / 1000)))
+        if len(out):
+            yield frame
 
-    found = rows.groupBy("user_id").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = rows.withColumn("user_group", F.pmod(F.xxhash64("user_id"), F.lit(groups)))
+    found = grouped.groupBy("user_group").applyInPandasWithState(update, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     time = lambda c: F.timestamp_micros(c)
     revenue = (F.col("revenue_nano").cast("decimal(20,0)") * F.lit("0.000000001").cast("decimal(10,9)")).cast("double")
     return found.select(F.concat("user_id", F.lit("-"), F.col("session").cast("string")).alias("user_session"), "user_id",

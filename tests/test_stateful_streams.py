@@ -35,6 +35,35 @@ def test_folding_in_any_order(seed):
     assert [tuple(r) for r in held.tolist()] == plain_sessions(times, 20)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_users_folded_together(seed):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(5), rng.randrange(0, 3000)) for _ in range(200)]
+    owner, held = np.zeros(0, np.int64), np.zeros((0, 3), np.int64)
+    for k in range(0, 200, 37):
+        part = rows[k:k + 37]
+        owner, held = ST.folded_by(np.append(owner, [u for u, _ in part]), np.concatenate([held, np.array([(t, t, 1) for _, t in part], np.int64)]), 20)
+    assert [(int(u), *r) for u, r in zip(owner, held.tolist())] == [
+        (u, *r) for u in range(5) for r in plain_sessions([t for v, t in rows if v == u], 20)]
+
+
+def test_users_share_a_state(spark, tmp_path):
+    """Users of one group are numbered apart, over restarts; the number of states is bounded, whatever the number of users."""
+    log, root = str(tmp_path / "log"), str(tmp_path / "s")
+
+    def run(groups):
+        stream = ST.timed_sessions(SJ.stream_events(spark, log), GAP, "30 minutes", groups=groups)
+        rows = spark.read.parquet(SJ.run_to_table(stream, f"t{groups}", root)).collect()
+        return sorted((r.user_session, r.event_count, (r.session_end - r.session_start).total_seconds() / 60) for r in rows)
+
+    deliver(spark, log, [event(u, u, user=u) for u in range(20)] + [event(100, 50, user=3), event(101, 300, user=5)])
+    run(1), run(7)
+    deliver(spark, log, [event(102, 310, user=5), event(103, 320, user=3), event(104, 900, user=1), event(105, 1500, user=2)])
+    wanted = sorted([(f"{u}-0", 1 + (u == 3), 47.0 if u == 3 else 0.0) for u in range(20)]
+                    + [("5-1", 2, 10.0), ("3-1", 1, 0.0), ("1-1", 1, 0.0)])
+    assert run(1) == run(7) == wanted
+
+
 def deliver(spark, log, rows):
     spark.createDataFrame(rows, SJ.RAW_EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(log)
 
