@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings the library's semantics depend on. They are runtime SQL confs,
 # so they can be applied to a session that someone else created.
@@ -19,6 +20,8 @@ _SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # allow a per-task top-k (WindowGroupLimit) for row_number() <= k up to k=5000
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",
+    # the JVM only interprets methods over 8000 bytes, so wide projections are generated in smaller ones
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -55,6 +58,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that the passes over it do not repeat the work behind it."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "clickpath") -> SparkSession:
     """A local session for tests and the bench (UI off, UTC, AQE on)."""
     spark = (

@@ -47,13 +47,16 @@ def col_of(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# The characters that count as white space at the ends of a text (Unicode, not only ASCII).
+# The characters that count as white space at the ends of a text (Unicode, not only ASCII), as a class of a
+# regular expression and one by one.
 WHITE_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE_SPACE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029,
+                                      0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column | str) -> Column:
-    """Remove leading and trailing white space (tabs, newlines and Unicode blanks too, unlike ``trim``)."""
-    return F.regexp_replace(col_of(c), f"^{WHITE_SPACE}+|{WHITE_SPACE}+$", "")
+    """Remove leading and trailing white space (tabs, newlines and Unicode blanks too, unlike plain ``trim``); looks at the ends only."""
+    return F.btrim(col_of(c), F.lit(WHITE_SPACE_CHARS))
 
 
 def nan_to_null(c: Column | str) -> Column:
