@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from clickpath.context import written
 from clickpath.functions.columns import (
     MISSING,
     clean_category,
@@ -236,7 +237,11 @@ def winsorized(df: DataFrame, bounds: dict[str, dict]) -> DataFrame:
 def clean_sessions(df: DataFrame, assume_unique: bool = False, winsorize: bool = True) -> DataFrame:
     """Session table -> clean session table (+5 ``*_winsorized`` columns)."""
     df = typed_sessions(df, assume_unique)
-    return winsorized(df, winsor_bounds(df)) if winsorize else df
+    if not winsorize:
+        return df
+    if not assume_unique:
+        df = written(df, "typed-sessions")  # the keep-first pass runs once, not for each pass of the bounds
+    return winsorized(df, winsor_bounds(df))
 
 
 # ---------------------------------------------------------------------------

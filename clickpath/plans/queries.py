@@ -173,8 +173,9 @@ def csv_sessions(spark, sf):
     def write(path):
         rows = pipeline(spark, sf).session_features.select(*[F.col(c).cast("string").alias(c.replace("_", " ").upper()) for c in SESSION_COLUMNS])
         out = lambda df, name: df.write.option("header", True).option("nullValue", "NA").csv(f"{path}/{name}")
-        out(rows.repartition(4), "a")
-        out(rows.withColumn("EVENT COUNT", F.lit("99")).repartition(3), "b")
+        files = max(4, spark.sparkContext.defaultParallelism)
+        out(rows.repartition(files, "SESSION KEY"), "a")
+        out(rows.withColumn("EVENT COUNT", F.lit("99")).repartition(files - 1, "SESSION KEY"), "b")
     return derived(spark, sf, "sessions", write)
 
 
