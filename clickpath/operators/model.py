@@ -29,7 +29,7 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from clickpath.context import checkpoint_dir
+from clickpath.context import checkpoint_dir, written
 from clickpath.functions.columns import clean_category, exact_avg, nan_to_null
 from clickpath.operators.ranks import average_rank, quantiles, rank_histogram
 from clickpath.operators.sessions import limit_cardinality, limited, top_levels
@@ -163,12 +163,16 @@ class PurchaseModel:
     def fitted(cls, model, numeric: dict[str, tuple[float, float, float]], categorical: dict[str, tuple[list[str], list[str]]]) -> "PurchaseModel":
         """``numeric``: column -> (fill, mean, scale); ``categorical``: column -> (levels kept, levels with a coefficient)."""
         parts = [f"(coalesce(`_num_{c}`, {_number(fill)}) - {_number(mean)}) / {_number(scale)}" for c, (fill, mean, scale) in numeric.items()]
+        limits = []
         for c, (kept, coded) in categorical.items():
             level = f"CASE WHEN `_cat_{c}` IN ({', '.join(map(_text, kept))}) THEN `_cat_{c}` ELSE 'other' END" if kept else "'other'"
-            parts += [f"CAST({level} = {_text(x)} AS DOUBLE)" for x in coded]
+            limits.append(f"{level} AS `_level_{c}`")
+            parts += [f"CAST(`_level_{c}` = {_text(x)} AS DOUBLE)" for x in coded]
         names = [f"_f{k}" for k in range(len(parts))]
+        # a step of its own, so that a row's level is found once and not for each of its columns
+        levels = SQLTransformer(statement=f"SELECT {', '.join(['*', *limits])} FROM __THIS__")
         features = SQLTransformer(statement="SELECT *, " + ", ".join(f"{e} AS {n}" for e, n in zip(parts, names)) + " FROM __THIS__")
-        stages = PipelineModel([features, VectorAssembler(inputCols=names, outputCol="features"), model])
+        stages = PipelineModel([levels, features, VectorAssembler(inputCols=names, outputCol="features"), model])
         return cls(stages, {**dict.fromkeys(numeric, "numeric"), **dict.fromkeys(categorical, "categorical")})
 
     def save(self, path: str) -> None:
@@ -229,6 +233,11 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
                    ["reached_cart", "reached_checkout", "engagement_seconds_winsorized", "journey_depth_pre_purchase"]
                    if c not in frame.columns})
     frame = frame.withColumns(absent) if absent else frame
+    keep = ["session_key", "label", "_test", *SEGMENT_KEYS, "reached_cart", "reached_checkout",
+            "engagement_seconds_winsorized", "journey_depth_pre_purchase", "ux_intent_segment"]
+    keep = list(dict.fromkeys(c for c in keep if c in frame.columns))
+    # read by every pass below: cleaned, limited and split once
+    frame = written(frame.select(*dict.fromkeys([*keep, *numeric, *categorical])), "frame")
     train = frame.where(F.col("_test") == 0)
 
     # training statistics: one aggregate row + bounded level lists
@@ -245,9 +254,10 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
         F.count(F.lit(1)).alias("_n"), F.sum("label").alias("_pos"),
         *[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(numeric)],
         *[F.stddev_pop(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(numeric)],
-        # categoricals are already cleaned and limited by model_frame: at most 26 levels each
-        *[F.sort_array(F.collect_set(F.col(c))).alias(f"l_{j}") for j, c in enumerate(categorical)],
     ).first()
+    # categoricals are already cleaned and limited by model_frame: at most 26 levels each, of their distinct combinations
+    coded = train.select(*categorical).distinct().agg(
+        *[F.sort_array(F.collect_set(F.col(c))).alias(c) for c in categorical]).first() if categorical else {}
     n_train, n_pos = stats["_n"], stats["_pos"] or 0
     if n_train == 0 or n_pos in (0, n_train):
         return skip("Training split has fewer than two classes.")
@@ -259,25 +269,20 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
         scales[c] = ((medians.get(c) or [mean])[0], mean, sd if sd > 0 else 1.0)
         feats.append(((F.col(c).cast("double") - mean) / (sd if sd > 0 else 1.0)).alias(f"_f{len(feats)}"))
         names.append(f"num__{c}")
-    for j, c in enumerate(categorical):
-        for level in stats[f"l_{j}"]:
+    for c in categorical:
+        for level in coded[c]:
             feats.append((F.col(c) == F.lit(level)).cast("double").alias(f"_f{len(feats)}"))
             names.append(f"cat__{c}_{level}")
     fcols = [f"_f{i}" for i in range(len(feats))]
-    keep = ["session_key", "label", "_test", *SEGMENT_KEYS, "reached_cart", "reached_checkout",
-            "engagement_seconds_winsorized", "journey_depth_pre_purchase", "ux_intent_segment"]
-    keep = list(dict.fromkeys(c for c in keep if c in frame.columns))
     design = VectorAssembler(inputCols=fcols, outputCol="features").transform(
         frame.select(*keep, *feats).withColumn("weight", F.when(F.col("label") == 1, w_pos).otherwise(w_neg)))
 
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", regParam=1.0 / n_train,
                             elasticNetParam=0.0, standardization=False, fitIntercept=True, maxIter=max_iter,
                             tol=1e-6)
-    # the optimiser passes over the training rows once per iteration: keep them materialised while fitting
-    training = design.where(F.col("_test") == 0).select("features", "label", "weight").persist()
-    model = lr.fit(training)
+    # the optimiser keeps its own blocks of the training rows for its passes; a persisted copy would hold them twice
+    model = lr.fit(design.where(F.col("_test") == 0).select("features", "label", "weight"))
     iterations = model.summary.totalIterations
-    training.unpersist()
     # read back from the shared folder: a fitted model's training summary holds the session, which can't be sent to tasks
     # once the session has observed a query
     place = f"{checkpoint_dir(spark).rstrip('/')}/tables/model-{uuid.uuid4().hex[:12]}"
@@ -308,7 +313,7 @@ def train_purchase_model(sessions: DataFrame, seed: int = SEED, max_iter: int =
     importance = spark.createDataFrame(
         [(n, c, abs(c)) for n, c in zip(names, coef)], IMPORTANCE_SCHEMA).orderBy(F.desc("abs_coefficient"), "feature")
     high = high_intent_segments(scored.withColumn(TARGET, F.col("label").cast("int")), "score")
-    fitted = PurchaseModel.fitted(model, scales, {c: (levels[c], stats[f"l_{j}"]) for j, c in enumerate(categorical)})
+    fitted = PurchaseModel.fitted(model, scales, {c: (levels[c], coded[c]) for c in categorical})
     return PropensityResult(perf, importance, high, scored, fitted)
 
 
