@@ -50,9 +50,9 @@ ROWS = 2
 KNOWN_PARAGRAPHS = 400_000
 #: Different paragraphs of a band that are paired with each other; those of larger bands meet in the prefix join.
 SMALL = 8
-#: One-bit minima of a paragraph, and in how many of them two alike ones may differ.
-SKETCH = 64
-SKETCH_DIFFERS = 18
+#: A paragraph's sketch has the bit of each of its shingles, one of 64. Two sketches differ in no more bits than the sets have shingles
+#: that are not in both, and two sets of the likeness have at most so many of these: no pair of the likeness is left out.
+SKETCH_DIFFERS = 2 * (PARAGRAPH - WORDS + 1) * (100 - LIKENESS) // (100 + LIKENESS)
 
 
 def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -100,33 +100,33 @@ class Bander:
         self.flip = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
         self.factor = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
         self.weight = rng.integers(0, 1 << 63, PARAGRAPH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        self.marks = rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
-        self.spread = rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
     def sketch(self, shingles: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-        """SKETCH bits, one of each of as many minima."""
-        own = shingles[start[:, None] + np.arange(n - WORDS + 1)]
-        out = np.zeros(len(start), np.uint64)
-        for k, (mark, factor) in enumerate(zip(self.marks, self.spread)):
-            low = ((own ^ mark) * factor).min(axis=1)
-            out |= (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)) << np.uint64(k)
-        return out
+        return np.bitwise_or.reduce(np.uint64(1) << (shingles[np.arange(n - WORDS + 1)[:, None] + start] >> np.uint64(58)), axis=0)
 
     def whole(self, words: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-        return mix((words[start[:, None] + np.arange(n)] * self.weight[:n]).sum(axis=1, dtype=np.uint64) + np.uint64(n))
+        return mix((words[np.arange(n)[:, None] + start] * self.weight[:n, None]).sum(axis=0, dtype=np.uint64) + np.uint64(n))
 
     def bands(self, shingles: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-        own = shingles[start[:, None] + np.arange(n - WORDS + 1)]
+        own = shingles[np.arange(n - WORDS + 1)[:, None] + start]
         key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(start), 1))
         for r in range(ROWS):
-            low = np.stack([((own ^ self.flip[k]) * self.factor[k]).min(axis=1) for k in range(r, BANDS * ROWS, ROWS)], axis=1)
+            low = np.stack([((own ^ self.flip[k]) * self.factor[k]).min(axis=0) for k in range(r, BANDS * ROWS, ROWS)], axis=1)
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low)
         return key
 
 
+def in_blocks(n: np.ndarray):
+    """(length, numbers) of paragraphs of the same length, some at a time."""
+    for length in np.unique(n).tolist():
+        same = np.flatnonzero(n == length)
+        for k in range(0, len(same), 8192):
+            yield length, same[k:k + 8192]
+
+
 def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, row, start, n, whole, bands, sketch) of every paragraph; whole: hash of its word sequence; bands: null where the same
-    task has given those of this word sequence before."""
+    """(doc, row, start, n, whole, bands, sketch) of every paragraph; whole: hash of its word sequence; bands and sketch: null where the
+    same task has given those of this word sequence before."""
     arrow_batches(docs.sparkSession)
 
     def run(batches):
@@ -147,12 +147,8 @@ def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             words = np.concatenate(hashes)
             shingles = shingler.shingles(words)
             whole, key, sketch = np.empty(len(at), np.uint64), np.empty((len(at), BANDS), np.uint64), np.empty(len(at), np.uint64)
-            for length in np.unique(n).tolist():
-                same = np.flatnonzero(n == length)
-                for k in range(0, len(same), 8192):
-                    some = same[k:k + 8192]
-                    whole[some], key[some] = bander.whole(words, at[some], length), bander.bands(shingles, at[some], length)
-                    sketch[some] = bander.sketch(shingles, at[some], length)
+            for length, some in in_blocks(n):
+                whole[some] = bander.whole(words, at[some], length)
             whole = whole.view(np.int64)
             kinds, one = np.unique(whole, return_index=True)
             fresh = np.zeros(len(at), bool)
@@ -160,11 +156,15 @@ def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             if len(known) > KNOWN_PARAGRAPHS:
                 known.clear()
             known.update(whole[fresh].tolist())
+            new = np.flatnonzero(fresh)
+            for length, some in in_blocks(n[new]):
+                some = new[some]
+                key[some], sketch[some] = bander.bands(shingles, at[some], length), bander.sketch(shingles, at[some], length)
             ends = pa.array(np.append(0, np.cumsum(np.where(fresh, BANDS, 0))), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[owner]), pa.array(rows[owner]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole),
                  pa.ListArray.from_arrays(ends, pa.array(key[fresh].view(np.int64).ravel()), mask=pa.array(~fresh)),
-                 pa.array(sketch.view(np.int64))], names=["doc", "row", "start", "n", "whole", "bands", "sketch"])
+                 pa.array(sketch.view(np.int64), mask=~fresh)], names=["doc", "row", "start", "n", "whole", "bands", "sketch"])
 
     return (rows_of(docs, id_col, text_col).select("doc", "row", "text")
             .mapInArrow(run, "doc long, row long, start int, n int, whole long, bands array<long>, sketch long"))
@@ -178,21 +178,24 @@ def shingle_sets(variants: DataFrame, docs: DataFrame) -> DataFrame:
     def sets(batches):
         shingler = worker_state("shingles", "shingler", WORDS, lambda: Shingler(WORDS))
         for batch in batches:
-            whole, times, kind, found = [], [], [], []
-            for words, at in zip(shingler.word_hashes(batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_pylist()):
-                shingles = shingler.shingles(words)
-                for p in at:
-                    whole.append(p["whole"])
-                    times.append(p["times"])
-                    kind.append(p["kind"])
-                    found.append(np.unique(shingles[p["start"]:p["start"] + p["n"] - WORDS + 1]).view(np.int64))
-            ends = np.append(0, np.cumsum([len(f) for f in found])).astype(np.int32)
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(whole, pa.int64()), pa.array(times, pa.int64()), pa.array(kind, pa.int32()),
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["whole", "times", "kind", "found"])
-
-    return (docs.select("row", "text").join(places, "row").select("text", "at").mapInArrow(sets, "whole long, times long, kind int, found array<long>")
-            .dropDuplicates(["whole"]))  # rows that repeat id and text have it twice
+            lists = batch.column(1)
+            at, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            hashes = shingler.word_hashes(batch.column(0).cast(pa.binary()).to_pylist())
+            size = np.array([len(words) for words in hashes], np.int64)
+            start, n = (at.field(k).to_numpy().astype(np.int64) for k in ("start", "n"))
+            start += np.repeat(np.cumsum(size) - size, np.diff(ends))
+            shingles = shingler.shingles(np.concatenate(hashes))
+            for length, some in in_blocks(n):
+                own = np.sort(shingles[start[some][:, None] + np.arange(length - WORDS + 1)], axis=1)
+                new = np.column_stack([np.ones(len(own), bool), own[:, 1:] != own[:, :-1]])
+                bounds = np.append(0, np.cumsum(new.sum(axis=1))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(at.field(k).take(pa.array(some)) for k in ("whole", "times", "kind")),
+                                                  pa.ListArray.from_arrays(pa.array(bounds), pa.array(own[new].view(np.int64)))],
+                                                 names=["whole", "times", "kind", "found"])
+
+    # rows that repeat id and text are one
+    return (docs.select("row", "text").join(places, "row").groupBy("row").agg(F.first("text").alias("text"), F.first("at").alias("at"))
+            .select("text", "at").mapInArrow(sets, "whole long, times long, kind int, found array<long>"))
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -257,7 +260,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # what is joined back is written first, so that both sides of the join are shuffled and a hot key's rows can be split
     mixed = keep(posted.groupBy("band").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.count("*").alias("m"))
                  .where(F.col("lo") < F.col("hi")).select("band", (F.col("m") <= SMALL).alias("small")), "bands")
-    banding = keep(posted.join(mixed, "band").select("band", "whole", "sketch", "small"), "band_members")
+    # tables with one row a key are the hashed side of their joins, so that the larger ones need no sorting
+    banding = keep(posted.join(mixed.hint("shuffle_hash"), "band").select("band", "whole", "sketch", "small"), "band_members")
     pairs = keep(band_pairs(banding.where("small")), "band_pairs")
     # paragraphs to compare with others, and those that several documents have
     frequent = banding.where(~F.col("small")).select("whole").distinct()
@@ -266,24 +270,25 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeats = (found.groupBy("whole").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where(F.col("lo") < F.col("hi"))
                .select("whole", F.lit(0).alias("kind")))
     kinds = keep(variants.union(repeats).groupBy("whole").agg(F.max("kind").alias("kind")), "kinds")
-    members = keep(found.select("doc", "row", "start", "n", "whole").join(kinds, "whole"), "paragraphs")
+    members = keep(found.select("doc", "row", "start", "n", "whole").join(kinds.hint("shuffle_hash"), "whole"), "paragraphs")
     forget(found, mixed, banding, kinds)
     place = F.struct("doc", "row", "start", "n")
     compared = (members.where("kind > 0").groupBy("whole").agg(F.count("*").alias("times"), F.min(place).alias("at"), F.max("kind").alias("kind")))
     sets = keep(shingle_sets(compared, texts), "sets")
     near = keep(confirmed(pairs, sets), "band_links")
-    posted = keep(prefixes(sets.where("kind = 2")), "prefixes")
-    links, more = joined_lists(posted, sets)
+    often = sets.where("kind = 2")
+    posted = keep(prefixes(often), "prefixes")
+    links, more = joined_lists(posted, often)
     linked = keep(components(near.union(links).union(more)), "linked")
     forget(pairs, sets, near, posted, links, more)
     places = keep(members.select("doc", "row", "start", "n", "whole")
-                  .join(linked.select(F.col("node").alias("whole"), "component"), "whole", "left")
+                  .join(linked.select(F.col("node").alias("whole"), "component").hint("shuffle_hash"), "whole", "left")
                   .select("doc", "row", "start", "n", F.coalesce("component", "whole").alias("cluster")), "places")
     forget(members, linked)
     clusters = keep(places.groupBy("cluster").agg(F.min("doc").alias("_lo"), F.max("doc").alias("_hi"), F.min(place).alias("_first"))
                     .where(F.col("_lo") < F.col("_hi")).select("cluster", "_first"), "clusters")
     own = (F.col("row") == F.col("_first.row")) & (F.col("start") < F.col("_first.start") + F.col("_first.n"))
-    return places.join(clusters, "cluster").select(
+    return places.join(clusters.hint("shuffle_hash"), "cluster").select(
         "doc", "row", "start", "n", "cluster", (place == F.col("_first")).alias("first"), own.alias("kept"))
 
 
@@ -333,7 +338,7 @@ def extended(rows: DataFrame, docs: DataFrame) -> DataFrame:
     found = keep(texts.mapInArrow(
         sides, "doc long, row long, start int, n int, cluster long, first boolean, left binary, right binary"), "sides")
     first = keep(found.where("first").select("cluster", F.col("left").alias("left0"), F.col("right").alias("right0")), "first_sides")
-    others = keep(found.where(~F.col("first")).join(first, "cluster")
+    others = keep(found.where(~F.col("first")).join(first.hint("shuffle_hash"), "cluster")
                   .select("doc", "row", "start", "n", "cluster", "left", "right", "left0", "right0")
                   .mapInArrow(reach, "doc long, row long, start int, n int, cluster long, before int, after int"), "reach")
     most = others.groupBy("cluster").agg(F.max("before").alias("before"), F.max("after").alias("after"))
