@@ -27,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession) -> None:
+def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Small Arrow batches, so that a worker holds few whole texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

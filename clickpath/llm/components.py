@@ -33,12 +33,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     finished = []
     more = not edges.isEmpty()
     while more:
+        # the least neighbours, one row a node, are the hashed side of the joins, so that the links need no sorting
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(least, "u").where(F.col("v") > F.col("u"))
+        large = (both.join(least.hint("shuffle_hash"), "u").where(F.col("v") > F.col("u"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))  # repeats do no harm here
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").where(F.col("v") != F.col("m"))
+        small = (large.join(least.hint("shuffle_hash"), "u").where(F.col("v") != F.col("m"))
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))))
         edges = keep(small.distinct(), "stars")
         rest = unfinished(edges)

@@ -50,6 +50,8 @@ ROWS = 2
 KNOWN_PARAGRAPHS = 400_000
 #: Different paragraphs of a band that are paired with each other; those of larger bands meet in the prefix join.
 SMALL = 8
+#: Rows per Arrow batch of band members: three numbers each.
+PAIR_ROWS = 1 << 16
 #: A paragraph's sketch has the bit of each of its shingles, one of 64. Two sketches differ in no more bits than the sets have shingles
 #: that are not in both, and two sets of the likeness have at most so many of these: no pair of the likeness is left out.
 SKETCH_DIFFERS = 2 * (PARAGRAPH - WORDS + 1) * (100 - LIKENESS) // (100 + LIKENESS)
@@ -171,8 +173,8 @@ def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingle_sets(variants: DataFrame, docs: DataFrame) -> DataFrame:
-    """(whole, times, kind, found) of paragraphs (whole, times, kind, at); found: their shingle sets, read from the place ``at``."""
-    places = (variants.select("at.*", "whole", "times", "kind").groupBy("row")
+    """(whole, times, kind, found) of paragraphs (whole, times, kind, row, start, n); found: their shingle sets, read from that place."""
+    places = (variants.groupBy("row")
               .agg(F.collect_list(F.struct("start", "n", "whole", "times", "kind")).alias("at")))
 
     def sets(batches):
@@ -205,7 +207,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     (but for one) is common: a set is posted under these only, and its own ones can't match."""
     rows = sets.select("whole", "times", F.size("found").alias("k"), F.explode("found").alias("s"))
     known = keep(rows.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > 1), "shingles")
-    ranked = (rows.join(known, "s").groupBy("whole")
+    ranked = (rows.join(known.hint("shuffle_hash"), "s").groupBy("whole")
               .agg(F.min("times").alias("times"), F.min("k").alias("k"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("_t")))
     need = F.floor((F.col("k") * LIKENESS + 99) / 100).cast("int")
     return ranked.select("whole", "times", "k", (F.col("k") - F.size("_t")).alias("own"),
@@ -214,7 +216,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different paragraphs whose shingle sets have the likeness."""
-    side = lambda c: sets.select(F.col("whole").alias(c), F.col("found").alias(f"set_{c}"))
+    side = lambda c: sets.select(F.col("whole").alias(c), F.col("found").alias(f"set_{c}")).hint("shuffle_hash")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return (pairs.join(side("a"), "a").join(side("b"), "b")
             .where(100 * shared >= LIKENESS * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b"))
@@ -222,33 +224,78 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def joined_lists(posted: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that join all sets of the likeness among the posted ones, in two tables: in each posting list the others meet the
-    most frequent one; then all pairs of a list that are still in different components meet, none is left out."""
+    most frequent one, and each is linked with its component's smallest; then all pairs of a list that are still in different
+    components meet, none is left out."""
     pair = [F.least("whole", "w2").alias("a"), F.greatest("whole", "w2").alias("b")]
     can = possible("k", "own", "k2", "own2", LIKENESS)
     top = posted.groupBy("s").agg(F.max(F.struct("times", "whole", "k", "own")).alias("_top"), F.count("*").alias("_m")).where("_m > 1")
     top = top.select("s", F.col("_top.whole").alias("w2"), F.col("_top.k").alias("k2"), F.col("_top.own").alias("own2"))
-    met = keep(posted.join(top, "s").where((F.col("whole") != F.col("w2")) & can).select(*pair).distinct(), "paragraph_pairs")
+    met = keep(posted.join(top.hint("shuffle_hash"), "s").where((F.col("whole") != F.col("w2")) & can).select(*pair).distinct(), "paragraph_pairs")
     links = keep(confirmed(met, sets), "paragraph_links")
-    comp = components(links).select(F.col("node").alias("_node"), "component")
-    labelled = keep(posted.join(comp, F.col("whole") == F.col("_node"), "left")
-                    .select("s", "whole", "k", "own", F.coalesce("component", "whole").alias("comp")), "labelled")
+    stars = keep(components(links).select(F.col("node").alias("a"), F.col("component").alias("b")), "list_stars")
+    labelled = keep(posted.join(stars.hint("shuffle_hash"), F.col("whole") == F.col("a"), "left")
+                    .select("s", "whole", "k", "own", F.coalesce("b", "whole").alias("comp")), "labelled")
     still = labelled.groupBy("s").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select("s")
-    still = keep(labelled.join(still, "s", "left_semi"), "open")
+    still = keep(labelled.join(still.hint("shuffle_hash"), "s", "left_semi"), "open")
     other = still.select("s", F.col("whole").alias("w2"), F.col("k").alias("k2"), F.col("own").alias("own2"), F.col("comp").alias("c2"))
     rest = keep(still.join(other, "s").where((F.col("whole") < F.col("w2")) & (F.col("comp") != F.col("c2")) & can)
                 .select(*pair).distinct().join(met, ["a", "b"], "left_anti"), "open_pairs")
     more = keep(confirmed(rest, sets), "open_links")
-    forget(met, labelled, still, rest)
-    return links, more
+    forget(met, links, labelled, still, rest)
+    return stars, more
+
+
+def band_pairs(posted: DataFrame) -> DataFrame:
+    """(a, b) of each two different paragraphs of a small band (band, whole, sketch) whose sketches allow the likeness, and (a, null) of
+    every paragraph of a larger band of different ones; both may come repeatedly.
+
+    Bands are sorted, so that a task sees one after the other; of a band that reaches beyond a batch it holds a few rows only."""
+
+    def pairs(band, whole, sketch):
+        first = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
+        size = np.diff(np.append(first, len(band)))
+        some = np.repeat(size > 1, size)
+        if not some.any():
+            return
+        band, whole, sketch = band[some], whole[some], sketch[some]
+        size = size[size > 1]
+        first = np.cumsum(size) - size
+        large = np.repeat((size > SMALL) & (np.minimum.reduceat(whole, first) < np.maximum.reduceat(whole, first)), size)
+        many = np.unique(whole[large])
+        a, b = [many], [np.zeros(len(many), np.int64)]
+        small = np.repeat(size <= SMALL, size)
+        band, whole, sketch = band[small], whole[small], sketch[small]
+        for d in range(1, SMALL):
+            x = np.flatnonzero(band[d:] == band[:-d])
+            if not len(x):
+                break
+            y = x + d
+            fits = (whole[x] != whole[y]) & (np.bitwise_count((sketch[x] ^ sketch[y]).view(np.uint64)) <= SKETCH_DIFFERS)
+            x, y = whole[x[fits]], whole[y[fits]]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+        a, b = np.concatenate(a), np.concatenate(b)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=np.arange(len(b)) < len(many))], names=["a", "b"])
 
-
-def band_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of each two different paragraphs of a small band (band, whole, sketch) whose sketches allow the likeness."""
-    lists = members.groupBy("band").agg(F.collect_set(F.struct("whole", "sketch")).alias("m"))  # at most SMALL members
-    one = lists.select("m", F.explode("m").alias("x"))
-    fits = lambda y: (y["whole"] > F.col("x.whole")) & (F.bit_count(y["sketch"].bitwiseXOR(F.col("x.sketch"))) <= SKETCH_DIFFERS)
-    return (one.select(F.col("x.whole").alias("a"), F.explode(F.filter("m", fits)).alias("y"))
-            .select("a", F.col("y.whole").alias("b")).distinct())
+    def run(batches):
+        open_ = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [column.to_numpy() for column in batch.columns]
+            band, whole, sketch = new if open_ is None else (np.concatenate(both) for both in zip(open_, new))
+            cut = int(np.searchsorted(band, band[-1]))
+            yield from pairs(band[:cut], whole[:cut], sketch[:cut])
+            open_ = band[cut:], whole[cut:], sketch[cut:]
+            if len(open_[0]) > SMALL + 1:
+                # it is a large one: of those seen, two that differ (if any do) stand for the others
+                yield from pairs(*open_)
+                stay = np.append(np.arange(SMALL - 1), [open_[1].argmin(), open_[1].argmax()])
+                open_ = [column[stay] for column in open_]
+        if open_ is not None:
+            yield from pairs(*open_)
+
+    return posted.select("band", "whole", "sketch").repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,30 +304,30 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows_of(docs, id_col, text_col)
     found = keep(banded(docs, id_col, text_col), "banded")
     posted = found.where(F.col("bands").isNotNull()).select("whole", "sketch", F.explode("bands").alias("band"))
-    # what is joined back is written first, so that both sides of the join are shuffled and a hot key's rows can be split
-    mixed = keep(posted.groupBy("band").agg(F.min("whole").alias("lo"), F.max("whole").alias("hi"), F.count("*").alias("m"))
-                 .where(F.col("lo") < F.col("hi")).select("band", (F.col("m") <= SMALL).alias("small")), "bands")
-    # tables with one row a key are the hashed side of their joins, so that the larger ones need no sorting
-    banding = keep(posted.join(mixed.hint("shuffle_hash"), "band").select("band", "whole", "sketch", "small"), "band_members")
-    pairs = keep(band_pairs(banding.where("small")), "band_pairs")
+    arrow_batches(docs.sparkSession, PAIR_ROWS)
+    met = keep(band_pairs(posted).distinct(), "band_pairs")
+    arrow_batches(docs.sparkSession)
+    pairs = met.where(F.col("b").isNotNull())
     # paragraphs to compare with others, and those that several documents have
-    frequent = banding.where(~F.col("small")).select("whole").distinct()
     variants = (pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).select("whole", F.lit(1).alias("kind"))
-                .union(frequent.select("whole", F.lit(2).alias("kind"))))
+                .union(met.where(F.col("b").isNull()).select(F.col("a").alias("whole"), F.lit(2).alias("kind"))))
     repeats = (found.groupBy("whole").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where(F.col("lo") < F.col("hi"))
                .select("whole", F.lit(0).alias("kind")))
     kinds = keep(variants.union(repeats).groupBy("whole").agg(F.max("kind").alias("kind")), "kinds")
+    # tables with one row a key are the hashed side of their joins, so that the larger ones need no sorting
     members = keep(found.select("doc", "row", "start", "n", "whole").join(kinds.hint("shuffle_hash"), "whole"), "paragraphs")
-    forget(found, mixed, banding, kinds)
+    forget(found, kinds)
     place = F.struct("doc", "row", "start", "n")
-    compared = (members.where("kind > 0").groupBy("whole").agg(F.count("*").alias("times"), F.min(place).alias("at"), F.max("kind").alias("kind")))
+    # any of its places will do, as all have the same words; columns of numbers are aggregated without sorting
+    compared = (members.where("kind > 0").groupBy("whole")
+                .agg(F.count("*").alias("times"), F.max("kind").alias("kind"), *(F.first(c).alias(c) for c in ("row", "start", "n"))))
     sets = keep(shingle_sets(compared, texts), "sets")
     near = keep(confirmed(pairs, sets), "band_links")
     often = sets.where("kind = 2")
     posted = keep(prefixes(often), "prefixes")
-    links, more = joined_lists(posted, often)
-    linked = keep(components(near.union(links).union(more)), "linked")
-    forget(pairs, sets, near, posted, links, more)
+    stars, more = joined_lists(posted, often)
+    linked = keep(components(near.union(stars).union(more)), "linked")
+    forget(met, sets, near, posted, stars, more)
     places = keep(members.select("doc", "row", "start", "n", "whole")
                   .join(linked.select(F.col("node").alias("whole"), "component").hint("shuffle_hash"), "whole", "left")
                   .select("doc", "row", "start", "n", F.coalesce("component", "whole").alias("cluster")), "places")
@@ -342,7 +389,7 @@ def extended(rows: DataFrame, docs: DataFrame) -> DataFrame:
                   .select("doc", "row", "start", "n", "cluster", "left", "right", "left0", "right0")
                   .mapInArrow(reach, "doc long, row long, start int, n int, cluster long, before int, after int"), "reach")
     most = others.groupBy("cluster").agg(F.max("before").alias("before"), F.max("after").alias("after"))
-    own = (rows.where("kept").join(keep(most, "most"), "cluster", "left")
+    own = (rows.where("kept").join(keep(most, "most").hint("shuffle_hash"), "cluster", "left")
            .select("doc", "row", "start", "n", "cluster", F.lit(True).alias("kept"),
                    *(F.when(F.col("first"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in ("before", "after"))))
     both = own.union(others.select("doc", "row", "start", "n", "cluster", F.lit(False), "before", "after"))

@@ -140,6 +140,32 @@ def test_the_sketch_leaves_out_no_alike_pair_and_most_others(spark):
     assert alike <= got and len(got & other) < 0.2 * len(other)
 
 
+def test_bands_are_paired_in_one_pass_whatever_their_size(spark):
+    """All bands, small ones paired and of large ones every paragraph, also where a band reaches over many batches."""
+    rng, rows = random.Random(5), []
+    for band in range(60):
+        kinds = rng.choice([1, 2, 3, 40])
+        rows += [(band, rng.randrange(kinds) + 100 * (band % 7), 0) for _ in range(rng.choice([1, 2, 5, 8, 9, 10, 30, 90]))]
+    rng.shuffle(rows)
+    want = set()
+    for band in range(60):
+        own = [w for b, w, _ in rows if b == band]
+        if len(own) <= substring_dedup.SMALL:
+            want |= set(combinations(sorted(set(own)), 2))
+        elif len(set(own)) > 1:
+            want |= {(w, None) for w in own}
+    posted = spark.createDataFrame(rows, "band long, whole long, sketch long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 4, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            assert {(r.a, r.b) for r in substring_dedup.band_pairs(posted).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = substring_dedup.band_pairs(posted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
 def test_the_words_beside_a_paragraph():
     words = np.arange(1, 41, dtype=np.uint64)
     left, right = substring_dedup.beside(words, np.array([3, 30]), np.array([10, 40]), 77)
